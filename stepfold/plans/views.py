@@ -216,3 +216,94 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").alias("kind"), "embedding"
     )
+
+
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation messages wrapped as model responses of six kinds, with a gold answer."""
+    t, turn, conv = F.col("text"), F.col("turn"), F.col("conv_id")
+    kind = (conv + turn) % 6
+    n = turn.cast("string")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.when(kind == 0, "search_qa").when(kind <= 2, "contains").when(kind == 3, "gsm8k")
+        .when(kind == 4, "choice").otherwise("format").alias("data_source"),
+        F.when(kind == 0, F.concat(F.lit("<think>x</think><answer> "), t, F.lit(" </answer>")))
+        .when(kind == 1, F.concat(F.lit("Final Answer: "), t))
+        .when(kind == 2, t)
+        .when(kind == 3, F.concat(t, F.lit(" 12 so #### $1,23"), n, F.lit(" dollars")))
+        .when(kind == 4, F.concat(F.lit("ANSWER: $"), F.char(65 + conv % 4), F.lit(" "), t))
+        .otherwise(F.concat(F.lit("<think>"), t, F.lit("</think> so \\boxed{"), n, F.lit("} done")))
+        .alias("response"),
+        F.when(kind == 0, F.when(conv % 2 == 0, F.concat(F.lit("The "), t, F.lit("!"))).otherwise("none"))
+        .when(kind <= 2, F.when(turn % 2 == 0, F.lower(t)).otherwise("zzz"))
+        .when(kind == 3, F.concat(F.lit("123"), (turn % 4).cast("string")))
+        .when(kind == 4, "A")
+        .otherwise("")
+        .alias("gold"),
+        "text",
+    )
+
+
+GRADED_SQL = """graded AS (
+  SELECT conv_id, turn, text,
+    CASE kind WHEN 0 THEN 'search_qa' WHEN 1 THEN 'contains' WHEN 2 THEN 'contains' WHEN 3 THEN 'gsm8k'
+      WHEN 4 THEN 'choice' ELSE 'format' END AS data_source,
+    CASE kind WHEN 0 THEN '<think>x</think><answer> ' || text || ' </answer>'
+      WHEN 1 THEN 'Final Answer: ' || text WHEN 2 THEN text
+      WHEN 3 THEN text || ' 12 so #### $1,23' || CAST(turn AS VARCHAR) || ' dollars'
+      WHEN 4 THEN 'ANSWER: $' || chr(CAST(65 + conv_id % 4 AS INTEGER)) || ' ' || text
+      ELSE '<think>' || text || '</think> so \\boxed{' || CAST(turn AS VARCHAR) || '} done' END AS response,
+    CASE kind WHEN 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'The ' || text || '!' ELSE 'none' END
+      WHEN 1 THEN CASE WHEN turn % 2 = 0 THEN lower(text) ELSE 'zzz' END
+      WHEN 2 THEN CASE WHEN turn % 2 = 0 THEN lower(text) ELSE 'zzz' END
+      WHEN 3 THEN '123' || CAST(turn % 4 AS VARCHAR) WHEN 4 THEN 'A' ELSE '' END AS gold
+  FROM (SELECT *, (conv_id + turn) % 6 AS kind FROM conversations))"""
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as appended trajectory log lines: texts, tool results and tool errors."""
+    kind, eid = F.col("event_type"), F.col("event_id")
+    code = (400 + eid % 30).cast("string")
+    d = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("sample_id"),
+        F.concat(F.lit("rollout_"), (eid % 2).cast("string")).alias("rollout_id"),
+        eid.alias("line_no"),
+        F.col("ts"),
+        F.when(kind.isin("view", "click"), eid % 7).alias("turn_idx"),
+        F.when(kind == "view", F.concat(F.lit("step "), F.col("props"))).when(kind == "click", " ").alias("text_output"),
+        F.when(kind == "purchase", "web_search").when(kind == "signup", "visit").alias("tool_name"),
+        F.when(kind == "purchase", F.concat(F.lit("result "), F.col("value").cast("string"))).alias("tool_result"),
+        F.when(kind == "error", F.concat(F.lit("HTTP "), code, F.when(eid % 3 == 0, " Timed out, quota").otherwise("")))
+        .alias("tool_error"),
+        F.when(eid % 5 == 0, F.concat(F.lit("doc_"), (eid % 3).cast("string"))).alias("doc_id"),
+    )
+    fields = [
+        F.col("turn_idx"), F.col("text_output"), F.col("tool_name"),
+        F.when(F.col("tool_error").isNotNull(), F.struct(F.lit("web_search").alias("tool_name"), F.col("tool_error").alias("error")))
+        .alias("tool_error"),
+    ]
+    return d.withColumn("raw", F.to_json(F.struct(*fields)))
+
+
+EVENT_LOG_SQL = """event_log AS (
+  SELECT CAST(user_id AS VARCHAR) AS sample_id, 'rollout_' || CAST(event_id % 2 AS VARCHAR) AS rollout_id,
+    event_id AS line_no, ts,
+    CASE WHEN event_type IN ('view', 'click') THEN event_id % 7 END AS turn_idx,
+    CASE event_type WHEN 'view' THEN 'step ' || props WHEN 'click' THEN ' ' END AS text_output,
+    CASE event_type WHEN 'purchase' THEN 'web_search' WHEN 'signup' THEN 'visit' END AS tool_name,
+    CASE WHEN event_type = 'purchase' THEN 'result ' || CAST(value AS VARCHAR) END AS tool_result,
+    CASE WHEN event_type = 'error' THEN 'HTTP ' || CAST(400 + event_id % 30 AS VARCHAR) ||
+      CASE WHEN event_id % 3 = 0 THEN ' Timed out, quota' ELSE '' END END AS tool_error,
+    CASE WHEN event_id % 5 = 0 THEN 'doc_' || CAST(event_id % 3 AS VARCHAR) END AS doc_id
+  FROM events)"""
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as one ChatML prompt, its last message as the output."""
+    m = table(spark, sf_dir, "conversations")
+    line = F.struct("turn", F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n")).alias("s"))
+    g = m.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(line)).alias("l"), F.max_by("text", "turn").alias("output")
+    )
+    return g.select("conv_id", F.array_join(F.transform("l", lambda x: x["s"]), "").alias("prompt"), "output")
