@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from stepfold.suite import learning, record_jobs, text_jobs  # noqa: F401
+from stepfold.suite import learning, record_jobs, reports, text_jobs  # noqa: F401
 from stepfold.suite.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
