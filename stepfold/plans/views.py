@@ -307,3 +307,32 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(line)).alias("l"), F.max_by("text", "turn").alias("output")
     )
     return g.select("conv_id", F.array_join(F.transform("l", lambda x: x["s"]), "").alias("prompt"), "output")
+
+
+def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skill bank from the nations: two regions general, two task categories, one of mistakes."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    no, reg = F.col("n_nationkey"), F.col("n_regionkey")
+    return n.select(
+        F.when(reg <= 1, "general").when(reg <= 3, "task").otherwise("mistake").alias("kind"),
+        F.when((reg > 1) & (reg <= 3), F.lower(F.replace("r_name", F.lit(" "), F.lit("_")))).alias("category"),
+        no.cast("long").alias("ord"),
+        F.concat(
+            F.when((reg <= 1) & (no % 2 == 0), "dyn_").when(reg <= 1, "gen_").when(reg <= 3, "task_").otherwise("err_"),
+            F.lpad(no.cast("string"), 3, "0")).alias("skill_id"),
+        F.col("n_name").alias("title"),
+        F.concat(F.lit("p "), "n_name").alias("principle"),
+        F.when(no % 3 != 0, F.col("r_name")).otherwise("").alias("when_to_apply"),
+        F.concat(F.lit("d "), "n_name").alias("description"),
+        F.when(no % 3 != 1, F.concat(F.lit("h "), "n_name")).otherwise("").alias("how_to_avoid"),
+    )
+
+
+SKILLS_SQL = """skills AS (
+  SELECT CASE WHEN n_regionkey <= 1 THEN 'general' WHEN n_regionkey <= 3 THEN 'task' ELSE 'mistake' END AS kind,
+    CASE WHEN n_regionkey IN (2, 3) THEN lower(replace(r_name, ' ', '_')) END AS category, CAST(n_nationkey AS BIGINT) AS ord,
+    CASE WHEN n_regionkey <= 1 AND n_nationkey % 2 = 0 THEN 'dyn_' WHEN n_regionkey <= 1 THEN 'gen_' WHEN n_regionkey <= 3 THEN 'task_'
+      ELSE 'err_' END || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS skill_id,
+    n_name AS title, 'p ' || n_name AS principle, CASE WHEN n_nationkey % 3 <> 0 THEN r_name ELSE '' END AS when_to_apply,
+    'd ' || n_name AS description, CASE WHEN n_nationkey % 3 <> 1 THEN 'h ' || n_name ELSE '' END AS how_to_avoid
+  FROM nation JOIN region ON n_regionkey = r_regionkey)"""
