@@ -20,7 +20,7 @@ from stepfold.plans.skew import lookup, top_k
 Q_BLOCK, I_BLOCK = 2048, 8192
 DOC_BLOCK, TERM_QUERIES = 2048, 64
 # Scores are rounded before ranking: copies of a document must tie however products are summed.
-DIGITS = 10
+DIGITS = 12
 
 
 def _blocks(df: DataFrame, block: int) -> int:
@@ -82,13 +82,12 @@ def similarity_topk(
                 if exclude_self:
                     sims[qi[:, None] == ii[None, :]] = -np.inf
                 floor = -np.inf if min_sim is None else min_sim
-                for at, cols in zip(range(len(qi)), _best(sims, k)):
-                    cols = cols[(sims[at, cols] >= floor) & np.isfinite(sims[at, cols])]
-                    if len(cols):
-                        found = {"query_id": qi[at], "item_id": ii[cols], "sim": sims[at, cols]}
-                        if by_kind:
-                            found["kind"] = row.kind
-                        yield pd.DataFrame(found)
+                cols = _best(sims, k)
+                q_at, i_at = np.repeat(np.arange(len(qi)), [len(c) for c in cols]), np.concatenate(cols)
+                found = sims[q_at, i_at]
+                keep = (found >= floor) & np.isfinite(found)
+                out = pd.DataFrame({"query_id": qi[q_at[keep]], "item_id": ii[i_at[keep]], "sim": found[keep]})
+                yield out.assign(kind=row.kind) if by_kind else out
 
     ident = queries.schema["id"].dataType.simpleString()
     schema = f"query_id {ident}, item_id {items.schema['id'].dataType.simpleString()}, sim double"
@@ -186,10 +185,11 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, k1=0.9, b=0.4) ->
                 docs_m[d_row, at[hit]] = np.asarray(row.d_w)[hit]
                 q_m[q_row, q_col] = 1.0
                 scores = np.round(q_m @ docs_m.T, DIGITS)
-                for i, cols in enumerate(_best(scores, k)):
-                    cols = cols[scores[i, cols] > 0]
-                    if len(cols):
-                        yield pd.DataFrame({"query_id": q_ids[i], "doc_id": d_ids[cols], "score": scores[i, cols]})
+                cols = _best(scores, k)
+                q_at, d_at = np.repeat(np.arange(len(q_ids)), [len(c) for c in cols]), np.concatenate(cols)
+                found = scores[q_at, d_at]
+                keep = found > 0
+                yield pd.DataFrame({"query_id": q_ids[q_at[keep]], "doc_id": d_ids[d_at[keep]], "score": found[keep]})
 
     types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     found = qp.join(dp, "d_block").drop("d_block").mapInPandas(score, types + ", score double")
