@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,19 +16,34 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder named by spark.checkpoint.dir.
+_LOCAL: dict[str, str] = {}
+
 
-    A machine-local folder is only taken on a local master (tests), where no
-    executor can be lost without the driver.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors reach.
+
+    A machine-local folder is only taken on a local master (tests), where no executor can
+    be lost without the driver.
     """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[sc.applicationId]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path of its own for one written table or stream."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
     sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        if folder:
-            sc.setCheckpointDir(folder)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -87,7 +87,8 @@ def exceeds(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
 
 
 def has_hot(df: DataFrame, keys: Sequence[str]) -> bool:
-    return exceeds(df, keys, hot_rows(df))
+    """Streams are taken as not hot: a micro batch is bounded by its trigger."""
+    return not df.isStreaming and exceeds(df, keys, hot_rows(df))
 
 
 def settle(df: DataFrame) -> DataFrame:

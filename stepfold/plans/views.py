@@ -95,7 +95,7 @@ RESPONSES_SQL = """responses AS (
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as rollouts of a user's sample, in time order; error rows are incomplete."""
     ev = table(spark, sf_dir, "events")
-    ev = rank(ev, ["user_id"], ["ts", "event_id"], F.col("ts").cast("double"), "rollout_idx")
+    ev = rank(ev, ["user_id"], ["ts", "event_id"], F.col("ts").cast("timestamp").cast("double"), "rollout_idx")
     kind = F.col("event_type")
     return ev.select(
         F.col("user_id").cast("string").alias("sample_id"),
@@ -137,7 +137,7 @@ ROLLOUTS_SQL = """rollouts AS (
 def api_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(
-        F.col("ts").alias("timestamp"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
         F.col("event_type").alias("kind"),
         F.concat(F.lit("ep"), (F.col("user_id") % 8).cast("string")).alias("endpoint"),
         F.col("value").alias("latency_sec"),
@@ -269,7 +269,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("sample_id"),
         F.concat(F.lit("rollout_"), (eid % 2).cast("string")).alias("rollout_id"),
         eid.alias("line_no"),
-        F.col("ts"),
+        F.col("ts").cast("timestamp").alias("ts"),
         F.when(kind.isin("view", "click"), eid % 7).alias("turn_idx"),
         F.when(kind == "view", F.concat(F.lit("step "), F.col("props"))).when(kind == "click", " ").alias("text_output"),
         F.when(kind == "purchase", "web_search").when(kind == "signup", "visit").alias("tool_name"),

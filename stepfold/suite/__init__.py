@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from stepfold.suite import learning, memory_jobs, quality_jobs, record_jobs, reports, sampling, text_jobs  # noqa: F401
+from stepfold.suite import learning, memory_jobs, quality_jobs, record_jobs, reports, sampling, stream_jobs, text_jobs  # noqa: F401
 from stepfold.suite.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
