@@ -86,16 +86,16 @@ def url_to_key(c: Column) -> Column:
     host = F.replace(F.regexp_extract(url, r"^https?://([^/?#]*)", 1), F.lit(":"), F.lit("_"))
     host = F.when(host == "", "remote").otherwise(host)
     path = F.try_url_decode(F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1))
-    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
-    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    path = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "^/|/$", "")
+    last = F.regexp_extract(path, "([^/]*)$", 1)
     suffix = F.lower(F.regexp_extract(last, r"^.+(\.[^.]+)$", 1))
     stem = F.regexp_replace(last, r"(?<=.)\.[^.]+$", "")
-    dirs = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    dirs = F.nullif(F.regexp_extract(path, "^(.*)/[^/]*$", 1), F.lit(""))
     name = F.concat(
         F.when(stem == "", "image").otherwise(stem), F.lit("_"), F.substring(F.sha2(url, 256), 1, 16),
         F.when(suffix.isin(IMAGE_SUFFIXES), suffix).otherwise(".png"),
     )
-    return F.array_join(F.concat(F.array(host), dirs, F.array(name)), "/")
+    return F.concat_ws("/", host, dirs, name)
 
 
 def append_source_urls(problem: Column, sources: Column) -> Column:

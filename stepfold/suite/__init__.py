@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from stepfold.suite import learning, memory_jobs, quality_jobs, record_jobs, reports, sampling, stream_jobs, text_jobs  # noqa: F401
+from stepfold.suite import (  # noqa: F401
+    learning, memory_jobs, quality_jobs, record_jobs, reports, sampling, source_jobs, stream_jobs, text_jobs,
+)
 from stepfold.suite.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -427,3 +427,45 @@ SELECT row_id, {q6('score - c')} AS centered FROM responses, c""")
 def _(spark, sf):
     d = A.softmean_center(V.responses(spark, sf), 0.5)
     return d.select("row_id", r6("centered").alias("centered"))
+
+
+@query("step_groups_similar")
+def _(spark, sf):
+    from stepfold.operators.cluster import similar_step_groups
+
+    p = V.table(spark, sf, "part").select(F.col("p_type").alias("uid"), F.col("p_name").alias("anchor_obs"), F.col("p_partkey").alias("ord"))
+    return similar_step_groups(p, 0.7).select("ord", "step_group")
+
+
+@query("sql_functions", r"""SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+'),
+  lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')) AS qa, source || '_' || doc_id AS full_id FROM documents""")
+def _(spark, sf):
+    from stepfold.functions.udf import register_sql_functions
+
+    register_sql_functions(spark)
+    docs = V.table(spark, sf, "documents")
+    return spark.sql("SELECT doc_id, md5(normalize_answer_qa(text)) AS qa, prefixed_id(CAST(doc_id AS STRING), source) AS full_id FROM {docs}", docs=docs)
+
+
+@query("markdown_table_function", "SELECT doc_id, CAST(1 AS BIGINT) AS ord, 'T' AS title, md5(trim(text, ' ' || chr(10))) AS body FROM documents")
+def _(spark, sf):
+    from stepfold.functions.udf import register_sql_functions
+
+    register_sql_functions(spark)
+    docs = V.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# T\n"), "text", F.lit("\n# empty")).alias("md"))
+    return spark.sql("SELECT doc_id, CAST(s.ord AS BIGINT) AS ord, s.title, md5(s.body) AS body FROM {docs}, LATERAL markdown_sections(md) AS s", docs=docs)
+
+
+@query("user_scorers", """SELECT conv_id, turn, CAST(length(text) % 7 AS DOUBLE) AS one, CAST(turn AS DOUBLE) AS batch,
+  CASE WHEN turn = 0 THEN 0.0::DOUBLE ELSE round(1.0::DOUBLE / turn, 6) END AS safe, turn = 0 AS failed FROM conversations""")
+def _(spark, sf):
+    from stepfold.functions import udf as U
+    from stepfold.operators.grading import grade_responses
+
+    one = U.register_scorer("len7", lambda source, s, truth, extra, base: (len(s) % base, "note"), base=7)
+    batch = U.register_batch_scorer("truths", lambda ss, truths: [float(t) for t in truths])
+    safe = U.safe_score(lambda s, truth: {"score": 1 / int(truth)})
+    m = V.messages(spark, sf).withColumns({"gold": F.col("turn").cast("string"), "data_source": F.lit("len7")})
+    d = grade_responses(m, response="text", scorers={"len7": one}).withColumn("s", safe(F.col("text"), F.col("gold")))
+    return d.select("conv_id", "turn", F.col("score").alias("one"), batch(F.col("text"), F.col("gold")).alias("batch"),
+                    F.round("s.score", 6).alias("safe"), F.col("s.error").isNotNull().alias("failed"))
