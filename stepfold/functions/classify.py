@@ -208,7 +208,8 @@ def mistakes(n: Column, distinct: Column, go_to: Column, task: Column) -> Column
 
 def normalize_color(c: Column, default: Column | None = None) -> Column:
     found = F.filter(F.array(*[F.lit(x) for x in COLORS]), lambda b: F.contains(c, b))
-    return F.coalesce(F.try_element_at(found, F.lit(1)), c if default is None else default)
+    other = c if default is None else default
+    return F.when(c.rlike("|".join(COLORS)), F.try_element_at(found, F.lit(1))).otherwise(other)
 
 
 def normalize_size(c: Column) -> Column:

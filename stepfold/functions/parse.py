@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.functions.text import first_match, strip
+from stepfold.functions.text import first_match, let, strip
 
 # Characters kept of an action without tags, per environment family.
 TAIL_CHARS = {"household": 30, "shop": 20, "code": 100}
@@ -125,15 +125,23 @@ def extract_tool_calls(df: DataFrame, text: str = "text") -> DataFrame:
 
 def event_tool_name(raw: Column, text_mentions: bool = False) -> Column:
     """Tool named by a JSON event: known flat name, nested call, first response call."""
-    get = lambda p: F.nullif(F.get_json_object(raw, p), F.lit(""))
-    known = lambda x: F.when(x.isin(KNOWN_TOOLS), x)
-    options = [known(get("$.tool_name")), known(get("$.name"))]
-    for box in ("tool_call", "tool_error", "function_call"):
-        options += [get(f"$.{box}.{k}") for k in ("tool_name", "name", "tool")]
-    options.append(get("$.response.tool_calls[0].function.name"))
-    if text_mentions:
-        options += [F.when(F.contains(F.lower(raw), F.lit(t)), t) for t in KNOWN_TOOLS]
-    return F.coalesce(*options)
+    named = "struct<tool_name:string,name:string,tool:string>"
+    event = F.from_json(
+        raw,
+        f"tool_name string, name string, tool_call {named}, tool_error {named}, function_call {named}, "
+        "response struct<tool_calls:array<struct<function:struct<name:string>>>>",
+    )
+
+    def pick(e: Column) -> Column:
+        filled = lambda c: F.nullif(c, F.lit(""))
+        options = [F.when(e[k].isin(KNOWN_TOOLS), e[k]) for k in ("tool_name", "name")]
+        options += [filled(e[box][k]) for box in ("tool_call", "tool_error", "function_call") for k in ("tool_name", "name", "tool")]
+        options.append(filled(F.try_element_at(e["response"]["tool_calls"], F.lit(1))["function"]["name"]))
+        if text_mentions:
+            options += [F.when(F.contains(F.lower(raw), F.lit(t)), t) for t in KNOWN_TOOLS]
+        return F.coalesce(*options)
+
+    return let(event, pick)
 
 
 def task_description(c: Column) -> Column:

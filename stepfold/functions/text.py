@@ -122,6 +122,11 @@ ERROR_REASON = "final answer is an error"
 MARKER_REASON = "final answer is a tool call, parser failure, or unfinished rollout"
 
 
+def let(c: Column, fn) -> Column:
+    """fn of a value that is computed once, however often fn uses it."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def any_marker(c: Column, markers: list[str]) -> Column:
     hit = F.lit(False)
     for m in markers:
@@ -131,22 +136,21 @@ def any_marker(c: Column, markers: list[str]) -> Column:
 
 def concrete_answer(c: Column) -> Column:
     """Struct (answer, reason): the answer is NULL when it is not concrete."""
-    text = strip(F.coalesce(c, F.lit("")))
-    tags = F.regexp_extract_all(text, F.lit(r"(?is)<answer>\s*(.*?)\s*</answer>"), 1)
-    tag = F.element_at(F.when(F.size(tags) > 0, tags), -1)
-    marked = first_match(text, r"(?is)(?:final\s+answer|answer)\s*[:：]\s*(.+)")
-    head_error = F.lower(text).startswith("error:")
-    cand = strip(F.coalesce(tag, marked, text))
-    low = F.lower(cand)
-    reason = (
-        F.when(text == "", EMPTY_REASON)
-        .when(head_error, ERROR_REASON)
-        .when(low == "", EMPTY_REASON)
-        .when(low.startswith("error:"), ERROR_REASON)
-        .when(any_marker(low, NON_ANSWER_MARKERS), MARKER_REASON)
-        .otherwise("")
-    )
-    return F.struct(F.when(reason == "", cand).alias("answer"), reason.alias("reason"))
+    def candidate(text: Column) -> Column:
+        tags = F.regexp_extract_all(text, F.lit(r"(?is)<answer>\s*(.*?)\s*</answer>"), 1)
+        tag = F.element_at(F.when(F.size(tags) > 0, tags), -1)
+        marked = first_match(text, r"(?is)(?:final\s+answer|answer)\s*[:：]\s*(.+)")
+        head_error = F.lower(text).startswith("error:")
+        return F.struct(text.alias("t"), head_error.alias("e"), strip(F.coalesce(tag, marked, text)).alias("c"))
+
+    def judge(x: Column) -> Column:
+        low = F.lower(x["c"])
+        why = let(low, lambda v: (
+            F.when(x["t"] == "", EMPTY_REASON).when(x["e"], ERROR_REASON).when(v == "", EMPTY_REASON)
+            .when(v.startswith("error:"), ERROR_REASON).when(any_marker(v, NON_ANSWER_MARKERS), MARKER_REASON).otherwise("")))
+        return let(why, lambda r: F.struct(F.when(r == "", x["c"]).alias("answer"), r.alias("reason")))
+
+    return let(let(strip(F.coalesce(c, F.lit(""))), candidate), judge)
 
 
 def overlong_penalty(length: Column, max_len: int, buffer: int, factor: float) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfold.functions.classify import normalize_color
 from stepfold.operators.similarity import bm25_topk
-from stepfold.plans.skew import first_per_group, group_values, lookup, top_k
+from stepfold.plans.session import checkpoint
+from stepfold.plans.skew import first_per_group, lookup, top_k
 
 # Columns dropped when a catalog is loaded.
 DROPPED = [
@@ -85,9 +87,9 @@ def keyword_search(queries: DataFrame, documents: DataFrame, k: int = 50) -> Dat
 
 
 def _tokens(text: Column, stop_words: Sequence[str]) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(\w\w+)\b"), 1)
-    number = lambda w: w.rlike(r"^(0|[1-9]\d{0,2})$")
-    return F.filter(words, lambda w: ~w.isin(list(stop_words)) & ~number(w))
+    """Words of two or more characters that are neither stop words nor 0..999, in one pass."""
+    skip = "|".join(["0", r"[1-9]\d{0,2}", *[re.escape(w) for w in stop_words]])
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b(?!(?:{skip})\b)(\w\w+)\b"), 1)
 
 
 def tfidf_attributes(df: DataFrame, n: int, *, stop_words: Sequence[str], by="category", text="text", k=5, max_features=1000) -> DataFrame:
@@ -101,13 +103,15 @@ def tfidf_attributes(df: DataFrame, n: int, *, stop_words: Sequence[str], by="ca
     grams = F.when(F.size("t") >= n, F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("t") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("t", i, F.lit(n)), " ")))
     tf = d.select("asin", by, F.explode(grams).alias("term")).groupBy("asin", by, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = checkpoint(tf)  # read twice below, and a pass over every text to make
     terms = tf.groupBy(by, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     terms = top_k(terms, [by], [F.desc("total"), F.col("term")], max_features, "__r").drop("__r", "total")
     sizes = df.groupBy(by).agg(F.count_distinct("asin").alias("n_products"))
     terms = terms.join(sizes, by)
     terms = terms.select(by, "term", "n_products", (F.log((1 + F.col("n_products")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = lookup(tf, terms, [by, "term"], "inner").withColumn("w", F.col("tf") * F.col("idf"))
-    w = group_values(w, ["asin"], ss=F.sum(F.col("w") * F.col("w")))
+    # a product keeps at most max_features terms, so its window group is bounded
+    w = w.withColumn("ss", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("asin")))
     w = w.withColumn("score", F.round(F.col("w") / F.sqrt("ss"), 9))
     best = top_k(w, ["asin"], [F.desc("score"), F.col("term")], k, "__r")
     g = best.groupBy(by, "term").agg(F.count(F.lit(1)).alias("products"), F.max("n_products").alias("n"))
@@ -145,30 +149,48 @@ def _words(c: Column, stop_words: Sequence[str]) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(list(stop_words))))
 
 
-def _same(a: Column, b: Column) -> Column:
+def _token_sets(texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.array_distinct(F.split(F.lower(t), r"\s+")))
+
+
+def _same(x: Column, y: Column) -> Column:
     """Token sets, one nearly inside the other."""
-    x, y = F.array_distinct(F.split(F.lower(a), r"\s+")), F.array_distinct(F.split(F.lower(b), r"\s+"))
     return F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y)) >= 0.85
 
 
-def purchase_reward(purchases: DataFrame, goals: DataFrame, *, stop_words: Sequence[str] = ()) -> DataFrame:
+def reward_fields(df: DataFrame, stop_words: Sequence[str] = (), prefix: str = "") -> DataFrame:
+    """Token sets of a product or goal, computed once per row before it meets any purchase."""
+    color = F.transform(f"{prefix}options", lambda x: normalize_color(x))
+    return df.withColumns(
+        {
+            f"__{prefix}attr": _token_sets(F.col(f"{prefix}attributes")),
+            f"__{prefix}opt": _token_sets(color),
+            f"__{prefix}path": F.transform(F.split(f"{prefix}product_category", "›"), lambda x: F.trim(x)),
+            f"__{prefix}words": _words(F.col(f"{prefix}name"), stop_words),
+        }
+    )
+
+
+def purchase_reward(purchases: DataFrame, goals: DataFrame, products: DataFrame, *, stop_words: Sequence[str] = ()) -> DataFrame:
     """Reward of each purchase against its goal.
 
-    ``purchases`` has goal_id, query, product_category, name, attributes, options ARRAY, price,
-    full_text; ``goals`` the same fields with goal_ prefixes and price_upper. Attribute and
-    option texts match by token sets where a fuzzy string ratio could be used.
+    ``purchases`` has goal_id, product_id, price; ``products`` has product_id, query,
+    product_category, name, attributes, options ARRAY, full_text; ``goals`` goal_id, the same
+    fields with goal_ prefixes, and price_upper. Attribute and option texts match by token
+    sets where a fuzzy string ratio could be used.
     """
-    d = lookup(purchases, goals, ["goal_id"], "inner")
-    attr = F.size(F.filter("goal_attributes", lambda g: F.exists("attributes", lambda p: _same(p, g)) | F.contains(F.lower("full_text"), g)))
-    color = lambda xs: F.transform(xs, lambda x: normalize_color(x))
-    d = d.withColumns({"__po": color(F.col("options")), "__go": color(F.col("goal_options"))})
-    opt = F.size(F.filter("__go", lambda g: F.exists("__po", lambda p: _same(p, g))))
-    parts = lambda c: F.transform(F.split(c, "›"), lambda x: F.trim(x))
-    category = F.size(F.array_intersect(parts(F.col("product_category")), parts(F.col("goal_product_category")))) >= 2
-    want, have = _words(F.col("goal_name"), stop_words), _words(F.col("name"), stop_words)
-    title = F.when(F.size(want) == 0, 0.2).otherwise(F.try_divide(F.size(F.array_intersect(want, have)).cast("double"), F.size(want)))
+    d = lookup(purchases, reward_fields(products, stop_words), ["product_id"], "inner")
+    d = lookup(d, reward_fields(goals, stop_words, "goal_"), ["goal_id"], "inner")
+    wanted = F.arrays_zip(F.col("__goal_attr").alias("s"), F.col("goal_attributes").alias("t"))
+    text = F.lower("full_text")
+    attr = F.size(F.filter(wanted, lambda g: F.exists("__attr", lambda p: _same(p, g["s"])) | F.contains(text, g["t"])))
+    opt = F.size(F.filter("__goal_opt", lambda g: F.exists("__opt", lambda p: _same(p, g))))
+    category = F.size(F.array_intersect("__path", "__goal_path")) >= 2
+    want = F.col("__goal_words")
+    title = F.when(F.size(want) == 0, 0.2).otherwise(F.try_divide(F.size(F.array_intersect(want, "__words")).cast("double"), F.size(want)))
     match = (F.col("query") == F.col("goal_query")) | category | (title > 0.2)
     r_type = F.when(title == 0, 0.0).when(title < 0.1, 0.1).when(~match, 0.5).otherwise(1.0)
     ok = (F.col("price") <= F.col("price_upper")).cast("int")
     total = F.size("goal_attributes") + F.size("goal_options") + 1
-    return d.withColumns({"r_type": r_type, "reward": (attr + opt + ok) / total * r_type}).drop("__po", "__go")
+    d = d.withColumns({"r_type": r_type, "reward": (attr + opt + ok) / total * r_type})
+    return d.drop(*[f"__{p}{c}" for p in ("", "goal_") for c in ("attr", "opt", "path", "words")])

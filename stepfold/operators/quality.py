@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.functions.text import any_marker
-from stepfold.plans.skew import first_per_group
+from stepfold.plans.skew import beside, first_per_group
 
 # Markers of a refused tool result and of an exhausted quota.
 REFUSED_MARKERS = [
@@ -75,7 +75,7 @@ def profile_samples(samples: DataFrame, *, key="doc_id", tag="<image>") -> DataF
     )
     dup = samples.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dup = dup.agg(F.count(F.lit(1)).alias("duplicate_ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"))
-    return facts.join(dup.withColumn("__j", F.lit(0)), F.lit(0) == F.col("__j")).drop("__j")
+    return beside(facts, dup)
 
 
 def completion_status(rollouts: DataFrame, turns: DataFrame, n: int, *, sample="sample_id", rollout="rollout_id") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.plans.skew import first_per_group, group_values, lookup, match, rank, rename_keys, running, top_k
+from stepfold.plans.skew import beside, group_values, lookup, match, rank, rename_keys, running, top_k
 
 
 def one(n: str = "n") -> Column:
@@ -156,7 +156,7 @@ def sft_potential(rollouts: DataFrame, by: Sequence[str] = (), threshold: float
         F.round(F.avg("__u"), 4).alias("sft_samples_per_success_mean"),
         F.sum(F.when(F.col("__ok"), F.col("tool_calls"))).alias("tool_calls_in_successful"),
     )
-    out = roll.join(sample, list(by)) if by else roll.join(sample.withColumn("__j", F.lit(0)), F.lit(0) == F.col("__j")).drop("__j")
+    out = roll.join(sample, list(by)) if by else beside(roll, sample)
     return out.withColumn("pass_at_k", F.round(F.col("success_samples") / F.col("samples"), 6))
 
 
@@ -259,10 +259,7 @@ def batch_metrics(tokens: DataFrame, episodes: DataFrame, *, row="row_id", mask=
         *[f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in ("episode_reward", "episode_length") for f, n in zip(fns, names)],
         F.avg("episode_tools").alias("episode_tools_mean"),
     )
-    out = seq.withColumn("__j", F.lit(0))
-    for part in (tok, epi):
-        out = out.join(part.withColumn("__i", F.lit(0)), F.col("__j") == F.col("__i")).drop("__i")
-    return out.drop("__j")
+    return beside(beside(seq, tok), epi)
 
 
 def timing_metrics(timings: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -359,9 +356,15 @@ def source_scores(steps: DataFrame, *, source="data_source", traj="traj_uid", st
     return rows.join(tools, source, "left")
 
 
-def offline_eval(df: DataFrame, *, source="data_source", scores="scores") -> DataFrame:
-    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
-    return df.groupBy(source).agg(F.avg(F.try_divide(total, F.size(scores))).alias("test_score"))
+def offline_eval(df: DataFrame, *, source="data_source", row="row_id", score="score", scores: str | None = None) -> DataFrame:
+    """Mean score of each row's responses, then the mean per source. One record per response,
+    or one per row with an array of ``scores``."""
+    if scores is not None:
+        total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+        per = df.select(source, F.try_divide(total, F.size(scores)).alias("__m"))
+    else:
+        per = df.groupBy(source, row).agg(F.avg(score).alias("__m"))
+    return per.groupBy(source).agg(F.avg("__m").alias("test_score"))
 
 
 def eval_suite(log: DataFrame) -> DataFrame:

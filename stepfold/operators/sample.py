@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepfold.plans.skew import (
-    first_per_group, group_values, hash_at, has_hot, lookup, rank, running, top_k,
+    beside, first_per_group, group_values, hash_at, has_hot, lookup, rank, running, top_k,
 )
 
 
@@ -334,7 +334,7 @@ def length_imbalance(df: DataFrame, k: int, *, order="id", length="length", part
     before = d.groupBy("__c").agg(F.sum(length).alias("s")).agg(
         F.min("s").alias("min"), F.max("s").alias("max"), (F.max("s") - F.min("s")).alias("minmax_diff"), (F.sum("s") / k).alias("mean"))
     after = df.groupBy(part).agg(F.sum(length).alias("s")).agg(F.min("s").alias("balanced_min"), F.max("s").alias("balanced_max"))
-    return before.join(after.withColumn("__j", F.lit(0)), F.lit(0) == F.col("__j")).drop("__j")
+    return beside(before, after)
 
 
 def sample_generations(df: DataFrame, n: int, seed: int, *, text="input") -> DataFrame:

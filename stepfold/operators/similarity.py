@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepfold.plans.session import checkpoint
 from stepfold.plans.skew import lookup, top_k
 
 Q_BLOCK, I_BLOCK = 2048, 8192
 DOC_BLOCK, TERM_QUERIES = 2048, 64
+VOCABULARY = 1_000_000  # query terms that are broadcast
 # Scores are rounded before ranking: copies of a document must tie however products are summed.
 DIGITS = 12
 
@@ -149,16 +151,22 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, k1=0.9, b=0.4) ->
     every document and query never becomes a row per document-query pair.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
+    q = checkpoint(q)
     d = docs.select("doc_id", terms_of(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    stats = d.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg"))
-    tf = d.select("doc_id", "len", F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n, avg = d.agg(F.count(F.lit(1)), F.avg("len")).first()
     vocab = q.select("term").distinct()
-    tf = lookup(tf, vocab.withColumn("__in", F.lit(1)), ["term"], "inner").drop("__in")
+    small = vocab.count() <= VOCABULARY  # else Spark joins by shuffle and splits skewed terms
+    hint = F.broadcast if small else lambda x: x
+    words = d.select("doc_id", "len", F.explode("t").alias("term"))
+    if small:
+        words = words.join(F.broadcast(vocab), "term", "left_semi")
+    tf = words.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # read twice below, and a pass over every text to make
+    tf = checkpoint(tf if small else tf.join(vocab, "term", "left_semi"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.withColumn("s", stats.select(F.struct("n", "avg")).scalar())
-    idf = idf.select("term", F.log(1 + (F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = lookup(tf, idf, ["term"]).withColumn("avg", stats.select("avg").scalar())
-    w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+    idf = df.select("term", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighted = tf.join(hint(idf), "term")
+    w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(avg or 1))))
     posts = weighted.select("doc_id", F.xxhash64("term").alias("code"), w.alias("w"))
 
     nd, nq = _blocks(docs, DOC_BLOCK), _blocks(queries, TERM_QUERIES)

@@ -28,7 +28,7 @@ from stepfold.plans.session import checkpoint
 
 HOT_KEYS = 100_000
 RANGE_ROWS = 65_536
-_SEEN: dict[tuple, bool] = {}
+_SEEN: dict[tuple, int] = {}
 
 
 def hot_rows(df: DataFrame) -> int:
@@ -71,21 +71,25 @@ def _has_map(t: T.DataType) -> bool:
 
 def hot_groups(df: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
     """The groups too large for one task: at most min(HOT_KEYS, rows / hot_rows) rows."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *extra)
-    return counted.where(F.col("__n") > hot_rows(df)).orderBy(F.desc("__n")).limit(HOT_KEYS)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *extra)
+    return counted.where(F.col("__rows") > hot_rows(df)).orderBy(F.desc("__rows")).limit(HOT_KEYS)
 
 
-def exceeds(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
-    """Whether some group holds more than ``rows`` rows; one key-only pass per distinct plan."""
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group: one key-only pass per distinct plan, partial counts first."""
     only = df.select(*keys)
-    app = df.sparkSession.sparkContext.applicationId
-    seen = (app, only.semanticHash(), tuple(keys), rows)
+    plan = only._jdf.queryExecution().optimizedPlan()  # without columns the keys do not need
+    seen = (df.sparkSession.sparkContext.applicationId, plan.semanticHash(), tuple(keys))
     if seen not in _SEEN:
-        counted = only.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        _SEEN[seen] = not counted.where(F.col("__n") > rows).isEmpty()
+        counted = only.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+        _SEEN[seen] = counted.agg(F.max("__rows")).first()[0] or 0
     return _SEEN[seen]
 
 
+def exceeds(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
+    return largest_group(df, keys) > rows
+
+
 def has_hot(df: DataFrame, keys: Sequence[str]) -> bool:
     """Streams are taken as not hot: a micro batch is bounded by its trigger."""
     return not df.isStreaming and exceeds(df, keys, hot_rows(df))
@@ -150,14 +154,14 @@ def _ranges(df: DataFrame, keys: list[str], at: Column) -> DataFrame:
     """Add ``__b``: 0 for ordinary groups, a range number growing with ``at`` for hot ones."""
     at = at.cast("double")
     hot = hot_groups(df, keys, F.min(at).alias("__lo"), F.max(at).alias("__hi"))
-    hot = hot.withColumn("__nb", F.ceil(F.col("__n") * 2 / hot_rows(df)))
+    hot = hot.withColumn("__nb", F.ceil(F.col("__rows") * 2 / hot_rows(df)))
     out = df.join(F.broadcast(rename_keys(hot, keys)), match(keys), "left")
     width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
     part = F.least(F.floor((at - F.col("__lo")) / width * F.col("__nb")), F.col("__nb") - 1)
     out = out.withColumns(
-        {"__split": F.col("__n").isNotNull(), "__b": F.coalesce(part, F.lit(0)).cast("long")}
+        {"__split": F.col("__rows").isNotNull(), "__b": F.coalesce(part, F.lit(0)).cast("long")}
     )
-    return drop_keys(out, keys, "__n", "__lo", "__hi", "__nb")
+    return drop_keys(out, keys, "__rows", "__lo", "__hi", "__nb")
 
 
 def running(
@@ -229,6 +233,12 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return df.groupBy(*keys).agg(row.alias("__row")).select(*keys, "__row.*").select(*df.columns)
 
 
+def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row tables as one row: the right one is a scalar subquery, not a join."""
+    row = right.select(F.struct(*right.columns)).scalar()
+    return left.withColumn("__right", row).select(*left.columns, "__right.*")
+
+
 def hash_at(hex_col: Column) -> Column:
     """Order position of a hex digest (its first 32 bits)."""
     return F.conv(F.substring(hex_col, 1, 8), 16, 10).cast("double")

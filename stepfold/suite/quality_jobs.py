@@ -207,9 +207,7 @@ def _(spark, sf):
     size = F.array(F.concat(F.lit("n"), F.col("size").cast("string")))
     goals = p.select(F.col("ord").alias("goal_id"), F.col("category").alias("goal_category"), F.col("query").alias("goal_query"), F.col("product_category").alias("goal_product_category"),
                      F.col("name").alias("goal_name"), F.col("attributes").alias("goal_attributes"), size.alias("goal_options"), (F.col("size") * 25.0).alias("price_upper"))
-    bought = p.select(F.col("ord").alias("l_suppkey"), "query", "product_category", "name", "attributes", size.alias("options"), F.col("name").alias("full_text"))
-    li = V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("goal_id"), "l_suppkey", (F.col("l_quantity") * 40).alias("price"))
-    from stepfold.plans.skew import lookup
-
-    d = K.purchase_reward(lookup(li, bought, ["l_suppkey"], "inner"), goals)
+    bought = p.select(F.col("ord").alias("product_id"), "query", "product_category", "name", "attributes", size.alias("options"), F.col("name").alias("full_text"))
+    li = V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("goal_id"), F.col("l_suppkey").alias("product_id"), (F.col("l_quantity") * 40).alias("price"))
+    d = K.purchase_reward(li, goals, bought)
     return d.groupBy("goal_category").agg(F.count(F.lit(1)).alias("purchases"), r6(F.avg("reward")).alias("mean_reward"), r6(F.avg("r_type")).alias("mean_type"))

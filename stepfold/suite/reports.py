@@ -296,9 +296,11 @@ def _(spark, sf):
 @query("offline_eval", f"""WITH {TOKENS_SQL}, r AS (SELECT row_id, avg(reward) AS m FROM tokens GROUP BY row_id)
 SELECT o_orderpriority AS data_source, {q6('avg(m)')} AS test_score FROM r JOIN orders ON row_id = o_orderkey GROUP BY o_orderpriority""")
 def _(spark, sf):
-    t = V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_discount").alias("scores"))
-    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("data_source"))
-    return P.offline_eval(t.join(o, "l_orderkey")).withColumn("test_score", r6("test_score"))
+    from stepfold.plans.skew import lookup
+
+    t = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_discount").alias("score"))
+    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("data_source"))
+    return P.offline_eval(lookup(t, o, ["row_id"], "inner")).withColumn("test_score", r6("test_score"))
 
 
 _RUN = "CASE user_id % 4 WHEN 0 THEN 'base_with_skill' WHEN 1 THEN 'SFT_no_skill' WHEN 2 THEN 'rl_x' ELSE 'other' END"
