@@ -90,7 +90,7 @@ def masked_stats(df: DataFrame, value: Column, mask: Column) -> DataFrame:
     return s.select("n", mean.alias("mean"), F.when(n < 2, bad.cast("double")).otherwise(var).alias("var"))
 
 
-def masked_mean(df: DataFrame, value: Column, mask: Column) -> Column:
+def masked_mean(value: Column, mask: Column) -> Column:
     return (F.sum(value * mask) / (F.sum(mask) + 1e-8)).cast("double")
 
 
@@ -244,7 +244,7 @@ def kl_penalized_reward(df, beta, kind="kl", *, reward="reward", logp="old_logp"
 
 def mean_sequence_kl(df, *, row="row_id", kl="kl", mask="mask"):
     """Mean over responses of the masked token mean of the KL."""
-    per_row = df.groupBy(row).agg(masked_mean(df, F.col(kl), F.col(mask)).alias("k"))
+    per_row = df.groupBy(row).agg(masked_mean(F.col(kl), F.col(mask)).alias("k"))
     return per_row.agg(F.avg("k").alias("mean_kl"))
 
 
@@ -252,7 +252,7 @@ def agg_loss(df, value: Column, mask: Column, mode="token-mean", *, row="row_id"
     """The four ways a masked token matrix becomes one number. ``length`` is the padded
     width, needed by seq-mean-token-sum-norm only."""
     if mode == "token-mean":
-        return df.agg(masked_mean(df, value, mask).alias("loss"))
+        return df.agg(masked_mean(value, mask).alias("loss"))
     sums = df.groupBy(row).agg(F.sum(value * mask).alias("s"), F.sum(mask).alias("n"))
     if mode == "seq-mean-token-sum":
         return sums.agg(F.avg("s").alias("loss"))
@@ -290,7 +290,7 @@ def clip_diagnostics(df, *by, mask="mask", **params):
     m = F.col(mask)
     d = clip_columns(df, **params)
     names = {"objective": "pg_loss", "clipped": "clip_frac", "clipped_low": "clip_frac_low", "neg_kl": "ppo_kl"}
-    return d.groupBy(*by).agg(*[masked_mean(d, F.col(c), m).alias(n) for c, n in names.items()])
+    return d.groupBy(*by).agg(*[masked_mean(F.col(c), m).alias(n) for c, n in names.items()])
 
 
 def sequence_ratio(df, low=0.2, high=0.2, *, row="row_id", logp="logp", old="old_logp", adv="adv", mask="mask"):
@@ -311,8 +311,8 @@ def value_diagnostics(df, clip=0.2, *, pred="pred", value="value", returns="retu
     l1, l2 = F.pow(p - r, 2), F.pow(bounded - r, 2)
     inside = lambda c: F.when(m != 0, c)
     return df.agg(
-        masked_mean(df, F.greatest(l1, l2), m).alias("value_loss"),
-        masked_mean(df, (l2 > l1).cast("double"), m).alias("clip_frac"),
+        masked_mean(F.greatest(l1, l2), m).alias("value_loss"),
+        masked_mean((l2 > l1).cast("double"), m).alias("clip_frac"),
         (1 - F.var_samp(inside(r - v)) / (F.var_samp(inside(r)) + 1e-5)).alias("explained_var"),
     )
 

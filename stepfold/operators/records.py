@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepfold.functions import normalize as N
 from stepfold.functions.text import blank_to_null, first_match, squeeze, strip, word_count
-from stepfold.plans.skew import group_values, lookup, rank, running
+from stepfold.plans.skew import lookup, rank, running
 
 # Prompt texts.
 SYSTEM_PROMPT = (

@@ -184,11 +184,10 @@ def stream_fill_batches(df: DataFrame, n: int, *, order="event_id") -> DataFrame
     """Rows tagged with their batch as they arrive; state is one counter per queue."""
     def number(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        for pdf in [pd.concat(list(batches)).sort_values(order)]:
-            at = seen + pd.RangeIndex(len(pdf))
-            seen += len(pdf)
-            yield pdf.assign(queue=key[0], batch=at // n)[["queue", order, "batch"]]
-        state.update((seen,))
+        ids = pd.concat([b[order] for b in batches]).sort_values()
+        state.update((seen + len(ids),))
+        at = seen + pd.RangeIndex(len(ids))
+        yield pd.DataFrame({"queue": key[0], order: ids.to_numpy(), "batch": at // n})
 
     return df.select("queue", order).groupBy("queue").applyInPandasWithState(
         number, f"queue string, {order} long, batch long", "seen long", "append", "NoTimeout")

@@ -9,7 +9,7 @@ from stepfold.functions import text as T
 from stepfold.operators import records as R
 from stepfold.plans import views as V
 from stepfold.plans.views import SAMPLES_SQL, STEPS_SQL
-from stepfold.suite.registry import as_text, query, r6
+from stepfold.suite.registry import as_text, query
 
 _BENCH = "CASE WHEN doc_id % 3 = 0 THEN ' MM-BrowseComp' WHEN doc_id % 3 = 1 THEN '__Tir--Bench' ELSE 'a__b ' END"
 _BENCH_OUT = "CASE WHEN doc_id % 3 = 0 THEN 'mmbrowsecomp' WHEN doc_id % 3 = 1 THEN 'tirbench' ELSE 'a_b' END"
@@ -61,8 +61,8 @@ def _(spark, sf):
 
 @query("normalize_samples", """SELECT doc_id AS ord, 'tirbench_' || CASE WHEN doc_id % 3 = 0 THEN printf('tirbench_%04d', doc_id)[10:]
     ELSE CAST(doc_id AS VARCHAR) END AS doc_id, 'tirbench' AS benchmark_name, text AS problem, source AS solution,
-  CASE doc_id % 4 WHEN 0 THEN 'ocr' WHEN 1 THEN 'maze' ELSE 'refcoco' END AS task
-FROM documents WHERE doc_id % 4 < 3""")
+  CASE lang WHEN 'fr' THEN 'ocr' WHEN 'en' THEN 'maze' ELSE 'refcoco' END AS task
+FROM documents WHERE lang <> 'es'""")
 def _(spark, sf):
     d = _docs(spark, sf).select(
         F.col("doc_id").alias("ord"),
@@ -70,19 +70,19 @@ def _(spark, sf):
         F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("problem"),
         F.when(F.col("doc_id") % 2 == 1, F.col("text")).alias("question"),
         F.col("source").alias("answer"),
-        F.when(F.col("doc_id") % 4 == 0, " OCR").alias("_tirbench_task"),
-        _case(4, "other", "maze", "refcoco", "unlisted").alias("category"),
+        F.when(F.col("lang") == "fr", " OCR").alias("_tirbench_task"),
+        F.when(F.col("lang") == "en", "maze").when(F.col("lang") == "de", "refcoco").otherwise("unlisted").alias("category"),
     )
     out = R.normalize_samples(d, "tirbench", order="ord")
     return out.select("ord", "doc_id", "benchmark_name", "problem", "solution", "task")
 
 
 @query("normalize_samples_by_turn", """SELECT doc_id AS ord, 'visualtoolbench_' || doc_id AS doc_id, text AS problem, lang AS solution,
-  'unknown' AS prompt_category FROM documents WHERE doc_id % 2 = 0""")
+  'unknown' AS prompt_category FROM documents WHERE lang = 'en'""")
 def _(spark, sf):
     d = _docs(spark, sf).select(
         F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"),
-        _case(2, " Single-Turn", "multi-turn").alias("turncase"), F.lit("Hybrid_Tool_Reasoning").alias("eval_focus"),
+        F.when(F.col("lang") == "en", " Single-Turn").otherwise("multi-turn").alias("turncase"), F.lit("Hybrid_Tool_Reasoning").alias("eval_focus"),
         F.array("text", "source").alias("turn_prompts"), F.array("lang").alias("turn_golden_answers"),
     )
     out = R.normalize_samples(d, "visualtoolbench", order="ord")
@@ -179,11 +179,11 @@ def _(spark, sf):
 
 @query("preset_hellaswag", r"""SELECT doc_id AS idx, md5(replace(regexp_replace(replace(trim(source || ': ' || 'A [title]' || ' ' ||
   upper(left(text, 1)) || lower(text[2:]), ' ' || chr(10)), ' [title]', '. '), '\[.*?\]', '', 'g'), '  ', ' ')) AS prompt, lang AS gold
-FROM documents WHERE doc_id % 2 = 0""")
+FROM documents WHERE lang IN ('en', 'fr')""")
 def _(spark, sf):
     d = _docs(spark, sf).select(
         "doc_id", F.lit("A [title]").alias("ctx_a"), F.col("text").alias("ctx_b"), F.col("source").alias("activity_label"),
-        _case(2, F.col("lang"), F.lit("")).alias("label"),
+        F.when(F.col("lang").isin("en", "fr"), F.col("lang")).otherwise("").alias("label"),
     )
     out = R.map_instruction_dataset(d, "hellaswag", order="doc_id", split="val", data_source="hellaswag")
     return out.select(F.col("extra_info.index").alias("idx"), F.md5(F.col("prompt")[0]["content"]).alias("prompt"), F.col("reward_model.ground_truth").alias("gold"))

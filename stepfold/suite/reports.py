@@ -8,7 +8,7 @@ from stepfold.functions import classify as C
 from stepfold.operators import grading as G
 from stepfold.operators import report as P
 from stepfold.plans import views as V
-from stepfold.plans.views import EVENT_LOG_SQL, RESPONSES_SQL, ROLLOUTS_SQL, SAMPLES_SQL, STEPS_SQL, TIMINGS_SQL, TOKENS_SQL
+from stepfold.plans.views import EVENT_LOG_SQL, RESPONSES_SQL, ROLLOUTS_SQL, STEPS_SQL, TIMINGS_SQL, TOKENS_SQL
 from stepfold.suite.registry import q6, query, r6
 from stepfold.suite.text_jobs import FAILURE_SQL
 

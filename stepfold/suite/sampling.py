@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stepfold.operators import sample as S
 from stepfold.plans import views as V
-from stepfold.plans.views import RESPONSES_SQL, SAMPLES_SQL, STEPS_SQL
+from stepfold.plans.views import RESPONSES_SQL, STEPS_SQL
 from stepfold.suite.registry import as_text, q6, query, r6
 
 

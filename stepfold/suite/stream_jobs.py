@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from stepfold.plans import views as V
 from stepfold.plans.session import scratch
-from stepfold.plans.views import SAMPLES_SQL
 from stepfold.streaming import streams as S
 from stepfold.suite.registry import q6, query, r6
 
