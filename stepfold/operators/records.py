@@ -307,7 +307,9 @@ def map_instruction_dataset(df: DataFrame, preset: str, *, order: str, split: st
 
 
 def filter_date_window(df: DataFrame, column: str, lo, hi) -> DataFrame:
-    return df.where((F.col(column) >= F.lit(lo)) & (F.col(column) < F.lit(hi)))
+    """Half-open window; the bounds take the column's type, so the filter reaches the scan."""
+    lo, hi = (F.lit(v).cast(df.schema[column].dataType) for v in (lo, hi))
+    return df.where((F.col(column) >= lo) & (F.col(column) < hi))
 
 
 def preference_records(df: DataFrame, mode: str, *, order: str) -> DataFrame:

@@ -278,7 +278,10 @@ def discounted(
     scratch = ["__b", "__o", *[f"__{q}_{n}" for q in "tr" for n in values]]
     if not exceeds(df, keys, m):
         d = d.withColumns({"__b": F.lit(0), "__o": p}).withColumns(local)
-        return d.withColumns({n: down(F.col(f"__r_{n}")) for n in values}).drop(*scratch)
+        # group sizes are remembered per plan: fail rather than miscount if the data grew
+        grown = F.raise_error(F.lit(f"a group is longer than the {m} rows counted before")).cast("double")
+        d = d.withColumns({n: F.when(p < m, down(F.col(f"__r_{n}"))).otherwise(grown) for n in values})
+        return d.drop(*scratch)
     d = settle(d)
     heads = d.where(F.col("__b") >= 1).groupBy(*keys, "__b")
     heads = heads.agg(*[F.sum(weigh(v, F.col("__o"))).alias(f"__t_{n}") for n, v in values.items()])

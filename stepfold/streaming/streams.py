@@ -89,7 +89,7 @@ class EndpointHealth(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fails = [p.loc[p["failed"], "timestamp"] for p in rows]
-        ms = sorted(int(t.timestamp() * 1000) for f in fails for t in f)
+        ms = sorted(t.value // 1_000_000 for f in fails for t in f)
         until = self.until.get()[0] if self.until.exists() else None
         out = []
         for t in ms:

@@ -415,7 +415,10 @@ def _(spark, sf):
     return d.select("row_id", *[r6(c).alias(c) for c in ("w_pow", "w_ends", "w_top")])
 
 
-@query("resample_draws")
+@query("resample_draws", f"""WITH {RESPONSES_SQL}, w AS (SELECT row_id, pow(abs(score), 2) + 1e-8 AS w FROM responses),
+c AS (SELECT row_id, w, sum(w) OVER (ORDER BY row_id) AS c, sum(w) OVER () AS t FROM w),
+d AS (SELECT row_id AS draw, CAST('0x' || md5('7:' || row_id)[:12] AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM responses)
+SELECT draw, row_id, {q6('w')} AS weight FROM d JOIN c ON u >= (c - w) / t AND u < c / t""")
 def _(spark, sf):
     return A.resample(V.responses(spark, sf), 7).select("draw", "row_id", r6("weight").alias("weight"))
 

@@ -280,7 +280,14 @@ def _(spark, sf):
     return M.merge_candidates(*_ops(spark, sf), 0.3).withColumn("sim", r6("sim"))
 
 
-@query("plan_merges")
+@query("plan_merges", f"""WITH RECURSIVE ex AS (SELECT * FROM embeddings WHERE label < 8),
+o AS (SELECT vec_id AS op_id, embedding FROM embeddings WHERE label >= 8 AND NOT (vec_id % 3 = 0 AND vec_id - 1 IN (SELECT vec_id FROM ex))),
+s AS (SELECT a.op_id, b.vec_id AS item_id, {_COS} AS sim FROM o a, ex b),
+r AS (SELECT *, row_number() OVER (PARTITION BY op_id ORDER BY sim DESC, item_id) AS rn FROM s WHERE sim >= 0.3),
+e AS (SELECT 'op:' || op_id AS x, 'item:' || item_id AS y FROM r WHERE rn <= 10 UNION ALL SELECT 'op:' || a.op_id, 'op:' || b.op_id FROM o a JOIN o b ON a.op_id < b.op_id AND {_COS} >= 0.3),
+n AS (SELECT x, y FROM e UNION SELECT y, x FROM e UNION SELECT x, x FROM e UNION SELECT y, y FROM e),
+reach AS (SELECT x, y FROM n UNION SELECT reach.x, n.y FROM reach JOIN n ON reach.y = n.x)
+SELECT x AS node, min(y) AS component FROM reach GROUP BY x""")
 def _(spark, sf):
     return M.plan_merges(*_ops(spark, sf), 0.3)
 

@@ -73,7 +73,10 @@ def _(spark, sf):
     return S.endpoint_health(_timings(V.table(spark, sf, "events")), 600.0)
 
 
-@query("stream_endpoint_health")
+@query("stream_endpoint_health", """WITH f AS (SELECT 'ep' || (user_id % 8) AS endpoint, epoch_us(ts) // 1000 AS t FROM events WHERE event_type = 'error'),
+g AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS n FROM f WINDOW w AS (PARTITION BY endpoint ORDER BY t))
+SELECT endpoint, t AS at_ms, false AS healthy FROM g WHERE p IS NULL OR t - p >= 600000
+UNION ALL SELECT endpoint, t + 600000, true FROM g WHERE CASE WHEN n IS NULL THEN t + 600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 60000 ELSE n - t >= 600000 END""")
 def _(spark, sf):
     return S.drain(S.stream_endpoint_health(_stream_timings(spark, sf), 600.0))
 

@@ -49,6 +49,28 @@ def test_long_trajectory_crosses_blocks(spark, monkeypatch, gamma):
     assert got == pytest.approx(want)
 
 
+def test_growth_after_counting_is_an_error(spark, monkeypatch):
+    from stepfold.plans import skew
+
+    df = spark.range(1, 40).select(F.lit("t").alias("traj_uid"), F.col("id").alias("step"), F.lit(1.0).alias("reward"))
+    monkeypatch.setattr(skew, "RANGE_ROWS", 16)
+    monkeypatch.setattr(skew, "largest_group", lambda *a: 3)
+    with pytest.raises(Exception, match="counted before"):
+        A.discounted_returns(df, 0.9).collect()
+
+
+def test_date_window_reaches_the_scan(spark):
+    import datetime as dt
+
+    from stepfold.operators.records import filter_date_window
+    from tests.oracle import DATA
+
+    o = spark.read.parquet(f"{DATA}/sf0.001/orders.parquet")
+    d = filter_date_window(o, "o_orderdate", dt.datetime(1996, 1, 1), dt.datetime(1997, 1, 1))
+    pushed = [line for line in d._jdf.queryExecution().toString().split("\n") if "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(o_orderdate" in line for line in pushed)
+
+
 def test_gae_without_lambda(spark):
     df = spark.createDataFrame([("t", 1, 1.0, 0.5, 1), ("t", 2, 2.0, 0.25, 1)], "row_id string, pos long, reward double, value double, mask int")
     got = [r.raw_adv for r in A.gae(df, 0.5, 0.0).orderBy("pos").collect()]
