@@ -103,7 +103,7 @@ def clean_lines(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> Dat
     kept = F.filter(lines, lambda x, i: F.get(fails, i).isNull())
     df = df.withColumn("__any", F.exists(fails, lambda x: x.isNotNull()))
     df = df.withColumn("cleaned", F.when(F.col("__any"), F.array_join(kept, "\n")).otherwise(whole))
-    df = df.withColumn("lost_share", F.when(F.col("__any"), 1 - solid(F.col("cleaned")) / solid(whole)).otherwise(0.0))
+    df = df.withColumn("lost_share", F.when(F.col("__any"), 1 - solid(F.col("cleaned")) / F.greatest(solid(whole), F.lit(1))).otherwise(0.0))
     name = F.transform(fails, lambda x: F.coalesce(x, F.lit("")))
     of = lambda rule: F.when(F.col("__any"), F.size("__f") - F.size(F.array_remove(name, rule))).otherwise(0)
     df = df.withColumns({f"{r}_lines": of(r).cast("long") for r in ("punctuation", "navigation", "boilerplate")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepfold.llm import base
+from stepfold.llm import decontaminate as D
+from stepfold.llm import mixing as M
 from stepfold.llm import quality as Q
 
 QUERIES: dict = {}
@@ -28,3 +30,13 @@ def op8(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "lost_share", "punctuation_lines", "navigation_lines", "boilerplate_lines",
     )
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark, sf):
+    return D.contamination(base.table(spark, sf, "documents"), base.table(spark, sf, "benchmark")).drop("text_hash")
+
+
+@query("op3_source_mixing")
+def op3(spark, sf):
+    return M.mix_plan(base.table(spark, sf, "documents"))
