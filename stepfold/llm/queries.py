@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from stepfold.llm import base
 from stepfold.llm import decontaminate as D
+from stepfold.llm import langid as L
 from stepfold.llm import mixing as M
 from stepfold.llm import quality as Q
+from stepfold.llm import toxicity as X
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +42,19 @@ def op4(spark, sf):
 @query("op3_source_mixing")
 def op3(spark, sf):
     return M.mix_plan(base.table(spark, sf, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf):
+    docs, labels = base.table(spark, sf, "documents"), base.table(spark, sf, "labels")
+    model = X.fit(docs.where(base.fold(F.col("doc_id"), 5) != 0), labels)
+    scored = X.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (base.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+@query("op10_language_id")
+def op10(spark, sf):
+    docs = base.table(spark, sf, "documents")
+    model = L.fit(docs.where(base.fold(F.col("doc_id"), 4) != 2))
+    scored = L.predict(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (base.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")

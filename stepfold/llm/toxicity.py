@@ -6,8 +6,7 @@ greedily until they explain the toxic documents; tokens that have one in a toxic
 are the positive ones. The field has two states, hashed features of the word, its beginnings
 and its ending, and a transition matrix, trained by gradient steps on exact forward-backward marginals.
 
-A document's score is the chance that one of its tokens is toxic (noisy-or of the
-marginals), put through a logistic calibration on the sample's document labels. Every token
+A document's score is the marginal of its likeliest toxic token, put through a logistic calibration on the sample's document labels. Every token
 of a text is tagged, whatever its length: the recursions run step by step over all documents
 of a bounded chunk at once. Labels, language, source and id are never inputs of a score.
 
@@ -28,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepfold.llm.base import chunks, small_batches
-from stepfold.llm.tokens import FOLDED, column_bytes, letter_runs, segment_sums, span_hashes
+from stepfold.llm.tokens import FOLDED, column_bytes, letter_runs, span_hashes
 
 BITS = 17
 #: Lengths in bytes of word beginnings and endings that are features beside the word itself.
 BEGINNINGS, ENDINGS = (4, 5, 6), (4,)
+#: Log-odds of a text without tokens, and the smallest there are.
+LEAST = -12.0
 #: Documents of each class that the model is fitted on, at most.
 PER_CLASS = 500
 
@@ -110,9 +111,14 @@ def marginals(model: Model, t: Tokens) -> np.ndarray:
 
 
 def log_odds(p: np.ndarray, t: Tokens) -> np.ndarray:
-    """Log-odds that a document holds a toxic token."""
-    none = segment_sums(np.log1p(-np.minimum(p, 1 - 1e-12)), t.first, t.first + t.count)
-    return np.log(np.maximum(-np.expm1(none), 1e-12)) - none
+    """Log-odds of a document's likeliest toxic token; LEAST for a text without tokens. (A
+    noisy-or would let thousands of harmless tokens of a long text add up.)"""
+    out = np.full(len(t.count), LEAST)
+    some = t.count > 0
+    if some.any():
+        top = np.clip(np.maximum.reduceat(p, t.first[some]), 1e-9, 1 - 1e-9)
+        out[some] = np.maximum(np.log(top) - np.log1p(-top), LEAST)
+    return out
 
 
 def toxic_features(t: Tokens, toxic: np.ndarray, ratio: float = 20.0, least: int = 3) -> np.ndarray:
@@ -128,17 +134,15 @@ def toxic_features(t: Tokens, toxic: np.ndarray, ratio: float = 20.0, least: int
     keep = good[of] & toxic[docs]
     of, docs, still, chosen = of[keep], docs[keep], toxic.copy(), []
     while len(of):
-        gain = np.bincount(of[still[docs]], minlength=len(keys)) - clean / n_clean * n_toxic
+        gain = np.bincount(of[still[docs]], minlength=len(keys)) - 5 * clean / n_clean * n_toxic
         best = int(gain.argmax())
         if gain[best] < max(least, 0.01 * n_toxic):
             break
         chosen.append(keys[best])
         still[docs[of == best]] = False
-    # as frequent in toxic texts as a chosen one: taken too, although others cover its documents
-    if chosen:
-        floor = 0.5 * np.max(hits[np.isin(keys, chosen)])
-        chosen = np.union1d(chosen, keys[good & (hits >= max(floor, least))])
-    return np.array(chosen, np.uint64)
+    # those of many toxic texts are taken too, although others cover their documents
+    chosen = np.union1d(np.array(chosen, np.uint64), keys[good & (hits >= max(least, 0.05 * n_toxic))])
+    return chosen.astype(np.uint64)
 
 
 def distinct_texts(t: Tokens, size: int = 4) -> np.ndarray:
@@ -200,7 +204,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 25, rate: float = 0.
 def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1.0) -> tuple[float, float]:
     """Logistic regression of the labels (smoothed, as classes may be separable) on the
     log-odds, by Newton steps of bounded length, pulled towards the identity."""
-    x = np.stack([np.clip(z, -12, 12), np.ones_like(z)], 1)
+    x = np.stack([np.clip(z, LEAST, -LEAST), np.ones_like(z)], 1)
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y, (good + 1) / (good + 2), 1 / (bad + 2))
     w = np.array([1.0, 0.0])
@@ -236,7 +240,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             t = tokenize(raw, offsets)
             if model.usable:
                 p = marginals(model, t)
-                value = 1 / (1 + np.exp(-np.clip(np.clip(log_odds(p, t), -12, 12) * model.scale + model.shift, -30, 30)))
+                value = 1 / (1 + np.exp(-np.clip(np.clip(log_odds(p, t), LEAST, -LEAST) * model.scale + model.shift, -30, 30)))
             else:
                 p, value = np.zeros(len(t.start)), np.zeros(len(t.count))
             spans: list[list[dict]] = [[] for _ in t.count]
@@ -248,3 +252,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array(spans, kind)], names=[*batch.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    return train(*sample(docs, labels, per_class))
