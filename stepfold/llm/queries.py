@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stepfold.llm import base
 from stepfold.llm import decontaminate as D
 from stepfold.llm import langid as L
+from stepfold.llm import lm as N
 from stepfold.llm import mixing as M
 from stepfold.llm import quality as Q
 from stepfold.llm import toxicity as X
@@ -58,3 +59,10 @@ def op10(spark, sf):
     model = L.fit(docs.where(base.fold(F.col("doc_id"), 4) != 2))
     scored = L.predict(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (base.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op2_lm_scoring")
+def op2(spark, sf):
+    docs = base.table(spark, sf, "documents").select("doc_id", "text")
+    scored = N.fit_and_score(docs, docs.where(base.fold(F.col("doc_id"), 5) != 1))
+    return scored.withColumn("held_out", base.fold(F.col("doc_id"), 5) == 1)
