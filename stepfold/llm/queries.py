@@ -10,6 +10,7 @@ from stepfold.llm import langid as L
 from stepfold.llm import lm as N
 from stepfold.llm import mixing as M
 from stepfold.llm import quality as Q
+from stepfold.llm import simhash as S
 from stepfold.llm import toxicity as X
 
 QUERIES: dict = {}
@@ -66,3 +67,9 @@ def op2(spark, sf):
     docs = base.table(spark, sf, "documents").select("doc_id", "text")
     scored = N.fit_and_score(docs, docs.where(base.fold(F.col("doc_id"), 5) != 1))
     return scored.withColumn("held_out", base.fold(F.col("doc_id"), 5) == 1)
+
+
+@query("op5_simhash_near_dedup")
+def op5(spark, sf):
+    found = S.near_duplicates(base.table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
