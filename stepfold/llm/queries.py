@@ -11,6 +11,7 @@ from stepfold.llm import lm as N
 from stepfold.llm import mixing as M
 from stepfold.llm import quality as Q
 from stepfold.llm import simhash as S
+from stepfold.llm import substrings as U
 from stepfold.llm import toxicity as X
 
 QUERIES: dict = {}
@@ -73,3 +74,9 @@ def op2(spark, sf):
 def op5(spark, sf):
     found = S.near_duplicates(base.table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark, sf):
+    found = U.deduplicate(base.table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
