@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stepfold.llm import base
 from stepfold.llm import decontaminate as D
+from stepfold.llm import html as H
 from stepfold.llm import langid as L
 from stepfold.llm import lm as N
 from stepfold.llm import mixing as M
@@ -80,3 +81,9 @@ def op5(spark, sf):
 def op7(spark, sf):
     found = U.deduplicate(base.table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op6_html_extraction")
+def op6(spark, sf):
+    pages = base.table(spark, sf, "pages")
+    return H.extract(pages).select("page_id", "url", "text", "n_chars")
