@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from stepfold.llm import base
+from stepfold.llm import chat as C
 from stepfold.llm import decontaminate as D
 from stepfold.llm import html as H
 from stepfold.llm import langid as L
@@ -87,3 +89,14 @@ def op7(spark, sf):
 def op6(spark, sf):
     pages = base.table(spark, sf, "pages")
     return H.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query("op1_chat_formatting")
+def op1(spark, sf):
+    turns = C.canonical_turns(base.table(spark, sf, "conversations"))
+    both = "</s>[INST] ok [/INST]"
+    probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(both).alias("text")) for i, r in enumerate(("user", "assistant"))])))
+    return C.conversation_digests(C.format_turns(turns.unionByName(probe)))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
