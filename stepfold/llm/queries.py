@@ -12,6 +12,7 @@ from stepfold.llm import html as H
 from stepfold.llm import langid as L
 from stepfold.llm import lm as N
 from stepfold.llm import mixing as M
+from stepfold.llm import oracles as O
 from stepfold.llm import quality as Q
 from stepfold.llm import simhash as S
 from stepfold.llm import substrings as U
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", O.QUALITY)
 def op8(spark, sf):
     d = Q.quality(base.table(spark, sf, "documents"))
     return d.select(
@@ -40,7 +41,7 @@ def op8(spark, sf):
     )
 
 
-@query("op4_benchmark_decontamination")
+@query("op4_benchmark_decontamination", O.DECONTAMINATION)
 def op4(spark, sf):
     return D.contamination(base.table(spark, sf, "documents"), base.table(spark, sf, "benchmark")).drop("text_hash")
 
@@ -79,7 +80,7 @@ def op5(spark, sf):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query("op7_suffix_array_dedup")
+@query("op7_suffix_array_dedup", O.SUBSTRINGS)
 def op7(spark, sf):
     found = U.deduplicate(base.table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -91,7 +92,7 @@ def op6(spark, sf):
     return H.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
-@query("op1_chat_formatting")
+@query("op1_chat_formatting", O.CHAT)
 def op1(spark, sf):
     turns = C.canonical_turns(base.table(spark, sf, "conversations"))
     both = "</s>[INST] ok [/INST]"
