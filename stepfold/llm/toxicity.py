@@ -145,11 +145,15 @@ def toxic_features(t: Tokens, toxic: np.ndarray, ratio: float = 20.0, least: int
     return chosen.astype(np.uint64)
 
 
-def distinct_texts(t: Tokens, size: int = 4) -> np.ndarray:
-    """First document of every set of near copies: those that share their smallest word hashes."""
+def distinct_texts(t: Tokens) -> np.ndarray:
+    """First document of every set of near copies: those that share their smallest hash of
+    three tokens in a row."""
+    w = t.features[0]
     seen, keep = set(), np.zeros(len(t.count), bool)
     for d, (f, n) in enumerate(zip(t.first, t.count)):
-        sign = tuple(np.unique(t.features[0][f : f + n])[:size])
+        x = w[f : f + n]
+        x = x if n < 3 else (x[:-2] * np.uint64(3) ^ x[1:-1]) * np.uint64(5) ^ x[2:]
+        sign = int((x * np.uint64(0x9E3779B97F4A7C15)).min()) if n else 0
         keep[d] = sign not in seen
         seen.add(sign)
     return keep
