@@ -103,14 +103,18 @@ STOPPED = "Task requires finding two objects but stopped searching too early aft
 GENERIC = "Failed to complete task: %s. Consider different approach."
 
 # Base colours, first one contained wins.
-COLORS = """alabaster apricot aqua ash asphalt azure banana beige black blue blush bordeaux bronze
-brown burgundy camel camo caramel champagne charcoal cheetah chestnut chocolate christmas coffee
-cognac copper coral cranberry cream crystal dark denim eggplant elephant espresso fuchsia gold
-granite grape graphite grass gray green grey heather indigo ivory ivy khaki lavender lemon leopard
-light lilac lime magenta maroon mauve merlot midnight mint mocha multicolor mushroom mustard natural
-navy nude olive orange peach pewter pink plum purple rainbow red rose royal rust sand sapphire
-seashell silver skull slate steel stone stonewash sunflower tan taupe teal tiger turquoise violet
-walnut wheat white wine yellow""".split()
+COLORS = [
+    "alabaster", "apricot", "aqua", "ash", "asphalt", "azure", "banana", "beige", "black", "blue", "blush",
+    "bordeaux", "bronze", "brown", "burgundy", "camel", "camo", "caramel", "champagne", "charcoal", "cheetah",
+    "chestnut", "chocolate", "christmas", "coffee", "cognac", "copper", "coral", "cranberry", "cream", "crystal",
+    "dark", "denim", "eggplant", "elephant", "espresso", "fuchsia", "gold", "granite", "grape", "graphite", "grass",
+    "gray", "green", "grey", "heather", "indigo", "ivory", "ivy", "khaki", "lavender", "lemon", "leopard", "light",
+    "lilac", "lime", "magenta", "maroon", "mauve", "merlot", "midnight", "mint", "mocha", "multicolor", "mushroom",
+    "mustard", "natural", "navy", "nude", "olive", "orange", "peach", "pewter", "pink", "plum", "purple", "rainbow",
+    "red", "rose", "royal", "rust", "sand", "sapphire", "seashell", "silver", "skull", "slate", "steel", "stone",
+    "stonewash", "sunflower", "tan", "taupe", "teal", "tiger", "turquoise", "violet", "walnut", "wheat", "white",
+    "wine", "yellow",
+]
 
 # Size patterns, first one found wins.
 SIZES = [

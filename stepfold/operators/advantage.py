@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.plans.skew import discounted, drop_keys, group_values, match, rename_keys, running
+from stepfold.plans.skew import discounted, drop_keys, group_values, match, rank, rename_keys, running
 
 
 def _once(score: str, once: str | None) -> Column:
@@ -48,7 +48,8 @@ def population_advantage(df, *, group=("uid",), score="score", eps=1e-8, out="ad
 
 
 def passk_advantage(df, *, group="uid", score="score", std=True, eps=1e-6, out="adv"):
-    """Only the best row gets best - second best, over the std; a tie for best gives zero."""
+    """Only the best row gets best - second best, over the std; a tie for best gives zero, and
+    so does a group of one, which has no second best."""
     d = group_values(
         df, [group], __max=F.max(score), __sd=F.stddev_samp(score), __cnt=F.count(score)
     )
@@ -60,8 +61,7 @@ def passk_advantage(df, *, group="uid", score="score", std=True, eps=1e-6, out="
     if std:
         gain = gain / (F.col("__sd") + eps)
     adv = (
-        F.when(F.col("__cnt") < 2, F.raise_error(F.lit("a group needs at least two responses")))
-        .when(best & (F.col("__ties") == 1), gain)
+        F.when((F.col("__cnt") > 1) & best & (F.col("__ties") == 1), gain)
         .otherwise(0.0)
     )
     return d.withColumn(out, adv.cast("double")).drop("__max", "__sd", "__cnt", "__ties", "__next")
@@ -347,23 +347,24 @@ def rloo_multi_source(df, sources: dict[str, tuple[str, float]], n: int, *, row=
 def pairwise_accuracy(df, *, group="uid", order="row_id", score="score", label="label"):
     """Share of the label differences inside a group that the scores order the same way.
 
-    No pair is formed. |label difference| is the sum over label levels between the two, so
-    each level becomes a two-class table, and the agreeing pairs of a class-1 row are the
-    class-0 rows before it in (score, order) - one running count.
+    No pair is formed. Labels are ranked inside the group; two unlike ranks part at exactly
+    one bit, the higher ones being equal. So a row is read once for each bit of the largest
+    rank, and at each bit the rows with a one meet the count and sum of those with a zero:
+    before them in (score, order) for the agreeing pairs, all of them for the total.
     """
-    levels = df.select(group, F.col(label).alias("__v")).distinct()
-    nxt = levels.alias("a").join(levels.select(F.col(group).alias("__g"), F.col("__v").alias("__w")),
-                                 F.col(group).eqNullSafe(F.col("__g")) & (F.col("__w") > F.col("__v")))
-    gaps = nxt.groupBy(group, "__v").agg((F.min("__w") - F.col("__v")).alias("__gap"))
-    cuts = gaps.withColumnRenamed(group, "__g")
-    d = df.join(cuts, F.col(group).eqNullSafe(F.col("__g")))
-    d = d.withColumn("__low", (F.col(label) <= F.col("__v")).cast("long"))
-    d = running(d, [group, "__v"], [score, order], score, __before=F.col("__low"))
-    d = group_values(d, [group, "__v"], __lows=F.sum("__low"))
-    high = F.col("__low") == 0
-    per = d.groupBy(group).agg(
-        F.sum(F.when(high, F.col("__before") * F.col("__gap"))).alias("__hit"),
-        F.sum(F.when(high, F.col("__lows") * F.col("__gap"))).alias("__all"),
+    levels = rank(df.select(group, label).distinct(), [group], [label], name="__rk")
+    levels = group_values(levels, [group], __top=F.max("__rk"))
+    named = levels.select(F.col(group).alias("__k0"), F.col(label).alias("__k1"), "__rk", F.length(F.bin("__top")).alias("__bits"))
+    d = df.join(named, match([group, label])).drop("__k0", "__k1")
+    d = d.withColumn("__bit", F.explode(F.sequence(F.lit(0), F.col("__bits") - 1)))
+    d = d.withColumns({"__node": F.expr("shiftright(__rk, __bit + 1)"), "__one": F.expr("shiftright(__rk, __bit) & 1") == 1, "__l": F.col(label).cast("double")})
+    keys = [group, "__bit", "__node"]
+    low = {"n": F.when(~F.col("__one"), F.lit(1)).otherwise(0), "s": F.when(~F.col("__one"), F.col("__l")).otherwise(0.0)}
+    d = running(d, keys, [score, order], **{f"__b{k}": v for k, v in low.items()})
+    d = group_values(d, keys, **{f"__a{k}": F.sum(v) for k, v in low.items()})
+    per = d.where("__one").groupBy(group).agg(
+        F.sum(F.col("__l") * F.col("__bn") - F.col("__bs")).alias("__hit"),
+        F.sum(F.col("__l") * F.col("__an") - F.col("__as")).alias("__all"),
     )
     groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     return groups.join(rename_keys(per, [group]), match([group]), "left").select(

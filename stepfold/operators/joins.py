@@ -52,11 +52,15 @@ def select_by_membership(outputs: DataFrame, samples: DataFrame, targets: Sequen
 
 
 def merge_columns(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Columns of two tables on one key; shared columns must agree, NaN and NULL included."""
+    """Columns of two tables on one key; both must have the same keys, and shared columns must
+    agree, NaN and NULL included. Anything else is an error."""
     on = list(on)
     shared = [c for c in right.columns if c in left.columns and c not in on]
     r = right.withColumnsRenamed({c: f"__r_{c}" for c in shared})
-    d = left.join(rename_keys(r, on), match(on))
+    sides = left.withColumn("__left", F.lit(True)), rename_keys(r, on).withColumn("__right", F.lit(True))
+    d = sides[0].join(sides[1], match(on), "full")
+    lost = F.raise_error(F.lit("a key is in one of the two tables only")).cast("boolean")
+    d = d.where(F.when(F.col("__left") & F.col("__right"), True).otherwise(lost))
     checked = {
         c: F.when(F.col(c).eqNullSafe(F.col(f"__r_{c}")), F.col(c)).otherwise(
             F.raise_error(F.lit(f"column {c} differs between the two tables")).cast(left.schema[c].dataType)

@@ -167,11 +167,13 @@ def recent_history(steps: DataFrame, n: int, *, traj="traj_uid", step="step", ob
         w = Window.partitionBy(traj).orderBy(step).rowsBetween(-(n - 1), 0)
         d = d.withColumn("__l", F.collect_list("__line").over(w))
         return d.select(*steps.columns, F.array_join("__l", "\n").alias("history"), F.size("__l").cast("long").alias("valid_length"))
-    # a long trajectory: every step is sent to the at most n steps it is visible from
-    sent = d.select(traj, step, "__line", F.explode(F.sequence(F.col(step), F.col(step) + n - 1)).alias("__at"))
-    g = sent.groupBy(traj, "__at").agg(F.array_sort(F.collect_list(F.struct(F.col(step), "__line"))).alias("__l"))
-    g = g.select(traj, F.col("__at").alias(step), F.transform("__l", lambda x: x["__line"]).alias("__l"))
-    return steps.join(g, [traj, step]).select(*steps.columns, F.array_join("__l", "\n").alias("history"), F.size("__l").cast("long").alias("valid_length"))
+    # a long trajectory: rows are numbered, and each is sent to the at most n rows it is visible from
+    d = rank(d, [traj], [step], name="__rn")
+    sent = d.select(F.col(traj).alias("__k0"), "__rn", "__line", F.explode(F.sequence(F.col("__rn"), F.col("__rn") + n - 1)).alias("__k1"))
+    g = sent.groupBy("__k0", "__k1").agg(F.array_sort(F.collect_list(F.struct("__rn", "__line"))).alias("__l"))
+    g = g.select("__k0", "__k1", F.transform("__l", lambda x: x["__line"]).alias("__l"))
+    d = d.join(g, F.col(traj).eqNullSafe(F.col("__k0")) & (F.col("__rn") == F.col("__k1")))
+    return d.select(*steps.columns, F.array_join("__l", "\n").alias("history"), F.size("__l").cast("long").alias("valid_length"))
 
 
 def token_budget_prefix(df: DataFrame, budget: int, *, keys: Sequence[str], order: Sequence[Column], at: Column, text="text") -> DataFrame:

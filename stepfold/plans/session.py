@@ -13,6 +13,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
@@ -47,15 +48,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
-
-
-SMALL_BYTES = 256 << 20
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy work on a small input every core. A small file is often one row group and
-    so one task; its rows are dealt out by key. Inputs past SMALL_BYTES have splits enough and
-    are left where they are."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, key) if int(size) < SMALL_BYTES and n > 1 else df

@@ -1,17 +1,16 @@
 """Per-group values, ranks and running sums that survive a group holding a third of all rows.
 
-One counting pass over the key columns (partial aggregation, remembered per plan) tells
-whether any group exceeds ``hot_rows`` rows. Without one, an operator is a plain window or
-join, and Catalyst sees nothing else. With one, its rows are never gathered in one task:
-
-* group values of hot groups come from a partial-then-final aggregation and return on a
-  broadcast of at most ``HOT_KEYS`` rows, while their rows are scattered by a row hash;
-* ranks and running sums cut a hot group into ranges of its order value and add the
-  totals of the ranges before.
-
-Every range number and salt is a deterministic function of the row, so a recomputed task
-places its rows as the lost one did. The split path reads its input several times, so an
-input that already contains joins or aggregations is checkpointed first.
+A counting pass over the key columns (partial aggregation) tells whether any group exceeds
+``hot_rows`` rows. Without one, an operator is a plain window, and Catalyst sees nothing
+else. With one, its rows are never gathered in one task, and the result is the same:
+
+* group values are an aggregation joined back to the rows; the adaptive planner splits the
+  join's skewed keys;
+* ranks and running sums sort all rows into sampled ranges of (keys, order) and add the
+  totals of the ranges before, so a group spreads over as many ranges as it fills, however
+  its order values are distributed and wherever its nulls stand.
+
+Lookups are plain joins whose skewed keys the adaptive planner splits; null keys match nothing.
 """
 
 from __future__ import annotations
@@ -22,13 +21,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stepfold.plans.session import checkpoint
 
-HOT_KEYS = 100_000
 RANGE_ROWS = 65_536
-_SEEN: dict[tuple, int] = {}
 
 
 def hot_rows(df: DataFrame) -> int:
@@ -55,39 +51,10 @@ def drop_keys(df: DataFrame, keys: Sequence[str], *extra: str, prefix: str = "__
     return df.drop(*[f"{prefix}{i}" for i in range(len(keys))], *extra)
 
 
-def row_salt(df: DataFrame) -> Column:
-    """A deterministic scatter number for each row."""
-    cols = [f.name for f in df.schema.fields if not _has_map(f.dataType)]
-    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(1 << 20)).cast("int") + 1
-
-
-def _has_map(t: T.DataType) -> bool:
-    if isinstance(t, (T.MapType, T.VariantType)):
-        return True
-    if isinstance(t, T.ArrayType):
-        return _has_map(t.elementType)
-    return isinstance(t, T.StructType) and any(_has_map(f.dataType) for f in t.fields)
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
-    """The groups too large for one task: at most min(HOT_KEYS, rows / hot_rows) rows."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *extra)
-    return counted.where(F.col("__rows") > hot_rows(df)).orderBy(F.desc("__rows")).limit(HOT_KEYS)
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group: one key-only pass per distinct plan, partial counts first."""
-    only = df.select(*keys)
-    plan = only._jdf.queryExecution().optimizedPlan()  # without columns the keys do not need
-    seen = (df.sparkSession.sparkContext.applicationId, plan.semanticHash(), tuple(keys))
-    if seen not in _SEEN:
-        counted = only.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-        _SEEN[seen] = counted.agg(F.max("__rows")).first()[0] or 0
-    return _SEEN[seen]
-
-
 def exceeds(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
-    return largest_group(df, keys) > rows
+    """Whether a group has more than ``rows`` rows: one pass over the keys, partial counts first."""
+    counted = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return (counted.agg(F.max("__rows")).first()[0] or 0) > rows
 
 
 def has_hot(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -102,113 +69,69 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def group_values(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Add group aggregates to every row: one shuffle on ``keys``, hot groups split."""
+    """Add group aggregates to every row: one shuffle on ``keys``, or with hot groups an
+    aggregation joined back."""
     keys = list(keys)
     if not has_hot(df, keys):
         w = Window.partitionBy(*keys)
         return df.withColumns({n: a.over(w) for n, a in aggs.items()})
     df = settle(df)
-    hot = rename_keys(hot_groups(df, keys).select(*keys), keys)
-    hot_stats = (
-        df.join(F.broadcast(hot), match(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(*[a.alias(f"__h_{n}") for n, a in aggs.items()], F.lit(True).alias("__hot"))
-    )
-    out = df.join(F.broadcast(rename_keys(hot_stats, keys)), match(keys), "left")
-    is_hot = F.col("__hot").isNotNull()
-    out = out.withColumn("__salt", F.when(is_hot, row_salt(df)).otherwise(0))
-    w = Window.partitionBy(*keys, "__salt")
-    out = out.withColumns(
-        {n: F.when(is_hot, F.col(f"__h_{n}")).otherwise(a.over(w)) for n, a in aggs.items()}
-    )
-    return drop_keys(out, keys, "__hot", "__salt", *[f"__h_{n}" for n in aggs])
+    stats = df.groupBy(*keys).agg(*[a.alias(f"__h_{n}") for n, a in aggs.items()])
+    out = df.join(rename_keys(stats, keys), match(keys), "left")
+    out = out.withColumns({n: F.col(f"__h_{n}") for n in aggs})
+    return drop_keys(out, keys, *[f"__h_{n}" for n in aggs])
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a dimension that is unique on ``keys``; rows of hot keys are scattered."""
-    keys = list(keys)
-    if not has_hot(df, keys):
-        return df.join(dim, keys, how)
-    df = settle(df)
-    extra = [c for c in dim.columns if c not in keys]
-    hot = rename_keys(hot_groups(df, keys).select(*keys), keys)
-    hot_dim = dim.join(F.broadcast(hot), match(keys), "left_semi").withColumn("__hot", F.lit(True))
-    hot_dim = rename_keys(hot_dim, keys, "__h").withColumnsRenamed({c: f"__h_{c}" for c in extra})
-    out = df.join(F.broadcast(hot_dim), match(keys, "__h"), "left")
-    is_hot = F.col("__hot").isNotNull()
-    out = out.withColumn("__salt", F.when(is_hot, row_salt(df)).otherwise(0))
-    cold = rename_keys(dim, keys).withColumnsRenamed({c: f"__c_{c}" for c in extra})
-    cold = cold.withColumns({"__salt0": F.lit(0), "__cold": F.lit(True)})
-    out = out.join(cold, match(keys) & (F.col("__salt") == F.col("__salt0")), "left")
-    if how == "inner":
-        out = out.where(is_hot | F.col("__cold").isNotNull())
-    out = out.withColumns(
-        {c: F.when(is_hot, F.col(f"__h_{c}")).otherwise(F.col(f"__c_{c}")) for c in extra}
-    )
-    names = [f"__h_{c}" for c in extra] + [f"__c_{c}" for c in extra]
-    out = drop_keys(out, keys, "__hot", "__cold", "__salt", "__salt0", *names)
-    return drop_keys(out, keys, prefix="__h")
-
-
-def _ranges(df: DataFrame, keys: list[str], at: Column) -> DataFrame:
-    """Add ``__b``: 0 for ordinary groups, a range number growing with ``at`` for hot ones."""
-    at = at.cast("double")
-    hot = hot_groups(df, keys, F.min(at).alias("__lo"), F.max(at).alias("__hi"))
-    hot = hot.withColumn("__nb", F.ceil(F.col("__rows") * 2 / hot_rows(df)))
-    out = df.join(F.broadcast(rename_keys(hot, keys)), match(keys), "left")
-    width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
-    part = F.least(F.floor((at - F.col("__lo")) / width * F.col("__nb")), F.col("__nb") - 1)
-    out = out.withColumns(
-        {"__split": F.col("__rows").isNotNull(), "__b": F.coalesce(part, F.lit(0)).cast("long")}
-    )
-    return drop_keys(out, keys, "__rows", "__lo", "__hi", "__nb")
+    """Join a dimension that is unique on ``keys``. Null keys match nothing. Skewed keys are
+    split at run time (``configure`` has the planner do so even where it costs a shuffle)."""
+    return df.join(dim, list(keys), how)
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    at: Column | str,
+    at: Column | str | None = None,
     **values: Column,
 ) -> DataFrame:
-    """Inclusive running sums of ``values`` inside each group.
+    """Inclusive running sums of ``values`` inside each group (no keys: over the table).
 
-    ``at`` is a numeric value that never decreases along ``order``; it only decides where
-    a hot group is cut.
+    ``at`` is not needed: hot groups are cut along ``order`` itself. Rows that tie in
+    ``order`` stay in one range, so give it a tie-breaker.
     """
+    keys = list(keys)
     plain = not keys
     if plain:
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
-    keys = list(keys)
     if not has_hot(df, keys):
         w = Window.partitionBy(*keys).orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({n: F.sum(v).over(w) for n, v in values.items()}).drop("__all")
-    df = settle(df)
-    d = _ranges(df, keys, as_col(at))
-    totals = (
-        d.where("__split")
-        .groupBy(*keys, "__b")
-        .agg(*[F.sum(v).alias(f"__t_{n}") for n, v in values.items()])
-    )
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumns({f"__t_{n}": F.sum(f"__t_{n}").over(before) for n in values})
+    # written down, so that a range keeps its rows when a task is run again
+    d = checkpoint(df.repartitionByRange(*keys, *order).withColumn("__b", F.spark_partition_id()))
+    totals = d.groupBy(*keys, "__b").agg(*[F.sum(v).alias(f"__t_{n}") for n, v in values.items()])
+    # only groups that reach over a range's end have totals to carry: two a range at most
+    spread = Window.partitionBy(*keys)
+    totals = totals.withColumns({"__lo": F.min("__b").over(spread), "__hi": F.max("__b").over(spread)}).where("__lo < __hi")
+    before = spread.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"__t_{n}": F.sum(f"__t_{n}").over(before) for n in values}).drop("__lo", "__hi")
     w = Window.partitionBy(*keys, "__b").orderBy(*order)
     w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumns({f"__r_{n}": F.sum(v).over(w) for n, v in values.items()})
     both = [*keys, "__b"]
-    d = d.join(F.broadcast(rename_keys(totals, both)), match(both), "left")
-    zero = {n: F.coalesce(F.col(f"__t_{n}"), F.lit(0)) for n in values}
-    d = d.withColumns({n: F.col(f"__r_{n}") + zero[n] for n in values})
-    d = drop_keys(d, both, "__split", "__b", *[f"__{p}_{n}" for p in "tr" for n in values])
-    return d.drop("__all") if plain else d
+    d = d.join(rename_keys(totals, both), match(both), "left")
+    own, past = {n: F.col(f"__r_{n}") for n in values}, {n: F.col(f"__t_{n}") for n in values}
+    d = d.withColumns({n: F.coalesce(own[n] + past[n], own[n], past[n]) for n in values})
+    d = drop_keys(d, both, "__b", *[f"__{p}_{n}" for p in "tr" for n in values])
+    return d.drop("__all")
 
 
 def rank(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    at: Column | str,
+    at: Column | str | None = None,
     name: str = "rn",
 ) -> DataFrame:
     """``row_number`` inside each group (no keys: over the whole table) as a long."""
@@ -255,7 +178,8 @@ def discounted(
     """S_t = sum over j >= t of gamma^(j-t) * v_j along dense integer positions.
 
     Positions fall into blocks short enough that gamma^block stays above 1e-150; a block
-    is one window group, and only the value at the head of the next block is carried in.
+    is one window group, and only the value at the head of the next block is carried in, so
+    no count is needed and groups may be of any length.
     What lies further ahead weighs below 1e-100 of it, less than double rounding, unless
     the block length was bounded by RANGE_ROWS: then the heads get a scan of their own.
     """
@@ -276,13 +200,6 @@ def discounted(
     local = {f"__r_{n}": F.sum(weigh(v, F.col("__o"))).over(w) for n, v in values.items()}
     down = (lambda c: c) if gamma == 1 else (lambda c: c / F.pow(g, F.col("__o")))
     scratch = ["__b", "__o", *[f"__{q}_{n}" for q in "tr" for n in values]]
-    if not exceeds(df, keys, m):
-        d = d.withColumns({"__b": F.lit(0), "__o": p}).withColumns(local)
-        # group sizes are remembered per plan: fail rather than miscount if the data grew
-        grown = F.raise_error(F.lit(f"a group is longer than the {m} rows counted before")).cast("double")
-        d = d.withColumns({n: F.when(p < m, down(F.col(f"__r_{n}"))).otherwise(grown) for n in values})
-        return d.drop(*scratch)
-    d = settle(d)
     heads = d.where(F.col("__b") >= 1).groupBy(*keys, "__b")
     heads = heads.agg(*[F.sum(weigh(v, F.col("__o"))).alias(f"__t_{n}") for n, v in values.items()])
     if digits * m < 100:

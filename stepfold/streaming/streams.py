@@ -11,19 +11,24 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stepfold.operators import memory as M
-from stepfold.plans.session import scratch
+from stepfold.plans.session import checkpoint, scratch
 from stepfold.plans.skew import rank, running
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 64) -> DataFrame:
-    """A table folder as a file stream, zone-less times read as UTC so they can carry a watermark."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    d = (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", max_files).parquet(sf_dir)
-    )
+    """A table (a folder of part files, or one file) as a file stream, zone-less times read as
+    UTC so they can carry a watermark."""
+    path = f"{sf_dir}/{name}.parquet"
+    table = spark.read.parquet(path)
+    schema = table.schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    files = table.inputFiles()
+    if len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet"):  # the source wants a folder
+        d = stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    else:
+        d = stream.parquet(path)
     local = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return d.withColumns({c: F.col(c).cast("timestamp") for c in local})
 
@@ -181,16 +186,17 @@ def fill_batches(df: DataFrame, n: int, *, keys=("queue",), order="event_id") ->
 
 
 def stream_fill_batches(df: DataFrame, n: int, *, order="event_id") -> DataFrame:
-    """Rows tagged with their batch as they arrive; state is one counter per queue."""
+    """Rows tagged with their batch as they arrive, and with ``closes`` on the row that fills
+    it; state is one counter per queue. What the last batch holds is flushed by the reader."""
     def number(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
         ids = pd.concat([b[order] for b in batches]).sort_values()
         state.update((seen + len(ids),))
         at = seen + pd.RangeIndex(len(ids))
-        yield pd.DataFrame({"queue": key[0], order: ids.to_numpy(), "batch": at // n})
+        yield pd.DataFrame({"queue": key[0], order: ids.to_numpy(), "batch": at // n, "closes": at % n == n - 1})
 
     return df.select("queue", order).groupBy("queue").applyInPandasWithState(
-        number, f"queue string, {order} long, batch long", "seen long", "append", "NoTimeout")
+        number, f"queue string, {order} long, batch long, closes boolean", "seen long", "append", "NoTimeout")
 
 
 # ---- retrieval and library updates --------------------------------------------------------
@@ -210,7 +216,8 @@ def experience_upserter(path: str, threshold: float = 0.70, limit: int | None =
         old = spark.read.parquet(f"{path}/version={batch_id}")
         existing = old.select(F.col("exp_no").alias("id"), "text", "embedding")
         new = ops.select("op_id", "option", "modified_from", "text", "embedding")
-        plan = M.merge_candidates(existing, new, threshold).join(new.select("op_id", "text", "embedding"), "op_id")
+        # used several times below: the search runs once
+        plan = checkpoint(M.merge_candidates(existing, new, threshold)).join(new.select("op_id", "text", "embedding"), "op_id")
         first = plan.where("action = 'merge'").groupBy("item_id").agg(F.min("op_id").alias("op_id"))
         gone = first.join(plan.where("action = 'replace'").select("item_id"), "item_id", "left_anti")
         absorbed = gone.join(existing.select(F.col("id").alias("item_id"), F.col("text").alias("old_text")), "item_id")

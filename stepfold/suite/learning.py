@@ -106,13 +106,10 @@ def _(spark, sf):
     count(*) OVER (PARTITION BY uid) AS n FROM responses),
 t AS (SELECT uid, max(score) FILTER (rn = 1) AS s1, max(score) FILTER (rn = 2) AS s2,
   stddev_samp(score) AS sd FROM r WHERE n > 1 GROUP BY uid)
-SELECT row_id, {q6('CASE WHEN rn = 1 THEN (s1 - s2) / (sd + 1e-6) ELSE 0 END')} AS adv
-FROM r JOIN t USING (uid)""")
+SELECT row_id, {q6('CASE WHEN rn = 1 AND n > 1 THEN (s1 - s2) / (sd + 1e-6) ELSE 0 END')} AS adv
+FROM r LEFT JOIN t USING (uid)""")
 def _(spark, sf):
-    from stepfold.plans.skew import group_values
-
-    d = group_values(V.responses(spark, sf), ["uid"], n=F.count(F.lit(1))).where("n > 1")
-    return A.passk_advantage(d).select("row_id", r6("adv").alias("adv"))
+    return A.passk_advantage(V.responses(spark, sf)).select("row_id", r6("adv").alias("adv"))
 
 
 @query("rloo_advantage", _group_sql("""CASE WHEN count(*) OVER g = 1 THEN score ELSE
@@ -146,7 +143,7 @@ def _(spark, sf):
 @query("reinforce_pp_baseline", f"""WITH {TOKENS_SQL}, {RESPONSES_SQL}, c AS (
   SELECT row_id, score - CASE WHEN count(*) OVER g = 1 THEN 0 ELSE avg(score) OVER g END AS c
   FROM responses WINDOW g AS (PARTITION BY uid)),
-w AS (SELECT t.row_id, pos, mask, c * mask AS v FROM tokens t JOIN c USING (row_id)), {WHITE_SQL}
+w AS MATERIALIZED (SELECT t.row_id, pos, mask, c * mask AS v FROM tokens t JOIN c USING (row_id)), {WHITE_SQL}
 SELECT row_id, pos, {q6('(v - mean) / sqrt(var + 1e-8) * mask')} AS adv FROM w, k""")
 def _(spark, sf):
     d = A.reinforce_pp_baseline(V.tokens(spark, sf), V.responses(spark, sf))

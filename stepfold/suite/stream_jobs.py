@@ -113,7 +113,8 @@ def _(spark, sf):
     return S.fill_batches(_queues(V.table(spark, sf, "events")), 32)
 
 
-@query("stream_fill_batches", """SELECT 'q' || (user_id % 3) AS queue, event_id, (row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1) // 32 AS batch FROM events""")
+@query("stream_fill_batches", """WITH r AS (SELECT 'q' || (user_id % 3) AS queue, event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS rn FROM events)
+SELECT queue, event_id, (rn - 1) // 32 AS batch, rn % 32 = 0 AS closes FROM r""")
 def _(spark, sf):
     return S.drain(S.stream_fill_batches(_queues(S.read_table_stream(spark, sf, "events")), 32))
 
@@ -138,4 +139,7 @@ def _(spark, sf):
         F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("text"), "embedding")
     q = ops.writeStream.foreachBatch(S.experience_upserter(path, 0.35)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/version=1").select("exp_no", "text")
+    # the library after the last micro batch
+    last = q.lastProgress
+    newest = max((p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0), default=-1) if last else -1
+    return spark.read.parquet(f"{path}/version={newest + 1}").select("exp_no", "text")
