@@ -92,11 +92,11 @@ def _tokens(text: Column, stop_words: Sequence[str]) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b(?!(?:{skip})\b)(\w\w+)\b"), 1)
 
 
-def tfidf_attributes(df: DataFrame, n: int, *, stop_words: Sequence[str], by="category", text="text", k=5, max_features=1000) -> DataFrame:
+def tfidf_attributes(df: DataFrame, n: int, *, stop_words: Sequence[str], by="category", text="text", k=5, max_features: int | None = None) -> DataFrame:
     """Share of a category's products that have a term among their k best by TF-IDF.
 
-    Terms are n-grams after stop words and 0..999 are removed; the most frequent
-    ``max_features`` of a category count; idf = ln((1+N)/(1+df)) + 1, L2 per product.
+    Terms are n-grams after stop words and 0..999 are removed; if ``max_features``
+    is given, the most frequent of a category count; idf = ln((1+N)/(1+df)) + 1, L2 per product.
     """
     t = _tokens(F.col(text), stop_words)
     d = df.select("asin", by, t.alias("t"))
@@ -105,12 +105,14 @@ def tfidf_attributes(df: DataFrame, n: int, *, stop_words: Sequence[str], by="ca
     tf = d.select("asin", by, F.explode(grams).alias("term")).groupBy("asin", by, "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = checkpoint(tf)  # read twice below, and a pass over every text to make
     terms = tf.groupBy(by, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    terms = top_k(terms, [by], [F.desc("total"), F.col("term")], max_features, "__r").drop("__r", "total")
+    if max_features is not None:
+        terms = top_k(terms, [by], [F.desc("total"), F.col("term")], max_features, "__r").drop("__r")
+    terms = terms.drop("total")
     sizes = df.groupBy(by).agg(F.count_distinct("asin").alias("n_products"))
     terms = terms.join(sizes, by)
     terms = terms.select(by, "term", "n_products", (F.log((1 + F.col("n_products")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = lookup(tf, terms, [by, "term"], "inner").withColumn("w", F.col("tf") * F.col("idf"))
-    # a product keeps at most max_features terms, so its window group is bounded
+    # a product's window group is bounded by the distinct terms of its own text
     w = w.withColumn("ss", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("asin")))
     w = w.withColumn("score", F.round(F.col("w") / F.sqrt("ss"), 9))
     best = top_k(w, ["asin"], [F.desc("score"), F.col("term")], k, "__r")

@@ -57,13 +57,16 @@ def label_failures(df: DataFrame, *, snippet: str | None = None, analysis: str |
     return df.withColumn("failure_type", label)
 
 
-def trajectory_snippets(events: DataFrame, keys=("sample_id", "rollout_id"), *, first=6, cut=500) -> DataFrame:
-    """First texts of each trajectory as one string: at most ``first`` pieces per group."""
-    from stepfold.plans.skew import top_k
+def trajectory_snippets(events: DataFrame, keys=("sample_id", "rollout_id"), *, first: int | None = None, cut: int | None = None) -> DataFrame:
+    """Texts, errors, tools and their results of each trajectory as one string; ``first`` pieces
+    and ``cut`` characters of each where given."""
+    from stepfold.plans.skew import rank, top_k
 
     text = F.coalesce(F.nullif("text_output", F.lit("")), F.nullif("tool_error", F.lit("")))
     has = events.where(text.isNotNull() | F.col("tool_name").isNotNull())
-    d = top_k(has, list(keys), [F.col("line_no")], first)
-    piece = F.substring(F.coalesce(text, F.col("tool_name")), 1, cut)
+    order = [F.col("line_no")]
+    d = rank(has, list(keys), order) if first is None else top_k(has, list(keys), order, first)
+    piece = F.coalesce(text, F.concat_ws(" ", "tool_name", "tool_result"))
+    piece = piece if cut is None else F.substring(piece, 1, cut)
     packed = F.array_sort(F.collect_list(F.struct("rn", piece.alias("p"))))
     return d.groupBy(*keys).agg(F.array_join(F.transform(packed, lambda x: x["p"]), "\n").alias("snippet"))

@@ -367,8 +367,9 @@ def render_trajectories(messages: DataFrame, finals: DataFrame | None = None, *,
     return g.join(finals, conv, "left").select(conv, F.concat(body, F.coalesce(tail, F.lit(""))).alias("rendered"))
 
 
-def markdown_sections(df: DataFrame, *, key="doc_id", text="text", max_skills: int | None = 24) -> DataFrame:
-    """Skills from headed sections, else from blank-line paragraphs; compacted and cut."""
+def markdown_sections(df: DataFrame, *, key="doc_id", text="text", max_skills: int | None = None, title_chars: int | None = None, body_chars: int | None = None) -> DataFrame:
+    """Skills from headed sections, else from blank-line paragraphs, white space compacted;
+    limited only where the caller says so."""
     t = F.regexp_replace(F.col(text), "\r\n?", "\n")
     marked = F.regexp_replace(F.concat(F.lit("\n"), t), r"\n#{1,6}[ \t]+([^\n]+)", "\n\u0001$1\u0002")
     headed = F.transform(
@@ -384,9 +385,9 @@ def markdown_sections(df: DataFrame, *, key="doc_id", text="text", max_skills: i
     sections = F.when(has, headed).otherwise(plain)
     if max_skills is not None:
         sections = F.slice(sections, 1, max_skills)
-    compact = lambda c, n: F.when(F.length(squeeze(c)) > n, F.concat(F.rtrim(F.substring(squeeze(c), 1, n - 3)), F.lit("..."))).otherwise(squeeze(c))
+    compact = lambda c, n: squeeze(c) if n is None else F.when(F.length(squeeze(c)) > n, F.concat(F.rtrim(F.substring(squeeze(c), 1, n - 3)), F.lit("..."))).otherwise(squeeze(c))
     d = df.select(key, F.posexplode(sections).alias("i", "s"))
-    return d.select(key, (F.col("i") + 1).cast("long").alias("ord"), compact(F.col("s.title"), 80).alias("title"), compact(F.col("s.body"), 800).alias("principle"))
+    return d.select(key, (F.col("i") + 1).cast("long").alias("ord"), compact(F.col("s.title"), title_chars).alias("title"), compact(F.col("s.body"), body_chars).alias("principle"))
 
 
 def collapse_generations(df: DataFrame, *, traj="traj_uid", step="step", finished="finished", text="output") -> DataFrame:

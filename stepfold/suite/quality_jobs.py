@@ -161,7 +161,7 @@ SELECT category, term, count(*) AS products, {q6('count(*) / max(n)')} AS share
 
 def _tfidf(spark, sf, n):
     d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("asin"), F.col("source").alias("category"), "text")
-    return K.tfidf_attributes(d, n, stop_words=STOP_WORDS).withColumn("share", r6("share"))
+    return K.tfidf_attributes(d, n, stop_words=STOP_WORDS, max_features=1000).withColumn("share", r6("share"))
 
 
 @query("tfidf_unigrams", _tfidf_sql(1))

@@ -318,9 +318,9 @@ def _sec(c, n):
 @query("markdown_sections", f"""WITH p AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text || chr(10) || chr(10) || source, '\\n\\s*\\n'),
     lambda x: trim(x) <> ''))  AS body, generate_subscripts(list_filter(regexp_split_to_array(text || chr(10) || chr(10) || source, '\\n\\s*\\n'),
     lambda x: trim(x) <> ''), 1) AS i FROM documents WHERE doc_id % 2 = 1)
-SELECT doc_id, CAST(i AS BIGINT) AS ord, printf('Memory %02d', i) AS title, {_sec('body', 800)} AS principle FROM p WHERE i <= 24
-UNION ALL SELECT doc_id, 1, 'T one', {_sec('text', 800)} FROM documents WHERE doc_id % 2 = 0
-UNION ALL SELECT doc_id, 2, 'T two', {_sec("text || '!'", 800)} FROM documents WHERE doc_id % 2 = 0""")
+SELECT doc_id, CAST(i AS BIGINT) AS ord, printf('Memory %02d', i) AS title, {_sec('body', 10**9)} AS principle FROM p
+UNION ALL SELECT doc_id, 1, 'T one', {_sec('text', 10**9)} FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 2, 'T two', {_sec("text || '!'", 10**9)} FROM documents WHERE doc_id % 2 = 0""")
 def _(spark, sf):
     md = _case(2, F.concat(F.lit("# T  one \n"), "text", F.lit("\n### none\n\n## T two\n"), "text", F.lit("!")),
                F.concat("text", F.lit("\n\n"), "source"))

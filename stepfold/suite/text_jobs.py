@@ -242,12 +242,12 @@ def _(spark, sf):
 
 
 @query("trajectory_snippets", f"""WITH {EVENT_LOG_SQL}, t AS (
-  SELECT *, coalesce(nullif(text_output, ''), nullif(tool_error, ''), tool_name) AS piece FROM event_log),
+  SELECT *, coalesce(nullif(text_output, ''), nullif(tool_error, ''), CASE WHEN tool_name IS NOT NULL THEN concat_ws(' ', tool_name, tool_result) END) AS piece FROM event_log),
 r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, rollout_id ORDER BY line_no) AS rn FROM t WHERE piece IS NOT NULL)
 SELECT sample_id, rollout_id, string_agg(piece, chr(10) ORDER BY rn) AS snippet FROM r WHERE rn <= 6
 GROUP BY sample_id, rollout_id""")
 def _(spark, sf):
-    return G.trajectory_snippets(V.event_log(spark, sf))
+    return G.trajectory_snippets(V.event_log(spark, sf), first=6, cut=500)
 
 
 def _first_sql(c, rules, default):
