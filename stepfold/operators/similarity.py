@@ -20,7 +20,7 @@ from stepfold.plans.skew import lookup, top_k
 
 Q_BLOCK, I_BLOCK = 2048, 8192
 DOC_BLOCK, TERM_QUERIES = 2048, 64
-VOCABULARY = 1_000_000  # query terms that are broadcast
+TERM_CHUNK = 4096  # terms of a block that stand in one dense matrix at a time
 # Scores are rounded before ranking: copies of a document must tie however products are summed.
 DIGITS = 12
 
@@ -155,17 +155,12 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, k1=0.9, b=0.4) ->
     d = docs.select("doc_id", terms_of(F.col("text")).alias("t")).withColumn("len", F.size("t"))
     n, avg = d.agg(F.count(F.lit(1)), F.avg("len")).first()
     vocab = q.select("term").distinct()
-    small = vocab.count() <= VOCABULARY  # else Spark joins by shuffle and splits skewed terms
-    hint = F.broadcast if small else lambda x: x
-    words = d.select("doc_id", "len", F.explode("t").alias("term"))
-    if small:
-        words = words.join(F.broadcast(vocab), "term", "left_semi")
-    tf = words.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = d.select("doc_id", "len", F.explode("t").alias("term")).join(vocab, "term", "left_semi")
     # read twice below, and a pass over every text to make
-    tf = checkpoint(tf if small else tf.join(vocab, "term", "left_semi"))
+    tf = checkpoint(words.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = tf.join(hint(idf), "term")
+    weighted = tf.join(idf, "term")
     w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(avg or 1))))
     posts = weighted.select("doc_id", F.xxhash64("term").alias("code"), w.alias("w"))
 
@@ -189,10 +184,15 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, k1=0.9, b=0.4) ->
                 d_ids, d_row = np.unique(np.asarray(row.d_doc_id)[hit], return_inverse=True)
                 if not len(d_ids):
                     continue
-                docs_m, q_m = np.zeros((len(d_ids), len(terms))), np.zeros((len(q_ids), len(terms)))
-                docs_m[d_row, at[hit]] = np.asarray(row.d_w)[hit]
-                q_m[q_row, q_col] = 1.0
-                scores = np.round(q_m @ docs_m.T, DIGITS)
+                scores, place, weight = np.zeros((len(q_ids), len(d_ids))), at[hit], np.asarray(row.d_w)[hit]
+                for c in range(0, len(terms), TERM_CHUNK):  # long queries do not widen the matrices
+                    width = min(TERM_CHUNK, len(terms) - c)
+                    docs_m, q_m = np.zeros((len(d_ids), width)), np.zeros((len(q_ids), width))
+                    x, y = (place >= c) & (place < c + width), (q_col >= c) & (q_col < c + width)
+                    docs_m[d_row[x], place[x] - c] = weight[x]
+                    q_m[q_row[y], q_col[y] - c] = 1.0
+                    scores += q_m @ docs_m.T
+                scores = np.round(scores, DIGITS)
                 cols = _best(scores, k)
                 q_at, d_at = np.repeat(np.arange(len(q_ids)), [len(c) for c in cols]), np.concatenate(cols)
                 found = scores[q_at, d_at]
