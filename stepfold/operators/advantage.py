@@ -329,18 +329,22 @@ def rloo_multi_source(df, sources: dict[str, tuple[str, float]], n: int, *, row=
 
     ``sources`` maps a reward column to (mask column, weight); every group holds n responses.
     """
-    d = df
-    total = F.lit(0.0)
-    for i, (col, (m, weight)) in enumerate(sources.items()):
+    # means of all sources by row, then their sums by group, in one aggregation each
+    numbered = list(enumerate(sources.items()))
+    shares = []
+    for i, (col, (m, _)) in numbered:
         inside = F.when(F.col(m) != 0, F.col(col))
-        d = group_values(d, [row], **{f"__m{i}": F.avg(inside), f"__c{i}": F.count(inside)})
-        share = F.try_divide(f"__m{i}", f"__c{i}")
-        d = group_values(d, [group], **{f"__g{i}": F.sum(F.when(F.col(m) != 0, share))})
+        shares.append((F.try_divide(F.avg(inside), F.count(inside)) * F.count_if(F.col(m) != 0)).alias(f"__g{i}"))
+    rows = df.groupBy(group, row).agg(*shares)
+    sums = rows.groupBy(group).agg(*[F.sum(f"__g{i}").alias(f"__g{i}") for i, _ in numbered])
+    d = drop_keys(df.join(rename_keys(sums, [group]), match([group]), "left"), [group])
+    total = F.lit(0.0)
+    for i, (col, (m, weight)) in numbered:
         rloo = F.col(col) * (n / (n - 1)) - F.col(f"__g{i}") / (n - 1)
         total = total + F.when(F.col(m) != 0, rloo).otherwise(0.0) * weight
     d = d.withColumn("__r", total * F.col(mask))
     d = discounted(d, [row], pos, 1.0, returns=F.col("__r"))
-    d = d.drop("__r", *[f"__{p}{i}" for p in "mcg" for i in range(len(sources))])
+    d = d.drop("__r", *[f"__g{i}" for i, _ in numbered])
     return whiten(d, "returns", mask, out="adv")
 
 
