@@ -76,6 +76,14 @@ def test_reduce_to_limit(spark):
     assert M.reduce_to_limit(lib, 30).count() == 24
 
 
+def test_reduce_to_limit_pairs_copies(spark):
+    """Six equal items give three pairs in a round, not one."""
+    one = lambda k: [1.0 if i == k else 0.0 for i in range(21)]
+    rows = [(i, f"t{i}", one(20 if i < 6 else i - 6)) for i in range(26)]
+    lib = spark.createDataFrame(rows, "exp_no long, text string, embedding array<float>")
+    assert M.reduce_to_limit(lib, 4, rounds=1).count() == 23
+
+
 def test_plan_merges(spark):
     e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
     ops = spark.createDataFrame(
