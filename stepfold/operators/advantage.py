@@ -402,6 +402,9 @@ def dpo_loss(pairs, beta, kind="sigmoid", smoothing=0.0, reference_free=False):
     return pairs.withColumn("loss", loss)
 
 
+CELLS = 4096
+
+
 def resample_weights(df, method="pow", power=2.0, *, score="score", out="weight"):
     s = F.col(score)
     if method == "pow":
@@ -423,16 +426,21 @@ def resample(df, seed: int, method="pow", power=2.0, *, order="row_id", score="s
     """As many draws with replacement as rows, by weight: inverse CDF of hash uniforms.
 
     Rows own slices of [0, 1); slices and draws meet on equi-join cells as narrow as one
-    row's mean share, so a heavy slice spreads over many cells.
+    row's mean share, so a heavy slice spreads over many cells: first over blocks of
+    CELLS, which go to tasks of their own, then over the cells of each.
     """
-    d = resample_weights(df, method, power, score=score)
-    d = running(d, [], [order], order, __cum=F.col("weight"))
-    total = d.agg(F.sum("weight"), F.count(F.lit(1))).toDF("w", "n")
+    weighted = resample_weights(df, method, power, score=score)
+    total = weighted.agg(F.sum("weight"), F.count(F.lit(1))).toDF("w", "n")
+    d = running(weighted, [], [order], order, __cum=F.col("weight"))
     d = d.withColumn("__t", total.select(F.struct("w", "n")).scalar())
     lo = (F.col("__cum") - F.col("weight")) / F.col("__t.w")
     d = d.withColumns({"__lo": lo, "__hi": F.col("__cum") / F.col("__t.w"), "__n": F.col("__t.n")})
     cell = lambda c: F.floor(c * F.col("__n"))
-    d = d.withColumn("__cell", F.explode(F.sequence(cell(F.col("__lo")), cell(F.col("__hi")))))
+    d = d.withColumns({"__from": cell(F.col("__lo")), "__to": cell(F.col("__hi"))})
+    block = lambda c: F.floor(F.col(c) / CELLS)
+    d = d.withColumn("__block", F.explode(F.sequence(block("__from"), block("__to")))).repartition("__block")
+    ends = F.greatest("__from", F.col("__block") * CELLS), F.least("__to", F.col("__block") * CELLS + CELLS - 1)
+    d = d.withColumn("__cell", F.explode(F.sequence(*ends))).drop("__from", "__to", "__block")
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(order))), 1, 12), 16, 10)
     u = u.cast("double") / float(1 << 48)
     n = df.agg(F.count(F.lit(1))).scalar()

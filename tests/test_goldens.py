@@ -120,6 +120,15 @@ def test_pairwise_accuracy_on_real_labels(spark):
     assert A.pairwise_accuracy(df).first().accuracy == pytest.approx(hit / total)
 
 
+def test_resample_one_heavy_row(spark):
+    """A slice over many blocks of cells is drawn as often as its weight says, nothing is lost."""
+    n = 9000
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.when(F.col("id") == 4000, 1000.0).otherwise(1.0).alias("score"))
+    got = A.resample(df, 3).groupBy("row_id").count().collect()
+    assert sum(r["count"] for r in got) == n
+    assert max(r["count"] for r in got) > 0.98 * n
+
+
 def test_streams_read_folders(spark, tmp_path):
     from stepfold.streaming.streams import drain, read_table_stream
     from tests.oracle import DATA
