@@ -113,13 +113,17 @@ def _batch(names: list[str], *arrays: pa.Array) -> pa.RecordBatch:
 
 
 def _starts(docs: DataFrame, length: int, lead: int) -> DataFrame:
-    """key, did: every chosen start of ``docs`` (did, text)."""
+    """key, did: every distinct chosen start of each of ``docs`` (did, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             raw, offsets = column_bytes(batch.column("text"))
             *_, key, doc = chosen_starts(raw, offsets, length, lead)
-            yield _batch(["key", "did"], pa.array(key.view(np.int64)), pa.array(np.asarray(batch.column("did"))[doc]))
+            # a text that repeats itself gives each of its starts once
+            order = np.lexsort((key, doc))
+            key, doc = key[order], doc[order]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else order
+            yield _batch(["key", "did"], pa.array(key[new].view(np.int64)), pa.array(np.asarray(batch.column("did"))[doc[new]]))
 
     return docs.select("did", "text").mapInArrow(run, "key long, did long")
 
@@ -161,10 +165,11 @@ def _repeated(starts: DataFrame) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, cuts: list[int], length: int, lead: int) -> DataFrame:
-    """bucket, did, no, start, at, bytes: the windows around each kept start. ``docs`` has did,
-    no, text and keys."""
+    """bucket, did, no, place, more, bytes: the windows around each kept start. ``place`` is where
+    they begin in the text, times 65536, plus where the start is in them; ``more`` are the
+    other places (longs) where a text repeats them. ``docs`` has did, no, text and keys."""
     edges = np.array(cuts, np.int64)
-    names = ["bucket", "did", "no", "start", "at", "bytes"]
+    names = ["bucket", "did", "no", "place", "more", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -179,28 +184,41 @@ def _suffixes(docs: DataFrame, cuts: list[int], length: int, lead: int) -> DataF
             text = raw.tobytes()
             for a in range(0, len(s), 1 << 13):
                 z = slice(a, a + (1 << 13))
-                cut = [text[i:j] for i, j in zip(s[z].tolist(), (e[z] + length).tolist())]
-                bucket = np.searchsorted(edges, _rank(raw, at[z], key[z])).astype(np.int32)
+                place = (s[z] - offsets[doc[z]]) * 65536 + (at[z] - s[z])
+                first: dict[tuple, int] = {}
+                again: dict[int, list[int]] = {}
+                cut, rows = [], []
+                for k, (d, i, j, b) in enumerate(zip(doc[z].tolist(), s[z].tolist(), (e[z] + length).tolist(), at[z].tolist())):
+                    piece = text[i:j]
+                    n = first.setdefault((d, b - i, piece), len(rows))
+                    if n < len(rows):
+                        again.setdefault(n, []).append(int(place[k]))
+                    else:
+                        cut.append(piece)
+                        rows.append(k)
+                own = doc[z][rows]
+                bucket = np.searchsorted(edges, _rank(raw, at[z][rows], key[z][rows])).astype(np.int32)
+                more = [np.array(again[n], np.int64).tobytes() if n in again else None for n in range(len(rows))]
                 yield _batch(
-                    names, pa.array(bucket), pa.array(np.asarray(batch.column("did"))[doc[z]]), pa.array(np.asarray(batch.column("no"))[doc[z]]),
-                    pa.array((s[z] - offsets[doc[z]]).astype(np.int32)), pa.array((at[z] - s[z]).astype(np.int16)), pa.array(cut, pa.binary()),
+                    names, pa.array(bucket), pa.array(np.asarray(batch.column("did"))[own]), pa.array(np.asarray(batch.column("no"))[own]),
+                    pa.array(place[rows]), pa.array(more, pa.binary()), pa.array(cut, pa.binary()),
                 )
 
-    return docs.select("did", "no", "text", "keys").mapInArrow(run, "bucket int, did long, no int, start int, at short, bytes binary")
+    return docs.select("did", "no", "text", "keys").mapInArrow(run, "bucket int, did long, no int, place long, more binary, bytes binary")
 
 
-def compare(rows: list[tuple[bytes, int, int, int]], length: int) -> list[tuple[int, int, int]]:
+def compare(rows: list[tuple[bytes, int, int]], length: int) -> list[tuple[int, int, int]]:
     """Windows of suffixes with equal leading bytes that an earlier document has too.
 
-    ``rows``: (bytes, did, start, tag) sorted by did. Returns (tag, start, end) covers.
+    ``rows``: (bytes, did, tag) sorted by did. Returns (tag, start, end) covers within them.
     """
     out: list[tuple[int, int, int]] = []
     whole: dict[bytes, int] = {}
     seen: dict[bytes, int] = {}
     single = all(r[0] == rows[0][0] for r in rows)
-    for text, did, start, tag in rows:
+    for text, did, tag in rows:
         if whole.setdefault(text, did) < did:
-            out.append((tag, start, start + len(text)))
+            out.append((tag, 0, len(text)))
             continue
         if single:
             continue
@@ -209,11 +227,11 @@ def compare(rows: list[tuple[bytes, int, int, int]], length: int) -> list[tuple[
             if seen.setdefault(text[i : i + length], did) < did:
                 if i > end:
                     if begin >= 0:
-                        out.append((tag, start + begin, start + end))
+                        out.append((tag, begin, end))
                     begin = i
                 end = i + length
         if begin >= 0:
-            out.append((tag, start + begin, start + end))
+            out.append((tag, begin, end))
     return out
 
 
@@ -226,18 +244,22 @@ def _covers(suffixes: DataFrame, length: int, lead: int) -> DataFrame:
         if not held:
             return
         t = pa.Table.from_batches(held)
-        did, no, start, at = (np.asarray(t.column(c)) for c in ("did", "no", "start", "at"))
+        did, no, place = (np.asarray(t.column(c)) for c in ("did", "no", "place"))
+        start, at = place >> 16, place & 65535
         data = t.column("bytes").to_pylist()
         # one sort of the suffixes by their leading bytes, then by document
         heads = np.array([b[a : a + lead] for b, a in zip(data, at.tolist())], dtype=f"S{lead}") if data else np.zeros(0, f"S{lead}")
         order = np.lexsort((did, heads))
         heads = heads[order]
         edge = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1], [True]]))
-        ids, starts = did.tolist(), start.tolist()
+        ids, more = did.tolist(), t.column("more").to_pylist()
         found: list[tuple[int, int, int]] = []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if b - a > 1 and did[order[a]] != did[order[b - 1]]:
-                found += compare([(data[i], ids[i], starts[i], i) for i in order[a:b].tolist()], length)
+                for i, x, y in compare([(data[i], ids[i], i) for i in order[a:b].tolist()], length):
+                    found.append((i, start[i] + x, start[i] + y))
+                    if more[i] is not None:
+                        found += [(i, p + x, p + y) for p in (np.frombuffer(more[i], np.int64) >> 16).tolist()]
             if len(found) > 1 << 15:
                 yield cut(found, did, no)
                 found = []
