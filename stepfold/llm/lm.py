@@ -2,8 +2,8 @@
 
 Counts. Every distinct token of all training documents is counted in a distributed pass
 (per-task dictionaries of bounded size, then a sum by token); the table of counts grows
-with the corpus and stays distributed. Only its ``HEAD`` most frequent tokens are sent to
-the tasks.
+with the corpus and stays distributed. Only its most frequent tokens, ``HEAD`` at most, are
+sent to the tasks.
 
 Model. The next symbol is predicted from the three before it: their embeddings, each scaled
 by a vector of its position, add up to a prediction that is compared with every symbol's
@@ -16,7 +16,7 @@ of 0.5, so that probabilities add up to one.
 
 Tokens are the words between ASCII white space, A-Z in lower case, then one end. Null and
 empty texts are one end. Repeated rows are scored once and all kept. Ties in frequency go to
-the token that sorts first. Without training documents counts are 0 and classes equally
+the token that sorts first; the head ends at a count, so that ties are in it or out together. Without training documents counts are 0 and classes equally
 likely. Only doc_id and text of the input are used.
 """
 
@@ -36,15 +36,15 @@ from pyspark.sql import functions as F
 
 from stepfold.llm.base import checkpoint, chunks, small_batches
 
-#: Most frequent tokens whose counts every task holds.
+#: Most frequent tokens whose counts every task holds, at most.
 HEAD = 1 << 16
 FREQUENT, CLASSES, ORDER, WIDTH = 448, 64, 3, 24
 #: Training documents that the neural part is fitted on, at most.
 SAMPLE = 500
 #: Distinct tokens in a task's dictionary before it is emptied.
 HELD_TOKENS = 400_000
-#: Tokens scored in one matrix product.
-BATCH_TOKENS = 1 << 14
+#: Tokens scored in one matrix product: the scores of a batch stay in the cache.
+BATCH_TOKENS = 1 << 10
 END = b""
 
 
@@ -90,23 +90,31 @@ class Model:
     output: np.ndarray  # width x symbols
     bias: np.ndarray
 
-    def predictions(self, before: np.ndarray) -> np.ndarray:
-        """Predicted embeddings for rows of ORDER earlier symbols."""
-        out = self.context[0][before[:, 0]]
-        for j in range(1, ORDER):
-            out = out + self.context[j][before[:, j]]
-        return out
-
     def log_probs(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probabilities, in batches of matrix products."""
+        """Normalised natural log-probabilities, in batches of matrix products.
+
+        The bias is one more dimension, so that a batch is one product, one exponential and
+        one row sum; rows are shifted by their largest score only where it could overflow.
+        """
+        n = self.context.shape[1]
+        one = np.zeros((ORDER, n, 1), np.float32)
+        one[0] = 1
+        context = np.concatenate([self.context.astype(np.float32), one], axis=2)
+        output = np.concatenate([self.output, self.bias[None, :]]).astype(np.float32)
+        longest = float(np.sqrt((output * output).sum(axis=0).max()))
+        ones = np.ones(output.shape[1], np.float32)
         out = np.empty(len(symbol))
         for a in range(0, len(symbol), BATCH_TOKENS):
-            s = self.predictions(before[a : a + BATCH_TOKENS]) @ self.output
-            s += self.bias
-            s -= s.max(axis=1, keepdims=True)
-            own = s[np.arange(len(s)), symbol[a : a + BATCH_TOKENS]].astype(np.float64)
+            h, y = before[a : a + BATCH_TOKENS], symbol[a : a + BATCH_TOKENS]
+            q = context[0][h[:, 0]]
+            for j in range(1, ORDER):
+                q += context[j][h[:, j]]
+            s = q @ output
+            if float(np.sqrt((q * q).sum(axis=1).max())) * longest > 80:
+                s -= s.max(axis=1, keepdims=True)
+            own = s[np.arange(len(s)), y].astype(np.float64)
             np.exp(s, out=s)
-            out[a : a + BATCH_TOKENS] = own - np.log(s.sum(axis=1, dtype=np.float64))
+            out[a : a + BATCH_TOKENS] = own - np.log((s @ ones).astype(np.float64))
         return out
 
 
@@ -175,11 +183,24 @@ def train(texts: list[str], model: Model, epochs: int = 3, noise: int = 128, bat
     return model
 
 
+def frequent_tokens(counts: DataFrame, head: int) -> DataFrame:
+    """The tokens above a count, the lowest of a grid of eighths of an octave that leaves at most
+    ``head``. Unlike a sorted limit, no task sends more than its share of them."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    floor, held = None, 0
+    for r in sorted(counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["k"]):
+        held += r["n"]
+        if held > head:
+            break
+        floor = r["k"]
+    return counts.where(step >= floor) if floor is not None else counts.limit(0)
+
+
 def fit(train_docs: DataFrame, counts: DataFrame, sample: int = SAMPLE, head: int = HEAD, frequent: int = FREQUENT) -> Model:
     """Totals, head and class sums from the counts, the neural part from a sample."""
     n = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    rows = counts.orderBy(F.desc("c"), "token").limit(head).collect()
-    known = {bytes(r["token"]): r["c"] for r in rows}
+    rows = frequent_tokens(counts, head).collect()
+    known = {bytes(r["token"]): r["c"] for r in sorted(rows, key=lambda r: (-r["c"], bytes(r["token"])))}
     symbols = {t: i for i, t in enumerate(list(known)[:frequent])}
     by = F.pmod(F.crc32(F.when(F.octet_length("token") > 2, F.substring("token", -2, 2)).otherwise(F.col("token"))), F.lit(CLASSES))
     sums = np.zeros(CLASSES)
