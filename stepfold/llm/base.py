@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepfold.plans.session import checkpoint, shared_folder  # noqa: F401
+from stepfold.plans.session import checkpoint  # noqa: F401
 
 #: Rows per Arrow batch: texts of 100 kB stay far below an executor's memory.
 BATCH_ROWS = 512
@@ -43,6 +43,21 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def sample_by_label(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """At most ``n`` distinct (doc_id, label) of every label, those with the smallest hashes.
+
+    A hash threshold from the label's count first leaves about 4 n rows of it, so that what
+    is then ranked does not grow with the table or its number of tasks.
+    """
+    rows = rows.select("doc_id", label)
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(label, "__of")
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = rows.withColumn("__u", u).join(counts, F.col(label) == F.col("__of")).where(F.col("__u") * F.col("__n") < 4.0 * n)
+    few = few.select("doc_id", label, "__u").distinct()
+    order = Window.partitionBy(label).orderBy("__u", "doc_id")
+    return few.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= n).select("doc_id", label)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepfold.llm.base import chunks, small_batches
+from stepfold.llm.base import chunks, sample_by_label, small_batches
 from stepfold.llm.tokens import FOLDED, column_bytes, segment_sums
 
 BUCKETS = 1 << 16
@@ -116,9 +116,7 @@ def train(texts: list[str], langs: list[str], width: int = 16, epochs: int = 6,
 def sample(docs: DataFrame, per_label: int = PER_LABEL) -> tuple[list[str], list[str]]:
     """At most ``per_label`` labelled texts of each language, chosen by a hash of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = known.select("doc_id", "lang").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_label)
-    few = few.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
+    few = sample_by_label(known, "lang", per_label).withColumnsRenamed({"doc_id": "__id", "lang": "__lang"})
     rows = known.join(F.broadcast(few), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
     got = sorted(((r[0], r[1], r[2]) for r in rows.select("doc_id", "lang", "text").collect()), key=lambda r: (r[1], r[0], r[2]))
     return [r[2] for r in got], [r[1] for r in got]

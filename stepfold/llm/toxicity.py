@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepfold.llm.base import chunks, small_batches
+from stepfold.llm.base import chunks, sample_by_label, small_batches
 from stepfold.llm.tokens import FOLDED, column_bytes, letter_runs, span_hashes
 
 BITS = 17
@@ -222,8 +222,7 @@ def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1.0
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
     """At most ``per_class`` labelled texts of either class, chosen by a hash of the id."""
     labels = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = labels.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_class).select("doc_id", "toxic")
+    few = sample_by_label(labels, "toxic", per_class)
     got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").collect()
     got = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in got})
     return [r[1] for r in got], [r[2] for r in got]
