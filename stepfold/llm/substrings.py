@@ -125,7 +125,7 @@ def _starts(docs: DataFrame, length: int, lead: int) -> DataFrame:
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else order
             yield _batch(["key", "did"], pa.array(key[new].view(np.int64)), pa.array(np.asarray(batch.column("did"))[doc[new]]))
 
-    return docs.select("did", "text").mapInArrow(run, "key long, did long")
+    return docs.mapInArrow(run, "key long, did long")
 
 
 def _splitters(docs: DataFrame, n: int, length: int, lead: int) -> list[int]:
@@ -204,7 +204,7 @@ def _suffixes(docs: DataFrame, cuts: list[int], length: int, lead: int) -> DataF
                     pa.array(place[rows]), pa.array(more, pa.binary()), pa.array(cut, pa.binary()),
                 )
 
-    return docs.select("did", "no", "text", "keys").mapInArrow(run, "bucket int, did long, no int, place long, more binary, bytes binary")
+    return docs.mapInArrow(run, "bucket int, did long, no int, place long, more binary, bytes binary")
 
 
 def compare(rows: list[tuple[bytes, int, int]], length: int) -> list[tuple[int, int, int]]:
@@ -298,7 +298,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> Da
     # the texts are dealt by id once; what joins them by id only leaves them where they are
     own = held.repartition("did")
     same = (F.col("did") == F.col("__d")) & (F.col("text_hash").bitwiseXOR(F.col("__h")) == 0)
-    fresh = own.join(ids_of.where("not is_copy"), same).select("did", "no", "text")
+    # all columns go with the texts in every pass: were some pruned, it would be another exchange
+    fresh = own.join(ids_of.where("not is_copy"), same).drop("__d", "__h", "is_copy")
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS
     cuts = _splitters(held.select("did", "text"), n, length, lead)
     kept = _repeated(_starts(fresh, length, lead)).groupBy("did").agg(F.collect_set("key").alias("keys"))
