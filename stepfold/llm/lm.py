@@ -8,12 +8,18 @@ sent to the tasks.
 Model. The next symbol is predicted from the three before it: their embeddings, each scaled
 by a vector of its position, add up to a prediction that is compared with every symbol's
 output embedding (log-bilinear). Symbols are the ``FREQUENT`` most frequent tokens and
-``CLASSES`` classes of all other tokens by their ending. Training is noise-contrastive
-estimation in numpy on a bounded sample; scoring normalises over all symbols with batched
-matrix products. A token of a class gets the class's probability times its share of the
+``CLASSES`` classes of all other tokens by their ending. Scoring normalises over all symbols
+with batched matrix products. A token of a class gets the class's probability times its share of the
 class, (c + 0.5) over the class's sum, where unknown tokens of a class count as one symbol
 of 0.5, so that probabilities add up to one.
 
+Training is noise-contrastive estimation in numpy. A sample on the driver only gives the start;
+then every training document is gone through in each of ``ROUNDS`` rounds. Their symbols (two
+bytes a token) are dealt by a hash of the document into shards of about ``SHARD_TOKENS``, so a
+shard is a random part of the corpus however the table is laid out. A task descends from the
+common parameters through its shard, and an aggregation averages what the tasks arrive at,
+weighted by their tokens. Noise is drawn from the symbols' counts in the whole corpus.
+
 Tokens are the words between ASCII white space, A-Z in lower case, then one end. Null and
 empty texts are one end. Repeated rows are scored once and all kept. Ties in frequency go to
 the token that sorts first; the head ends at a count, so that ties are in it or out together. Without training documents counts are 0 and classes equally
@@ -39,8 +45,12 @@ from stepfold.llm.base import checkpoint, chunks, small_batches
 #: Most frequent tokens whose counts every task holds, at most.
 HEAD = 1 << 16
 FREQUENT, CLASSES, ORDER, WIDTH = 448, 64, 3, 24
-#: Training documents that the neural part is fitted on, at most.
+#: Training documents that give the parameters the rounds over all of them start from, at most.
 SAMPLE = 500
+#: Passes over all training documents, each ending in an average of the parameters.
+ROUNDS = 2
+#: Tokens of a shard, about, and those a task has in memory at a time.
+SHARD_TOKENS, HELD_SYMBOLS = 1 << 21, 1 << 19
 #: Distinct tokens in a task's dictionary before it is emptied.
 HELD_TOKENS = 400_000
 #: Tokens scored in one matrix product: the scores of a batch stay in the cache.
@@ -129,58 +139,175 @@ def histories(symbol: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], model: Model, epochs: int = 3, noise: int = 128, batch: int = 512, rate: float = 0.1, seed: int = 3) -> Model:
-    """Noise-contrastive estimation with Adagrad; noise is shared by a batch."""
-    sizes, symbol = [], []
-    for text in texts:
-        own = tokens(text)
-        symbol += [s if (s := model.symbols.get(x, -1)) >= 0 else len(model.symbols) + class_of(x) for x in own]
-        sizes.append(len(own))
-    if not symbol:
-        return model
-    symbol = np.array(symbol, np.int32)
-    n_symbols, begin = len(model.bias), len(model.bias)
-    before = histories(symbol, np.cumsum([0, *sizes[:-1]]), begin)
-    unigram = (np.bincount(symbol, minlength=n_symbols) + 0.5) / (len(symbol) + 0.5 * n_symbols)
-    rng = np.random.default_rng(seed)
-    words = rng.normal(0, 0.1, (n_symbols + 1, WIDTH)).astype(np.float32)
-    scale = np.full((ORDER, WIDTH), 0.5, np.float32)
-    output = rng.normal(0, 0.1, (n_symbols, WIDTH)).astype(np.float32)
-    bias = np.log(unigram).astype(np.float32)
-    sums = [np.full_like(x, 1e-6) for x in (words, scale, output, bias)]
-    log_noise = np.log(noise * unigram).astype(np.float32)
-
-    def move(param: np.ndarray, total: np.ndarray, grad: np.ndarray) -> None:
-        total += grad * grad
-        param -= rate * grad / np.sqrt(total)
-
-    for _ in range(epochs):
+class Numbers(dict):
+    """Symbol of every token: the frequent ones are given, classes are found as they come."""
+
+    def __init__(self, symbols: dict[bytes, int]):
+        super().__init__(symbols)
+        self.symbols = symbols
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) > HELD_TOKENS:
+            self.clear()
+            self.update(self.symbols)
+        out = self[token] = self.symbols[token] if token in self.symbols else len(self.symbols) + class_of(token)
+        return out
+
+
+@dataclass
+class Descent:
+    """Parameters, Adagrad's sums of their squared gradients, and the noise distribution."""
+
+    params: list[np.ndarray]  # words, scale, output, bias
+    sums: list[np.ndarray]
+    unigram: np.ndarray
+
+    @classmethod
+    def begin(cls, unigram: np.ndarray, rng: np.random.Generator) -> Descent:
+        n = len(unigram)
+        words = rng.normal(0, 0.1, (n + 1, WIDTH)).astype(np.float32)
+        scale = np.full((ORDER, WIDTH), 0.5, np.float32)
+        output = rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
+        params = [words, scale, output, np.log(unigram).astype(np.float32)]
+        return cls(params, [np.full_like(x, 1e-6) for x in params], unigram)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.params, *self.sums)])
+
+    def moved_to(self, flat: np.ndarray) -> Descent:
+        shapes = [x.shape for x in (*self.params, *self.sums)]
+        ends = np.cumsum([int(np.prod(x)) for x in shapes])
+        all_of = [x.reshape(shape).astype(np.float32) for x, shape in zip(np.split(flat, ends[:-1]), shapes)]
+        return Descent(all_of[:4], all_of[4:], self.unigram)
+
+    def run(self, symbol: np.ndarray, before: np.ndarray, rng: np.random.Generator, noise: int = 128, batch: int = 512, rate: float = 0.1) -> None:
+        """One pass over all positions in random order; noise is shared by a batch."""
+        (words, scale, output, bias), n_symbols = self.params, len(self.unigram)
+        log_noise = np.log(noise * self.unigram).astype(np.float32)
         order = rng.permutation(len(symbol))
+        chance = np.cumsum(self.unigram)
         for a in range(0, len(order), batch):
             at = order[a : a + batch]
             y, h = symbol[at], before[at]
-            z = rng.choice(n_symbols, noise, p=unigram)
+            z = np.minimum(np.searchsorted(chance, rng.random(noise) * chance[-1], side="right"), n_symbols - 1)
             r = [words[h[:, j]] for j in range(ORDER)]
             q = sum(x * c for x, c in zip(r, scale))
-            data = (q * output[y]).sum(axis=1) + bias[y] - log_noise[y]
-            false = q @ output[z].T + bias[z] - log_noise[z]
+            out_y, out_z = output[y], output[z]
+            data = (q * out_y).sum(axis=1) + bias[y] - log_noise[y]
+            false = q @ out_z.T + (bias[z] - log_noise[z])
             g_data = -1 / (1 + np.exp(np.clip(data, -30, 30)))
-            g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-            g_q = g_data[:, None] * output[y] + g_false @ output[z]
-            g_out, g_bias = np.zeros_like(output), np.zeros_like(bias)
-            np.add.at(g_out, y, g_data[:, None] * q)
-            np.add.at(g_out, z, g_false.T @ q)
-            np.add.at(g_bias, y, g_data)
-            np.add.at(g_bias, z, g_false.sum(axis=0))
-            g_words, g_scale = np.zeros_like(words), np.empty_like(scale)
-            for j in range(ORDER):
-                g_scale[j] = (g_q * r[j]).sum(axis=0)
-                np.add.at(g_words, h[:, j], g_q * scale[j])
-            for p, s, g in zip((words, scale, output, bias), sums, (g_words, g_scale, g_out, g_bias)):
-                move(p, s, g / len(at))
-    model.context = np.stack([words * c for c in scale])
-    model.output, model.bias = np.ascontiguousarray(output.T), bias
-    return model
+            g_false = np.negative(np.clip(false, -30, 30, out=false), out=false)
+            np.exp(g_false, out=g_false)
+            g_false += 1
+            np.reciprocal(g_false, out=g_false)
+            g_q = g_data[:, None] * out_y + g_false @ out_z
+            to = np.concatenate([y, z])
+            g_out = sums_by(to, np.concatenate([g_data[:, None] * q, g_false.T @ q]), n_symbols)
+            g_bias = np.bincount(to, np.concatenate([g_data, g_false.sum(axis=0)]), n_symbols).astype(np.float32)
+            g_scale = np.stack([(g_q * x).sum(axis=0) for x in r])
+            g_words = sums_by(h.T.ravel(), np.concatenate([g_q * c for c in scale]), n_symbols + 1)
+            for param, total, grad in zip(self.params, self.sums, (g_words, g_scale, g_out, g_bias)):
+                grad /= len(at)
+                total += grad * grad
+                param -= rate * grad / np.sqrt(total)
+
+    def put(self, model: Model) -> Model:
+        words, scale, output, bias = self.params
+        model.context = np.stack([words * c for c in scale])
+        model.output, model.bias = np.ascontiguousarray(output.T), bias
+        return model
+
+
+def sums_by(key: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each key below n."""
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[key[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+def start(texts: list[str], model: Model, unigram: np.ndarray | None = None, epochs: int = 3, seed: int = 3) -> Descent | None:
+    """Noise-contrastive estimation on ``texts``; without them and ``unigram`` there is nothing to learn."""
+    numbers = Numbers(model.symbols)
+    each = [[numbers[x] for x in tokens(text)] for text in texts]
+    symbol = np.array([s for own in each for s in own], np.int32)
+    n_symbols = len(model.bias)
+    if unigram is None:
+        if not len(symbol):
+            return None
+        unigram = (np.bincount(symbol, minlength=n_symbols) + 0.5) / (len(symbol) + 0.5 * n_symbols)
+    rng = np.random.default_rng(seed)
+    now = Descent.begin(unigram, rng)
+    before = histories(symbol, np.cumsum([0, *map(len, each)])[:-1], n_symbols)
+    for _ in range(epochs if len(symbol) else 0):
+        now.run(symbol, before, rng)
+    return now
+
+
+def train(texts: list[str], model: Model, epochs: int = 3) -> Model:
+    """The model learnt from ``texts`` alone, in this process."""
+    now = start(texts, model, epochs=epochs)
+    return now.put(model) if now else model
+
+
+def shards(docs: DataFrame, model: Model) -> DataFrame:
+    """key, symbols: the symbols of every document (two bytes each), dealt evenly and at random.
+    Rows without an id are dealt by their place, as many may share one text."""
+    small_batches(docs.sparkSession)
+    symbols = model.symbols
+    if len(model.bias) >= 1 << 16:
+        raise ValueError("symbols are numbered in two bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(symbols)
+        for batch in batches:
+            out = [np.array([numbers[x] for x in tokens(t.as_py())], np.uint16).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "symbols"])
+
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), "text").alias("key")
+    n = max(1, -(-model.total // SHARD_TOKENS))
+    rows = docs.select(key, "text").mapInArrow(run, "key long, symbols binary")
+    return checkpoint(rows.repartition(n, "key").sortWithinPartitions("key", "symbols"))
+
+
+def one_round(dealt: DataFrame, now: Descent, seed: int) -> Descent:
+    """The average of where all shards lead from ``now``, weighted by tokens."""
+    begin = len(now.unigram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, seen, rng = now.moved_to(now.flat()), 0, None
+        held: list[np.ndarray] = []
+        n_held = 0
+
+        def learn() -> None:
+            sizes = [len(x) for x in held]
+            symbol = np.concatenate(held)
+            mine.run(symbol, histories(symbol, np.cumsum([0, *sizes[:-1]]), begin), rng, noise=64, batch=1024)
+            held.clear()
+
+        for batch in batches:
+            for key, symbols in zip(batch.column("key"), batch.column("symbols")):
+                rng = rng or np.random.default_rng([seed, key.as_py() & (1 << 62) - 1])
+                held.append(np.frombuffer(symbols.as_buffer(), np.uint16))
+                seen += len(held[-1])
+                n_held += len(held[-1])
+                if n_held >= HELD_SYMBOLS:
+                    learn()
+                    n_held = 0
+        if held:
+            learn()
+        if seen:
+            v = mine.flat().astype(np.float64) * seen
+            for a in range(0, len(v), 1 << 14):
+                part = v[a : a + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen, np.int64))], names=["i", "v", "n"])
+
+    rows = dealt.mapInArrow(run, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
+    flat = now.flat().astype(np.float64)
+    flat[[r["i"] for r in rows]] = [r["v"] for r in rows]
+    return now.moved_to(flat)
 
 
 def frequent_tokens(counts: DataFrame, head: int) -> DataFrame:
@@ -196,8 +323,8 @@ def frequent_tokens(counts: DataFrame, head: int) -> DataFrame:
     return counts.where(step >= floor) if floor is not None else counts.limit(0)
 
 
-def fit(train_docs: DataFrame, counts: DataFrame, sample: int = SAMPLE, head: int = HEAD, frequent: int = FREQUENT) -> Model:
-    """Totals, head and class sums from the counts, the neural part from a sample."""
+def fit(train_docs: DataFrame, counts: DataFrame, sample: int = SAMPLE, head: int = HEAD, frequent: int = FREQUENT, rounds: int = ROUNDS) -> Model:
+    """Totals, head and class sums from the counts, the neural part from all training documents."""
     n = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     rows = frequent_tokens(counts, head).collect()
     known = {bytes(r["token"]): r["c"] for r in sorted(rows, key=lambda r: (-r["c"], bytes(r["token"])))}
@@ -212,7 +339,14 @@ def fit(train_docs: DataFrame, counts: DataFrame, sample: int = SAMPLE, head: in
     model = Model(known, symbols, sums, int(n["n"] or 0), int(n["v"] or 0), np.zeros((ORDER, n_symbols + 1, WIDTH), np.float32), np.zeros((WIDTH, n_symbols), np.float32), np.zeros(n_symbols, np.float32))
     few = train_docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = train_docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(few), "doc_id").collect()
-    return train([r["text"] for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))], model)
+    if not model.total:
+        return model
+    seen = np.array([*(known[t] for t in symbols), *sums]) + 0.5
+    now = start([r["text"] for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))], model, seen / seen.sum())
+    dealt = shards(train_docs, model)
+    for k in range(rounds):
+        now = one_round(dealt, now, k)
+    return now.put(model)
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:

@@ -104,6 +104,17 @@ def test_model_is_normalised_and_learns_order():
     assert p[0].argmax() == symbols[b"c"]
 
 
+def test_model_learns_from_every_training_document(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("a b c" if rng.random() < 0.5 else "d e f" for _ in range(100)), None, None, None) for i in range(300)]
+    asked = [(1000, " ".join(["a b c"] * 50), None, None, None), (1001, " ".join(["b a c"] * 50), None, None, None)]
+    # word order is learnt from the documents outside the starting sample too
+    for sample in (0, 1):
+        got = {r["doc_id"]: r for r in lm.fit_and_score(docs(spark, asked), docs(spark, rows), sample=sample).collect()}
+        assert abs(got[1000]["base_score"] - got[1001]["base_score"]) < 1e-6
+        assert got[1000]["score"] > got[1001]["score"] + 30
+
+
 # mixing
 
 
