@@ -19,11 +19,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id. Rows with
-    the same id are one document; so are rows without one."""
-    named = simhash.near_duplicates(docs.select("doc_id", "text"))
-    stay = named.select(F.col("component_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates: the one with the smallest id (nulls last), then
+    the smallest hash of the text and of the row. Ids need not tell rows apart."""
+    row = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("__text"), row.alias("__row"))
+    named = simhash.near_duplicates(hashed, carry=("__text", "__row"))
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text", "__row")).alias("m"))
+    stay = least.select(F.col("m.doc_id").alias("__id"), F.col("m.__row").alias("__stay"))
+    kept = docs.withColumn("__row", row)
+    kept = kept.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__stay")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__row"]).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,18 +238,22 @@ def links(fps: DataFrame, bits: int = BITS, node_rows: int = NODE_ROWS) -> DataF
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, node_rows: int = NODE_ROWS) -> DataFrame:
-    """All columns of ``docs`` with fp and component_id, the smallest doc_id reachable."""
+def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, node_rows: int = NODE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of ``docs`` with fp and component_id, the smallest doc_id reachable. With
+    ``carry``, doc_id and these (small) columns only, and component, which tells components apart
+    where ids are null or shared."""
     conf = docs.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     marked = fingerprints(docs.drop("fp", "component_id"), shingle)
-    only = checkpoint(marked.select("doc_id", "fp"))  # a few bytes a document: texts are read once
+    only = checkpoint(marked.select("doc_id", *carry, "fp"))  # a few bytes a document: texts are read once
     first = only.groupBy("fp").agg(F.min("doc_id").alias("first"))
     first = checkpoint(first)
     groups = components(links(first.select("fp"), bits, node_rows))
     named = first.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    ids = named.join(least, "c").select("fp", "component_id")
+    ids = named.join(least, "c").select("fp", "component_id", F.col("c").alias("component"))
+    if carry:
+        return only.join(ids, "fp").select("doc_id", *carry, "fp", "component_id", "component")
     if set(docs.columns) <= {"doc_id", "text"}:
         return only.join(ids, "fp").select("doc_id", "fp", "component_id")
     return marked.join(ids, "fp").select(*docs.drop("fp", "component_id").columns, "fp", "component_id")

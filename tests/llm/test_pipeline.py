@@ -74,6 +74,14 @@ def test_stages(spark, tmp_path):
     assert all(abs(taken[s] - target[s]) <= source[s] for s in source)
 
 
+def test_near_dedup_tells_rows_apart_by_more_than_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i * i % 89}{x}" for i in range(60)) for x in ("red", "blue", "green", "white"))
+    rows = [(5, a, 0), (3, a, 1), (5, b, 2), (None, c, 3), (None, d, 4), (None, d, 4), (7, b, 5), (None, a, 6)]
+    out = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, n int"), SF)
+    got = sorted(out.collect(), key=lambda r: r["n"])
+    assert [(r["doc_id"], r["text"], r["n"]) for r in got] == [(3, a, 1), (5, b, 2), (None, c, 3), (None, d, 4)]
+
+
 def test_registered():
     import __spark_entry__ as entry
 
