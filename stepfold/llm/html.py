@@ -4,7 +4,11 @@ Paragraphs pass points for their length and commas to their parent (whole) and t
 ancestors above (halved at each step), discounted by the share of linked text. The best
 container is kept with those of its siblings that score a fifth of it or are plain
 paragraphs; where it stands in an article or main element, that element is the container.
-Page furniture is cut out before: by element, by role and by the words of class and id.
+Page furniture is cut out before: by element, by role and by the words of class and id. Such a
+word may also describe a layout ("with-sidebar"): an element with one stays where it holds all
+article and main elements and a fifth of the text outside links. Where a page has none, it stays
+with more than half of that text (comments: nine tenths), unless a whole name is such a word
+("sidebar"). Ids do not cut headings and paragraphs.
 
 Null, empty and text-free pages give an empty text. Markup may be broken: unclosed and stray
 tags are mended as far as blocks need it. Ties go to the first container in the page. Pages
@@ -43,6 +47,10 @@ FURNITURE_WORDS = {
     "notices", "pagination", "pager", "popup", "promo", "promoted", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Of these, the words of what readers wrote: often longer than the page's own text.
+READER_WORDS = {"comment", "comments", "disqus", "replies", "respond"}
+#: Elements whose ids are made from their text, and tell nothing.
+TITLED = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 CONTAINERS = {"article", "main"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
@@ -50,17 +58,18 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "main", "score", "size", "linked", "points", "place")
+    __slots__ = ("tag", "parent", "kids", "cut", "main", "words", "plain", "score", "size", "linked", "points", "place")
 
     def __init__(self, tag: str, parent: Node | None, place: int):
         self.tag, self.parent, self.place = tag, parent, place
         self.kids: list[Node | str] = []
-        self.cut = self.main = False
+        self.cut = self.main = self.plain = False
+        self.words: set[str] = set()
         self.score = self.points = 0.0
         self.size = self.linked = 0
 
@@ -72,17 +81,56 @@ def _looks(node: Node, attrs: str, in_main: bool) -> None:
     node.cut = tag in FURNITURE_TAGS and not (tag == "header" and in_main)
     if not attrs.strip():
         return
+    given: dict[str, str] = {}
     for name, *values in _ATTR.findall(attrs):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "role":
-            node.main |= value in ("main", "article")
-            node.cut |= value in FURNITURE_ROLES
-        elif name == "itemprop":
-            node.main |= value == "articlebody"
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            node.cut = True
-        elif name in ("class", "id") and tag not in ("html", "body", "article", "main") and not FURNITURE_WORDS.isdisjoint(_WORD.findall(value)):
-            node.cut = True
+        given.setdefault(name.lower(), "".join(values).lower())
+    role = given.get("role", "")
+    node.main |= role in ("main", "article") or given.get("itemprop") == "articlebody"
+    node.cut |= role in FURNITURE_ROLES or "hidden" in given or given.get("aria-hidden") == "true"
+    node.cut |= "display:none" in given.get("style", "").replace(" ", "")
+    if tag not in ("html", "body", "article", "main"):
+        named = given.get("class", "") + ("" if tag in TITLED else " " + given.get("id", ""))
+        node.words = FURNITURE_WORDS.intersection(_WORD.findall(named))
+        node.plain = not FURNITURE_WORDS.isdisjoint(named.split())
+
+
+def _drop_named(root: Node) -> None:
+    """Cut the elements that class or id name as furniture, unless they hold the page's text."""
+    nodes = _order(root)
+    if not any(n.words for n in nodes):
+        return
+    size: dict[Node, int] = {}
+    mains: dict[Node, int] = {}
+    for n in reversed(nodes):
+        kids = [k for k in n.kids if isinstance(k, Node)]
+        size[n] = 0 if n.tag == "a" else sum(size[k] for k in kids) + sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+        mains[n] = n.main + sum(mains[k] for k in kids)
+
+    def cut(readers: bool, enough: float) -> None:
+        todo = [root]
+        while todo:
+            n, gone = todo.pop(), set()
+            for k in [k for k in n.kids if isinstance(k, Node)]:
+                if mains[root]:
+                    holds = mains[k] == mains[root] and size[k] >= 0.2 * size[root]
+                else:
+                    holds = not k.plain and size[k] > enough * size[root]
+                if k.words and bool(k.words & READER_WORDS) == readers and not holds:
+                    gone.add(k)
+                    up, s, m = n, size[k], mains[k]
+                    while up is not None:
+                        if up.tag == "a":
+                            s = 0
+                        size[up] -= s
+                        mains[up] -= m
+                        up = up.parent
+                else:
+                    todo.append(k)
+            if gone:
+                n.kids = [k for k in n.kids if k not in gone]
+
+    cut(True, 0.9)
+    cut(False, 0.5)
 
 
 def parse(html: str) -> Node:
@@ -144,6 +192,7 @@ def parse(html: str) -> Node:
             stack.append(node)
             mains += node.main
     say(html[at:])
+    _drop_named(root)
     return root
 
 

@@ -316,6 +316,16 @@ def test_main_text():
     assert html.main_text(deep) == "deep text, far below"
 
 
+@pytest.mark.parametrize("wrap", ['class="layout with-sidebar"', 'id="page-no-sidebar"', 'class="has-header"', 'data-id="comments"', 'data-hidden="false"', 'title="the hidden cost"'])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_layout_words_cut_nothing(wrap, tag):
+    text = "A sentence of the page, which goes on, and on, for some length."
+    page = f"""<body><div {wrap}><div class="sidebar"><p>Side text, short.</p></div><{tag}><h2 id="related-work">Related work</h2>
+    <p id="share-price">{text}</p><p>{text} <a href="/hidden-gems">gems</a></p><div hidden>secret</div></{tag}></div>
+    <div id="comments"><p>{text * 3}</p><div class="comment"><p>{text * 3}</p></div></div></body>"""
+    assert html.main_text(page) == f"Related work\n\n{text}\n\n{text} gems"
+
+
 def test_pages_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "<p>Hi there", "y"), (1, "<p>Hi there", "y")], "page_id long, html string, text string")
     assert sorted(r["n_chars"] for r in html.extract(df).collect()) == [0, 8, 8]
