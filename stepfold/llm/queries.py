@@ -5,7 +5,9 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from stepfold.llm import align as A
 from stepfold.llm import base
+from stepfold.llm import bpe as B
 from stepfold.llm import chat as C
 from stepfold.llm import decontaminate as D
 from stepfold.llm import html as H
@@ -22,6 +24,13 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed vocabulary files lie; every worker has them at the same place."""
+    from public_tokenizers import path
+
+    return str(path(name))
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -100,4 +109,14 @@ def op1(spark, sf):
     return C.conversation_digests(C.format_turns(turns.unionByName(probe)))
 
 
+@query("op12_bpe_codec")
+def op12(spark, sf):
+    return B.digests(base.table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark, sf):
+    return A.align(base.table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
