@@ -96,3 +96,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   punctuation_lines, navigation_lines, boilerplate_lines
 FROM counted
 """
+
+PREFIX_TRIE = rf"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+  SELECT c, n AS d, role, text FROM (SELECT heads.c, h, n, role, text FROM heads JOIN turns ON turns.c = heads.c - heads.c % 20 WHERE n <= h)
+  UNION ALL
+  SELECT c, n - h + (SELECT count(*) FROM turns b WHERE b.c = t.c - t.c % 20 AND b.n <= h), role, text FROM (SELECT * FROM heads JOIN turns USING (c) WHERE n > h) t
+), paths AS (
+  SELECT c, d, k, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, w, d = max(d) OVER (PARTITION BY c) AS ends FROM (
+    SELECT c, d, sha256(string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY c ORDER BY d)) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM rebuilt
+    UNION ALL SELECT c, 0, 'root', 0 FROM heads)
+), nodes AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, min(up) AS up, min(w) AS w, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM paths GROUP BY k, d
+), kids AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT p.k, count(*) FILTER (kids.k IS NULL) AS n_leaves, CAST(sum((u.n_convs - 1) * u.w) AS BIGINT) AS saved_tokens
+  FROM nodes u LEFT JOIN kids ON kids.k = u.k JOIN paths p ON p.c = u.conv_id AND p.d <= u.d GROUP BY p.k
+)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (k) LEFT JOIN kids USING (k) LEFT JOIN nodes up ON up.k = n.up
+"""

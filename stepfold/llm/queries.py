@@ -19,6 +19,7 @@ from stepfold.llm import quality as Q
 from stepfold.llm import simhash as S
 from stepfold.llm import substrings as U
 from stepfold.llm import toxicity as X
+from stepfold.llm import trie as T
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,6 +110,11 @@ def op1(spark, sf):
     return C.conversation_digests(C.format_turns(turns.unionByName(probe)))
 
 
+@query("op11_prefix_trie", O.PREFIX_TRIE)
+def op11(spark, sf):
+    return T.prefix_trie(T.rebuild(T.encode(base.table(spark, sf, "conversations"))))
+
+
 @query("op12_bpe_codec")
 def op12(spark, sf):
     return B.digests(base.table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
