@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfold.functions.classify import normalize_color
-from stepfold.operators.similarity import bm25_topk
+from stepfold.operators.postings import bm25_topk
 from stepfold.plans.session import checkpoint
 from stepfold.plans.skew import first_per_group, lookup, top_k
 

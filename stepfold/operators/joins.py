@@ -53,8 +53,11 @@ def select_by_membership(outputs: DataFrame, samples: DataFrame, targets: Sequen
 
 def merge_columns(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Columns of two tables on one key; both must have the same keys, and shared columns must
-    agree, NaN and NULL included. Anything else is an error."""
+    agree, NaN and NULL included, and keys must have the same types. Anything else is an error."""
     on = list(on)
+    for k in on:  # else the join would cast one side before anything is compared
+        if left.schema[k].dataType != right.schema[k].dataType:
+            raise TypeError(f"key {k} is {left.schema[k].dataType.simpleString()} in one table and {right.schema[k].dataType.simpleString()} in the other")
     shared = [c for c in right.columns if c in left.columns and c not in on]
     r = right.withColumnsRenamed({c: f"__r_{c}" for c in shared})
     sides = left.withColumn("__left", F.lit(True)), rename_keys(r, on).withColumn("__right", F.lit(True))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stepfold.functions import classify as C
 from stepfold.functions.normalize import slug
 from stepfold.operators.records import NO_SKILLS
-from stepfold.operators.similarity import similar_pairs, similarity_topk
+from stepfold.operators.similarity import similar_links, similar_pairs, similarity_topk
 from stepfold.plans.iterate import components, greedy_matching
 from stepfold.plans.session import checkpoint
 from stepfold.plans.skew import first_per_group, lookup, rank, running, top_k
@@ -256,12 +256,12 @@ def merge_candidates(existing: DataFrame, ops: DataFrame, threshold: float = 0.7
 def plan_merges(existing: DataFrame, ops: DataFrame, threshold: float = 0.70, k: int = 10) -> DataFrame:
     """Merge sets of a whole batch: components over operation-item and operation-operation
     similarity. Set-based where a one-by-one pass would depend on the order. Nodes are
-    'op:<id>' and 'item:<id>'."""
+    'op:<id>' and 'item:<id>'. Near-copies among the operations are linked once each."""
     cand = checkpoint(merge_candidates(existing, ops, threshold, k))
     node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     to_items = cand.where("action = 'merge'").select(node("op:", "op_id").alias("a"), node("item:", "item_id").alias("b"))
     adds = ops.join(cand.where("action <> 'replace'").select("op_id").distinct(), "op_id", "left_semi")
-    inside = similar_pairs(adds.select(F.col("op_id").alias("id"), "embedding"), threshold)
+    inside = similar_links(adds.select(F.col("op_id").alias("id"), "embedding"), threshold)
     inside = inside.select(node("op:", "a").alias("a"), node("op:", "b").alias("b"))
     return components(to_items.unionByName(inside))
 

@@ -1,9 +1,10 @@
-"""Exact similarity search by blocked matrix products, and sparse text ranking.
+"""Exact similarity search over a metric-ball index.
 
-Both sides are cut into blocks of bounded size by a hash of the id. A block is one row
-holding a matrix; block pairs meet in an equi-join on the block number, so the work spreads
-over (query blocks x item blocks) tasks. A task returns only the k best of its block per
-query (or the pairs over the threshold), never its product.
+Few queries (``QUERY_BYTES``, measured) go to the items: every task holds their k best so far.
+Otherwise the items are indexed (``stepfold.operators.balls``): each query meets its most
+promising blocks first, and then only blocks whose bound reaches its k-th best. Pairs over a
+threshold are a join of the index with itself, blocks against the shells within the threshold's
+angle. A task returns only the k best of its block per query (or the pairs), never its product.
 """
 
 from __future__ import annotations
@@ -11,44 +12,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stepfold.operators import balls as B
 from stepfold.plans.session import checkpoint
 from stepfold.plans.skew import lookup, top_k
 
-Q_BLOCK, I_BLOCK = 2048, 8192
-DOC_BLOCK, TERM_QUERIES = 2048, 64
-TERM_CHUNK = 4096  # terms of a block that stand in one dense matrix at a time
+#: Items in a block of the index; queries multiplied at a time.
+I_BLOCK, Q_BLOCK = 4096, 1024
+#: Queries of up to so many bytes are sent to all tasks.
+QUERY_BYTES = 4 << 20
 # Scores are rounded before ranking: copies of a document must tie however products are summed.
 DIGITS = 12
 
 
-def _blocks(df: DataFrame, block: int) -> int:
-    return max(1, -(-df.count() // block))
-
-
-def _pack(df: DataFrame, n: int, prefix: str, *extra: str) -> DataFrame:
-    """Blocks of (id, vector) rows, ids ascending, vectors as one flat array."""
-    d = df.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    rows = F.array_sort(F.collect_list(F.struct("id", F.col("embedding").alias("v"))))
-    g = d.groupBy("__b", *extra).agg(rows.alias("__r"))
-    return g.select(
-        F.col("__b").alias(f"{prefix}_block"), *extra,
-        F.transform("__r", lambda x: x["id"]).alias(f"{prefix}_ids"),
-        F.flatten(F.transform("__r", lambda x: x["v"])).alias(f"{prefix}_flat"),
-    )
-
-
-def _matrix(flat, n: int, cosine: bool) -> np.ndarray:
-    m = np.asarray(flat, dtype=np.float64).reshape(n, -1)
-    if cosine:
-        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-    return m
-
-
 def _best(sims: np.ndarray, k: int) -> list[np.ndarray]:
     """Columns of the k largest per row; equal values in column order."""
     n = sims.shape[1]
@@ -62,74 +42,324 @@ def _best(sims: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def _without_self(sims: np.ndarray, q_ids: list, i_ids: list) -> None:
+    """Queries don't find the item of their own id."""
+    place: dict = {}
+    for j, x in enumerate(i_ids):
+        place.setdefault(x, []).append(j)
+    for i, x in enumerate(q_ids):
+        for j in place.get(x, ()):
+            sims[i, j] = -np.inf
+
+
+def _found_schema(queries: DataFrame, items: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("item_id", items.schema["id"].dataType), T.StructField("sim", T.DoubleType()), T.StructField("kind", items.schema["kind"].dataType)])
+
+
+def _hits(q_ids: pa.Array, i_ids: pa.Array, sims: np.ndarray, kind, kind_type: pa.DataType, k: int, floor: float) -> pa.RecordBatch | None:
+    """The k best per row of ``sims`` at or over ``floor``; columns come in the order of ids."""
+    cols = _best(sims, k)
+    q_at, i_at = np.repeat(np.arange(len(sims)), [len(c) for c in cols]), np.concatenate(cols)
+    found = sims[q_at, i_at]
+    keep = (found >= floor) & np.isfinite(found)
+    if not keep.any():
+        return None
+    n = int(keep.sum())
+    return pa.RecordBatch.from_arrays([q_ids.take(pa.array(q_at[keep])), i_ids.take(pa.array(i_at[keep])), pa.array(found[keep]), pa.array([kind] * n, kind_type)], names=["query_id", "item_id", "sim", "kind"])
+
+
+def _scan(queries: DataFrame, items: DataFrame, k: int, floor: float, cosine: bool, exclude_self: bool) -> DataFrame:
+    """Every task goes through its items once and keeps k per query and kind."""
+    rows = queries.select("id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").toArrow()
+    shared = queries.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        if not len(held):
+            return
+        ids = held.column("id").combine_chunks()
+        q_ids = ids.to_pylist()
+        q = B.matrix(held.column("embedding").combine_chunks())
+        q = B.unit(q) if cosine else q
+        best: dict = {}
+        kinds_type = id_type = None
+        for batch in batches:
+            id_type, kinds_type = batch.column("id").type, batch.column("kind").type
+            names, of = batch.column("id").to_pylist(), batch.column("kind").to_pylist()
+            order = np.argsort(np.asarray(names), kind="stable")
+            groups: dict = {}
+            for i in order:
+                groups.setdefault(of[i], []).append(i)
+            v = B.matrix(batch.column("embedding"))
+            v = B.unit(v) if cosine else v
+            for kind, at in groups.items():
+                for a in range(0, len(at), I_BLOCK):
+                    some = at[a : a + I_BLOCK]
+                    own = [names[i] for i in some]
+                    top = best.setdefault(kind, [(np.full((0,), -np.inf), [])] * len(q_ids))
+                    for c in range(0, len(q), Q_BLOCK):
+                        sims = np.round(q[c : c + Q_BLOCK] @ v[some].T, DIGITS)
+                        if exclude_self:
+                            _without_self(sims, q_ids[c : c + Q_BLOCK], own)
+                        sims[sims < floor] = -np.inf
+                        worst = np.array([t[0][-1] if len(t[0]) == k else -np.inf for t in top[c : c + Q_BLOCK]])
+                        for r in np.flatnonzero(sims.max(axis=1) >= worst):
+                            cols = _best(sims[r : r + 1], k)[0]
+                            cols = cols[sims[r, cols] > -np.inf]
+                            if len(cols):
+                                old, old_ids = top[c + r]
+                                both, both_ids = np.concatenate([old, sims[r, cols]]), old_ids + [own[j] for j in cols]
+                                rank = sorted(range(len(both)), key=lambda j: (-both[j], both_ids[j]))[:k]
+                                top[c + r] = both[rank], [both_ids[j] for j in rank]
+        for kind, top in best.items():
+            for c in range(0, len(top), Q_BLOCK):
+                size = [len(t[0]) for t in top[c : c + Q_BLOCK]]
+                if sum(size):
+                    at = np.repeat(np.arange(c, c + len(size)), size)
+                    found = [x for t in top[c : c + Q_BLOCK] for x in t[1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(at)), pa.array(found, id_type), pa.array(np.concatenate([t[0] for t in top[c : c + Q_BLOCK]])), pa.array([kind] * len(at), kinds_type)],
+                        names=["query_id", "item_id", "sim", "kind"],
+                    )
+
+    vectors = items.select("id", F.col("embedding").cast("array<double>").alias("embedding"), "kind").where("embedding is not null")
+    return vectors.mapInArrow(run, _found_schema(queries, items))
+
+
+def _meet(visits: DataFrame, index: B.Balls, k: int, floor: float, exclude_self: bool, schema: T.StructType) -> DataFrame:
+    """The k best of each block for the queries that meet it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                q_ids, i_ids = batch.column("q_ids")[i].values, batch.column("ids")[i].values
+                q, v = (batch.column(c)[i].values.to_numpy().reshape(len(n), -1) for c, n in (("q_flat", q_ids), ("flat", i_ids)))
+                for c in range(0, len(q), Q_BLOCK):
+                    sims = np.round(q[c : c + Q_BLOCK] @ v.T, DIGITS)
+                    some = q_ids.slice(c, Q_BLOCK)
+                    if exclude_self:
+                        _without_self(sims, some.to_pylist(), i_ids.to_pylist())
+                    out = _hits(some, i_ids, sims, batch.column("kind")[i].as_py(), batch.column("kind").type, k, floor)
+                    if out is not None:
+                        yield out
+
+    pairs = visits.join(index.packed, "block").select("q_ids", "q_flat", "ids", "flat", "kind")
+    return pairs.mapInArrow(run, schema)
+
+
+def index_topk(queries: DataFrame, items: DataFrame, k: int, *, floor: float | None, cosine: bool, exclude_self: bool, block: int | None = None, report: list | None = None) -> DataFrame:
+    """The same search by two visits of the index. ``report`` gets both visits and the index."""
+    keep = k + exclude_self
+    # of equal vectors only the smallest ids can be among the k best
+    few = checkpoint(top_k(items, ["embedding", "kind"], [F.col("id")], keep).drop("rn"))
+    index = B.build(few, cosine=cosine, block=block or I_BLOCK, least=keep)
+    schema, least = _found_schema(queries, items), -np.inf if floor is None else floor
+    first = B.visit(queries, index, B.first_blocks(keep))
+    found = checkpoint(top_k(_meet(first, index, k, least, exclude_self, schema), ["query_id", "kind"], [F.desc("sim"), F.col("item_id")], k))
+    full = found.groupBy("query_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("sim")).where(F.col("n") == k)
+    tau = full.groupBy("query_id").agg(F.collect_list(F.struct("kind", "sim")).alias("tau"))
+    again = queries.select("id", "embedding").join(tau.withColumnRenamed("query_id", "id"), "id", "left")
+    second = B.visit(again, index, B.other_blocks(keep, floor), "tau")
+    if report is not None:
+        report += [index, first, second]
+    return found.drop("rn").unionByName(_meet(second, index, k, least, exclude_self, schema))
+
+
 def similarity_topk(
     queries: DataFrame, items: DataFrame, k: int, *, min_sim: float | None = None, by_kind=False, metric="cosine", exclude_self=False
 ) -> DataFrame:
     """k most similar items per query (per kind if asked): query_id, item_id, [kind], sim,
     rn. Items below min_sim go before the cut. Ties: smaller item id. ``queries`` has id and
-    embedding, ``items`` also kind if by_kind."""
+    embedding, ``items`` also kind if by_kind. Rows without a vector are not searched."""
+    items = items.select("id", "embedding", "kind" if by_kind else F.lit(None).cast("int").alias("kind"))
+    queries = queries.select("id", "embedding")
+    size = queries.agg(F.sum(F.size("embedding").cast("long") * 8 + 16)).first()[0] or 0
+    if size <= QUERY_BYTES:
+        found = _scan(queries, items, k, -np.inf if min_sim is None else min_sim, metric == "cosine", exclude_self)
+    else:
+        found = index_topk(queries, items, k, floor=min_sim, cosine=metric == "cosine", exclude_self=exclude_self)
     kind = ["kind"] if by_kind else []
-    ni = _blocks(items, I_BLOCK)
-    q = _pack(queries.select("id", "embedding"), _blocks(queries, Q_BLOCK), "q")
-    q = q.withColumn("i_block", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
-    i = _pack(items.select("id", "embedding", *kind), ni, "i", *kind)
-    pairs = q.join(i, "i_block").select("q_ids", "q_flat", "i_ids", "i_flat", *kind)
-    cosine = metric == "cosine"
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                qi, ii = np.asarray(row.q_ids), np.asarray(row.i_ids)
-                sims = np.round(_matrix(row.q_flat, len(qi), cosine) @ _matrix(row.i_flat, len(ii), cosine).T, DIGITS)
-                if exclude_self:
-                    sims[qi[:, None] == ii[None, :]] = -np.inf
-                floor = -np.inf if min_sim is None else min_sim
-                cols = _best(sims, k)
-                q_at, i_at = np.repeat(np.arange(len(qi)), [len(c) for c in cols]), np.concatenate(cols)
-                found = sims[q_at, i_at]
-                keep = (found >= floor) & np.isfinite(found)
-                out = pd.DataFrame({"query_id": qi[q_at[keep]], "item_id": ii[i_at[keep]], "sim": found[keep]})
-                yield out.assign(kind=row.kind) if by_kind else out
-
-    ident = queries.schema["id"].dataType.simpleString()
-    schema = f"query_id {ident}, item_id {items.schema['id'].dataType.simpleString()}, sim double"
-    if by_kind:
-        schema += f", kind {items.schema['kind'].dataType.simpleString()}"
-    found = pairs.mapInPandas(search, schema)
-    return top_k(found, ["query_id", *kind], [F.desc("sim"), F.col("item_id")], k)
-
-
-def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
-    """All pairs a < b of distinct vectors with cosine >= threshold (a, b, sim), and a link
-    from the smallest id of equal vectors to each of its copies (sim 1). A group of n copies
-    gives n - 1 links, not n^2 pairs, and its first id stands for it in the other pairs."""
+    return top_k(found.select("query_id", "item_id", "sim", *kind), ["query_id", *kind], [F.desc("sim"), F.col("item_id")], k)
+
+
+def _representatives(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first of equal vectors (id, embedding, kind), and a link from it to each of the others."""
     reps = items.groupBy("embedding").agg(F.min("id").alias("rep"))
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     links = lookup(items, reps, ["embedding"], "inner").where((F.col("id") != F.col("rep")) & (norm > 0))
     links = links.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
-    vectors = reps.select(F.col("rep").alias("id"), "embedding")
-    n = _blocks(vectors, I_BLOCK)
-    packed = _pack(vectors, n, "i")
-    left = packed.select(
-        F.col("i_block").alias("l_block"), F.col("i_ids").alias("q_ids"), F.col("i_flat").alias("q_flat"),
-        F.explode(F.sequence("i_block", F.lit(n - 1))).alias("i_block"),
-    )
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return reps.select(F.col("rep").alias("id"), "embedding", F.lit(None).cast("int").alias("kind")), links
+
+
+def _piles(directory: B.Directory, angle: float) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks that the directory alone shows to be connected: a number for each such pile of
+    blocks (-1: none), and for each block another one of its pile, all of whose items are near
+    all of its own (-1: none). Only blocks half as wide as the threshold's angle count."""
+    _, block, centre, _, high, _ = directory.kinds[0]
+    pile, near = np.full(len(block), -1), np.full(len(block), -1)
+    tight = np.flatnonzero((centre >= 0) & (2 * (high + B.SLACK) <= angle))
+    if not len(tight):
+        return pile, near
+    names, first = np.unique(centre[tight], return_index=True)
+    head = tight[first]  # the first block of each centre
+    wide = np.zeros(len(names))
+    of = np.searchsorted(names, centre[tight])
+    np.maximum.at(wide, of, high[tight])
+    c = directory.centres[names]
+    sure = np.arccos(np.clip(c @ c.T, -1, 1)) + wide[:, None] + wide + 3 * B.SLACK <= angle
+    label = np.full(len(names), -1)
+    for i in range(len(names)):
+        if label[i] < 0:
+            label[i], todo = i, [i]
+            while todo:
+                at = todo.pop()
+                new = np.flatnonzero(sure[at] & (label < 0))
+                label[new], near[head[new]] = i, block[head[at]]
+                todo += new.tolist()
+    pile[tight] = label[of]
+    rest = tight != head[of]
+    near[tight[rest]] = block[head[of[rest]]]
+    return pile, near
+
+
+def _range_join(index: B.Balls, threshold: float, piles: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Each block as queries, with the blocks from itself on (by number) that its items reach
+    within the threshold's angle, and those items: every pair of items meets in one place.
+    With ``piles`` only the numbers of blocks, and those of one pile meet in a tree."""
+    shared = index.packed.sparkSession.sparkContext.broadcast(index.directory)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = shared.value
+        _, block, centre, low, high, _ = directory.kinds[0]
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                qi, ii = np.asarray(row.q_ids), np.asarray(row.i_ids)
-                sims = _matrix(row.q_flat, len(qi), True) @ _matrix(row.i_flat, len(ii), True).T
-                keep = sims >= threshold
-                if row.l_block == row.i_block:
-                    keep &= qi[:, None] < ii[None, :]
-                r, c = np.nonzero(keep)
-                if len(r):
-                    yield pd.DataFrame({"a": np.minimum(qi[r], ii[c]), "b": np.maximum(qi[r], ii[c]), "sim": sims[r, c]})
+            for i in range(len(batch)):
+                own, ids = batch.column("block")[i].as_py(), batch.column("ids")[i].values
+                v = batch.column("flat")[i].values.to_numpy().reshape(len(ids), -1)
+                length = np.sqrt((v * v).sum(axis=1))
+                step = max(1, B.BOUNDS // len(block))
+                need = []
+                for a in range(0, len(v), step):
+                    bound = directory.bounds(directory.near(v[a : a + step]), length[a : a + step], centre, low, high)
+                    need.append((bound >= threshold - 1e-9) & (block >= own))
+                need = np.concatenate(need)
+                if piles is not None:
+                    pile, near = piles
+                    me = int(np.searchsorted(block, own))
+                    if pile[me] >= 0:
+                        need[:, pile == pile[me]] = False
+                        need[:, block == near[me]] = True
+                for j in np.flatnonzero(need.any(axis=0)):
+                    at = np.arange(0) if piles is not None else np.arange(len(ids)) if block[j] == own else np.flatnonzero(need[:, j])
+                    flat = v[at].ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([block[j]], pa.int64()), B.lists(ids.take(pa.array(at)), [len(at)]), B.lists(flat, [len(flat)])], names=["q_block", "block", "q_ids", "q_flat"])
+
+    schema = T.StructType([T.StructField("q_block", T.LongType()), T.StructField("block", T.LongType()), *[T.StructField(n, index.packed.schema[of].dataType) for n, of in (("q_ids", "ids"), ("q_flat", "flat"))]])
+    return index.packed.select("block", "ids", "flat").mapInArrow(run, schema)
+
+
+def similar_pairs(items: DataFrame, threshold: float, *, block: int | None = None) -> DataFrame:
+    """All pairs a < b of distinct vectors with cosine >= threshold (a, b, sim), and a link
+    from the smallest id of equal vectors to each of its copies (sim 1). A group of n copies
+    gives n - 1 links, not n^2 pairs, and its first id stands for it in the other pairs."""
+    vectors, links = _representatives(items)
+    index = B.build(vectors, block=block or I_BLOCK)
+    if not index.directory.kinds:
+        return links
 
-    pairs = left.join(packed, "i_block").select("l_block", "i_block", "q_ids", "q_flat", "i_ids", "i_flat")
-    ident = items.schema["id"].dataType.simpleString()
-    return pairs.mapInPandas(search, f"a {ident}, b {ident}, sim double").unionByName(links)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                q_ids, i_ids = batch.column("q_ids")[i].values, batch.column("ids")[i].values
+                q, v = (batch.column(c)[i].values.to_numpy().reshape(len(n), -1) for c, n in (("q_flat", q_ids), ("flat", i_ids)))
+                own = batch.column("q_block")[i].as_py() == batch.column("block")[i].as_py()
+                for c in range(0, len(q), Q_BLOCK):
+                    keep = (sims := q[c : c + Q_BLOCK] @ v.T) >= threshold
+                    if own:  # both sides are the same rows in the order of ids
+                        keep &= np.arange(c, c + len(keep))[:, None] < np.arange(len(v))
+                    r, j = np.nonzero(keep)
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(r + c)), i_ids.take(pa.array(j)), pa.array(sims[r, j])], names=["a", "b", "sim"])
+
+    ident = items.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", ident), T.StructField("b", ident), T.StructField("sim", T.DoubleType())])
+    found = _range_join(index, threshold).join(index.packed, "block").select("q_block", "block", "q_ids", "q_flat", "ids", "flat").mapInArrow(run, schema)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").unionByName(links)
+
+
+def _labels(near: np.ndarray) -> np.ndarray:
+    """Component of each row of a symmetric relation: the smallest row reachable."""
+    n = len(near)
+    label = np.full(n, -1)
+    for i in range(n):
+        if label[i] < 0:
+            label[i] = i
+            todo = [i]
+            while todo:
+                new = np.flatnonzero(near[todo].any(axis=0) & (label < 0))
+                label[new] = i
+                todo = new.tolist()
+    return label
+
+
+def similar_links(items: DataFrame, threshold: float, *, block: int | None = None) -> DataFrame:
+    """Links (a, b) with the same connected components as ``similar_pairs``, but no more than a
+    few for each item: a block of the index links each of its items once, and two blocks give one
+    link for each pair of their components that touch. Blocks of a pile of near-copies are one
+    component each and meet in a tree, so a pile gives about as many links as it has items."""
+    vectors, copies = _representatives(items)
+    index = B.build(vectors, block=block or I_BLOCK)
+    copies = copies.select("a", "b")
+    if not index.directory.kinds:
+        return copies
+    ident = items.schema["id"].dataType
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids = batch.column("ids")[i].values
+                v = batch.column("flat")[i].values.to_numpy().reshape(len(ids), -1)
+                close = 2 * (batch.column("high")[i].as_py() + B.SLACK) <= angle and batch.column("centre")[i].as_py() >= 0
+                label = np.zeros(len(ids), np.int64) if close else _labels(v @ v.T >= threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(i, 1) for c in ("block", "centre", "high", "ids", "flat")), B.lists(label, [len(label)])],
+                    names=["block", "centre", "high", "ids", "flat", "labels"],
+                )
+
+    fields = [index.packed.schema[c] for c in ("block", "centre", "high", "ids", "flat")]
+    labelled = checkpoint(index.packed.select("block", "centre", "high", "ids", "flat").mapInArrow(inside, T.StructType([*fields, T.StructField("labels", T.ArrayType(T.LongType()))])))
+    own = labelled.select(F.posexplode("labels").alias("i", "label"), "ids").where("i <> label")
+    own = own.select(F.col("ids")[F.col("label").cast("int")].alias("a"), F.col("ids")[F.col("i")].alias("b"))
+
+    shared = items.sparkSession.sparkContext.broadcast(index.directory.centres)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = shared.value
+        for batch in batches:
+            for i in range(len(batch)):
+                ids = [batch.column(c)[i].values for c in ("q_ids", "ids")]
+                q, v = (batch.column(c)[i].values.to_numpy().reshape(len(n), -1) for c, n in zip(("q_flat", "flat"), ids))
+                of = [batch.column(c)[i].values.to_numpy() for c in ("q_labels", "labels")]
+                met: dict[tuple[int, int], tuple[int, int]] = {}
+                c1, c2, h1, h2 = (batch.column(c)[i].as_py() for c in ("q_centre", "centre", "q_high", "high"))
+                if min(c1, c2) >= 0 and h1 + h2 + np.arccos(np.clip(centres[c1] @ centres[c2], -1, 1)) + 3 * B.SLACK <= angle:
+                    # every item of the one is near every item of the other
+                    met = {(0, x): (0, int(x)) for x in np.unique(of[1])} | {(x, 0): (int(x), 0) for x in np.unique(of[0])}
+                    q = q[:0]
+                for c in range(0, len(q), Q_BLOCK):
+                    r, j = np.nonzero(q[c : c + Q_BLOCK] @ v.T >= threshold)
+                    both = of[0][r + c] * len(v) + of[1][j]
+                    _, first = np.unique(both, return_index=True)
+                    for f in first:
+                        met.setdefault((int(of[0][r[f] + c]), int(of[1][j[f]])), (int(r[f] + c), int(j[f])))
+                if met:
+                    yield pa.RecordBatch.from_arrays([ids[0].take(pa.array([x for x, _ in met.values()])), ids[1].take(pa.array([y for _, y in met.values()]))], names=["a", "b"])
+
+    reach = _range_join(index, threshold, _piles(index.directory, angle)).where("q_block <> block").select("q_block", "block")
+    left = labelled.select(*[F.col(c).alias(f"q_{c}") for c in labelled.columns])
+    met = reach.join(left, "q_block").join(labelled, "block")
+    met = met.mapInArrow(across, T.StructType([T.StructField("a", ident), T.StructField("b", ident)]))
+    return own.unionByName(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(copies)
 
 
 def dense_batch_topk(queries: DataFrame, docs: DataFrame, k: int, payload: list[str]) -> DataFrame:
@@ -137,68 +367,3 @@ def dense_batch_topk(queries: DataFrame, docs: DataFrame, k: int, payload: list[
     hits = similarity_topk(queries, docs, k, metric="dot")
     body = docs.select(F.col("id").alias("item_id"), *payload)
     return lookup(hits, body, ["item_id"])
-
-
-def terms_of(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, k1=0.9, b=0.4) -> DataFrame:
-    """k best documents per query by BM25 (query_id, doc_id, score, rn). Query terms count
-    once. ``queries`` has query_id, text; ``docs`` has doc_id, text.
-
-    Postings are scored against blocks of queries by a matrix product, so a term shared by
-    every document and query never becomes a row per document-query pair.
-    """
-    q = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    q = checkpoint(q)
-    d = docs.select("doc_id", terms_of(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    n, avg = d.agg(F.count(F.lit(1)), F.avg("len")).first()
-    vocab = q.select("term").distinct()
-    words = d.select("doc_id", "len", F.explode("t").alias("term")).join(vocab, "term", "left_semi")
-    # read twice below, and a pass over every text to make
-    tf = checkpoint(words.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = tf.join(idf, "term")
-    w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(avg or 1))))
-    posts = weighted.select("doc_id", F.xxhash64("term").alias("code"), w.alias("w"))
-
-    nd, nq = _blocks(docs, DOC_BLOCK), _blocks(queries, TERM_QUERIES)
-    blk = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    dp = posts.groupBy(blk("doc_id", nd).alias("d_block")).agg(F.collect_list(F.struct("doc_id", "code", "w")).alias("r"))
-    dp = dp.select("d_block", *[F.transform("r", lambda x: x[c]).alias(f"d_{c}") for c in ("doc_id", "code", "w")])
-    qp = q.withColumn("code", F.xxhash64("term")).groupBy(blk("query_id", nq).alias("q_block"))
-    qp = qp.agg(F.collect_list(F.struct("query_id", "code")).alias("r"))
-    qp = qp.select(*[F.transform("r", lambda x: x[c]).alias(f"q_{c}") for c in ("query_id", "code")],
-                   F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("d_block"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                terms, q_col = np.unique(np.asarray(row.q_code), return_inverse=True)
-                q_ids, q_row = np.unique(np.asarray(row.q_query_id), return_inverse=True)
-                code = np.asarray(row.d_code)
-                at = np.minimum(np.searchsorted(terms, code), len(terms) - 1)
-                hit = terms[at] == code
-                d_ids, d_row = np.unique(np.asarray(row.d_doc_id)[hit], return_inverse=True)
-                if not len(d_ids):
-                    continue
-                scores, place, weight = np.zeros((len(q_ids), len(d_ids))), at[hit], np.asarray(row.d_w)[hit]
-                for c in range(0, len(terms), TERM_CHUNK):  # long queries do not widen the matrices
-                    width = min(TERM_CHUNK, len(terms) - c)
-                    docs_m, q_m = np.zeros((len(d_ids), width)), np.zeros((len(q_ids), width))
-                    x, y = (place >= c) & (place < c + width), (q_col >= c) & (q_col < c + width)
-                    docs_m[d_row[x], place[x] - c] = weight[x]
-                    q_m[q_row[y], q_col[y] - c] = 1.0
-                    scores += q_m @ docs_m.T
-                scores = np.round(scores, DIGITS)
-                cols = _best(scores, k)
-                q_at, d_at = np.repeat(np.arange(len(q_ids)), [len(c) for c in cols]), np.concatenate(cols)
-                found = scores[q_at, d_at]
-                keep = found > 0
-                yield pd.DataFrame({"query_id": q_ids[q_at[keep]], "doc_id": d_ids[d_at[keep]], "score": found[keep]})
-
-    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
-    found = qp.join(dp, "d_block").drop("d_block").mapInPandas(score, types + ", score double")
-    return top_k(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)

@@ -314,6 +314,8 @@ def test_column_union_conflict(spark):
     a = spark.createDataFrame([(1, nan, "nan")], "k int, x double, s string")
     assert merge_columns(a, a.withColumn("y", F.lit(1)), ["k"]).count() == 1
     with pytest.raises(Exception, match="one of the two tables only"):
-        merge_columns(a, a.withColumn("k", F.concat("k", F.lit("x"))).unionByName(a), ["k"]).collect()
+        merge_columns(a, a.withColumn("k", F.col("k") + 1).unionByName(a), ["k"]).collect()
+    with pytest.raises(TypeError, match="key k is int"):
+        merge_columns(a, a.withColumn("k", F.concat("k", F.lit("x"))), ["k"])
     with pytest.raises(Exception, match="differs"):
         merge_columns(a, a.withColumn("x", F.lit(2.0)), ["k"]).collect()
