@@ -4,8 +4,8 @@ Postings. The (document, weight) pairs of each query term are sorted by weight a
 blocks of ``BLOCK`` by a range partitioning over (term, weight): the list of a term that every
 document holds fills as many tasks as it needs, and each block knows its largest weight.
 
-Ranking. (1) A query's rarest terms give partial scores, whose k-th best is a floor: the k-th
-best full score is no lower. (2) Its terms of the smallest bounds, as many as cannot reach the
+Ranking. (1) A query's rarest terms name a few likely documents, which are scored in full; the
+k-th best of them is a floor, as the k-th best of all documents is no lower. (2) Its terms of the smallest bounds, as many as cannot reach the
 floor together, only add to documents that some other term has found; a block of another
 term is left out where its largest weight and the bounds of all other terms stay below the
 floor. What is left meets the query in an equi-join on the term and is summed by (query,
@@ -31,6 +31,8 @@ from stepfold.plans.skew import top_k
 BLOCK = 1024
 #: Postings, as a multiple of k, that a query's rarest terms supply for its floor, about.
 SEED = 32
+#: Documents scored in full for the floor, as a multiple of k.
+TRIED = 4
 #: What summing in another order may change.
 SLACK = 1e-9
 
@@ -42,10 +44,13 @@ def terms_of(c: Column) -> Column:
 def weights(terms: DataFrame, docs: DataFrame, k1: float, b: float) -> DataFrame:
     """term, doc_id, w: the BM25 weight of every given term in every document that holds it."""
     d = docs.select("doc_id", terms_of(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    n, avg = d.agg(F.count(F.lit(1)), F.avg("len")).first()
-    words = d.select("doc_id", "len", F.explode("t").alias("term")).join(terms, "term", "left_semi")
-    # read twice below, and a pass over every text to make
-    tf = checkpoint(words.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    # the empty term stands for the document itself, so that one pass over the texts counts both
+    each = F.concat(F.array(F.lit("")), F.coalesce("t", F.array().cast("array<string>")))
+    words = d.select("doc_id", "len", F.explode(each).alias("term")).join(terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+    both = checkpoint(words.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n, total, measured = both.where("term = ''").agg(F.sum("tf"), F.sum(F.col("len") * F.col("tf")), F.sum(F.when(F.col("len").isNotNull(), F.col("tf")))).first()
+    n, avg = n or 0, total / measured if total else None
+    tf = both.where("term <> ''")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(avg or 1))))
@@ -100,7 +105,9 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, k1=0.9, b=0.4, dig
     rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     seed = qt.withColumn("__before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("__before") < SEED * k)
     part = _spread(seed.select("query_id", "term").join(blocks, "term"), "query_id").groupBy("query_id", "doc_id").agg(F.sum("w").alias("w"))
-    kth = top_k(part, ["query_id"], [F.desc("w")], k).where(F.col("rn") == k).select("query_id", F.col("w").alias("floor"))
+    likely = top_k(part, ["query_id"], [F.desc("w"), F.col("doc_id")], TRIED * k).select("query_id", "doc_id")
+    tried = likely.join(q, "query_id").join(_spread(blocks, "term"), ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum("w").alias("w"))
+    kth = top_k(tried, ["query_id"], [F.desc("w")], k).where(F.col("rn") == k).select("query_id", F.col("w").alias("floor"))
     # terms in the order of their bounds: those whose running sum stays below the floor are put aside
     upward = Window.partitionBy("query_id").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = qt.join(kth, "query_id", "left").withColumns({"floor": F.coalesce("floor", F.lit(0.0)) - SLACK, "__sum": F.sum("top").over(upward), "__all": F.sum("top").over(Window.partitionBy("query_id"))})
