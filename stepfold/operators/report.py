@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepfold.operators.votes import bootstrap_at_n, majority_at_n, majority_exact, majority_value, powers_of_two  # noqa: F401
 from stepfold.plans.skew import beside, group_values, lookup, match, rank, rename_keys, running, top_k
 
 
@@ -295,9 +296,7 @@ def best_worst_at_n(df: DataFrame, keys: Sequence[str], value: str, ns: Sequence
     d = running(counts, keys, ["__v"], "__v", __cum=F.col("__c"))
     totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     if ns is None:
-        top = F.ceil(F.log2(F.col("__n").cast("double"))).cast("int")
-        steps = F.transform(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda i: F.least(F.pow(F.lit(2.0), i), F.col("__n").cast("double")).cast("long"))
-        totals = totals.where("__n > 1").withColumn("__ns", F.array_distinct(steps))
+        totals = totals.withColumn("__ns", powers_of_two(F.col("__n")))
     else:
         totals = totals.withColumn("__ns", F.array(*[F.lit(int(n)).cast("long") for n in ns]))
     d = lookup(d, totals, keys, "inner").withColumn("n", F.explode("__ns"))
@@ -312,29 +311,10 @@ def best_worst_at_n(df: DataFrame, keys: Sequence[str], value: str, ns: Sequence
                       F.col("__w1").alias("worst_mean"), sd("w").alias("worst_std"))
 
 
-def majority_value(df: DataFrame, keys: Sequence[str], *, vote="pred", value="val", order="ord") -> DataFrame:
-    """Value of the first row of the most frequent vote; on a tie the vote seen first."""
-    per = df.groupBy(*keys, vote).agg(one("__n"), F.min(order).alias("__o"), F.min_by(value, order).alias("__v"))
-    return per.groupBy(*keys).agg(F.max_by("__v", F.struct("__n", -F.col("__o"))).alias("majority"))
-
-
-def majority_at_n(df: DataFrame, keys: Sequence[str], n: int, *, rounds=1000, seed=42, vote="pred", value="val", order="ord"):
-    """Bootstrap mean and std of the majority value of n draws with replacement. Draw
-    numbers come from a hash, so the result does not depend on the partitioning."""
-    keys = list(keys)
-    r = rank(df, keys, [order], order, "__pos").select(*keys, "__pos", vote, value)
-    sizes = df.groupBy(*keys).agg(one("__n"))
-    draws = sizes.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    draws = draws.withColumn("__j", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    pick = F.pmod(F.xxhash64(F.lit(seed), *keys, "__b", "__j"), F.col("__n")) + 1
-    draws = draws.withColumn("__pos", pick)
-    d = draws.join(rename_keys(r, [*keys, "__pos"]), match([*keys, "__pos"])).select(*keys, "__b", "__j", vote, value)
-    per = majority_value(d, [*keys, "__b"], vote=vote, value=value, order="__j")
-    return per.groupBy(*keys).agg(F.avg("majority").alias("maj_mean"), F.stddev_pop("majority").alias("maj_std"))
-
-
-def validation_report(df: DataFrame, *, source="data_source", prompt="prompt", value="score") -> DataFrame:
-    """mean@N, std@N, best and worst@{2,4,..,N} per prompt, then means over the prompts."""
+def validation_report(df: DataFrame, *, source="data_source", prompt="prompt", value="score", vote: str | None = None) -> DataFrame:
+    """mean@N, std@N, best and worst@{2,4,..,N} per prompt, then means over the prompts. With
+    ``vote`` also the mean and std of the majority vote's value, maj@{2,4,..,N}/mean and /std;
+    for more draws than ``votes.EXACT`` use ``majority_at_n``."""
     keys = [source, prompt]
     base = df.groupBy(*keys).agg(one("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     tag = lambda p, n: F.concat(F.lit(p), F.col(n).cast("string"))
@@ -344,7 +324,12 @@ def validation_report(df: DataFrame, *, source="data_source", prompt="prompt", v
     bw = best_worst_at_n(df, keys, value)
     cols = {"best@": "best_mean", "worst@": "worst_mean"}
     bw = bw.select(source, F.explode(F.array(*[pair(tag(p, "n"), F.col(c)) for p, c in cols.items()])).alias("m"))
-    d = flat.unionByName(bw).select(source, "m.metric", "m.value").where("value IS NOT NULL")
+    flat = flat.unionByName(bw)
+    if vote is not None:
+        won = majority_exact(df, keys, vote=vote, value=value)
+        both = [pair(F.concat(tag("maj@", "n"), F.lit(f"/{c}")), F.col(f"maj_{c}")) for c in ("mean", "std")]
+        flat = flat.unionByName(won.select(source, F.explode(F.array(*both)).alias("m")))
+    d = flat.select(source, "m.metric", "m.value").where("value IS NOT NULL")
     return d.groupBy(source, "metric").agg(F.avg("value").alias("value"))
 
 

@@ -267,7 +267,37 @@ def _(spark, sf):
     return d.withColumn("majority", r6("majority"))
 
 
-@query("majority_at_n")
+def _draws_sql(n: str, rounds: int) -> str:
+    """Every draw of the bootstrap with the row it takes."""
+    return f"""pos AS (SELECT uid, row_id, score, data_source AS pred, row_number() OVER (PARTITION BY uid ORDER BY row_id) AS pos FROM responses),
+sizes AS (SELECT uid, count(*) AS size FROM pos GROUP BY uid), ask AS (SELECT uid, size, unnest({n}) AS n FROM sizes),
+hashed AS (SELECT uid, n, b, j, CAST('0x' || substr(md5('42:' || uid || ':' || n || ':' || b || ':' || j), 1, 12) AS BIGINT) % size + 1 AS pos
+  FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM (SELECT *, unnest(range(1, {rounds + 1})) AS b FROM ask))),
+drawn AS (SELECT uid, n, b, j, score, pred FROM hashed JOIN pos USING (uid, pos))"""
+
+
+@query("bootstrap_at_n", f"""WITH {RESPONSES_SQL}, {_draws_sql('[2, 5]', 20)}, per AS (SELECT uid, n, b, max(score) AS h, min(score) AS l FROM drawn GROUP BY ALL)
+SELECT uid, CAST(n AS BIGINT) AS n, {q6('avg(h)')} AS best_mean, {q6('stddev_pop(h)')} AS best_std, {q6('avg(l)')} AS worst_mean, {q6('stddev_pop(l)')} AS worst_std FROM per GROUP BY uid, n""")
+def _(spark, sf):
+    d = P.bootstrap_at_n(V.responses(spark, sf), ["uid"], "score", [2, 5], rounds=20, order="row_id")
+    return d.withColumns({c: r6(c) for c in ("best_mean", "best_std", "worst_mean", "worst_std")})
+
+
+@query("majority_exact", f"""WITH {RESPONSES_SQL}, c AS (SELECT uid, data_source AS p, count(*) / sum(count(*)) OVER (PARTITION BY uid) AS share, avg(score) AS m, avg(score * score) AS s FROM responses GROUP BY uid, data_source),
+e AS (SELECT uid, x.share * y.share * z.share * w.share AS chance, [x.p, y.p, z.p, w.p] AS votes FROM c x JOIN c y USING (uid) JOIN c z USING (uid) JOIN c w USING (uid)),
+k AS (SELECT uid, chance, votes, list_transform(votes, lambda v: len(list_filter(votes, lambda o: o = v))) AS n FROM e),
+won AS (SELECT uid, votes[list_position(n, list_max(n))] AS p, chance FROM k),
+g AS (SELECT won.uid, sum(chance * m) AS m, sum(chance * s) AS s FROM won JOIN c ON won.uid = c.uid AND won.p = c.p GROUP BY won.uid)
+SELECT uid, CAST(4 AS BIGINT) AS n, {q6('m')} AS maj_mean, (round(sqrt(greatest(s - m * m, 0)) + 2.718281e-9, 4) + 0.0) AS maj_std FROM g""")
+def _(spark, sf):
+    d = P.majority_exact(V.responses(spark, sf), ["uid"], [4], vote="data_source", value="score")
+    return d.withColumns({"maj_mean": r6("maj_mean"), "maj_std": F.round(F.col("maj_std") + 2.718281e-9, 4) + F.lit(0.0)})
+
+
+@query("majority_at_n", f"""WITH {RESPONSES_SQL}, {_draws_sql('[3]', 16)},
+v AS (SELECT uid, b, pred, count(*) AS c, min(j) AS j, arg_min(score, j) AS score FROM drawn GROUP BY uid, b, pred),
+w AS (SELECT uid, b, score, row_number() OVER (PARTITION BY uid, b ORDER BY c DESC, j) AS rn FROM v)
+SELECT uid, {q6('avg(score)')} AS maj_mean, {q6('stddev_pop(score)')} AS maj_std FROM w WHERE rn = 1 GROUP BY uid""")
 def _(spark, sf):
     d = P.majority_at_n(V.responses(spark, sf), ["uid"], 3, rounds=16, vote="data_source", value="score", order="row_id")
     return d.select("uid", r6("maj_mean").alias("maj_mean"), r6("maj_std").alias("maj_std"))
@@ -285,6 +315,26 @@ def _(spark, sf):
     return P.validation_report(d).withColumn("value", r6("value"))
 
 
+@query("validation_report_votes", f"""WITH {RESPONSES_SQL}, {_BW_SQL}, p AS (SELECT uid, count(*) AS n, avg(score) AS m, stddev_pop(score) AS s FROM responses GROUP BY uid),
+nn AS (SELECT uid, n AS size, unnest(list_distinct(list_append(list_filter([2, 4, 8, 16, 32, 64], lambda x: x < n), n))) AS n FROM p WHERE n > 1),
+b AS (SELECT nn.uid, nn.n, sum(score * (pow(le, nn.n) - pow(lt, nn.n))) AS bm, sum(score * (pow(1 - lt, nn.n) - pow(1 - le, nn.n))) AS wm
+  FROM nn JOIN d ON nn.uid = d.uid GROUP BY nn.uid, nn.n),
+c AS (SELECT uid, label, count(*) AS c, avg(score) AS m, avg(score * score) AS s FROM responses GROUP BY uid, label),
+two AS (SELECT uid, coalesce(max(c) FILTER (label = 1), 0) AS cx, coalesce(max(m) FILTER (label = 1), 0) AS mx, coalesce(max(s) FILTER (label = 1), 0) AS sx,
+  coalesce(max(c) FILTER (label = 0), 0) AS cy, coalesce(max(m) FILTER (label = 0), 0) AS my, coalesce(max(s) FILTER (label = 0), 0) AS sy FROM c GROUP BY uid),
+t AS (SELECT uid, n, size, unnest(range(0, n + 1)) AS i FROM nn),
+q AS (SELECT *, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)) * pow(cx / size, i) * pow(cy / size, n - i) AS chance,
+  CASE WHEN 2 * i > n THEN 1.0 WHEN 2 * i = n THEN 0.5 ELSE 0.0 END AS x FROM t JOIN two USING (uid)),
+g AS (SELECT uid, n, sum(chance * (x * mx + (1 - x) * my)) AS m, sum(chance * (x * sx + (1 - x) * sy)) AS s FROM q GROUP BY uid, n),
+u AS (SELECT 'mean@' || n AS metric, m AS v FROM p UNION ALL SELECT 'std@' || n, s FROM p WHERE n > 1
+  UNION ALL SELECT 'best@' || n, bm FROM b UNION ALL SELECT 'worst@' || n, wm FROM b
+  UNION ALL SELECT 'maj@' || n || '/mean', m FROM g UNION ALL SELECT 'maj@' || n || '/std', sqrt(greatest(s - m * m, 0)) FROM g)
+SELECT 'orders' AS data_source, metric, (round(avg(v) + 2.718281e-9, 5) + 0.0) AS value FROM u GROUP BY metric""")
+def _(spark, sf):
+    d = V.responses(spark, sf).select(F.lit("orders").alias("data_source"), F.col("uid").alias("prompt"), "score", "label")
+    return P.validation_report(d, vote="label").withColumn("value", F.round(F.col("value") + 2.718281e-9, 5) + F.lit(0.0))
+
+
 @query("source_scores", f"""WITH {STEPS_SQL}, f AS (SELECT * FROM steps WHERE step = 1)
 SELECT s.data_source, {q6('avg(s.reward)')} AS test_score, {q6('(SELECT avg(tool_calling) FROM f WHERE f.data_source = s.data_source)')} AS tool_call_mean
 FROM steps s GROUP BY s.data_source""")
