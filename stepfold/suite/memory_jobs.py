@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stepfold.operators import joins as J
 from stepfold.operators import memory as M
+from stepfold.operators import ordered as N
 from stepfold.operators import postings as P
 from stepfold.operators import similarity as X
 from stepfold.plans import views as V
@@ -293,6 +294,20 @@ def _(spark, sf):
     return M.plan_merges(*_ops(spark, sf), 0.3)
 
 
+@query("ordered_merges")
+def _(spark, sf):
+    plan = N.plan_ordered_merges(*_ops(spark, sf), 0.3)
+    return plan.select("op_id", "action", "node", as_text("taken").alias("taken"))
+
+
+@query("ordered_merge_library")
+def _(spark, sf):
+    existing, ops = _ops(spark, sf)
+    text = lambda d, c: d.withColumn("text", F.concat(F.lit("t"), F.col(c).cast("string")))
+    plan = N.plan_ordered_merges(existing, ops, 0.3)
+    return N.apply_ordered_merges(text(existing, "id"), text(ops, "op_id"), plan).select("id", "text")
+
+
 @query("reduce_to_limit")
 def _(spark, sf):
     lib = V.items(spark, sf).select(F.col("id").alias("exp_no"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), "embedding")

@@ -5,7 +5,7 @@ import pytest
 from stepfold.suite import ORACLES, QUERIES
 from tests.oracle import compare
 
-ITERATIVE = {"plan_merges", "reduce_to_limit", "step_groups_similar"}  # tested in test_algorithms
+ITERATIVE = {"ordered_merges", "ordered_merge_library", "plan_merges", "reduce_to_limit", "step_groups_similar"}  # tested in test_algorithms
 SPLIT = [
     "discounted_returns", "gigpo_advantage", "grpo_advantage", "passk_advantage", "reinforce_pp", "gae", "place_reward",
     "pairwise_accuracy", "latency_report_interpolated", "best_worst_at_n", "stratified_split", "expand_sqrt", "pad_to_divisor",
