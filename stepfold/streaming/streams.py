@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -187,7 +188,7 @@ def fill_batches(df: DataFrame, n: int, *, keys=("queue",), order="event_id") ->
 
 def stream_fill_batches(df: DataFrame, n: int, *, order="event_id") -> DataFrame:
     """Rows tagged with their batch as they arrive, and with ``closes`` on the row that fills
-    it; state is one counter per queue. What the last batch holds is flushed by the reader."""
+    it; state is one counter per queue. ``stream_fill_flush`` holds rows back and flushes the last batch."""
     def number(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
         ids = pd.concat([b[order] for b in batches]).sort_values()
@@ -199,6 +200,82 @@ def stream_fill_batches(df: DataFrame, n: int, *, order="event_id") -> DataFrame
         number, f"queue string, {order} long, batch long, closes boolean", "seen long", "append", "NoTimeout")
 
 
+class FillBuffer(StatefulProcessor):
+    """Holds a queue's rows until ``n`` are there and gives them as one batch. When nothing has
+    come for ``idle_ms``, a timer gives what is held as a short batch, marked final. Rows and timer
+    live in the state store, so a restart neither loses nor repeats a batch."""
+
+    def __init__(self, n: int, idle_ms: int, order: str):
+        self.n, self.idle_ms, self.order = n, idle_ms, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "id bigint")
+        self.done = handle.getValueState("done", "batch bigint")
+
+    def _batch(self, key, ids: list, final: bool) -> pd.DataFrame:
+        batch = self.done.get()[0] if self.done.exists() else 0
+        self.done.update((batch + 1,))
+        return pd.DataFrame({"queue": key[0], self.order: ids, "batch": batch, "final": final})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [x[0] for x in self.held.get()] if self.held.exists() else []
+        for part in rows:
+            held += part[self.order].dropna().astype("int64").tolist()
+            while len(held) >= self.n:
+                yield self._batch(key, held[: self.n], False)
+                held = held[self.n :]
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if held:
+            self.held.put([(x,) for x in held])
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        else:
+            self.held.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            ids = [x[0] for x in self.held.get()]
+            self.held.clear()
+            yield self._batch(key, ids, True)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_fill_flush(df: DataFrame, n: int, idle_sec: float = 60.0, *, order="event_id") -> DataFrame:
+    """Rows in batches of ``n`` per queue, given when a batch is full; what a queue holds after
+    ``idle_sec`` without new rows comes as a last batch with ``final`` set. State is less than one
+    batch a queue. Empty rows of a clock keep micro batches coming, so that timers have their turn
+    also where a restarted query gets no new rows."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.lit("").alias("queue"), F.lit(None).cast("long").alias(order))
+    rows = df.select(F.col("queue").cast("string").alias("queue"), F.col(order).cast("long").alias(order)).unionByName(ticks)
+    return rows.groupBy("queue").transformWithStateInPandas(
+        FillBuffer(n, int(idle_sec * 1000), order), f"queue string, {order} bigint, batch bigint, final boolean", "append", "ProcessingTime")
+
+
+def run_until_idle(stream: DataFrame, path: str, idle_sec: float, *, most_sec: float = 600.0) -> DataFrame:
+    """Run a stream with processing-time timers into ``path`` until all that is available has
+    come in and every timer of ``idle_sec`` has had its turn; read what was written."""
+    spark = stream.sparkSession
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state").start()
+    written = lambda: spark.read.schema(stream.schema).parquet(f"{path}/data")
+    rows, changed, end = 0, time.time(), time.time() + most_sec
+    try:
+        while time.time() < end and q.isActive and (not rows or time.time() < changed + 2 * idle_sec + 2):
+            time.sleep(idle_sec / 2)
+            now = written().count() if q.lastProgress else 0
+            if now != rows:
+                rows, changed = now, time.time()
+        if q.exception():
+            raise q.exception()
+    finally:
+        q.stop()
+    return written()
+
+
 # ---- retrieval and library updates --------------------------------------------------------
 
 

@@ -119,6 +119,15 @@ def _(spark, sf):
     return S.drain(S.stream_fill_batches(_queues(S.read_table_stream(spark, sf, "events")), 32))
 
 
+@query("stream_fill_flush", """WITH r AS (SELECT 'q' || (user_id % 3) AS queue, count(*) AS n FROM events GROUP BY 1),
+b AS (SELECT queue, n, unnest(range(0, (n + 32) // 33)) AS batch FROM r)
+SELECT queue, batch, least(33, n - 33 * batch) AS rows, n - 33 * batch < 33 AS "final" FROM b""")
+def _(spark, sf):
+    d = S.stream_fill_flush(_queues(S.read_table_stream(spark, sf, "events")), 33, 5.0)
+    d = S.run_until_idle(d, scratch(spark, "flush"), 5.0)
+    return d.groupBy("queue", "batch", "final").agg(F.countDistinct("event_id").alias("rows")).select("queue", "batch", "rows", "final")
+
+
 @query("stream_enrich", """SELECT doc_id, CASE lang WHEN 'de' THEN 'europe' ELSE 'asia' END AS task_type,
   contains(lang, 'de') AS europe FROM documents""")
 def _(spark, sf):

@@ -167,3 +167,49 @@ def test_stream_folds_continue_across_batches(spark, tmp_path):
     got = {r.step: r.value for r in ST.drain(ST.stream_kl_controller(stream, 0.2, 2.0, 1000.0)).collect()}
     want = {r.step: r.value for r in ST.kl_controller(log, 0.2, 2.0, 1000.0).collect()}
     assert got == pytest.approx(want)
+
+
+def test_stream_flush_comes_once_also_after_a_restart(spark, tmp_path):
+    """Five rows, batches of three: two are held, survive a stop, and come as the final batch."""
+    import time
+
+    from stepfold.streaming import streams as ST
+
+    def feed(lo, hi):
+        spark.range(lo, hi).select(F.lit("q").alias("queue"), F.col("id").alias("event_id")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def start():
+        source = spark.readStream.schema("queue string, event_id long").parquet(str(tmp_path / "in"))
+        d = ST.stream_fill_flush(source, 3, 6.0)
+        return d.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out/data")).option("checkpointLocation", str(tmp_path / "out/state")).start()
+
+    def written():
+        d = spark.read.schema("queue string, event_id long, batch long, final boolean").parquet(str(tmp_path / "out/data"))
+        return {(b, f): sorted(r.event_id for r in rows) for (b, f), rows in groups(d).items()}
+
+    def groups(d):
+        out = {}
+        for r in d.collect():
+            out.setdefault((r.batch, r.final), []).append(r)
+        return out
+
+    def wait_for(n):
+        end = time.time() + 60
+        while len(written()) < n and time.time() < end:
+            time.sleep(0.5)
+
+    feed(0, 5)
+    q = start()
+    wait_for(1)
+    first = written()
+    q.stop()
+    assert list(first) == [(0, False)] and len(first[0, False]) == 3
+    q = start()  # nothing new: the timer of the first run is due
+    wait_for(2)
+    time.sleep(8)  # no second flush
+    both = written()
+    assert set(both) == {(0, False), (1, True)} and sorted(both[0, False] + both[1, True]) == [0, 1, 2, 3, 4]
+    feed(5, 8)
+    wait_for(3)
+    q.stop()
+    assert written() == {**both, (2, False): [5, 6, 7]}
