@@ -1,15 +1,17 @@
 """Reading and writing samples, trajectory logs, metrics, timings, skill banks and libraries.
 
 Schemas are explicit. A JSON document that is one array or object is one file and so one
-row until it is exploded; line-delimited files and parquet split freely.
+row until it is exploded; line-delimited files, logs among them, and parquet split freely.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepfold.functions.normalize import slug
@@ -97,16 +99,60 @@ def _place(root: str) -> dict[str, Column]:
     return {"sample_id": sample, "rollout_id": F.coalesce(F.try_element_at(rollouts, F.lit(1)), sample), "folders": folders}
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` (value, path, block and others, as the text source gives them) with line_no, the
+    number of the line in its file, from 1.
+
+    A file may lie in several splits. A task numbers the lines of each split as they come; the
+    splits that don't begin a file add the line counts of those before them, a small table of the
+    files that were cut. Lines of whole files are never shuffled.
+    """
+    schema = lines.withColumn("at", F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            block = batch.column("block").to_numpy()
+            path = batch.column("path").dictionary_encode()
+            code = path.indices.to_numpy()
+            new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])))
+            at = np.empty(len(batch), np.int64)
+            for a, b in zip(new, [*new[1:], len(batch)]):
+                key = (path.dictionary[code[a]].as_py(), block[a])
+                n = n if key == last else 0
+                at[a:b] = np.arange(n, n + b - a)
+                last, n = key, n + b - a
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=schema.names)
+
+    d = lines.mapInArrow(run, schema)
+    counts = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("__before", F.sum("n").over(w)).where("block > 0").select("path", "block", "__before")
+    first = d.where("block = 0").withColumn("line_no", F.col("at") + 1)
+    later = d.where("block > 0").join(before, ["path", "block"]).withColumn("line_no", F.col("at") + F.col("__before") + 1)
+    return first.unionByName(later.select(first.columns)).drop("at")
+
+
 def read_trajectories(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """Every event of the trajectory files below a folder, with its line number. A file is one
-    rollout's log (lines, or one JSON array); bad lines are skipped."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-    place = _place(root)
-    d = files.select("value", *[c.alias(n) for n, c in place.items()])
-    d = d.where(~F.exists("folders", lambda p: p.isin(RESERVED)))
-    t = F.trim("value")
-    lines = F.when(t.startswith("["), F.from_json(t, "array<string>")).otherwise(F.split("value", "\n"))
-    d = d.select("sample_id", "rollout_id", F.posexplode(lines).alias("line_no", "raw"))
+    rollout's log: lines, in as many splits as it fills, or one JSON array, which is one row
+    until it is exploded. Bad lines are skipped, but count as lines."""
+    place = {n: c.alias(n) for n, c in _place(root).items()}
+    where = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), *place.values()]
+    scan = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, lineSep="\n").select("value", *where)
+    scan = scan.where(~F.exists("folders", lambda p: p.isin(RESERVED))).drop("folders").withColumn("value", F.regexp_replace("value", f"^{BOM}", ""))
+    # the driver lists all files as it is; of these, the ones that are arrays
+    start = F.min_by(F.substring(F.ltrim("value"), 1, 1), F.struct("block", "__at"))
+    placed = scan.withColumn("__at", F.monotonically_increasing_id())
+    arrays = [r["path"] for r in placed.where(F.trim("value") != "").groupBy("path").agg(start.alias("c")).where("c = '['").select("path").collect()]
+    logs = scan.where(~F.col("path").isin(arrays)) if arrays else scan
+    d = numbered_lines(logs).select("sample_id", "rollout_id", (F.col("line_no") - 1).alias("line_no"), F.col("value").alias("raw"))
+    if arrays:
+        whole = spark.read.text(arrays, wholetext=True).select(F.regexp_replace("value", f"^{BOM}", "").alias("value"), place["sample_id"], place["rollout_id"])
+        items = whole.select("sample_id", "rollout_id", F.posexplode(F.from_json(F.trim("value"), "array<string>")).alias("line_no", "raw"))
+        d = d.unionByName(items.withColumn("line_no", F.col("line_no").cast("long")))
     d = d.where(F.trim("raw").startswith("{")).withColumn("e", F.from_json("raw", EVENT_FIELDS))
     d = d.where(F.try_parse_json("raw").isNotNull())
     return d.select(

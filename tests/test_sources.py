@@ -1,6 +1,7 @@
 """File formats read and written."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +76,29 @@ def test_manifest(spark, tmp_path):
         assert spark.read.json(str(tmp_path / fmt / "manifest")).count() == 2
     with pytest.raises(ValueError):
         S.write_dataset(df, str(tmp_path / "x"), "csv")
+
+
+def test_logs_in_several_splits(spark, tmp_path):
+    """A log cut into splits has the line numbers of the whole file, blank and bad lines included."""
+    rng = random.Random(3)
+    want = {}
+    for f in range(3):
+        lines = []
+        for i in range(rng.randint(1, 120)):
+            kind = rng.random()
+            lines.append("" if kind < 0.2 else "{bad" if kind < 0.3 else json.dumps({"turn_idx": i, "text_output": "x" * rng.randint(0, 90)}) + ("\r" if kind < 0.5 else ""))
+        dump(tmp_path / "out" / f"s{f}" / "rollout_0" / "traj.jsonl", "\ufeff" * (f == 1) + "\n".join(lines) + "\n" * (f % 2))
+        want |= {(f"s{f}", n + 1): json.loads(x)["turn_idx"] for n, x in enumerate(lines) if x.startswith('{"')}
+    dump(tmp_path / "out" / "s9" / "traj.jsonl", json.dumps([{"turn_idx": i} for i in range(50)], indent=1))
+    want |= {("s9", i + 1): i for i in range(50)}
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        d = S.read_trajectories(spark, str(tmp_path / "out"))
+        got = {(r.sample_id, r.line_no): r.turn_idx for r in d.collect()}
+        blocks = spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "out")).select(F.col("_metadata.file_block_start").alias("b")).distinct().count()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert blocks > 5 and got == want
