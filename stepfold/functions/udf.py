@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import multiprocessing
+import os
+import signal
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -46,18 +51,70 @@ def register_batch_scorer(name: str, fn: Callable[[Sequence, Sequence], Sequence
     return SCORERS[name]
 
 
-def safe_score(fn: Callable) -> Callable[..., Column]:
-    """Struct (score, error): a failing scorer gives 0.0 and its message, the row stays. A
-    running task cannot be interrupted per row, so time limits belong into fn."""
+class Deadline:
+    """Calls ``fn`` in a child process that is killed and replaced when a call takes too long."""
+
+    def __init__(self, fn: Callable, seconds: float):
+        self.fn, self.seconds, self.child = fn, seconds, None
+
+    def _serve(self, pipe) -> None:
+        with contextlib.suppress(OSError, AttributeError):  # Linux: the child ends with its parent, however that ends
+            ctypes.CDLL(None).prctl(1, signal.SIGKILL)
+        keep = pipe.fileno()
+        os.closerange(3, keep)  # the worker's connections are not the child's
+        os.closerange(keep + 1, 4096)
+        with contextlib.suppress(EOFError):
+            while True:
+                args = pipe.recv()
+                try:
+                    pipe.send((_plain(self.fn(*args)), None))
+                except Exception as e:  # noqa: BLE001 - any user error is a zero score
+                    pipe.send((0.0, f"{type(e).__name__}: {e}"))
+
+    def __call__(self, *args) -> tuple[float, str | None]:
+        if self.child is None:
+            fork = multiprocessing.get_context("fork")
+            self.pipe, theirs = fork.Pipe()
+            self.child = fork.Process(target=self._serve, args=(theirs,), daemon=True)
+            self.child.start()
+            theirs.close()
+        try:
+            self.pipe.send(args)
+            if self.pipe.poll(self.seconds):
+                return self.pipe.recv()
+            why = f"TimeoutError: over {self.seconds:g} s"
+        except (EOFError, OSError):
+            why = "ChildProcessError: the scorer's process ended"
+        self.close()
+        return 0.0, why
+
+    def close(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+            self.child = None
+
+
+def safe_score(fn: Callable, timeout: float | None = None) -> Callable[..., Column]:
+    """Struct (score, error): a failing scorer gives 0.0 and its message, the row stays. With
+    ``timeout`` (seconds) so does one that takes longer, or whose process dies: calls run in one
+    child process beside each task's worker, which is killed and replaced then, and goes with the task."""
+    def direct(s, g) -> tuple[float, str | None]:
+        try:
+            return _plain(fn(s, g)), None
+        except Exception as e:  # noqa: BLE001 - any user error is a zero score
+            return 0.0, f"{type(e).__name__}: {e}"
+
     @F.pandas_udf("score double, error string")
-    def score(solution: pd.Series, truth: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s, g in zip(solution, truth):
-            try:
-                rows.append((_plain(fn(s, g)), None))
-            except Exception as e:  # noqa: BLE001 - any user error is a zero score
-                rows.append((0.0, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(rows, columns=["score", "error"])
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        call = direct if timeout is None else Deadline(fn, timeout)
+        try:
+            for solution, truth in batches:
+                yield pd.DataFrame([call(s, g) for s, g in zip(solution, truth)], columns=["score", "error"])
+        finally:
+            if timeout is not None:
+                call.close()
 
     return score
 

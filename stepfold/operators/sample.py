@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepfold.plans.session import checkpoint
 from stepfold.plans.skew import (
     beside, first_per_group, group_values, hash_at, has_hot, lookup, rank, running, top_k,
 )
@@ -145,7 +146,7 @@ def drop_uniform_groups(df: DataFrame, *, group="uid", reward="reward", keep_sin
 
 def fill_to_target(df: DataFrame, n_groups: int, *, batch="batch", group="uid") -> DataFrame:
     """Rows of the first n groups in (batch, group) order."""
-    firsts = df.groupBy(group).agg(F.min(batch).alias("__b")).orderBy("__b", group).limit(n_groups)
+    firsts = rank(df.groupBy(group).agg(F.min(batch).alias("__b")), [], ["__b", group], name="__rn").where(F.col("__rn") <= n_groups)
     return df.join(firsts.select(group), group, "left_semi")
 
 
@@ -343,8 +344,45 @@ def sample_generations(df: DataFrame, n: int, seed: int, *, text="input") -> Dat
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), text)), text).limit(n)
 
 
-def paginate(df: DataFrame, page: int, size: int, *, order: Sequence[str]) -> DataFrame:
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+def paginate(df: DataFrame, page: int, size: int, *, order: Sequence[str], rows: int = 100_000, cuts: int = 128, report: list | None = None) -> DataFrame:
+    """Rows (page - 1) * size .. page * size in ``order`` (ascending, nulls first; ties by a hash
+    of the row).
+
+    A directory narrows the table down to the page: up to ``cuts`` sampled keys cut it into
+    ranges, one pass counts them, and only the ranges that hold the page go on, until they have
+    no more than ``rows`` rows, which are sorted. No task gets the rows before the page, and
+    nothing is shuffled but counts. ``report`` gets the size of what was sorted.
+    """
+    key = F.struct(*order, F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]).alias("__row"))
+    d, skip, most = df.withColumn("__key", key), (page - 1) * size, max(rows, 2 * size)
+    left, level = None, 0
+    while left is None or left > most:
+        level += 1
+        some = d.select("__key").orderBy(F.rand(level)).limit(cuts)  # where it cuts, the page does not depend on
+        at = checkpoint(some).agg(F.array_sort(F.collect_set("__key"))).scalar()
+        ranged = d.withColumn("__at", at).withColumn("__range", F.size(F.filter("__at", lambda s: s <= F.col("__key")))).drop("__at")
+        sizes = sorted((r["__range"], r["n"]) for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
+        total, before, held = sum(n for _, n in sizes), 0, []
+        for name, n in sizes:
+            if before < skip + size and before + n > skip:
+                held.append((name, n, before))
+            before += n
+        if not held:
+            left, d = 0, d.limit(0)
+            break
+        kept = sum(n for _, n, _ in held)
+        d = ranged.where(F.col("__range").between(held[0][0], held[-1][0])).drop("__range")
+        skip -= held[0][2]
+        left = kept
+        if kept == total > most:
+            low, high = d.agg(F.min("__key"), F.max("__key")).first()
+            if low == high:  # rows that are equal in all columns: any of them
+                skip, left, d = 0, size, d.limit(size)
+            elif len(held) > 1:  # a page over the end of such a run
+                break
+    if report is not None:
+        report.append(left)
+    return d.orderBy("__key").offset(skip).limit(size).drop("__key")
 
 
 def concat_batches(dfs: Sequence[DataFrame]) -> DataFrame:

@@ -213,3 +213,56 @@ def test_stream_flush_comes_once_also_after_a_restart(spark, tmp_path):
     wait_for(3)
     q.stop()
     assert written() == {**both, (2, False): [5, 6, 7]}
+
+
+def test_deep_pages(spark):
+    """Any page equals the sorted table's, and only a small part of the table is sorted."""
+    rows = [((i * 7919) % 1000 if i % 50 else None, f"n{i % 13}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b string, c long").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    for page, size in ((1, 10), (150, 20), (7, 100), (300, 10), (301, 10), (31, 97), (1, 5000)):
+        report = []
+        got = [tuple(r) for r in S.paginate(df, page, size, order=["a", "b", "c"], rows=60, cuts=8, report=report).collect()]
+        assert got == want[(page - 1) * size : page * size]
+        assert report[0] <= max(60, 2 * size)
+    same = spark.createDataFrame([(1, "x")] * 500 + [(2, "y")] * 500, "a long, b string")
+    page = lambda n: [tuple(r) for r in S.paginate(same, n, 100, order=["a"], rows=50, cuts=4).collect()]
+    assert page(2) == [(1, "x")] * 100 and page(6) == [(2, "y")] * 100 and page(11) == []
+    assert [tuple(r) for r in S.paginate(same, 2, 450, order=["a"], rows=50, cuts=4).collect()] == [(1, "x")] * 50 + [(2, "y")] * 400
+    assert S.paginate(df.limit(0), 1, 5, order=["a"]).collect() == []
+
+
+def endless(s, truth):
+    import os
+    import time
+
+    if s == "loop":
+        while True:
+            pass
+    if s == "sleep":
+        time.sleep(100)
+    if s == "die":
+        os._exit(3)
+    return len(s) / int(truth)
+
+
+def test_scorer_with_a_deadline(spark):
+    import psutil
+
+    from stepfold.functions import udf as U
+
+    call = U.Deadline(endless, 0.5)
+    assert call("ab", 2) == (1.0, None)
+    child = call.child.pid
+    assert call("loop", 1) == (0.0, "TimeoutError: over 0.5 s") and not psutil.pid_exists(child)
+    assert call("ab", 0)[1].startswith("ZeroDivisionError") and call("abcd", 2) == (2.0, None)
+    child = call.child.pid
+    call.close()
+    assert not psutil.pid_exists(child)
+    texts = ["a", "loop", "bb", "die", "ccc", "sleep", "dddd", None]
+    df = spark.createDataFrame([(i, t, "1") for i, t in enumerate(texts)], "i long, t string, g string").coalesce(1)
+    score = U.safe_score(endless, timeout=1.0)
+    got = {r.i: (r.s.score, (r.s.error or "").split(":")[0]) for r in df.select("i", score("t", "g").alias("s")).collect()}
+    assert got == {0: (1.0, ""), 1: (0.0, "TimeoutError"), 2: (2.0, ""), 3: (0.0, "ChildProcessError"), 4: (3.0, ""), 5: (0.0, "TimeoutError"), 6: (4.0, ""), 7: (0.0, "TypeError")}
+    me = [p for p in psutil.process_iter(["cmdline", "ppid"]) if "pyspark.daemon" in " ".join(p.info["cmdline"] or [])]
+    assert all(c.status() == psutil.STATUS_ZOMBIE or not c.children() for p in me for c in p.children())
