@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from stepfold.functions.text import first_match, let, strip
 TAIL_CHARS = {"household": 30, "shop": 20, "code": 100}
 # Tool names known to the event reader.
 KNOWN_TOOLS = ["web_search", "image_search", "visit", "code_interpreter", "zoom"]
-# Text cuts of transcript steps.
-OBSERVATION_CHARS, ACTION_CHARS, OUTPUT_CHARS, FALLBACK_CHARS, TASK_CHARS = 800, 1500, 2000, 3000, 1000
+# Text cuts of transcript steps, for callers that build prompts of bounded length.
+PROMPT_CUTS = {"observation": 800, "action": 1500, "output": 2000, "fallback": 3000, "task": 1000}
 
 
 def project_tagged_action(c: Column, family: str, tag: str | None = None) -> Column:
@@ -50,6 +52,7 @@ def project_search_action(c: Column) -> Column:
     return F.struct(action.alias("action"), valid.alias("valid"))
 
 
+# The forms in which models write tool calls.
 PAYLOAD = "name string, tool_name string, tool string, arguments string, parameters string, args string"
 CALL_FORMS = [
     r"(?is)<tool_call\b[^>]*>(.*?)</tool_call>",
@@ -144,21 +147,27 @@ def event_tool_name(raw: Column, text_mentions: bool = False) -> Column:
     return let(event, pick)
 
 
-def task_description(c: Column) -> Column:
+def _cut(c: Column, n: int | None) -> Column:
+    return c if n is None else F.substring(c, 1, n)
+
+
+def task_description(c: Column, cut: int | None = None) -> Column:
+    """The task line of a prompt, else its first user turn, else all of it; ``cut``: characters kept."""
     line = [
         r"(?i)(?:Your task is to|Task:|task is to|you need to)[:\s]+(.*?)(?:\n|\z)",
         r"(?i)(?:goal|objective)[:\s]+(.*?)(?:\n|\z)",
     ]
-    found = [F.substring(strip(first_match(c, p)), 1, TASK_CHARS) for p in line]
+    found = [_cut(strip(first_match(c, p)), cut) for p in line]
     for marker in ("<|im_start|>user\n", "\nHuman: ", "\nUser: "):
         at = F.instr(c, marker)
-        found.append(F.when(at > 0, F.substring(c, at + len(marker), F.lit(TASK_CHARS))))
-    return F.coalesce(*found, F.substring(c, 1, TASK_CHARS))
+        found.append(F.when(at > 0, _cut(F.substring(c, at + len(marker), F.length(c)), cut)))
+    return F.coalesce(*found, _cut(c, cut))
 
 
-def steps_from_transcripts(df: DataFrame, prompt: str = "prompt", output: str = "output") -> DataFrame:
-    """One row per step (step, observation, action); the output is the last action."""
-    c = F.col(prompt)
+def steps_from_transcripts(df: DataFrame, prompt: str = "prompt", output: str = "output", cuts: Mapping[str, int] | None = None) -> DataFrame:
+    """One row per step (step, observation, action); the output is the last action. ``cuts``:
+    characters kept of each part, as in ``PROMPT_CUTS``; none by default."""
+    c, cuts = F.col(prompt), cuts or {}
 
     def turns(user: str, assistant: str) -> Column:
         obs = F.regexp_extract_all(c, F.lit(user), 1)
@@ -167,8 +176,8 @@ def steps_from_transcripts(df: DataFrame, prompt: str = "prompt", output: str =
         cut = F.transform(
             pairs,
             lambda p: F.struct(
-                F.substring(strip(p["o"]), 1, OBSERVATION_CHARS).alias("observation"),
-                F.substring(strip(p["a"]), 1, ACTION_CHARS).alias("action"),
+                _cut(strip(p["o"]), cuts.get("observation")).alias("observation"),
+                _cut(strip(p["a"]), cuts.get("action")).alias("action"),
             ),
         )
         return F.when((F.size(obs) > 0) & (F.size(act) > 0), cut)
@@ -176,8 +185,8 @@ def steps_from_transcripts(df: DataFrame, prompt: str = "prompt", output: str =
     chatml = turns(r"(?s)<\|im_start\|>user\n(.*?)<\|im_end\|>", r"(?s)<\|im_start\|>assistant\n(.*?)<\|im_end\|>")
     ahead = r"(?=(?:Human|User|Assistant):|\z)"
     named = turns(r"(?is)(?:Human|User):\s*(.*?)" + ahead, r"(?is)Assistant:\s*(.*?)" + ahead)
-    head = F.struct(F.substring(c, 1, FALLBACK_CHARS).alias("observation"), F.lit("").alias("action"))
-    last = F.struct(F.lit("").alias("observation"), F.substring(F.col(output), 1, OUTPUT_CHARS).alias("action"))
+    head = F.struct(_cut(c, cuts.get("fallback")).alias("observation"), F.lit("").alias("action"))
+    last = F.struct(F.lit("").alias("observation"), _cut(F.col(output), cuts.get("output")).alias("action"))
     steps = F.concat(F.coalesce(chatml, named, F.array(head)), F.array(last))
     rest = [F.col(x) for x in df.columns if x not in (prompt, output)]
     d = df.select(*rest, F.posexplode(steps).alias("__i", "__s"))

@@ -120,14 +120,24 @@ def tfidf_attributes(df: DataFrame, n: int, *, stop_words: Sequence[str], by="ca
     return g.select(by, "term", "products", (F.col("products") / F.col("n")).alias("share"))
 
 
+#: Numbers of combinations in one row before they are spelled out.
+COMBINATIONS = 4096
+
+
 def synthesize_goals(df: DataFrame, seed: int = 0, *, price: str | None = "price") -> DataFrame:
     """A goal per combination of option values, with a price cap and a weight: the mean over
     its attributes of one over the goals sharing the attribute."""
     names = F.array_sort(F.map_keys("options"))
-    start = F.array(F.array().cast("array<string>"))
-    combos = F.aggregate(names, start, lambda acc, k: F.flatten(F.transform(
-        acc, lambda done: F.transform(F.element_at(F.col("options"), k), lambda v: F.array_append(done, F.concat(k, F.lit(": "), v))))))
-    d = df.withColumn("goal_options", F.explode(combos))
+    # combinations by number, spelled out one at a time: no row ever holds them all
+    values = lambda k: F.element_at(F.col("options"), k)
+    total = F.aggregate(names, F.lit(1).cast("long"), lambda n, k: n * F.size(values(k)))
+    d = df.withColumn("__n", total).where("__n > 0").withColumn("__from", F.explode(F.expr(f"sequence(0L, __n - 1, {COMBINATIONS}L)")))
+    d = d.withColumn("__i", F.explode(F.expr(f"sequence(__from, least(__from + {COMBINATIONS}L, __n) - 1)")))
+    start = F.struct(F.col("__i").alias("i"), F.array().cast("array<string>").alias("o"))
+    step = lambda acc, k: F.struct(
+        F.floor(acc["i"] / F.size(values(k))).alias("i"),
+        F.array_append(acc["o"], F.concat(k, F.lit(": "), F.element_at(values(k), (acc["i"] % F.size(values(k)) + 1).cast("int")))).alias("o"))
+    d = d.withColumn("goal_options", F.aggregate(names, start, step, lambda acc: acc["o"])).drop("__n", "__from", "__i")
     if price is not None:
         rung = F.floor(F.col(price) / 10) + 1
         pick = F.floor(hash_uniform(seed, F.col("asin")) * len(UPPER_OF_PAIR)).cast("int")

@@ -125,7 +125,10 @@ def retrieve_template(samples: DataFrame, skills: DataFrame, k: int = 6, task_k:
     and mistakes (first five) as arrays."""
     dyn = F.col("skill_id").startswith("dyn_")
     kind = lambda v: F.col("kind") == v
-    g = skills.agg(
+    # ranked before anything is packed: only what a prompt may hold comes together
+    one = lambda cond, n: top_k(skills.where(cond).withColumn("__g", F.lit(0)), ["__g"], [F.col("ord")], n).select(*skills.columns)
+    few = skills.where(kind("general") & dyn).unionByName(one(kind("general") & ~dyn, k)).unionByName(one(kind("mistake"), 5))
+    g = few.agg(
         _ordered(kind("general") & dyn, "skill_id", "title", "principle").alias("d"),
         _ordered(kind("general") & ~dyn, "skill_id", "title", "principle").alias("s"),
         _ordered(kind("mistake"), "skill_id", "description", "how_to_avoid").alias("m"),
@@ -133,10 +136,10 @@ def retrieve_template(samples: DataFrame, skills: DataFrame, k: int = 6, task_k:
     room = F.greatest(F.lit(k) - F.size("d"), F.lit(0))
     bank = g.select(F.struct(
         F.concat("d", F.slice("s", F.lit(1), room)).alias("general"), F.slice("m", 1, 5).alias("mistakes"))).scalar()
-    tasks = skills.where(kind("task")).groupBy("category").agg(
-        _ordered(F.lit(True), "skill_id", "title", "principle", "when_to_apply").alias("task_skills"))
+    tasks = skills.where(kind("task"))
     if task_k is not None:
-        tasks = tasks.withColumn("task_skills", F.slice("task_skills", 1, task_k))
+        tasks = top_k(tasks, ["category"], [F.col("ord")], task_k).select(*skills.columns)
+    tasks = tasks.groupBy("category").agg(_ordered(F.lit(True), "skill_id", "title", "principle", "when_to_apply").alias("task_skills"))
     d = lookup(samples, tasks.withColumnRenamed("category", category), [category])
     d = d.withColumn("__b", bank)
     return d.withColumns({"general": F.col("__b.general"), "mistakes": F.col("__b.mistakes")}).drop("__b")

@@ -140,11 +140,14 @@ def _(spark, sf):
     return d.select("n", r6("mean").alias("mean"), r6("var").alias("var"))
 
 
-@query("reinforce_pp_baseline", f"""WITH {TOKENS_SQL}, {RESPONSES_SQL}, c AS (
-  SELECT row_id, score - CASE WHEN count(*) OVER g = 1 THEN 0 ELSE avg(score) OVER g END AS c
-  FROM responses WINDOW g AS (PARTITION BY uid)),
-w AS MATERIALIZED (SELECT t.row_id, pos, mask, c * mask AS v FROM tokens t JOIN c USING (row_id)), {WHITE_SQL}
-SELECT row_id, pos, {q6('(v - mean) / sqrt(var + 1e-8) * mask')} AS adv FROM w, k""")
+@query("reinforce_pp_baseline", f"""WITH {TOKENS_SQL}, {RESPONSES_SQL},
+g AS (SELECT uid, CASE WHEN count(*) = 1 THEN 0 ELSE avg(score) END AS base FROM responses GROUP BY uid),
+c AS (SELECT row_id, score - base AS c FROM responses JOIN g USING (uid)),
+w AS (SELECT t.row_id, pos, mask, c * mask AS v FROM tokens t JOIN c USING (row_id)),
+per AS (SELECT sum(v * mask) AS s, sum(v * v * mask) AS q, sum(mask) AS n FROM w GROUP BY row_id),
+m AS (SELECT sum(s) / (sum(n) + 1e-8) AS mean, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM per),
+k AS (SELECT mean, (q - 2 * mean * s + mean * mean * n) / (n + 1e-8) * n / (n - 1) AS var FROM m)
+SELECT row_id, pos, {q6('(v - (SELECT mean FROM k)) / sqrt((SELECT var FROM k) + 1e-8) * mask')} AS adv FROM w""")
 def _(spark, sf):
     d = A.reinforce_pp_baseline(V.tokens(spark, sf), V.responses(spark, sf))
     return d.select("row_id", "pos", r6("adv").alias("adv"))

@@ -325,20 +325,20 @@ def _(spark, sf):
 @query("steps_from_transcripts", """WITH r AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations),
 n AS (SELECT conv_id, count(*) FILTER (role = 'user') AS nu, count(*) FILTER (role = 'assistant') AS na FROM conversations GROUP BY conv_id),
-z AS (SELECT u.conv_id, u.k AS step, left(trim(u.text), 800) AS observation, left(trim(a.text), 1500) AS action
+z AS (SELECT u.conv_id, u.k AS step, trim(u.text) AS observation, trim(a.text) AS action
   FROM r u JOIN r a ON u.conv_id = a.conv_id AND u.k = a.k AND u.role = 'user' AND a.role = 'assistant'),
-f AS (SELECT conv_id, left(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn), 3000) AS p
+f AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS p
   FROM conversations GROUP BY conv_id),
 l AS (SELECT conv_id, arg_max(text, turn) AS t FROM conversations GROUP BY conv_id)
 SELECT conv_id, step, observation, action FROM z
 UNION ALL SELECT f.conv_id, 1, p, '' FROM f JOIN n USING (conv_id) WHERE nu = 0 OR na = 0
-UNION ALL SELECT l.conv_id, CASE WHEN nu = 0 OR na = 0 THEN 2 ELSE least(nu, na) + 1 END, '', left(t, 2000) FROM l JOIN n USING (conv_id)""")
+UNION ALL SELECT l.conv_id, CASE WHEN nu = 0 OR na = 0 THEN 2 ELSE least(nu, na) + 1 END, '', t FROM l JOIN n USING (conv_id)""")
 def _(spark, sf):
     return P.steps_from_transcripts(V.transcripts(spark, sf))
 
 
 @query("task_descriptions", """SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN
-  left(trim(string_split(text, chr(10))[1]), 1000) ELSE left(text, 1000) END AS task FROM conversations""")
+  trim(string_split(text, chr(10))[1]) ELSE text END AS task FROM conversations""")
 def _(spark, sf):
     t = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Hi.\nYour task is to: "), "text")).otherwise(F.col("text"))
     return V.messages(spark, sf).select("conv_id", "turn", P.task_description(t).alias("task"))

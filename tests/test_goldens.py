@@ -319,3 +319,30 @@ def test_column_union_conflict(spark):
         merge_columns(a, a.withColumn("k", F.concat("k", F.lit("x"))), ["k"])
     with pytest.raises(Exception, match="differs"):
         merge_columns(a, a.withColumn("x", F.lit(2.0)), ["k"]).collect()
+
+
+def test_transcript_cuts_are_optional(spark):
+    from stepfold.functions import parse as P
+
+    long = "x" * 5000
+    d = spark.createDataFrame([(1, f"<|im_start|>user\n{long}<|im_end|>\n<|im_start|>assistant\n{long}<|im_end|>", long)], "id long, prompt string, output string")
+    sizes = lambda **kw: [(len(r.observation), len(r.action)) for r in P.steps_from_transcripts(d, **kw).orderBy("step").collect()]
+    assert sizes() == [(5000, 5000), (0, 5000)] and sizes(cuts=P.PROMPT_CUTS) == [(800, 1500), (0, 2000)]
+    task = spark.createDataFrame([(f"Task: {long}",), ("\nUser: " + long,), (long,)], "t string")
+    length = lambda cut: [len(r.x) for r in task.select(P.task_description(F.col("t"), cut).alias("x")).collect()]
+    assert length(None) == [5000, 5000, 5000] and length(1000) == [1000, 1000, 1000]
+
+
+def test_goal_combinations_in_slices(spark, monkeypatch):
+    from itertools import product
+
+    from stepfold.operators import catalog
+
+    monkeypatch.setattr(catalog, "COMBINATIONS", 3)
+    options = {"size": ["s", "m", "l"], "color": ["red", "blue"], "fit": ["wide", "slim", "any", "x"]}
+    d = spark.createDataFrame([("a1", options, "buy it", 10.0, ["soft"]), ("a2", {}, "buy", 10.0, ["soft"]), ("a3", {"size": []}, "no", 1.0, ["soft"])],
+                              "asin string, options map<string,array<string>>, instruction string, price double, attributes array<string>")
+    got = [tuple(r.goal_options) for r in catalog.synthesize_goals(d).where("asin = 'a1'").collect()]
+    want = [tuple(f"{k}: {v}" for k, v in zip(sorted(options), c)) for c in product(*(options[k] for k in sorted(options)))]
+    assert sorted(got) == sorted(want)
+    assert {r.asin for r in catalog.synthesize_goals(d).collect()} == {"a1", "a2"}
