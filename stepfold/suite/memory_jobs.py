@@ -314,6 +314,24 @@ def _(spark, sf):
     return M.reduce_to_limit(lib, 480, 0.2).select("exp_no", "text")
 
 
+@query("reduce_to_limit_round", f"""WITH RECURSIVE n AS (SELECT count(*) - 480 AS over, max(vec_id) AS top FROM embeddings),
+reps AS (SELECT min(vec_id) AS id, embedding FROM embeddings GROUP BY embedding),
+same AS (SELECT vec_id, r.id, row_number() OVER (PARTITION BY r.id ORDER BY vec_id) AS rn FROM embeddings e JOIN reps r ON e.embedding = r.embedding),
+p AS (SELECT a.id AS a, b.id AS b, {_COS} AS sim FROM reps a JOIN reps b ON a.id < b.id AND {_COS} >= 0.2
+  UNION SELECT id, vec_id, 1.0 FROM same WHERE vec_id <> id
+  UNION SELECT x.vec_id, y.vec_id, 1.0 FROM same x JOIN same y ON x.id = y.id AND x.rn % 2 = 1 AND y.rn = x.rn + 1 WHERE x.vec_id <> x.id),
+best AS (SELECT a, b, sim, row_number() OVER (ORDER BY sim DESC, a, b) AS rn FROM p QUALIFY rn <= (SELECT over FROM n)),
+g AS (SELECT 0 AS i, []::BIGINT[] AS used, []::BIGINT[] AS won UNION ALL
+  SELECT i + 1, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN used ELSE list_concat(used, [a, b]) END,
+    CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN won ELSE list_append(won, rn) END FROM g JOIN best ON rn = i + 1),
+last AS (SELECT used, won FROM g ORDER BY i DESC LIMIT 1)
+SELECT vec_id AS exp_no, 't' || vec_id AS text FROM embeddings, last WHERE NOT list_contains(used, vec_id)
+UNION ALL SELECT (SELECT top FROM n) + row_number() OVER (ORDER BY sim DESC, a, b), 't' || a || chr(10) || chr(10) || 't' || b FROM best, last WHERE list_contains(won, rn)""")
+def _(spark, sf):
+    lib = V.items(spark, sf).select(F.col("id").alias("exp_no"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), "embedding")
+    return M.reduce_to_limit(lib, 480, 0.2, rounds=1).select("exp_no", "text")
+
+
 @query("apply_refine_ops", """WITH l AS (SELECT p_partkey AS no, p_name AS text FROM part),
 ops AS (SELECT s_suppkey AS op_no, CASE WHEN s_suppkey % 3 = 0 THEN 'delete' ELSE 'merge' END AS option, s_suppkey * 2 AS a, s_suppkey * 2 + 1 AS b, s_name AS text FROM supplier),
 e AS (SELECT op_no, option, text, a AS no FROM ops UNION ALL SELECT op_no, option, text, b FROM ops WHERE option = 'merge'),

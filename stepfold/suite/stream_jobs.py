@@ -137,7 +137,14 @@ def _(spark, sf):
     return d.select("doc_id", "task_type", F.contains("skill_text", F.lit("### Europe Skills")).alias("europe"))
 
 
-@query("stream_experience_upsert")
+@query("stream_experience_upsert", """WITH lib AS (SELECT vec_id AS no, embedding FROM embeddings WHERE label < 5),
+s AS (SELECT o.vec_id AS op, no, list_cosine_similarity(CAST(o.embedding AS DOUBLE[]), CAST(lib.embedding AS DOUBLE[])) AS sim FROM embeddings o, lib WHERE o.label >= 5),
+r AS (SELECT op, no, row_number() OVER (PARTITION BY op ORDER BY sim DESC, no) AS rn FROM s WHERE sim >= 0.35),
+taken AS (SELECT no, min(op) AS op FROM r WHERE rn <= 10 GROUP BY no),
+older AS (SELECT op, string_agg('t' || no, chr(10) || chr(10) ORDER BY no) AS t FROM taken GROUP BY op)
+SELECT no AS exp_no, 't' || no AS text FROM lib WHERE no NOT IN (SELECT no FROM taken)
+UNION ALL SELECT (SELECT max(no) FROM lib) + row_number() OVER (ORDER BY vec_id), concat_ws(chr(10) || chr(10), t, 'n' || vec_id)
+FROM embeddings LEFT JOIN older ON op = vec_id WHERE label >= 5""")
 def _(spark, sf):
     path = scratch(spark, "library")
     e = V.items(spark, sf)
