@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepfold.functions.normalize import slug
 
@@ -45,27 +46,60 @@ def _unwrap(record: Column) -> Column:
     return F.coalesce(*[F.when(c.startswith("{"), c) for c in inner], record)
 
 
+def _typed(df: DataFrame, schema: str) -> Column | None:
+    """The record of each row of a typed table as a struct of ``schema``: env_kwargs where it is
+    there, else extra_info.sample, else the row. Only the columns of the schema are read. None if
+    a wrapper is there but is no struct."""
+    target = T.StructType.fromDDL(schema)
+
+    def record(kind: T.StructType, path: str) -> Column:
+        have = {f.name for f in kind.fields}
+        return F.struct(*[(F.col(f"{path}`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields])
+
+    def child(kind: T.DataType, name: str) -> T.DataType | None:
+        return next((f.dataType for f in kind.fields if f.name == name), None) if isinstance(kind, T.StructType) else None
+
+    options = []
+    for names in (["env_kwargs"], ["extra_info", "sample"]):
+        kind: T.DataType | None = df.schema
+        for n in names:
+            kind = child(kind, n)
+        if isinstance(kind, T.StructType):
+            path = ".".join(f"`{n}`" for n in names)
+            options.append(F.when(F.col(path).isNotNull(), record(kind, f"{path}.")))
+        elif kind is not None or isinstance(child(df.schema, names[0]), (T.StringType, T.MapType)):
+            return None
+    return F.coalesce(*options, record(df.schema, ""))
+
+
 def read_records(spark: SparkSession, paths: Sequence[str], schema: str = SAMPLE_FIELDS) -> DataFrame:
     """Records of .json, .jsonl and .parquet paths with one schema, plus source_path and
     item_no."""
-    parts = []
+    parts, ready = [], []
     for suffix in ("json", "jsonl", "parquet"):
         group = [p for p in paths if p.rstrip("/").endswith(f".{suffix}")]
         if not group:
             continue
         if suffix == "parquet":
-            parts.append(spark.read.parquet(*group).select(F.to_json(F.struct("*")).alias("record"), F.col("_metadata.file_path").alias("source_path"), F.lit(0).alias("item_no")))
+            table = spark.read.parquet(*group)
+            place = [F.col("_metadata.file_path").alias("source_path"), F.lit(0).alias("item_no")]
+            typed = _typed(table, schema)
+            if typed is not None:
+                ready.append(table.select(typed.alias("r"), *place).select("r.*", "source_path", "item_no"))
+            else:
+                parts.append(table.select(F.to_json(F.struct("*")).alias("record"), *place))
             continue
         texts = spark.read.text(group, wholetext=suffix == "json").select("value", F.col("_metadata.file_path").alias("source_path"))
         parts.append(json_objects(texts).select("record", "source_path", "item_no"))
     unknown = [p for p in paths if p.rstrip("/").rsplit(".", 1)[-1] not in ("json", "jsonl", "parquet")]
-    if unknown or not parts:
+    if unknown or not parts + ready:
         raise ValueError(f"unsupported record paths: {unknown or paths}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     parsed = F.from_json(_unwrap(F.col("record")), schema)
-    return out.select(parsed.alias("r"), "source_path", "item_no").where("r IS NOT NULL").select("r.*", "source_path", "item_no")
+    ready += [p.select(parsed.alias("r"), "source_path", "item_no").where("r IS NOT NULL").select("r.*", "source_path", "item_no") for p in parts]
+    out = ready[0]
+    for p in ready[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def read_specs(spark: SparkSession, specs: Sequence[str], schema: str = SAMPLE_FIELDS) -> DataFrame:

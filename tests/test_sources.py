@@ -102,3 +102,17 @@ def test_logs_in_several_splits(spark, tmp_path):
         for k, v in held.items():
             spark.conf.set(k, v)
     assert blocks > 5 and got == want
+
+
+def test_typed_records_are_projected(spark, tmp_path):
+    """Parquet: wrapped and plain rows, other types as text, and only the schema's columns read."""
+    wrapped = "struct<doc_id:bigint,problem:string,images:array<string>,junk:string>"
+    rows = [((1, "p", ["i"], "j"), "x", None, 5), (None, "y", ((2, "q", None, "j"),), 6), (None, "z", None, 7)]
+    d = spark.createDataFrame(rows, f"env_kwargs {wrapped}, doc_id string, extra_info struct<sample:{wrapped}>, answer int")
+    d.write.parquet(str(tmp_path / "t.parquet"))
+    out = S.read_records(spark, [str(tmp_path / "t.parquet")])
+    assert sorted(((r.doc_id, r.problem, r.images, r.answer) for r in out.collect()), key=str) == sorted([("1", "p", ["i"], None), ("2", "q", None, None), ("z", None, None, "7")], key=str)
+    plan = out.select("problem")._jdf.queryExecution().executedPlan().toString()
+    assert "junk" not in plan and "to_json" not in plan
+    spark.createDataFrame([('{"doc_id": "4"}', "n")], "env_kwargs string, doc_id string").write.parquet(str(tmp_path / "s.parquet"))
+    assert [r.doc_id for r in S.read_records(spark, [str(tmp_path / "s.parquet")]).collect()] in (["4"], ["n"])
