@@ -86,5 +86,5 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if re.match(r"op\d+_", q)}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if re.match(r"op\d+_", q)}
     assert "pipeline" in names and 4 <= len(P.STAGES) <= 5
