@@ -73,7 +73,7 @@ WITH docs AS (
 ), tri AS (
   SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM (SELECT rid, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) > 2))
 ), rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY rid),
-lines AS (SELECT rid, i, l[i] AS line, trim(l[i], ' ') AS s FROM (SELECT rid, l, unnest(range(1, len(l) + 1)) AS i FROM docs)),
+lines AS (SELECT rid, i, l[i] AS line, trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM (SELECT rid, l, unnest(range(1, len(l) + 1)) AS i FROM docs)),
 ruled AS (
   SELECT rid, i, line, CASE WHEN length(s) = 0 THEN NULL
     WHEN {_count(MARKUP)} * 10 > length(s) OR NOT regexp_matches(s, '\p{{L}}') THEN 'punctuation'

@@ -23,46 +23,60 @@ BOILERPLATE = [
 ]
 SEPARATORS = "|>»›·•"
 ENDINGS = r"[.!?…。！？:;\"'”’)\]]\s*$"
-#: Spark arrays hold fewer than 2^31 values; a packed position takes 24 bits, so texts of up to 16 million words are exact.
+#: A packed position takes 24 bits; longer texts, of over 16 million words, sort (hash, position) pairs.
 POSITION_BITS = 24
+#: ASCII white space.
+BLANK = " \t\n\x0b\f\r"
 
 
-def _packed(h: Column, i: Column, low: bool) -> Column:
+def _packed(h: Column, i: Column, low: bool, bits: int) -> Column:
     """40 bits of a hash above its position; sorting puts equal hashes side by side."""
-    part = F.shiftleft(h, POSITION_BITS) if low else F.shiftleft(F.shiftrightunsigned(h, POSITION_BITS), POSITION_BITS)
+    part = F.shiftleft(h, bits) if low else F.shiftleft(F.shiftrightunsigned(h, bits), bits)
     return part.bitwiseOR(i.cast("long"))
 
 
-def _side_by_side(sorted_name: str) -> Column:
+def _side_by_side(sorted_name: str, bits: int) -> Column:
     """Positions whose 40 bits equal those of a neighbour in the sorted array."""
     s = F.col(sorted_name)
 
     def same(x: Column, i: Column) -> Column:
-        before = F.shiftright(F.get(s, i - 1).bitwiseXOR(x), POSITION_BITS) == 0
-        after = F.shiftright(F.get(s, i + 1).bitwiseXOR(x), POSITION_BITS) == 0
+        before = F.shiftright(F.get(s, i - 1).bitwiseXOR(x), bits) == 0
+        after = F.shiftright(F.get(s, i + 1).bitwiseXOR(x), bits) == 0
         return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
-    return F.transform(F.filter(s, same), lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)))
+    return F.transform(F.filter(s, same), lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)))
 
 
-def repeated_words(df: DataFrame, words_name: str, out: str) -> DataFrame:
+def _pairs_side_by_side(sorted_name: str) -> Column:
+    """Positions of the (hash, position) pairs whose hash equals that of a neighbour."""
+    s = F.col(sorted_name)
+    same = lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))
+    return F.transform(F.filter(s, same), lambda x: x["i"].cast("long"))
+
+
+def repeated_words(df: DataFrame, words_name: str, out: str, bits: int = POSITION_BITS) -> DataFrame:
     """Words inside three-word windows that a text holds twice or more, in n log n.
 
     Windows are 64-bit hashes sorted twice, by either 40 bits of it; a window counts when it has
-    an equal neighbour in both orders.
+    an equal neighbour in both orders. Texts whose positions need more than ``bits`` bits sort pairs
+    of hash and position instead.
     """
     w = F.col(words_name)
     n = F.size(w) - 2
     hashes = F.when(n >= 2, F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, n))
     df = df.withColumn("__h", hashes)
     df = df.withColumn("__some", F.size(F.array_distinct("__h")) < F.size("__h"))
-    h = F.when(F.col("__some"), F.col("__h"))
-    df = df.withColumns({"__a": F.sort_array(F.transform(h, lambda x, i: _packed(x, i, False))), "__b": F.sort_array(F.transform(h, lambda x, i: _packed(x, i, True)))})
-    df = df.withColumn("__at", F.sort_array(F.array_intersect(_side_by_side("__a"), _side_by_side("__b"))))
+    long = F.size("__h") > 1 << bits
+    h, pairs = F.when(F.col("__some") & ~long, F.col("__h")), F.when(F.col("__some") & long, F.col("__h"))
+    df = df.withColumns({
+        "__a": F.sort_array(F.transform(h, lambda x, i: _packed(x, i, False, bits))), "__b": F.sort_array(F.transform(h, lambda x, i: _packed(x, i, True, bits))),
+        "__c": F.sort_array(F.transform(pairs, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
+    })
+    df = df.withColumn("__at", F.sort_array(F.coalesce(F.array_intersect(_side_by_side("__a", bits), _side_by_side("__b", bits)), _pairs_side_by_side("__c"))))
     at = F.col("__at")
     steps = F.transform(at, lambda p, i: F.least(F.coalesce(F.get(at, i + 1) - p, F.lit(3)), F.lit(3)))
     df = df.withColumn(out, F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")))
-    return df.drop("__h", "__some", "__a", "__b", "__at")
+    return df.drop("__h", "__some", "__a", "__b", "__c", "__at")
 
 
 def line_failure(line: Column) -> Column:
@@ -72,7 +86,7 @@ def line_failure(line: Column) -> Column:
     navigation: three separators or more between its words, or up to three words without an
     ending that follow an arrow or bullet. boilerplate: one of BOILERPLATE.
     """
-    text = F.trim(line)
+    text = F.trim(line, F.lit(BLANK))
     count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     few = F.size(F.split(text, " ")) <= 3
     return (

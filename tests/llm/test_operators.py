@@ -330,3 +330,31 @@ def test_pages_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "<p>Hi there", "y"), (1, "<p>Hi there", "y")], "page_id long, html string, text string")
     assert sorted(r["n_chars"] for r in html.extract(df).collect()) == [0, 8, 8]
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_quality_lines_match_sql(spark):
+    """CRLF, lines of tabs only and mixed blanks are judged alike by both, with and without a bad line."""
+    import duckdb
+
+    from stepfold.llm.oracles import QUALITY
+
+    rng = random.Random(8)
+    parts = ["abc def", "\t", "\r", "more words.\r", "", " ", "123", "| a | b | c |", "\x0b\f", "»x\r", "Privacy Policy\r", "two\tcolumns", "-----", "ok 5%"]
+    rows = [(0, "abc def\n\t\nmore words"), (1, "para one\r\n\r\npara two"), (2, None), (3, "\t\n\r")]
+    rows += [(i, "\n".join(rng.choice(parts) for _ in range(rng.randint(1, 6)))) for i in range(10, 300)]
+    names = ["doc_id", "n_words", "n_dup_lines", "base_failed", "kept", "lost_share", "punctuation_lines", "navigation_lines", "boilerplate_lines"]
+    got = sorted(tuple(r) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).select(names).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({QUALITY})").fetchall())
+    assert [g[:5] + g[6:] for g in got] == [w[:5] + w[6:] for w in want]
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
+
+
+def test_repeated_words_of_texts_too_long_to_pack(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice("abcd") for _ in range(rng.randint(0, 40))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, w array<string>")
+    short = {r["i"]: r["n"] for r in quality.repeated_words(df, "w", "n").collect()}
+    assert short == {r["i"]: r["n"] for r in quality.repeated_words(df, "w", "n", bits=2).collect()} and max(short.values()) > 3
