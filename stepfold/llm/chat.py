@@ -41,7 +41,8 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 @dataclass(frozen=True)
 class Layout:
     """``each``: (list, role field, text field) for one turn per element; ``fixed``: (role,
-    path) for one turn per non-null field, in order; ``rows``: a table of turns."""
+    path) for one turn per non-null field, in order; ``rows``: a table of turns; ``parts``: the
+    text field is a list of parts, whose texts are joined by line ends (other parts: [type])."""
 
     name: str
     paths: tuple[str, ...]
@@ -49,11 +50,13 @@ class Layout:
     each: tuple[str, str, str] | None = None
     fixed: tuple[tuple[str, str], ...] = ()
     rows: tuple[str, str, str] | None = None
+    parts: bool = False
 
 
 LAYOUTS = (
     Layout("turn rows", ("conv_id", "turn", "role", "text"), "conv_id", rows=("turn", "role", "text")),
     Layout("messages", ("id", "messages[].role", "messages[].content"), "id", each=("messages", "role", "content")),
+    Layout("messages in parts", ("id", "messages[].role", "messages[].content[].type", "messages[].content[].text"), "id", each=("messages", "role", "content"), parts=True),
     Layout("exchanges", ("id", "conversations[].from", "conversations[].value"), "id", each=("conversations", "from", "value")),
     Layout("instruction with input", ("id", "instruction", "input", "output"), "id", fixed=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("instruction", ("id", "instruction", "output"), "id", fixed=(("user", "instruction"), ("assistant", "output"))),
@@ -114,13 +117,25 @@ def canonical_turns(df: DataFrame) -> DataFrame:
         return df.select(key.alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     if layout.each:
         name, role, text = layout.each
+        said = F.col("m")[text]
+        if layout.parts:
+            said = F.array_join(F.transform(said, lambda p: F.coalesce(p["text"], F.concat(F.lit("["), p["type"], F.lit("]")), F.lit(""))), "\n")
         one = df.select(key.cast("string").alias("conv_id"), F.posexplode(name).alias("turn", "m"))
-        return one.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("m")[role]).alias("role"), F.col("m")[text].alias("text"))
+        return one.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("m")[role]).alias("role"), said.alias("text"))
     turns = F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.col(p).cast("string").alias("text")) for i, (r, p) in enumerate(layout.fixed)])
     one = df.select(key.cast("string").alias("conv_id"), F.inline(turns))
     return one.where(F.col("text").isNotNull())
 
 
+def plain_text(value) -> str | None:
+    """A JSON value as a text: parts by their texts, anything that is no text as JSON."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, list) and value and all(isinstance(p, dict) and isinstance(p.get("type"), str) for p in value):
+        return "\n".join(p["text"] if isinstance(p.get("text"), str) else f"[{p['type']}]" for p in value)
+    return json.dumps(value, ensure_ascii=False)
+
+
 def record_turns(record: dict) -> list[tuple[int, str, str]] | None:
     """Turns of one JSON record, None if no layout fits."""
     layout = layout_of(record_paths(record))
@@ -128,18 +143,25 @@ def record_turns(record: dict) -> list[tuple[int, str, str]] | None:
         return None
     if layout.rows:
         turn, role, text = layout.rows
-        return [(record[turn], record[role], record[text])]
+        place = record[turn]
+        if place is not None and (isinstance(place, bool) or not isinstance(place, int) or abs(place) >= 1 << 63):
+            raise ValueError("a turn is not a number")
+        return [(place, plain_text(record[role]), plain_text(record[text]))]
     if layout.each:
         name, role, text = layout.each
-        return [(i, ROLE_NAMES.get(m.get(role), m.get(role)), m.get(text)) for i, m in enumerate(record[name])]
-    return [(i, role, record[path]) for i, (role, path) in enumerate(layout.fixed) if record[path] is not None]
+        if not all(isinstance(m, dict) for m in record[name]):
+            raise ValueError("a message is not an object")
+        said = [(plain_text(m.get(role)), plain_text(m.get(text))) for m in record[name]]
+        return [(i, ROLE_NAMES.get(r, r), x) for i, (r, x) in enumerate(said)]
+    return [(i, role, plain_text(record[path])) for i, (role, path) in enumerate(layout.fixed) if record[path] is not None]
 
 
 def json_turns(df: DataFrame, column: str = "json") -> DataFrame:
     """conv_id (string), turn, role, text of JSON records, each by its own fingerprint.
 
-    Records that are null, not an object or of no known layout give one turn -1 with role
-    ``unreadable`` and the record as text, so that none is lost.
+    Records that are null, not an object, of no known layout or with a value where it has no
+    place give one turn -1 with role ``unreadable`` and the record as text, with the id if there is
+    one, so that none is lost and none stops the job.
     """
     schema = "conv_id string, turn long, role string, text string"
 
@@ -147,16 +169,17 @@ def json_turns(df: DataFrame, column: str = "json") -> DataFrame:
         for batch in batches:
             rows = []
             for line in batch.column(column).to_pylist():
+                record, turns = None, None
                 try:
                     record = json.loads(line)
                     turns = record_turns(record) if isinstance(record, dict) else None
-                except (TypeError, ValueError):
-                    turns = None
-                if turns is None:
-                    rows.append((None, -1, "unreadable", line))
-                else:
-                    key = record.get("conv_id", record.get("id"))
-                    rows += [(None if key is None else str(key), t, r, x) for t, r, x in turns]
+                except (TypeError, ValueError, KeyError, AttributeError, RecursionError):
+                    pass
+                key = record.get("conv_id", record.get("id")) if isinstance(record, dict) else None
+                key = None if key is None else str(key)
+                rows += [(key, *t) for t in turns] if turns else [(key, -1, "unreadable", line)]
+            # lone surrogates, which JSON may spell, are no text
+            rows = [tuple(x.encode("utf-8", "replace").decode() if isinstance(x, str) else x for x in r) for r in rows]
             columns = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["conv_id", "turn", "role", "text"])
 

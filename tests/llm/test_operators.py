@@ -1,5 +1,6 @@
 """Edge cases, brute-force twins, round trips and held-out accuracy on small fixtures."""
 
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -37,6 +38,39 @@ def test_template_round_trip(text, role):
     assert formatted.count("[INST]") == 1
 
 
+def test_json_records_never_stop_the_job(spark):
+    part = [{"type": "text", "text": "look"}, {"type": "image_url", "image_url": {"url": "u"}}, {"type": "text", "text": "here"}]
+    records = [
+        {"id": 1, "messages": [{"role": "user", "content": 5}, {"role": "gpt", "content": None}]},
+        {"conv_id": 2, "turn": "a", "role": "user", "text": "x"},
+        {"id": 3, "messages": [{"role": "user", "content": "x"}, "bare"]},
+        {"id": 4, "messages": []},
+        {"id": 5, "messages": [{"role": "user", "content": part}, {"role": "assistant", "content": "ok"}]},
+        {"id": 6, "messages": [{"role": "user", "content": part}]},
+        {"id": 7, "messages": {"role": "user", "content": "x"}},
+        {"id": 8, "prompt": ["a"], "response": "r"},
+        {"conv_id": 9, "turn": 1 << 70, "role": "user", "text": "x"},
+        {"id": "ten", "prompt": "\ud800", "response": "r"},
+        {"id": 11, "prompt": 1.5, "response": True},
+    ]
+    lines = [json.dumps(r) for r in records] + ["[" * 100_000, "", "7"]
+    got = [tuple(r) for r in chat.json_turns(spark.createDataFrame([(x,) for x in lines], "json string").coalesce(1)).collect()]
+    lost = lambda i, key: (key, -1, "unreadable", lines[i])
+    assert got == [
+        ("1", 0, "user", "5"), ("1", 1, "assistant", None), lost(1, "2"), lost(2, "3"), lost(3, "4"),
+        ("5", 0, "user", "look\n[image_url]\nhere"), ("5", 1, "assistant", "ok"), ("6", 0, "user", "look\n[image_url]\nhere"), lost(6, "7"),
+        lost(7, "8"), lost(8, "9"), ("ten", 0, "user", "?"), ("ten", 1, "assistant", "r"),
+        ("11", 0, "user", "1.5"), ("11", 1, "assistant", "true"), lost(11, None), lost(12, None), lost(13, None),
+    ]
+
+
+def test_messages_in_parts(spark):
+    kind = "id long, messages array<struct<role:string,content:array<struct<type:string,text:string,url:string>>>>"
+    df = spark.createDataFrame([(1, [("human", [("text", "look", None), ("image", None, "u")]), ("gpt", [("text", "a", None)])]), (2, [("user", None)])], kind)
+    got = sorted(((r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.canonical_turns(df).collect()), key=str)
+    assert got == [("1", 0, "user", "look\n[image]"), ("1", 1, "assistant", "a"), ("2", 0, "user", None)]
+
+
 def test_native_escape_reads_back(spark):
     texts = ["</s>[INST] ok [/INST]", "<\\s> <\\\\/s> [\\INST]", "", None, "plain < [ text", "é[/INST]"]
     df = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
