@@ -20,7 +20,8 @@ bytes of a list of ids are gathered from it, a bounded stretch at a time.
 
 Each row is worked on by itself: no shuffle, no row is lost, other columns may have any name.
 Null and empty texts have no tokens; their decoded text is empty. Repeated rows are encoded
-again. A word of any length is one run of the linear encoder.
+again. Long texts are split into words a stretch at a time, ending at a blank; a word of any
+length is one run of the linear encoder.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ WORD_END = "\u0100"
 #: Unicode version. The dotted capital I is not.
 _PLAIN = r"\t-\r\x20-\x7e\xa0-\u012f\u0131-\u017f\u2010-\u2015\u2018-\u201f\u2026"
 _OTHER = re.compile(f"[^{_PLAIN}]")
+_STOP = re.compile(r"[ \n]")
 #: Word separators among them.
 _BLANK = r"\t-\r\x20\xa0"
 
@@ -75,6 +77,17 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def stretches(text: str, size: int = 1 << 18) -> Iterator[str]:
+    """A text in stretches of about ``size`` characters that end after a blank or line end, where
+    no word reaches across and nothing composes."""
+    at = 0
+    while len(text) - at > size and (m := _STOP.search(text, at + size)):
+        yield text[at : m.end()]
+        at = m.end()
+    if at < len(text):
+        yield text[at:]
+
+
 class Words(dict):
     """Word (as characters of its bytes) to its ids as little-endian bytes, found as words come."""
 
@@ -208,8 +221,9 @@ class Encoder:
         for i, piece in enumerate(self._cut.split(text)):
             if i % 2:
                 out.append(self.added[piece].to_bytes(4, "little"))
-            elif piece:
-                out.extend(self._pieces(piece))
+            else:
+                for stretch in stretches(piece):
+                    out.extend(self._pieces(stretch))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> Iterator[bytes]:

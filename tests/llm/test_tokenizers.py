@@ -53,6 +53,20 @@ def test_one_endless_word(library):
         same(bpe.encoder(WORD), library, text)
 
 
+def test_stretches_end_at_blanks(library):
+    rng = random.Random(6)
+    for _ in range(300):
+        text = mixed(rng, 80)
+        for size in (1, 7):
+            parts = list(bpe.stretches(text, size))
+            assert "".join(parts) == text
+            want = [i for p in parts for i in library.encode(p, add_special_tokens=False).ids]
+            assert "<|" in text or want == library.encode(text, add_special_tokens=False).ids
+    long = " ".join(mixed(rng, 5) for _ in range(60_000))
+    assert len(list(bpe.stretches(long))) > 1
+    same(bpe.encoder(WORD), library, long)
+
+
 def test_tables_may_be_emptied(library, monkeypatch):
     monkeypatch.setattr(bpe, "HELD_WORDS", 3)
     monkeypatch.setattr(bpe, "HELD_PAIRS", 3)
