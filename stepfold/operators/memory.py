@@ -22,6 +22,13 @@ from stepfold.plans.session import checkpoint
 from stepfold.plans.skew import first_per_group, lookup, rank, running, top_k
 
 
+# Headings and line forms of the prompt texts made here.
+SECTIONS = {"general": "### General Principles", "task": "### Task-Relevant Skills", "mistake": "### Mistakes to Avoid", "other": "### {} Skills"}
+SKILL_LINE, WHEN_LINE = ("- **", "**: "), ("\n  _Apply when: ", "_")
+MISTAKE_LINE, INSTEAD_LINE = "- **Don't**: ", "\n  **Instead**: "
+ACTION_LINE, OBSERVATION_LINE = "  Action: ", "\n  Observation: "
+
+
 # ---- categories and memories -------------------------------------------------------------
 
 
@@ -147,18 +154,19 @@ def retrieve_template(samples: DataFrame, skills: DataFrame, k: int = 6, task_k:
 
 def render_skills(df: DataFrame, *, category="task_type", mode: str = "template", out="skill_text") -> DataFrame:
     """Prompt text of retrieved skills: three headed sections, empty ones left out."""
-    line = lambda s: F.concat(F.lit("- **"), s["title"], F.lit("**: "), s["principle"])
-    when = lambda s: F.when(F.coalesce(s["when_to_apply"], F.lit("")) != "", F.concat(F.lit("\n  _Apply when: "), s["when_to_apply"], F.lit("_"))).otherwise("")
-    fix = lambda s: F.when(F.coalesce(s["how_to_avoid"], F.lit("")) != "", F.concat(F.lit("\n  **Instead**: "), s["how_to_avoid"])).otherwise("")
-    title = "### Task-Relevant Skills" if mode == "embedding" else None
-    heading = F.lit(title) if title else F.concat(F.lit("### "), F.initcap(F.replace(F.col(category), F.lit("_"), F.lit(" "))), F.lit(" Skills"))
+    line = lambda s: F.concat(F.lit(SKILL_LINE[0]), s["title"], F.lit(SKILL_LINE[1]), s["principle"])
+    when = lambda s: F.when(F.coalesce(s["when_to_apply"], F.lit("")) != "", F.concat(F.lit(WHEN_LINE[0]), s["when_to_apply"], F.lit(WHEN_LINE[1]))).otherwise("")
+    fix = lambda s: F.when(F.coalesce(s["how_to_avoid"], F.lit("")) != "", F.concat(F.lit(INSTEAD_LINE), s["how_to_avoid"])).otherwise("")
+    before, after = SECTIONS["other"].split("{}")
+    named = F.concat(F.lit(before), F.initcap(F.replace(F.col(category), F.lit("_"), F.lit(" "))), F.lit(after))
+    heading = F.lit(SECTIONS["task"]) if mode == "embedding" else named
     section = lambda items, head, f: F.when(F.size(items) > 0, F.concat(head, F.lit("\n"), F.array_join(F.transform(items, f), "\n")))
     told = F.filter("mistakes", lambda s: F.coalesce(s["description"], F.lit("")) != "")
     parts = [
-        section(F.col("general"), F.lit("### General Principles"), line),
+        section(F.col("general"), F.lit(SECTIONS["general"]), line),
         section(F.coalesce("task_skills", F.array()), heading, lambda s: F.concat(line(s), when(s))) if "task_skills" in df.columns else F.lit(None),
-        F.when(F.size("mistakes") > 0, F.concat(F.lit("### Mistakes to Avoid\n"), F.array_join(
-            F.transform(told, lambda s: F.concat(F.lit("- **Don't**: "), s["description"], fix(s))), "\n"))),
+        F.when(F.size("mistakes") > 0, F.concat(F.lit(SECTIONS["mistake"] + "\n"), F.array_join(
+            F.transform(told, lambda s: F.concat(F.lit(MISTAKE_LINE), s["description"], fix(s))), "\n"))),
     ]
     text = F.array_join(F.array_compact(F.array(*parts)), "\n\n")
     return df.withColumn(out, F.when(text == "", NO_SKILLS).otherwise(text))
@@ -208,7 +216,7 @@ def failure_context(failed: DataFrame, steps: DataFrame, bank: DataFrame, *, tra
     picked = failed.orderBy(order).limit(n)
     tail = steps.join(picked.select(traj), traj, "left_semi")
     tail = top_k(tail, [traj], [F.desc("step")], last)
-    line = F.concat(F.lit("  Action: "), "action", F.lit("\n  Observation: "), F.substring("observation", 1, cut))
+    line = F.concat(F.lit(ACTION_LINE), "action", F.lit(OBSERVATION_LINE), F.substring("observation", 1, cut))
     text = tail.groupBy(traj).agg(F.array_sort(F.collect_list(F.struct("step", line.alias("s")))).alias("l"))
     text = text.select(traj, F.array_join(F.transform("l", lambda x: x["s"]), "\n").alias("trajectory"))
     shown = F.when(F.col("kind") == "task", F.concat(F.lit("["), "category", F.lit("] "), "title")).otherwise(F.col("title"))

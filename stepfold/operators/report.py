@@ -52,14 +52,22 @@ def _rate(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole)
 
 
-def benchmark_report(rollouts: DataFrame, expected: DataFrame | None = None, *, k: int = 2, overall: bool = False) -> DataFrame:
+def benchmark_report(rollouts: DataFrame, expected: DataFrame | None = None, *, k: int = 2, overall: bool = False, total: str | None = None) -> DataFrame:
     """About twenty figures per benchmark (or in total) from one row per rollout.
 
+    ``overall``: one row for all. ``total``: rows for each benchmark and one of this name for all,
+    from one pass: as in grouping sets, every row counts for its benchmark and for the total.
+
     ``rollouts`` has sample_id, rollout_idx, benchmark, accuracy_score, completed, turns,
     tool_calls, failure_type and tools (one name or NULL); ``expected`` has benchmark,
     expected_samples.
     """
-    if overall:
+    if total is not None:
+        levels = lambda df: df.withColumn("benchmark", F.explode(F.array("benchmark", F.lit(total))))
+        rollouts = levels(rollouts)
+        if expected is not None:
+            expected = levels(expected).groupBy("benchmark").agg(F.sum("expected_samples").alias("expected_samples"))
+    elif overall:
         rollouts = rollouts.withColumn("benchmark", F.lit("all"))
         if expected is not None:
             expected = expected.agg(F.sum("expected_samples").alias("expected_samples")).select(F.lit("all").alias("benchmark"), "expected_samples")

@@ -65,11 +65,11 @@ SELECT roll.b AS benchmark, total_rollouts, completed_rollouts, successful_rollo
 FROM roll JOIN s ON roll.b = s.b"""
 
 
-def _report(spark, sf, overall):
+def _report(spark, sf, **level):
     cust = V.table(spark, sf, "customer")
     expected = cust.groupBy(F.concat(F.lit("bench_"), (F.col("c_custkey") % 5).cast("string")).alias("benchmark"))
     expected = expected.agg(F.count(F.lit(1)).alias("expected_samples"))
-    d = P.benchmark_report(_rollouts(spark, sf), expected, k=4, overall=overall)
+    d = P.benchmark_report(_rollouts(spark, sf), expected, k=4, **level)
     longs = ["total_rollouts", "completed_rollouts", "successful_rollouts", "failed_rollouts", "tool_calls_total", "output_samples",
              "completed_samples", "successful_samples", "missing_samples"]
     dbl = ["rollout_accuracy_mean", "assistant_turns_mean", "tool_call_rate", "pass_at_1", "pass_at_k", "average_at_k",
@@ -79,12 +79,18 @@ def _report(spark, sf, overall):
 
 @query("benchmark_report", _report_sql("benchmark", "(SELECT count(*) FROM customer WHERE 'bench_' || (c_custkey % 5) = roll.b)"))
 def _(spark, sf):
-    return _report(spark, sf, False)
+    return _report(spark, sf)
 
 
 @query("overall_report", _report_sql("'all'", "(SELECT count(*) FROM customer)"))
 def _(spark, sf):
-    return _report(spark, sf, True)
+    return _report(spark, sf, overall=True)
+
+
+@query("report_with_total", "SELECT * FROM (" + _report_sql("benchmark", "(SELECT count(*) FROM customer WHERE 'bench_' || (c_custkey % 5) = roll.b)")
+       + ") UNION ALL SELECT * FROM (" + _report_sql("'all'", "(SELECT count(*) FROM customer)") + ")")
+def _(spark, sf):
+    return _report(spark, sf, total="all")
 
 
 def _failure_sql(by: str) -> str:
