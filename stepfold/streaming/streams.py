@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,8 +84,18 @@ def stream_dedup(events: DataFrame, keys: list[str], *, ts="ts", delay: str = "1
 # ---- endpoint health ----------------------------------------------------------------------
 
 
+def failure_runs(runs: np.ndarray, times: np.ndarray, gap: int) -> np.ndarray:
+    """(first, last) of the runs of failures less than ``gap`` apart: ``runs`` and more times."""
+    ends = np.concatenate([runs, np.stack([times, times], axis=1)])
+    ends = ends[np.argsort(ends[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(ends[:, 1])
+    new = np.flatnonzero(np.append(True, ends[1:, 0] - reach[:-1] >= gap)) if len(ends) else np.zeros(0, np.int64)
+    return np.stack([ends[new, 0], np.append(reach[new[1:] - 1], reach[-1:])], axis=1) if len(ends) else ends
+
+
 class EndpointHealth(StatefulProcessor):
-    """Emits a row when an endpoint turns unhealthy and when its cooldown has run out."""
+    """Emits a row when an endpoint turns unhealthy and when its cooldown has run out. Of a batch's
+    failures only the runs without a pause of one cooldown are held, piece after piece."""
 
     def __init__(self, cooldown_ms: int):
         self.cooldown_ms = cooldown_ms
@@ -94,17 +105,19 @@ class EndpointHealth(StatefulProcessor):
         self.until = handle.getValueState("until", "until_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fails = [p.loc[p["failed"], "timestamp"] for p in rows]
-        ms = sorted(t.value // 1_000_000 for f in fails for t in f)
+        runs = np.zeros((0, 2), np.int64)
+        for part in rows:
+            times = part.loc[part["failed"], "timestamp"].dropna().to_numpy("datetime64[ms]").astype(np.int64)
+            runs = failure_runs(runs, times, self.cooldown_ms)
         until = self.until.get()[0] if self.until.exists() else None
         out = []
-        for t in ms:
-            if until is None or t >= until:
+        for first, last in runs.tolist():
+            if until is None or first >= until:
                 if until is not None:
                     out.append((key[0], until, True))
-                out.append((key[0], t, False))
-            until = t + self.cooldown_ms
-        if ms:
+                out.append((key[0], first, False))
+            until = last + self.cooldown_ms
+        if len(runs):
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.until.update((until,))

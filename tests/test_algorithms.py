@@ -266,3 +266,21 @@ def test_scorer_with_a_deadline(spark):
     assert got == {0: (1.0, ""), 1: (0.0, "TimeoutError"), 2: (2.0, ""), 3: (0.0, "ChildProcessError"), 4: (3.0, ""), 5: (0.0, "TimeoutError"), 6: (4.0, ""), 7: (0.0, "TypeError")}
     me = [p for p in psutil.process_iter(["cmdline", "ppid"]) if "pyspark.daemon" in " ".join(p.info["cmdline"] or [])]
     assert all(c.status() == psutil.STATUS_ZOMBIE or not c.children() for p in me for c in p.children())
+
+
+def test_failure_runs_by_pieces():
+    from stepfold.streaming.streams import failure_runs
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        t = rng.integers(0, 300, rng.integers(0, 40))
+        runs = np.zeros((0, 2), np.int64)
+        for part in np.array_split(t, 3):
+            runs = failure_runs(runs, part, 7)
+        want = []
+        for x in sorted(t.tolist()):
+            if want and x - want[-1][1] < 7:
+                want[-1][1] = x
+            else:
+                want.append([x, x])
+        assert runs.tolist() == want
