@@ -11,8 +11,10 @@ are first aggregated to classes and classes to sizes; what a task folds is one a
 (classes x n^3), so ``majority_exact`` is for up to ``EXACT`` draws; more are bootstrapped.
 
 Bootstrap. A draw is the md5 of (seed, group, iteration, draw), so any task can repeat it and
-the number of partitions does not matter. Draws meet the ranked rows in an equi-join on (group,
-position) and are reduced per iteration by a partial aggregation; no group is collected.
+the number of partitions does not matter. A group of up to ``PACKED`` rows is one array, and its
+draws are made and reduced in the task that holds it. The draws of a larger group meet its ranked
+rows in a sorted equi-join on (group, position); they are never broadcast, as the planner, which
+does not see that rows are spelled out, would have it.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepfold.plans.skew import match, rank, rename_keys
+from stepfold.plans.skew import exceeds, group_values, match, rank, rename_keys
 
 #: Draws up to which the majority is computed, not bootstrapped.
 EXACT = 64
+#: Rows of a group that may lie in one array.
+PACKED = 4096
 
 
 def powers_of_two(size: Column) -> Column:
@@ -101,14 +105,28 @@ def majority_exact(df: DataFrame, keys: Sequence[str], ns: Sequence[int] | None
 def drawn(df: DataFrame, keys: Sequence[str], ns: Sequence[int] | None, columns: Sequence[str], *, rounds: int, seed: int, order: str) -> DataFrame:
     """keys, n, __b, __j and ``columns`` of the row that draw __j of iteration __b takes."""
     keys = list(keys)
-    rows = rank(df, keys, [order], order, "__pos").select(*keys, "__pos", *columns)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    wanted = powers_of_two(F.col("__n")) if ns is None else F.array(*[F.lit(int(n)).cast("long") for n in ns])
-    draws = sizes.withColumn("n", F.explode(wanted)).withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    draws = draws.withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*keys, "n", "__b", "__j")])
-    draws = draws.withColumn("__pos", F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") % F.col("__n") + 1)
-    return draws.join(rename_keys(rows, [*keys, "__pos"]), match([*keys, "__pos"])).select(*keys, "n", "__b", "__j", *columns)
+
+    def spell(groups: DataFrame) -> DataFrame:
+        wanted = powers_of_two(F.col("__n")) if ns is None else F.array(*[F.lit(int(n)).cast("long") for n in ns])
+        draws = groups.withColumn("n", F.explode(wanted)).withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+        draws = draws.withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        name = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*keys, "n", "__b", "__j")])
+        return draws.withColumn("__pos", F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") % F.col("__n") + 1)
+
+    def packed(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("__r"))
+        draws = spell(held.withColumn("__n", F.size("__r").cast("long"))).withColumn("__r", F.col("__r")[(F.col("__pos") - 1).cast("int")])
+        return draws.select(*keys, "n", "__b", "__j", *[F.col(f"__r.{c}").alias(c) for c in columns])
+
+    def joined(rows: DataFrame) -> DataFrame:
+        ranked = rank(rows, keys, [order], order, "__pos").select(*keys, "__pos", *columns)
+        draws = spell(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+        return draws.hint("merge").join(rename_keys(ranked, [*keys, "__pos"]), match([*keys, "__pos"])).select(*keys, "n", "__b", "__j", *columns)
+
+    if not exceeds(df, keys, PACKED):
+        return packed(df)
+    sized = group_values(df, keys, __n=F.count(F.lit(1)))
+    return packed(sized.where(F.col("__n") <= PACKED)).unionByName(joined(sized.where(F.col("__n") > PACKED).drop("__n")))
 
 
 def bootstrap_at_n(df: DataFrame, keys: Sequence[str], value: str, ns: Sequence[int] | None = None, *, rounds=1000, seed=42, order="ord") -> DataFrame:

@@ -77,3 +77,17 @@ def test_report_has_majorities(spark):
     assert got["maj@2/mean"] == pytest.approx(np.mean([m for m, _ in both])) and got["maj@2/std"] == pytest.approx(np.mean([s for _, s in both]))
     assert got["maj@4/mean"] == pytest.approx(by_enumeration(GROUPS["three"], 4)[0])
     assert {k: v for k, v in got.items() if not k.startswith("maj")} == {r.metric: r.value for r in P.validation_report(d).select("*").collect()}
+
+
+def test_draws_are_not_broadcast(spark, monkeypatch):
+    d = spark.range(300).selectExpr("id % 20 AS k", "id AS ord", "id * 0.5 AS val").union(spark.sql("SELECT NULL, 1000L, 3.5D")).union(spark.sql("SELECT NULL, 1001L, 4.5D"))
+    run = lambda: V.bootstrap_at_n(d, ["k"], "val", [2, 5], rounds=40, order="ord")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    packed = run()
+    want = rows(packed)
+    assert "Join" not in plan(packed) and len(want) == 42
+    for most in (0, 5):  # all groups joined; the group of two packed, the others joined
+        monkeypatch.setattr(V, "PACKED", most)
+        got = run()
+        assert "SortMergeJoin" in plan(got) and "BroadcastHashJoin" not in plan(got) and rows(got) == want
