@@ -131,7 +131,14 @@ def synthesize_goals(df: DataFrame, seed: int = 0, *, price: str | None = "price
     # combinations by number, spelled out one at a time: no row ever holds them all
     values = lambda k: F.element_at(F.col("options"), k)
     total = F.aggregate(names, F.lit(1).cast("long"), lambda n, k: n * F.size(values(k)))
-    d = df.withColumn("__n", total).where("__n > 0").withColumn("__from", F.explode(F.expr(f"sequence(0L, __n - 1, {COMBINATIONS}L)")))
+    d = df.withColumn("__n", total).where("__n > 0")
+    # weights before any goal is spelled out: a product counts as often as it has combinations,
+    # and equal attribute lists weigh the same. Sorted joins, as both sides are products: the
+    # planner takes them for smaller than they are and would broadcast them.
+    lists = d.groupBy("attributes").agg(F.sum("__n").alias("__n")).select("attributes", "__n", F.explode("attributes").alias("attribute"))
+    counts = lists.groupBy("attribute").agg(F.sum("__n").alias("c"))
+    weights = lookup(lists.hint("merge"), counts, ["attribute"]).groupBy("attributes").agg(F.avg(1 / F.col("c")).alias("weight"))
+    d = d.hint("merge").join(weights, "attributes").withColumn("__from", F.explode(F.expr(f"sequence(0L, __n - 1, {COMBINATIONS}L)")))
     d = d.withColumn("__i", F.explode(F.expr(f"sequence(__from, least(__from + {COMBINATIONS}L, __n) - 1)")))
     start = F.struct(F.col("__i").alias("i"), F.array().cast("array<string>").alias("o"))
     step = lambda acc, k: F.struct(
@@ -150,11 +157,7 @@ def synthesize_goals(df: DataFrame, seed: int = 0, *, price: str | None = "price
     text = F.when(F.col("price_upper") < 1_000_000.0, F.concat(F.lit(", and price lower than "), F.format_string("%.2f", "price_upper"), F.lit(" dollars"))).otherwise("")
     opts = F.when(F.size("goal_options") > 0, F.concat(F.lit(" with "), F.array_join("goal_options", ", and "))).otherwise("")
     d = d.withColumn("goal_text", F.concat("instruction", opts, text))
-    d = d.withColumn("goal_id", F.concat_ws("|", F.col("asin"), F.array_join("goal_options", "|")))
-    each = d.select("goal_id", F.explode("attributes").alias("attribute"))
-    counts = each.groupBy("attribute").agg(F.count(F.lit(1)).alias("c"))
-    weights = lookup(each, counts, ["attribute"]).groupBy("goal_id").agg(F.avg(1 / F.col("c")).alias("weight"))
-    return d.join(weights, "goal_id")
+    return d.withColumn("goal_id", F.concat_ws("|", F.col("asin"), F.array_join("goal_options", "|")))
 
 
 def _words(c: Column, stop_words: Sequence[str]) -> Column:

@@ -346,3 +346,15 @@ def test_goal_combinations_in_slices(spark, monkeypatch):
     want = [tuple(f"{k}: {v}" for k, v in zip(sorted(options), c)) for c in product(*(options[k] for k in sorted(options)))]
     assert sorted(got) == sorted(want)
     assert {r.asin for r in catalog.synthesize_goals(d).collect()} == {"a1", "a2"}
+
+
+def test_goal_weights_are_not_broadcast(spark):
+    from stepfold.operators import catalog
+
+    d = spark.createDataFrame(
+        [("a1", {"size": ["s", "m"]}, "x", 10.0, ["soft", "red"]), ("a2", {}, "x", 10.0, ["soft", "soft"]), ("a3", {}, "x", 1.0, []), ("a4", {"size": ["s"]}, "x", 1.0, [None, "red"])],
+        "asin string, options map<string,array<string>>, instruction string, price double, attributes array<string>")
+    out = catalog.synthesize_goals(d)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.goal_id, round(r.weight, 9)) for r in out.collect())
+    assert got == [("a1|size: m", round((1 / 4 + 1 / 3) / 2, 9)), ("a1|size: s", round((1 / 4 + 1 / 3) / 2, 9)), ("a2|", 0.25), ("a4|size: s", round(1 / 3, 9))]
