@@ -20,6 +20,7 @@ does not see that rows are spelled out, would have it.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,14 @@ def powers_of_two(size: Column) -> Column:
     return F.when(size > 1, F.array_distinct(steps)).otherwise(F.array().cast("array<long>"))
 
 
+@lru_cache(maxsize=1 << 16)
+def winning(sizes: tuple, classes: tuple, n: int) -> np.ndarray:
+    """For each size, the chance that one of its classes wins n draws. It depends on the pattern
+    of sizes alone, which few of many groups have to themselves, so a task's worker keeps it."""
+    held = np.array(classes, np.float64)
+    return majority_moments(np.array(sizes, np.float64), held, np.diag(held), n) / held
+
+
 def majority_moments(sizes: np.ndarray, classes: np.ndarray, sums: np.ndarray, n: int) -> np.ndarray:
     """Sum over classes of P(class wins n draws) x its value, for each row of ``sums``.
 
@@ -91,10 +100,12 @@ def majority_exact(df: DataFrame, keys: Sequence[str], ns: Sequence[int] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in ("__c", "__k", "__m", "__s")]
-            ns = batch.column("n").to_pylist()
-            got = [majority_moments(*(c[i].values.to_numpy() for c in columns[:2]), np.stack([c[i].values.to_numpy() for c in columns[2:]]), ns[i]) for i in range(len(batch))]
-            m = np.array(got).reshape(-1, 2)
+            sizes, classes = (batch.column(c).to_pylist() for c in ("__c", "__k"))
+            chance = [winning(tuple(c), tuple(k), n) for c, k, n in zip(sizes, classes, batch.column("n").to_pylist())]
+            m, flat = np.zeros((len(batch), 2)), np.concatenate(chance) if chance else np.zeros(0)
+            of = np.repeat(np.arange(len(batch)), [len(c) for c in chance])
+            for i, c in enumerate(("__m", "__s")):  # sums over the classes of a size, all equally likely
+                m[:, i] = np.bincount(of, flat * batch.column(c).flatten().to_numpy(zero_copy_only=False), len(batch))
             sd = np.sqrt(np.maximum(m[:, 1] - m[:, 0] ** 2, 0))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keys, "n")), pa.array(m[:, 0]), pa.array(sd)], names=[*keys, "n", "maj_mean", "maj_std"])
 

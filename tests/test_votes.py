@@ -91,3 +91,14 @@ def test_draws_are_not_broadcast(spark, monkeypatch):
         monkeypatch.setattr(V, "PACKED", most)
         got = run()
         assert "SortMergeJoin" in plan(got) and "BroadcastHashJoin" not in plan(got) and rows(got) == want
+
+
+def test_chances_are_kept_by_pattern(monkeypatch):
+    calls, real = [], V.majority_moments
+    monkeypatch.setattr(V, "majority_moments", lambda *a: calls.append(a) or real(*a))
+    V.winning.cache_clear()
+    sizes, classes, sums = (1.0, 2.0, 5.0), (3.0, 1.0, 2.0), np.array([[3.5, -1.0, 0.25], [9.0, 1.0, 2.0]])
+    for _ in range(50):
+        got = sums @ V.winning(sizes, classes, 8)
+    assert len(calls) == 1
+    assert got == pytest.approx(real(np.array(sizes), np.array(classes), sums, 8), abs=1e-12)
