@@ -1,8 +1,11 @@
 """Exact similarity search over a metric-ball index.
 
 Few queries (``QUERY_BYTES``, measured) go to the items: every task holds their k best so far.
-Otherwise the items are indexed (``stepfold.operators.balls``): each query meets its most
-promising blocks first, and then only blocks whose bound reaches its k-th best. Pairs over a
+Otherwise both sides are packed into blocks, and each block of queries meets each block of items
+in a cartesian product, whose tasks read two packed parts where they lie: no vector is shuffled
+again, and a task gives only its k best per query. ``index_topk`` finds the same over an index
+(``stepfold.operators.balls``) with fewer products, where vectors cluster well; each visit
+of a block is a copy of the query, so where they don't it shuffles the square of the table. Pairs over a
 threshold are a join of the index with itself, blocks against the shells within the threshold's
 angle. A task returns only the k best of its block per query (or the pairs), never its product.
 """
@@ -23,6 +26,8 @@ from stepfold.plans.skew import lookup, top_k
 
 #: Items in a block of the index; queries multiplied at a time.
 I_BLOCK, Q_BLOCK = 4096, 1024
+#: Bytes of items that a task of the cartesian product reads; parts that its queries are cut into.
+PART_BYTES, Q_PARTS = 64 << 20, 96
 #: Queries of up to so many bytes are sent to all tasks.
 QUERY_BYTES = 4 << 20
 # Scores are rounded before ranking: copies of a document must tie however products are summed.
@@ -188,6 +193,124 @@ def index_topk(queries: DataFrame, items: DataFrame, k: int, *, floor: float | N
     return found.drop("rn").unionByName(_meet(second, index, k, least, exclude_self, schema))
 
 
+def _tiles(rows: DataFrame, parts: int, block: int, cosine: bool) -> DataFrame:
+    """ids, flat (doubles as bytes), kind: ``parts`` parts of blocks of up to ``block`` rows of one kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def cut(kind, some: list[tuple]) -> pa.RecordBatch:
+            ids = pa.concat_arrays([i for i, _ in some])
+            return pa.RecordBatch.from_arrays([B.lists(ids, [len(ids)]), pa.array([np.concatenate([v for _, v in some]).tobytes()]), pa.array([kind], kinds)], names=["ids", "flat", "kind"])
+
+        for batch in batches:
+            v, kinds, of = B.matrix(batch.column("embedding")), batch.column("kind").type, {}
+            v = B.unit(v) if cosine else v
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
+                of.setdefault(kind, []).append(i)
+            for kind, at in of.items():
+                some = held.setdefault(kind, [])
+                while at:
+                    room = block - sum(len(i) for i, _ in some)
+                    some.append((batch.column("id").take(pa.array(at[:room])), v[at[:room]]))
+                    at = at[room:]
+                    if sum(len(i) for i, _ in some) == block:
+                        yield cut(kind, some)
+                        some.clear()
+        for kind, some in held.items():
+            if some:
+                yield cut(kind, some)
+
+    schema = T.StructType([T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("flat", T.BinaryType()), T.StructField("kind", rows.schema["kind"].dataType)])
+    vectors = rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), "kind").where("embedding is not null")
+    return checkpoint(vectors.repartitionByRange(parts, "kind", "id").mapInArrow(run, schema))
+
+
+def _reaching(q: np.ndarray, v: np.ndarray, cut: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and product of the pairs at or over their row's ``cut``, and with ``first`` among
+    the row's so many largest. Single precision finds them, with what it may err by to spare."""
+    length, most = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1)).max(initial=0)
+    single = length.max(initial=0) * most < 1e30
+    sims = q.astype(np.float32) @ v.astype(np.float32).T if single else q @ v.T
+    spare = 2.0 ** (-23 if single else -50) * (q.shape[1] + 2) * length * most + 2 * 10.0**-DIGITS
+    if 0 < first < len(v):
+        np.nan_to_num(sims, copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        cut = np.maximum(cut, np.partition(sims, len(v) - first, axis=1)[:, len(v) - first] - spare)
+    r, c = np.divmod(np.flatnonzero(sims >= (cut - spare).astype(sims.dtype)[:, None]), len(v))
+    exact = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", q[r[a : a + I_BLOCK]], v[c[a : a + I_BLOCK]]) for a in range(0, len(r), I_BLOCK)]])
+    keep = np.isfinite(exact)
+    return r[keep], c[keep], exact[keep]
+
+
+class _Best:
+    """The ``keep`` best items of each query of a block so far; ties: smaller id."""
+
+    def __init__(self, rows: int, keep: int, floor: float):
+        self.sims, self.ids, self.floor = np.full((rows, keep), -np.inf), None, floor
+
+    def meet(self, q: np.ndarray, v: np.ndarray, ids: np.ndarray) -> None:
+        keep = self.sims.shape[1]
+        r, c, found = _reaching(q, v, np.maximum(self.sims[:, -1], self.floor), 0 if self.ids is not None else keep)
+        found = np.round(found, DIGITS)
+        good = found >= np.maximum(self.sims[:, -1], self.floor)[r]
+        r, c, found = r[good], c[good], found[good]
+        if self.ids is None:
+            self.ids = np.empty(self.sims.shape, ids.dtype)
+        rows = np.unique(r)
+        old, place = np.nonzero(self.sims[rows] > -np.inf)
+        row, sim, name = np.append(rows[old], r), np.append(self.sims[rows][old, place], found), np.append(self.ids[rows][old, place], ids[c])
+        order = np.lexsort((np.unique(name, return_inverse=True)[1] if name.dtype == object else name, -sim, row))
+        row, sim, name = row[order], sim[order], name[order]
+        at = np.arange(len(row)) - np.searchsorted(row, row)
+        top = at < keep
+        self.sims[rows] = -np.inf
+        self.sims[row[top], at[top]], self.ids[row[top], at[top]] = sim[top], name[top]
+
+
+def tile_topk(queries: DataFrame, items: DataFrame, k: int, *, floor: float | None, cosine: bool, exclude_self: bool, block: int | None = None, parts: tuple[int, int] | None = None) -> DataFrame:
+    """The k best (at least) per query and kind of each part of the items."""
+    keep, least = k + exclude_self, -np.inf if floor is None else floor
+    # of equal vectors only the smallest ids can be among the k best
+    few = checkpoint(top_k(items, ["embedding", "kind"], [F.col("id")], keep).drop("rn"))
+    q_parts, i_parts = parts or (min(Q_PARTS, -(-queries.count() // Q_BLOCK) or 1), -(-_bytes(few) // PART_BYTES) or 1)
+    q = _tiles(queries.withColumn("kind", F.lit(None).cast("int")), q_parts, min(block or Q_BLOCK, Q_BLOCK), cosine).select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
+    tiles = _tiles(few, i_parts, block or I_BLOCK, cosine)
+    schema = _found_schema(queries, items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, vectors, best, types = None, None, {}, None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for kind, b in best.items():
+                r, c = np.nonzero(b.sims > -np.inf)
+                q_ids, i_ids = own.take(pa.array(r)), pa.array(b.ids[r, c], types[0])
+                out = pa.RecordBatch.from_arrays([q_ids, i_ids, pa.array(b.sims[r, c]), pa.array([kind] * len(r), types[1])], names=["query_id", "item_id", "sim", "kind"])
+                if exclude_self and len(r):
+                    other = np.array([x != y for x, y in zip(q_ids.to_pylist(), i_ids.to_pylist())], bool)
+                    out = out.filter(pa.array(other))
+                if len(out):
+                    yield out
+
+        for batch in batches:
+            types = batch.column("ids").type.value_type, batch.column("kind").type
+            for i in range(len(batch)):
+                ids = batch.column("q_ids")[i].values
+                if own is None or not ids.equals(own):  # all items of the part come for one block of queries, then for the next
+                    yield from found()
+                    own, best = ids, {}
+                    vectors = np.frombuffer(batch.column("q_flat")[i].as_buffer(), np.float64).reshape(len(ids), -1)
+                names = batch.column("ids")[i].values
+                v = np.frombuffer(batch.column("flat")[i].as_buffer(), np.float64).reshape(len(names), -1)
+                kind = batch.column("kind")[i].as_py()
+                if kind not in best:
+                    best[kind] = _Best(len(ids), keep, least)
+                best[kind].meet(vectors, v, names.to_numpy(zero_copy_only=False))
+        if own is not None:
+            yield from found()
+
+    return q.hint("shuffle_replicate_nl").crossJoin(tiles).mapInArrow(run, schema)
+
+
 def similarity_topk(
     queries: DataFrame, items: DataFrame, k: int, *, min_sim: float | None = None, by_kind=False, metric="cosine", exclude_self=False
 ) -> DataFrame:
@@ -199,7 +322,7 @@ def similarity_topk(
     if _bytes(queries) <= QUERY_BYTES:
         found = _scan(queries, items, k, -np.inf if min_sim is None else min_sim, metric == "cosine", exclude_self)
     else:
-        found = index_topk(queries, items, k, floor=min_sim, cosine=metric == "cosine", exclude_self=exclude_self)
+        found = tile_topk(queries, items, k, floor=min_sim, cosine=metric == "cosine", exclude_self=exclude_self)
     kind = ["kind"] if by_kind else []
     return top_k(found.select("query_id", "item_id", "sim", *kind), ["query_id", *kind], [F.desc("sim"), F.col("item_id")], k)
 

@@ -211,3 +211,23 @@ def test_bm25_leaves_frequent_lists_alone(spark):
     assert got == bm25_by_hand(queries, docs, 1)
     met, found, qt = (r.agg(F.sum(c)).first()[0] for r, c in ((report[0], "n"), (report[1].withColumn("one", F.lit(1)), "one"), (report[2], "df")))
     assert met < 0.05 * qt and found < 0.1 * len(queries) * len(docs)
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_tiles_shuffle_no_vector_again(spark, monkeypatch, text):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 6)).astype("float32")
+    v[50:60], v[7] = v[0], 0  # copies, no length
+    name = (lambda i: f"x{i:03d}") if text else (lambda i: i)
+    rows = [(name(i), v[i].tolist(), i % 3) for i in range(90)]
+    d = spark.createDataFrame(rows, f"id {'string' if text else 'long'}, embedding array<float>, kind int")
+    monkeypatch.setattr(S, "QUERY_BYTES", 1 << 30)
+    want = {}
+    for metric, own in (("cosine", True), ("dot", False)):
+        want[metric] = S.similarity_topk(d, d, 4, min_sim=0.1, by_kind=True, metric=metric, exclude_self=own).collect()
+        found = S.tile_topk(d, d, 4, floor=0.1, cosine=metric == "cosine", exclude_self=own, block=8, parts=(5, 3))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        got = S.top_k(found, ["query_id", "kind"], [F.desc("sim"), F.col("item_id")], 4).collect()
+        assert len(got) > 300
+        assert {(r.query_id, r.item_id, r.kind, r.rn, round(r.sim, 9)) for r in got} == {(r.query_id, r.item_id, r.kind, r.rn, round(r.sim, 9)) for r in want[metric]}
