@@ -3,19 +3,22 @@
 Few queries (``QUERY_BYTES``, measured) go to the items: every task holds their k best so far.
 Otherwise both sides are packed into blocks, and each block of queries meets each block of items
 in a cartesian product, whose tasks read two packed parts where they lie: no vector is shuffled
-again, and a task gives only its k best per query. ``index_topk`` finds the same over an index
+again, and a task gives only its k best per query. Pairs over a threshold are found in the same
+way. ``index_topk`` finds the same over an index
 (``stepfold.operators.balls``) with fewer products, where vectors cluster well; each visit
-of a block is a copy of the query, so where they don't it shuffles the square of the table. Pairs over a
-threshold are a join of the index with itself, blocks against the shells within the threshold's
-angle. A task returns only the k best of its block per query (or the pairs), never its product.
+of a block is a copy of the query, so where they don't it shuffles the square of the table. Links
+between components are a join of the index with itself, blocks against the shells within the
+threshold's angle. A task returns only the k best of its block per query (or the pairs), never its product.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,8 @@ from stepfold.plans.skew import lookup, top_k
 I_BLOCK, Q_BLOCK = 4096, 1024
 #: Bytes of items that a task of the cartesian product reads; parts that its queries are cut into.
 PART_BYTES, Q_PARTS = 64 << 20, 96
+#: Parts that each side of a join of pairs is cut into, as long as they stay within PART_BYTES.
+PAIR_PARTS = 24
 #: Queries of up to so many bytes are sent to all tasks.
 QUERY_BYTES = 4 << 20
 # Scores are rounded before ranking: copies of a document must tie however products are summed.
@@ -194,14 +199,16 @@ def index_topk(queries: DataFrame, items: DataFrame, k: int, *, floor: float | N
 
 
 def _tiles(rows: DataFrame, parts: int, block: int, cosine: bool) -> DataFrame:
-    """ids, flat (doubles as bytes), kind: ``parts`` parts of blocks of up to ``block`` rows of one kind."""
+    """no, ids, flat (doubles as bytes), kind: ``parts`` parts of blocks of up to ``block`` rows of one kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+        number = count(TaskContext.get().partitionId() << 32)
 
         def cut(kind, some: list[tuple]) -> pa.RecordBatch:
             ids = pa.concat_arrays([i for i, _ in some])
-            return pa.RecordBatch.from_arrays([B.lists(ids, [len(ids)]), pa.array([np.concatenate([v for _, v in some]).tobytes()]), pa.array([kind], kinds)], names=["ids", "flat", "kind"])
+            flat = np.concatenate([v for _, v in some]).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([next(number)]), B.lists(ids, [len(ids)]), pa.array([flat]), pa.array([kind], kinds)], names=["no", "ids", "flat", "kind"])
 
         for batch in batches:
             v, kinds, of = B.matrix(batch.column("embedding")), batch.column("kind").type, {}
@@ -221,7 +228,7 @@ def _tiles(rows: DataFrame, parts: int, block: int, cosine: bool) -> DataFrame:
             if some:
                 yield cut(kind, some)
 
-    schema = T.StructType([T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("flat", T.BinaryType()), T.StructField("kind", rows.schema["kind"].dataType)])
+    schema = T.StructType([T.StructField("no", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("flat", T.BinaryType()), T.StructField("kind", rows.schema["kind"].dataType)])
     vectors = rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), "kind").where("embedding is not null")
     return checkpoint(vectors.repartitionByRange(parts, "kind", "id").mapInArrow(run, schema))
 
@@ -274,7 +281,7 @@ def tile_topk(queries: DataFrame, items: DataFrame, k: int, *, floor: float | No
     few = checkpoint(top_k(items, ["embedding", "kind"], [F.col("id")], keep).drop("rn"))
     q_parts, i_parts = parts or (min(Q_PARTS, -(-queries.count() // Q_BLOCK) or 1), -(-_bytes(few) // PART_BYTES) or 1)
     q = _tiles(queries.withColumn("kind", F.lit(None).cast("int")), q_parts, min(block or Q_BLOCK, Q_BLOCK), cosine).select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
-    tiles = _tiles(few, i_parts, block or I_BLOCK, cosine)
+    tiles = _tiles(few, i_parts, block or I_BLOCK, cosine).select("ids", "flat", "kind")
     schema = _found_schema(queries, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,29 +412,30 @@ def _range_join(index: B.Balls, threshold: float, piles: tuple[np.ndarray, np.nd
 def similar_pairs(items: DataFrame, threshold: float, *, block: int | None = None) -> DataFrame:
     """All pairs a < b of distinct vectors with cosine >= threshold (a, b, sim), and a link
     from the smallest id of equal vectors to each of its copies (sim 1). A group of n copies
-    gives n - 1 links, not n^2 pairs, and its first id stands for it in the other pairs."""
+    gives n - 1 links, not n^2 pairs, and its first id stands for it in the other pairs. Blocks
+    meet in a cartesian product of the packed table with itself, each two once."""
     vectors, links = _representatives(items)
-    index = B.build(vectors, block=block or I_BLOCK)
-    if not index.directory.kinds:
-        return links
+    vectors, size = checkpoint(vectors), block or I_BLOCK
+    parts = max(min(PAIR_PARTS, -(-vectors.count() // size)), -(-_bytes(vectors) // PART_BYTES), 1)
+    tiles = _tiles(vectors, parts, size, True).drop("kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 q_ids, i_ids = batch.column("q_ids")[i].values, batch.column("ids")[i].values
-                q, v = (batch.column(c)[i].values.to_numpy().reshape(len(n), -1) for c, n in (("q_flat", q_ids), ("flat", i_ids)))
-                own = batch.column("q_block")[i].as_py() == batch.column("block")[i].as_py()
-                for c in range(0, len(q), Q_BLOCK):
-                    keep = (sims := q[c : c + Q_BLOCK] @ v.T) >= threshold
-                    if own:  # both sides are the same rows in the order of ids
-                        keep &= np.arange(c, c + len(keep))[:, None] < np.arange(len(v))
-                    r, j = np.nonzero(keep)
-                    if len(r):
-                        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(r + c)), i_ids.take(pa.array(j)), pa.array(sims[r, j])], names=["a", "b", "sim"])
+                q, v = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(len(n), -1) for c, n in (("q_flat", q_ids), ("flat", i_ids)))
+                own = batch.column("q_no")[i].as_py() == batch.column("no")[i].as_py()
+                for a in range(0, len(q), Q_BLOCK):
+                    some = q[a : a + Q_BLOCK]
+                    r, j, sims = _reaching(some, v, np.full(len(some), float(threshold)))
+                    keep = (sims >= threshold) & ((r + a < j) if own else True)  # a block with itself is the same rows
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(r[keep] + a)), i_ids.take(pa.array(j[keep])), pa.array(sims[keep])], names=["a", "b", "sim"])
 
     ident = items.schema["id"].dataType
     schema = T.StructType([T.StructField("a", ident), T.StructField("b", ident), T.StructField("sim", T.DoubleType())])
-    found = _range_join(index, threshold).join(index.packed, "block").select("q_block", "block", "q_ids", "q_flat", "ids", "flat").mapInArrow(run, schema)
+    left = tiles.select(*[F.col(c).alias(f"q_{c}") for c in tiles.columns])
+    found = left.hint("shuffle_replicate_nl").join(tiles, F.col("q_no") <= F.col("no")).mapInArrow(run, schema)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").unionByName(links)
 
 

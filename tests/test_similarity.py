@@ -231,3 +231,15 @@ def test_tiles_shuffle_no_vector_again(spark, monkeypatch, text):
         got = S.top_k(found, ["query_id", "kind"], [F.desc("sim"), F.col("item_id")], 4).collect()
         assert len(got) > 300
         assert {(r.query_id, r.item_id, r.kind, r.rn, round(r.sim, 9)) for r in got} == {(r.query_id, r.item_id, r.kind, r.rn, round(r.sim, 9)) for r in want[metric]}
+
+
+def test_pairs_shuffle_no_vector_again(spark):
+    v = np.random.default_rng(4).normal(size=(70, 5)).astype("float32")
+    v[60:] = v[0]
+    found = S.similar_pairs(table(spark, v), 0.4, block=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    got = [(r.a, r.b) for r in found.collect()]
+    c = scores(v, v)
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if c[a, b] >= 0.4} | {(0, b) for b in range(60, 70)}
+    assert len(got) == len(want) and set(got) == want
