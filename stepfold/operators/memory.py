@@ -294,10 +294,10 @@ def reduce_to_limit(library: DataFrame, limit: int, threshold: float = 0.60, rou
         place = rank(lib, ["embedding"], ["exp_no"], name="rn").withColumn("two", F.floor((F.col("rn") - 1) / 2))
         copies = place.groupBy("embedding", "two").agg(F.min("exp_no").alias("a"), F.max("exp_no").alias("b")).where("a < b")
         nonzero = F.exists("embedding", lambda x: x != 0)
-        copies = copies.where(nonzero).select("a", "b", F.lit(1.0).alias("sim"))
+        # the first two of a pile are linked by similar_pairs already
+        copies = copies.where(nonzero & (F.col("two") > 0)).select("a", "b", F.lit(1.0).alias("sim"))
         pairs = similar_pairs(lib.select(F.col("exp_no").alias("id"), "embedding"), threshold)
-        pairs = pairs.unionByName(copies.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-        best = pairs.orderBy(F.desc("sim"), "a", "b").limit(over)
+        best = pairs.unionByName(copies).orderBy(F.desc("sim"), "a", "b").limit(over)
         taken = checkpoint(greedy_matching(best))
         if taken.isEmpty():
             break

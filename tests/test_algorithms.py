@@ -284,3 +284,13 @@ def test_failure_runs_by_pieces():
             else:
                 want.append([x, x])
         assert runs.tolist() == want
+
+
+def test_reduce_to_limit_joins_pairs_once(spark, monkeypatch):
+    seen, real = [], M.greedy_matching
+    monkeypatch.setattr(M, "greedy_matching", lambda best: seen.append(best._jdf.queryExecution().optimizedPlan().toString()) or real(best))
+    rows = [(i, f"t{i}", [1.0, 0.0] if i < 5 else [0.0, 1.0 + i]) for i in range(8)]
+    lib = spark.createDataFrame(rows, "exp_no long, text string, embedding array<float>")
+    out = M.reduce_to_limit(lib, 1, 0.9, rounds=1).collect()
+    assert len(seen) == 1 and seen[0].count("MapInArrow") == 1 and "LeftAnti" not in seen[0]
+    assert sorted(r.text for r in out) == ["t0\n\nt1", "t2\n\nt3", "t4", "t5\n\nt6", "t7"]
