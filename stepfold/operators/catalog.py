@@ -83,7 +83,7 @@ def facet_search(products: DataFrame, *, attribute=None, category=None, query=No
 
 
 def keyword_search(queries: DataFrame, documents: DataFrame, k: int = 50) -> DataFrame:
-    return bm25_topk(queries, documents.select(F.col("asin").alias("doc_id"), F.col("contents").alias("text")), k)
+    return bm25_topk(queries, documents.select(F.col("asin").alias("doc_id"), F.col("contents").alias("text")), k, digits=9)
 
 
 def _tokens(text: Column, stop_words: Sequence[str]) -> Column:

@@ -135,7 +135,7 @@ SELECT query_id, doc_id, {q6('score')} AS score, rn FROM rk WHERE rn <= {k}"""
 @query("bm25_topk", "WITH " + bm25_sql("SELECT item_id AS query_id, text FROM benchmark", "SELECT doc_id, text FROM documents", 5))
 def _(spark, sf):
     q = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    d = P.bm25_topk(q, V.table(spark, sf, "documents").select("doc_id", "text"), 5)
+    d = P.bm25_topk(q, V.table(spark, sf, "documents").select("doc_id", "text"), 5, digits=9)
     return d.select("query_id", "doc_id", r6("score").alias("score"), F.col("rn").cast("long"))
 
 

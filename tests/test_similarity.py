@@ -243,3 +243,13 @@ def test_pairs_shuffle_no_vector_again(spark):
     c = scores(v, v)
     want = {(a, b) for a in range(60) for b in range(a + 1, 60) if c[a, b] >= 0.4} | {(0, b) for b in range(60, 70)}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_bm25_ties_at_nine_digits(spark, monkeypatch):
+    from stepfold.operators import catalog, postings
+
+    # the shorter text is better by less than 1e-9, so the smaller id goes first, as in the SQL
+    d = spark.createDataFrame([("1", "x y y y y"), ("2", "x y y"), ("3", "z")], "asin string, contents string")
+    q = spark.createDataFrame([(0, "x")], "query_id long, text string")
+    monkeypatch.setattr(catalog, "bm25_topk", lambda *a, **kw: postings.bm25_topk(*a, b=1e-10, **kw))
+    assert [(r.doc_id, r.rn) for r in catalog.keyword_search(q, d, 2).collect()] == [("1", 1), ("2", 2)]
