@@ -1,32 +1,40 @@
-"""Merging a batch of operations into a library in their order, as a parallel fixpoint.
+"""Merging a batch of operations into a library in their order, a block of operations at a time.
 
 One by one, an operation sees the library that the operations before it have left: an addition
 takes in the up to k items most similar to it, which go, and its result is an item that later
-ones may take in. Here every item has a life, from the operation that made it to the first one
-that takes it in, and all operations decide at once, each from the items alive at its place.
-Lives follow from the decisions of the round before, at first from plain additions. A
-round in which no decision changes is the one-by-one result: the first operation decides
-rightly at once, and each one does as soon as those before it that come near it have. So there
-are about as many rounds as the longest chain of operations of which each comes near the one
-before, not as operations; they are counted.
-
-The search looks at one block of operations and one block of items at a time; operations beyond
-``similarity.QUERY_BYTES`` go over the items in slices.
+ones may take in. A round decides the next block of operations. All tasks look up, among the
+items alive before the block, a multiple of k items for each of its operations; these and the
+items that the block makes are all that it can take in, so one task goes through the block in
+order. Where an operation may need an item that was not looked up, as too many of its own went
+to the operations before it, the block ends before it and the next ones are shorter, with more
+items for each: one of up to ``LEAST`` operations always goes through. So the
+rounds grow with the number of operations, whatever touches what.
+
+A task holds one block of operations and at most ``LOOKED * k`` items beside it. Decisions are
+written down by round; every ``FOLD`` rounds they are taken into the library.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.operators.similarity import timed_topk
-from stepfold.plans.session import checkpoint
+from stepfold.operators import balls as B
+from stepfold.operators.similarity import DIGITS, block_topk
+from stepfold.plans.session import checkpoint, scratch
 from stepfold.plans.skew import top_k
 
-FOREVER = (1 << 62) - 1
+#: Operations in a block at most and at least; items looked up for a block, as a multiple of k;
+#: rounds after which the library is written anew.
+OPS, LEAST, LOOKED, FOLD = 512, 64, 4096, 8
+PLAN = "op_id long, action string, node long, taken array<long>, embedding array<double>"
 
 
-def plan_ordered_merges(existing: DataFrame, ops: DataFrame, threshold: float = 0.70, k: int = 10, *, max_rounds: int = 1000, report: list | None = None) -> DataFrame:
+def plan_ordered_merges(existing: DataFrame, ops: DataFrame, threshold: float = 0.70, k: int = 10, *, report: list | None = None) -> DataFrame:
     """op_id, action, node, taken, embedding: what each operation does in its place.
 
     ``existing``: id (long, not negative), embedding. ``ops``: op_id (long, not negative: the
@@ -36,40 +44,102 @@ def plan_ordered_merges(existing: DataFrame, ops: DataFrame, threshold: float =
     ties by number) the action is merge and its vector the mean of all. ``report`` gets the
     number of rounds.
     """
+    spark = existing.sparkSession
     vectors = F.col("embedding").cast("array<double>").alias("embedding")
     library = checkpoint(existing.select(F.col("id").cast("long").alias("node"), vectors))
-    ops = checkpoint(ops.select(F.col("op_id").cast("long").alias("op_id"), "option", F.col("modified_from").cast("long").alias("modified_from"), vectors))
+    target = F.when(F.col("option") == "modify", F.col("modified_from").cast("long")).alias("target")
+    ops = checkpoint(ops.select(F.col("op_id").cast("long").alias("op_id"), target, vectors))
     top = library.agg(F.coalesce(F.max("node") + 1, F.lit(0))).first()[0]
-    known = library.select(F.col("node").alias("modified_from"), F.lit(True).alias("__known"))
-    ops = checkpoint(ops.join(known, "modified_from", "left").withColumn("__known", F.coalesce("__known", F.lit(False)) & (F.col("option") == "modify")))
-    nothing = F.array().cast("array<long>")
-    plain = F.when(F.col("__known"), "replace").otherwise("add")
-    now = ops.select("op_id", plain.alias("action"), F.when(F.col("__known"), F.col("modified_from")).otherwise(F.col("op_id") + top).alias("node"), nothing.alias("taken"), "embedding")
-    now = checkpoint(now)
-    for n in range(1, max_rounds + 1):
-        ends = now.select("op_id", F.explode("taken").alias("node")).groupBy("node").agg(F.min("op_id").alias("until"))
-        items = library.withColumn("since", F.lit(-1).cast("long")).unionByName(now.where("action <> 'replace'").select("node", "embedding", F.col("op_id").alias("since")))
-        items = checkpoint(items.join(ends, "node", "left").withColumn("until", F.coalesce("until", F.lit(FOREVER))))
-        there = ops.where("__known").join(ends.withColumnRenamed("node", "modified_from"), "modified_from", "left").where(F.coalesce("until", F.lit(FOREVER)) >= F.col("op_id")).select("op_id", F.lit(True).alias("__there"))
-        asked = ops.join(there, "op_id", "left")
-        adds = asked.where("__there IS NULL")
-        hits = timed_topk(adds.select(F.col("op_id").alias("id"), "embedding", F.col("op_id").alias("at")), items.select(F.col("node").alias("id"), "embedding", "since", "until"), k, threshold)
-        near = hits.join(items.select(F.col("node").alias("item_id"), F.col("embedding").alias("v")), "item_id")
-        near = near.groupBy(F.col("query_id").alias("op_id")).agg(F.array_sort(F.collect_list(F.struct("rn", "item_id", "v"))).alias("l"))
-        add = adds.join(near, "op_id", "left")
-        total = F.aggregate("l", F.col("embedding"), lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q))
-        mean = F.transform(total, lambda x: x / (F.size("l") + 1))
-        add = add.select("op_id", F.when(F.col("l").isNull(), "add").otherwise("merge").alias("action"), (F.col("op_id") + top).alias("node"),
-                         F.when(F.col("l").isNull(), nothing).otherwise(F.transform("l", lambda x: x["item_id"])).alias("taken"), F.when(F.col("l").isNull(), F.col("embedding")).otherwise(mean).alias("embedding"))
-        swap = asked.where("__there").select("op_id", F.lit("replace").alias("action"), F.col("modified_from").alias("node"), nothing.alias("taken"), "embedding")
-        new = checkpoint(add.unionByName(swap))
-        sign = F.xxhash64("action", "taken", "embedding")
-        if new.select("op_id", sign.alias("a")).join(now.select("op_id", sign.alias("b")), "op_id").where("a <> b").isEmpty():
-            if report is not None:
-                report.append(n)
-            return new
-        now = new
-    raise RuntimeError(f"the order did not settle in {max_rounds} rounds")
+    folder = scratch(spark, "merges")
+    read = lambda rounds: spark.read.schema(PLAN).parquet(*[f"{folder}/{r}" for r in rounds])
+    last, size, n, recent = -1, OPS, 0, []
+    while True:
+        block = checkpoint(ops.where(F.col("op_id") > last).orderBy("op_id").limit(size))
+        asked = block.count()
+        if not asked:
+            break
+        alive = library
+        if recent:
+            made = read(recent)
+            gone = made.select(F.explode("taken").alias("node"))
+            alive = library.unionByName(made.where("action <> 'replace'").select("node", "embedding")).join(F.broadcast(gone), "node", "left_anti")
+        ahead = k * max(1, LOOKED // size)
+        hits = block_topk(block.select(F.col("op_id").alias("id"), "embedding"), alive.select(F.col("node").alias("id"), "embedding"), ahead, threshold)
+        hits = checkpoint(hits)
+        found = hits.groupBy(F.col("query_id").alias("op_id")).agg(F.array_sort(F.collect_list(F.struct("rn", "item_id", "sim"))).alias("l"))
+        found = block.join(found, "op_id", "left").select("op_id", "target", "embedding", F.col("l.item_id").alias("near"), F.col("l.sim").alias("sims"))
+        needed = hits.select(F.col("item_id").alias("node")).union(block.select("target").where("target IS NOT NULL")).distinct()
+        items = alive.join(F.broadcast(needed), "node", "left_semi").withColumnRenamed("node", "op_id")
+        both = found.withColumn("op", F.lit(True)).unionByName(items.withColumn("op", F.lit(False)), allowMissingColumns=True)
+        both.repartition(1).mapInArrow(_decide(top, threshold, k, ahead), PLAN).write.parquet(f"{folder}/{n}")
+        done, last = read([n]).agg(F.count(F.lit(1)), F.max("op_id")).first()
+        recent.append(n)
+        n += 1
+        size = min(OPS, 2 * size) if done == asked else max(LEAST, done)
+        if len(recent) == FOLD:
+            made = read(recent)
+            gone = made.select(F.explode("taken").alias("node"))
+            library = checkpoint(library.unionByName(made.where("action <> 'replace'").select("node", "embedding")).join(F.broadcast(gone), "node", "left_anti"))
+            recent = []
+    if report is not None:
+        report.append(n)
+    return spark.read.schema(PLAN).parquet(f"{folder}/*") if n else spark.createDataFrame([], PLAN)
+
+
+def _decide(top: int, threshold: float, k: int, ahead: int):
+    """The block in order: op rows have their ``ahead`` nearest items of before, the other rows
+    are these items and the targets that are there. Ends before an operation that may need more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo, vector = [], {}
+        for batch in batches:
+            flat = [None if x is None else x.values.to_numpy(zero_copy_only=False) for x in map(_valid, batch.column("embedding"))]
+            names, is_op = batch.column("op_id").to_pylist(), batch.column("op").to_pylist()
+            target, near, sims = (batch.column(c).to_pylist() for c in ("target", "near", "sims"))
+            for i, name in enumerate(names):
+                if is_op[i]:
+                    todo.append((name, target[i], flat[i], near[i] or [], sims[i] or []))
+                else:
+                    vector[name] = flat[i]
+        todo.sort(key=lambda o: o[0])
+        gone, out = set(), []
+        width = max((len(o[2]) for o in todo if o[2] is not None), default=0)
+        units, made = np.zeros((len(todo), width)), []
+        for op, target, own, near, sims in todo:
+            if target is not None and target in vector and target not in gone:
+                out.append((op, "replace", target, [], own))
+                continue
+            best = []
+            if own is not None:
+                best = [(-s, x) for x, s in zip(near, sims) if x not in gone]
+                new = np.round(units[: len(made)] @ B.unit(own[None])[0], DIGITS)
+                best += [(-new[j], made[j]) for j in np.flatnonzero(new >= threshold) if made[j] not in gone]
+                best = sorted(best)[:k]
+                # items that were not looked up come after the last one that was
+                if len(near) == ahead and (len(best) < k or best[-1] > (-sims[-1], near[-1])):
+                    break
+            taken = [x for _, x in best]
+            total = own
+            for x in taken:
+                total = total + vector[x]
+            mean = total / (len(taken) + 1) if taken else own
+            if mean is not None:
+                units[len(made)] = B.unit(mean[None])[0]
+                made.append(top + op)
+            gone.update(taken)
+            vector[top + op] = mean
+            out.append((op, "merge" if taken else "add", top + op, taken, mean))
+        if out:
+            op, action, node, taken, mean = zip(*out)
+            kinds = pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())
+            columns = op, action, node, taken, [None if m is None else m.tolist() for m in mean]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["op_id", "action", "node", "taken", "embedding"])
+
+    return run
+
+
+def _valid(x: pa.Scalar) -> pa.Scalar | None:
+    return x if x.is_valid else None
 
 
 def roots(taken: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -78,10 +78,9 @@ def _hits(q_ids: pa.Array, i_ids: pa.Array, sims: np.ndarray, kind, kind_type: p
     return pa.RecordBatch.from_arrays([q_ids.take(pa.array(q_at[keep])), i_ids.take(pa.array(i_at[keep])), pa.array(found[keep]), pa.array([kind] * n, kind_type)], names=["query_id", "item_id", "sim", "kind"])
 
 
-def _scan(queries: DataFrame, items: DataFrame, k: int, floor: float, cosine: bool, exclude_self: bool, timed: bool = False) -> DataFrame:
-    """Every task goes through its items once and keeps k per query and kind. ``timed``: a
-    query at ``at`` finds items with since < at <= until."""
-    rows = queries.select("id", F.col("embedding").cast("array<double>").alias("embedding"), *["at"] * timed).where("embedding is not null").toArrow()
+def _scan(queries: DataFrame, items: DataFrame, k: int, floor: float, cosine: bool, exclude_self: bool) -> DataFrame:
+    """Every task goes through its items once and keeps k per query and kind."""
+    rows = queries.select("id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").toArrow()
     shared = queries.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +91,6 @@ def _scan(queries: DataFrame, items: DataFrame, k: int, floor: float, cosine: bo
         q_ids = ids.to_pylist()
         q = B.matrix(held.column("embedding").combine_chunks())
         q = B.unit(q) if cosine else q
-        at_q = held.column("at").to_numpy() if timed else None
         best: dict = {}
         kinds_type = id_type = None
         for batch in batches:
@@ -104,7 +102,6 @@ def _scan(queries: DataFrame, items: DataFrame, k: int, floor: float, cosine: bo
                 groups.setdefault(of[i], []).append(i)
             v = B.matrix(batch.column("embedding"))
             v = B.unit(v) if cosine else v
-            life = [batch.column(c).to_numpy() for c in ("since", "until")] if timed else None
             for kind, at in groups.items():
                 for a in range(0, len(at), I_BLOCK):
                     some = at[a : a + I_BLOCK]
@@ -114,9 +111,6 @@ def _scan(queries: DataFrame, items: DataFrame, k: int, floor: float, cosine: bo
                         sims = np.round(q[c : c + Q_BLOCK] @ v[some].T, DIGITS)
                         if exclude_self:
                             _without_self(sims, q_ids[c : c + Q_BLOCK], own)
-                        if timed:
-                            when = at_q[c : c + Q_BLOCK, None]
-                            sims[(life[0][some] >= when) | (when > life[1][some])] = -np.inf
                         sims[sims < floor] = -np.inf
                         worst = np.array([t[0][-1] if len(t[0]) == k else -np.inf for t in top[c : c + Q_BLOCK]])
                         for r in np.flatnonzero(sims.max(axis=1) >= worst):
@@ -138,7 +132,7 @@ def _scan(queries: DataFrame, items: DataFrame, k: int, floor: float, cosine: bo
                         names=["query_id", "item_id", "sim", "kind"],
                     )
 
-    vectors = items.select("id", F.col("embedding").cast("array<double>").alias("embedding"), "kind", *["since", "until"] * timed).where("embedding is not null")
+    vectors = items.select("id", F.col("embedding").cast("array<double>").alias("embedding"), "kind").where("embedding is not null")
     return vectors.mapInArrow(run, _found_schema(queries, items))
 
 
@@ -146,16 +140,9 @@ def _bytes(queries: DataFrame) -> int:
     return queries.agg(F.sum(F.size("embedding").cast("long") * 8 + 16)).first()[0] or 0
 
 
-def timed_topk(queries: DataFrame, items: DataFrame, k: int, min_sim: float) -> DataFrame:
-    """k most similar items alive at a query's place: queries id, embedding, at; items id,
-    embedding, since, until (since < at <= until). Large query sets go over the items in slices."""
-    items = items.withColumn("kind", F.lit(None).cast("int"))
-    n = max(1, -(-_bytes(queries) // QUERY_BYTES)) if QUERY_BYTES > 0 else 3
-    found = None
-    for i in range(n):
-        some = queries if n == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i)
-        one = _scan(some, items, k, min_sim, True, False, timed=True)
-        found = one if found is None else found.unionByName(one)
+def block_topk(queries: DataFrame, items: DataFrame, k: int, min_sim: float) -> DataFrame:
+    """k most similar items of a few queries (id, embedding), which all tasks get."""
+    found = _scan(queries, items.withColumn("kind", F.lit(None).cast("int")), k, min_sim, True, False)
     return top_k(found.drop("kind"), ["query_id"], [F.desc("sim"), F.col("item_id")], k)
 
 

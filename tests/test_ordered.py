@@ -86,3 +86,32 @@ def test_query(spark):
     top = max(existing) + 1
     want = {i: f"t{swapped[i][0]}" if i in swapped else "\n\n".join(f"t{x if x < top else x - top}" for x in m) for i, m in library.items()}
     assert {r.id: r.text for r in QUERIES["ordered_merge_library"](spark, sf).collect()} == want
+
+
+def _frames(spark, existing, ops):
+    e = spark.createDataFrame(list(existing.items()), "id long, embedding array<double>")
+    return e, spark.createDataFrame(ops, "op_id long, option string, modified_from long, embedding array<double>")
+
+
+def test_a_chain_takes_no_more_rounds(spark):
+    """Sixty operations, each near the result of the one before: one block, not sixty rounds."""
+    turn = [[float(np.cos(0.02 * i)), float(np.sin(0.02 * i))] for i in range(60)]
+    ops = [(i, "add", None, v) for i, v in enumerate(turn)]
+    plan, _, _, chain = one_by_one({}, ops, 0.7, 10)
+    report = []
+    made = O.plan_ordered_merges(*_frames(spark, {}, ops), 0.7, report=report)
+    assert {r.op_id: (r.action, r.node, list(r.taken)) for r in made.collect()} == plan
+    assert chain == 60 and report == [1]
+
+
+@pytest.mark.parametrize("size,least,looked", [(16, 2, 16), (4, 1, 4)])
+def test_blocks_end_before_items_run_out(spark, monkeypatch, size, least, looked):
+    """Equal vectors: every operation wants the same items, more than were looked up for it."""
+    for name, value in (("OPS", size), ("LEAST", least), ("LOOKED", looked), ("FOLD", 2)):
+        monkeypatch.setattr(O, name, value)
+    rng = np.random.default_rng(9)
+    existing = {i: [1.0, 0.0, 0.0] if i < 50 else rng.normal(size=3).tolist() for i in range(60)}
+    ops = [(j, "modify" if j % 5 == 0 else "add", j if j % 5 == 0 else None, [1.0, 0.0, 0.0] if j % 4 else rng.normal(size=3).tolist()) for j in range(24)]
+    plan, library, swapped, _ = one_by_one(existing, ops, 0.6, 3)
+    made = O.plan_ordered_merges(*_frames(spark, existing, ops), 0.6, 3)
+    assert {r.op_id: (r.action, r.node, list(r.taken)) for r in made.collect()} == plan
