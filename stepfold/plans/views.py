@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfold.plans.skew import lookup, rank
@@ -74,12 +74,21 @@ TOKENS_SQL = """tokens AS (
   FROM lineitem)"""
 
 
+def round_half(c: Column, digits: int) -> Column:
+    """Rounded as DuckDB rounds a double: the product with a power of ten to the nearest whole
+    number, halves away from zero. Spark's round looks at the shortest decimal form instead, so 1.005
+    becomes 1.01 there, and 1.0 here, as its double times 100 lies below 100.5."""
+    scaled = F.abs(c * 10.0**digits)
+    whole = F.floor(scaled)
+    return F.signum(c) * (whole + (scaled - whole >= 0.5).cast("long")) / 10.0**digits
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored response per order, grouped by customer."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("uid"),
         F.col("o_orderkey").alias("row_id"),
-        F.round(F.col("o_totalprice") / 100000, 2).alias("score"),
+        round_half(F.col("o_totalprice") / 100000, 2).alias("score"),
         F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("label"),
         F.col("o_orderpriority").alias("data_source"),
     )

@@ -341,3 +341,18 @@ def test_stream_flush_is_not_cut(spark, tmp_path):
     source = spark.readStream.schema("queue string, event_id long").parquet(str(tmp_path / "in"))
     with pytest.raises(TimeoutError):
         ST.run_until_idle(ST.stream_fill_flush(source, 3, 60.0), str(tmp_path / "out"), 60.0, most_sec=2.0)
+
+
+def test_scores_round_as_in_sql(spark, tmp_path):
+    """Prices whose hundred-thousandth looks like a tie in decimal and is none as a double."""
+    import duckdb
+
+    from stepfold.plans import views as V
+
+    prices = [14500.0, 28500.0, 57500.0, 100500.0, 101500.0, 150000.0, 200499.99, 1001.91]
+    rows = [(i, i, p, "F", "1-URGENT") for i, p in enumerate(prices)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.row_id: r.score for r in V.responses(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == dict(con.execute(f"WITH {V.RESPONSES_SQL} SELECT row_id, score FROM responses").fetchall())
