@@ -6,6 +6,7 @@ value separately once a table is too large for one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -351,16 +352,26 @@ def paginate(df: DataFrame, page: int, size: int, *, order: Sequence[str], rows:
     A directory narrows the table down to the page: up to ``cuts`` sampled keys cut it into
     ranges, one pass counts them, and only the ranges that hold the page go on, until they have
     no more than ``rows`` rows, which are sorted. No task gets the rows before the page, and
-    nothing is shuffled but counts. ``report`` gets the size of what was sorted.
+    nothing is shuffled but counts. A page within the first ``rows`` rows needs no directory:
+    each task keeps its first rows up to the page's end. ``report`` gets the size of what was sorted.
     """
     key = F.struct(*order, F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]).alias("__row"))
     d, skip, most = df.withColumn("__key", key), (page - 1) * size, max(rows, 2 * size)
+    if skip + size <= most:
+        if report is not None:
+            report.append(skip + size)
+        return d.orderBy("__key").limit(skip + size).offset(skip).drop("__key")
+    step = math.isqrt(cuts) + 1
     left, level = None, 0
     while left is None or left > most:
         level += 1
         some = d.select("__key").orderBy(F.rand(level)).limit(cuts)  # where it cuts, the page does not depend on
         at = checkpoint(some).agg(F.array_sort(F.collect_set("__key"))).scalar()
-        ranged = d.withColumn("__at", at).withColumn("__range", F.size(F.filter("__at", lambda s: s <= F.col("__key")))).drop("__at")
+        # every step-th cut first, then those between two of them
+        low = lambda a: F.size(F.filter(a, lambda s: s <= F.col("__key")))
+        ranged = d.withColumn("__at", at).withColumn("__far", F.filter("__at", lambda s, i: i % step == 0))
+        ranged = ranged.withColumn("__far", F.greatest(low("__far") - 1, F.lit(0)) * step)
+        ranged = ranged.withColumn("__range", F.col("__far") + low(F.slice("__at", F.col("__far") + 1, step))).drop("__at", "__far")
         sizes = sorted((r["__range"], r["n"]) for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
         total, before, held = sum(n for _, n in sizes), 0, []
         for name, n in sizes:

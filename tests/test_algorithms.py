@@ -356,3 +356,11 @@ def test_scores_round_as_in_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert got == dict(con.execute(f"WITH {V.RESPONSES_SQL} SELECT row_id, score FROM responses").fetchall())
+
+
+def test_first_pages_need_no_directory(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("a"))
+    report = []
+    page = S.paginate(df, 3, 25, order=["a"], rows=1000, cuts=8, report=report)
+    assert [r.a for r in page.collect()] == list(range(50, 75)) and report == [75]
+    assert "TakeOrderedAndProject" in page._jdf.queryExecution().executedPlan().toString()
