@@ -82,8 +82,16 @@ def facet_search(products: DataFrame, *, attribute=None, category=None, query=No
     return d
 
 
-def keyword_search(queries: DataFrame, documents: DataFrame, k: int = 50) -> DataFrame:
-    return bm25_topk(queries, documents.select(F.col("asin").alias("doc_id"), F.col("contents").alias("text")), k, digits=9)
+def keyword_search(queries: DataFrame, documents: DataFrame, k: int = 50, *, report: list | None = None) -> DataFrame:
+    """k best documents per query by BM25. Documents of equal text score alike, so each text is
+    ranked once, for as many documents as it stands for, under the smallest id; the texts found give
+    their k smallest ids each. Ids must be unique."""
+    docs = documents.select(F.col("asin").alias("doc_id"), F.col("contents").alias("text"))
+    texts = checkpoint(docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+    hits = checkpoint(bm25_topk(queries, texts, k, digits=9, report=report).select("query_id", "doc_id", "score"))
+    hits = hits.join(texts, "doc_id").select("query_id", "score", "text")
+    found = top_k(docs.join(hits.select("text").distinct(), "text", "left_semi"), ["text"], [F.col("doc_id")], k).drop("rn")
+    return top_k(hits.join(found, "text").drop("text"), ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
 def _tokens(text: Column, stop_words: Sequence[str]) -> Column:

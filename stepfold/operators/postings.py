@@ -42,16 +42,19 @@ def terms_of(c: Column) -> Column:
 
 
 def weights(terms: DataFrame, docs: DataFrame, k1: float, b: float) -> DataFrame:
-    """term, doc_id, w: the BM25 weight of every given term in every document that holds it."""
-    d = docs.select("doc_id", terms_of(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+    """term, doc_id, w: the BM25 weight of every given term in every document that holds it. A row
+    with ``copies`` stands for so many documents."""
+    copies = F.col("copies") if "copies" in docs.columns else F.lit(1)
+    d = docs.select("doc_id", copies.cast("long").alias("copies"), terms_of(F.col("text")).alias("t")).withColumn("len", F.size("t"))
     # the empty term stands for the document itself, so that one pass over the texts counts both
     each = F.concat(F.array(F.lit("")), F.coalesce("t", F.array().cast("array<string>")))
-    words = d.select("doc_id", "len", F.explode(each).alias("term")).join(terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
-    both = checkpoint(words.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
-    n, total, measured = both.where("term = ''").agg(F.sum("tf"), F.sum(F.col("len") * F.col("tf")), F.sum(F.when(F.col("len").isNotNull(), F.col("tf")))).first()
+    words = d.select("doc_id", "copies", "len", F.explode(each).alias("term")).join(terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+    both = checkpoint(words.groupBy("doc_id", "copies", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    rows = F.col("tf") * F.col("copies")
+    n, total, measured = both.where("term = ''").agg(F.sum(rows), F.sum(F.col("len") * rows), F.sum(F.when(F.col("len").isNotNull(), rows))).first()
     n, avg = n or 0, total / measured if total else None
     tf = both.where("term <> ''")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
     idf = df.select("term", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(avg or 1))))
     return tf.join(idf, "term").select("term", "doc_id", w.alias("w"))
@@ -97,7 +100,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, k1=0.9, b=0.4, dig
     """k best documents per query by BM25 (query_id, doc_id, score, rn). Query terms count
     once. ``queries`` has query_id, text; ``docs`` has doc_id, text. Documents that share no
     term with a query are not ranked for it. Scores are rounded to ``digits`` before ranking,
-    ties go to the smaller doc_id. A null text counts as a document but not in the mean length. ``report`` gets the rows that queries and blocks make."""
+    ties go to the smaller doc_id. ``docs`` may have copies: how many documents a row stands for. A null text counts as a document but not in the mean length. ``report`` gets the rows that queries and blocks make."""
     q = checkpoint(queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).distinct())
     blocks = checkpoint(pack(weights(q.select("term").distinct(), docs, k1, b), block))
     lists = blocks.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.max("most").alias("top"))

@@ -253,3 +253,18 @@ def test_bm25_ties_at_nine_digits(spark, monkeypatch):
     q = spark.createDataFrame([(0, "x")], "query_id long, text string")
     monkeypatch.setattr(catalog, "bm25_topk", lambda *a, **kw: postings.bm25_topk(*a, b=1e-10, **kw))
     assert [(r.doc_id, r.rn) for r in catalog.keyword_search(q, d, 2).collect()] == [("1", 1), ("2", 2)]
+
+
+def test_equal_texts_are_ranked_once(spark):
+    """600 documents of ten texts: as ranked one by one, with postings of ten texts only."""
+    from stepfold.operators import catalog, postings
+
+    words = ["red ring", "blue ring", "red bolt large", "blue bolt", "ring ring bolt", "cold plate", "red plate", "bolt", "blue", "large ring"]
+    d = spark.createDataFrame([(f"{(i * 7) % 600:04d}", words[i % 10]) for i in range(600)], "asin string, contents string")
+    q = spark.createDataFrame([("a", "red ring"), ("b", "blue bolt large"), ("c", "plate")], "query_id string, text string")
+    report = []
+    got = {(r.query_id, r.rn): (r.doc_id, r.score) for r in catalog.keyword_search(q, d, 70, report=report).collect()}
+    docs = d.select(d.asin.alias("doc_id"), d.contents.alias("text"))
+    want = {(r.query_id, r.rn): (r.doc_id, r.score) for r in postings.bm25_topk(q, docs, 70, digits=9).collect()}
+    assert got == want
+    assert report[1].count() <= 3 * len(words)
