@@ -100,26 +100,50 @@ def _tokens(text: Column, stop_words: Sequence[str]) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b(?!(?:{skip})\b)(\w\w+)\b"), 1)
 
 
+#: Terms that are sent to all tasks.
+SENT = 100_000
+
+
+def _counted(df: DataFrame, n: int, stop_words: Sequence[str], by: str, text: str) -> DataFrame:
+    """asin, by, l: each n-gram of a product's texts and how often it has it, counted in the row.
+    Only rows that share an asin are brought together."""
+    t = _tokens(F.col(text), stop_words)
+    grams = F.when(F.size("t") >= n, F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("t") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("t", i, F.lit(n)), " ")))
+    shared = checkpoint(df.groupBy("asin").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("asin").alias("__a")))
+    d = df.select("asin", by, text)
+    if not shared.isEmpty():
+        same = F.col("asin").eqNullSafe(F.col("__a"))
+        many = d.join(shared, same, "left_semi").withColumn("t", t).select("asin", by, grams.alias("g"))
+        many = many.groupBy("asin", by).agg(F.flatten(F.collect_list("g")).alias("g"))
+        d = d.join(shared, same, "left_anti").withColumn("t", t).select("asin", by, grams.alias("g")).unionByName(many)
+    else:
+        d = d.withColumn("t", t).select("asin", by, grams.alias("g"))
+    # of the sorted n-grams, those that differ from the one before, with their places
+    d = d.withColumn("g", F.sort_array("g"))
+    new = F.filter(F.transform("g", lambda x, i: F.struct(x.alias("term"), i.alias("at"), (F.get("g", i - 1) == x).alias("same"))), lambda x: ~F.coalesce(x["same"], F.lit(False)))
+    d = d.withColumn("f", new)
+    return d.select("asin", by, F.transform("f", lambda x, i: F.struct(x["term"].alias("term"), (F.coalesce(F.get("f", i + 1)["at"], F.size("g")) - x["at"]).cast("long").alias("tf"))).alias("l"))
+
+
 def tfidf_attributes(df: DataFrame, n: int, *, stop_words: Sequence[str], by="category", text="text", k=5, max_features: int | None = None) -> DataFrame:
     """Share of a category's products that have a term among their k best by TF-IDF.
 
     Terms are n-grams after stop words and 0..999 are removed; if ``max_features``
     is given, the most frequent of a category count; idf = ln((1+N)/(1+df)) + 1, L2 per product.
     """
-    t = _tokens(F.col(text), stop_words)
-    d = df.select("asin", by, t.alias("t"))
-    grams = F.when(F.size("t") >= n, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("t") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("t", i, F.lit(n)), " ")))
-    tf = d.select("asin", by, F.explode(grams).alias("term")).groupBy("asin", by, "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = checkpoint(tf)  # read twice below, and a pass over every text to make
-    terms = tf.groupBy(by, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    counted = checkpoint(_counted(df, n, stop_words, by, text))  # read twice; no filter is pushed into the counting
+    each = lambda: counted.select("asin", by, F.explode("l").alias("x")).select("asin", by, "x.term", "x.tf")
+    terms = each().groupBy(by, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     if max_features is not None:
         terms = top_k(terms, [by], [F.desc("total"), F.col("term")], max_features, "__r").drop("__r")
     terms = terms.drop("total")
     sizes = df.groupBy(by).agg(F.count_distinct("asin").alias("n_products"))
     terms = terms.join(sizes, by)
-    terms = terms.select(by, "term", "n_products", (F.log((1 + F.col("n_products")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = lookup(tf, terms, [by, "term"], "inner").withColumn("w", F.col("tf") * F.col("idf"))
+    terms = checkpoint(terms.select(by, "term", "n_products", (F.log((1 + F.col("n_products")) / (1 + F.col("df"))) + 1).alias("idf")))
+    # few terms go to the counts, so that only counts of kept terms are shuffled
+    kept = F.broadcast(terms) if terms.limit(SENT + 1).count() <= SENT else terms
+    w = lookup(each(), kept, [by, "term"], "inner").withColumn("w", F.col("tf") * F.col("idf"))
     # a product's window group is bounded by the distinct terms of its own text
     w = w.withColumn("ss", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("asin")))
     w = w.withColumn("score", F.round(F.col("w") / F.sqrt("ss"), 9))

@@ -268,3 +268,19 @@ def test_equal_texts_are_ranked_once(spark):
     want = {(r.query_id, r.rn): (r.doc_id, r.score) for r in postings.bm25_topk(q, docs, 70, digits=9).collect()}
     assert got == want
     assert report[1].count() <= 3 * len(words)
+
+
+def test_tfidf_of_products_with_several_texts(spark):
+    """Rows that share an asin count as one product, and nothing else is shuffled by product and term."""
+    from collections import Counter
+
+    from stepfold.operators import catalog
+
+    rows = [("a", "x", "red ring red"), ("a", "x", "ring bolt"), ("b", "x", "bolt"), ("c", "y", "red"), ("c", "x", "plate red"), (None, "x", "bolt bolt"), (None, "x", "ring"), ("d", "y", None)]
+    df = spark.createDataFrame(rows, "asin string, category string, text string")
+    want: dict = {}
+    for asin, category, text in rows:
+        want.setdefault((asin, category), Counter()).update((text or "").split())
+    got = {(r.asin, r.category): {x.term: x.tf for x in r.l or []} for r in catalog._counted(df, 1, [], "category", "text").collect()}
+    assert got == {k: dict(c) for k, c in want.items()}
+    assert catalog.tfidf_attributes(df, 1, stop_words=[], k=2, max_features=3).count() > 0
