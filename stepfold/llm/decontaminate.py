@@ -143,7 +143,8 @@ def with_words(docs: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per document the words inside shared windows and the items they come from."""
     texts = with_words(docs)
-    runs = shared_runs(texts, item_words(items), window, broadcast_rows)
+    # used twice below: the corpus is searched once, and only distinct runs are written
+    runs = checkpoint(shared_runs(texts, item_words(items), window, broadcast_rows).distinct())
     # first distinct runs per document, then one short list of them
     spans = runs.select("doc_key", "start", "length").distinct().groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs"))
     named = runs.select("doc_key", F.col("item_id").cast("string").alias("i")).distinct().groupBy("doc_key").agg(F.sort_array(F.collect_list("i")).alias("ids"))

@@ -243,6 +243,13 @@ def test_paths_agree_with_brute_force(spark):
     assert {r["n_hit"] for r in decontaminate.contamination(docs(spark, rows), bench.limit(0)).collect()} == {0}
 
 
+def test_contamination_searches_the_corpus_once(spark):
+    bench = spark.createDataFrame([(1, "a b c"), (2, "b c")], "item_id long, text string")
+    found = decontaminate.contamination(docs(spark, [(1, "x a b c y b c", None, None, None)]), bench)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["n_hit"], r["n_items"]) for r in found.collect()] == [(5, 2)]
+
+
 def test_proximity(spark):
     texts = decontaminate.with_words(docs(spark, [(1, "a x x b rare", None, None, None), (2, "a x x x x x x b rare", None, None, None), (3, "Rare B A", None, None, None)]))
     phrases = decontaminate.item_words(spark.createDataFrame([(1, "a b rare")], "item_id long, text string"))
