@@ -32,15 +32,18 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.llm.base import checkpoint, chunks, small_batches
+from stepfold.llm.tokens import column_bytes
 
 #: Most frequent tokens whose counts every task holds, at most.
 HEAD = 1 << 16
@@ -53,8 +56,12 @@ ROUNDS = 2
 SHARD_TOKENS, HELD_SYMBOLS = 1 << 21, 1 << 19
 #: Distinct tokens in a task's dictionary before it is emptied.
 HELD_TOKENS = 400_000
-#: Tokens scored in one matrix product: the scores of a batch stay in the cache.
-BATCH_TOKENS = 1 << 10
+#: Histories whose sums are made at a time: their rows stay in the cache.
+BATCH_TOKENS = 1 << 8
+#: Text bytes whose tokens are numbered together.
+TEXT_BYTES = 2 << 20
+#: Sums over all symbols that a task remembers, and histories looked up in them at a time.
+SLOTS, LOOKED_UP = 1 << 21, 1 << 14
 END = b""
 
 
@@ -64,24 +71,73 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+def numbered(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of a column of texts (the end is the first), each token's place among
+    them in order, and the n + 1 offsets of the texts: what a token decides is found once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.string()).fill_null("")))
+    coded = pa.concat_arrays([pa.array([""]), lists.flatten()]).dictionary_encode()
+    code = coded.indices.to_numpy()[1:]
+    word = code > 0
+    offsets = np.concatenate([[0], np.cumsum(word)])[lists.offsets.to_numpy()] + np.arange(len(column) + 1)
+    out = np.zeros(offsets[-1], np.int32)
+    inside = np.ones(offsets[-1], bool)
+    inside[offsets[1:] - 1] = False
+    out[inside] = code[word]
+    return coded.dictionary.cast(pa.binary()), out, offsets
+
+
 def class_of(token: bytes) -> int:
     return zlib.crc32(token[-2:]) % CLASSES
 
 
+@lru_cache(maxsize=1)
+def _class_of_ending() -> np.ndarray:
+    """Classes of all endings of two bytes, then of one, then of none."""
+    two = [bytes((a, b)) for a in range(256) for b in range(256)]
+    return np.array([class_of(x) for x in (*two, *(bytes((a,)) for a in range(256)), b"")], np.int32)
+
+
+def classes_of(names: pa.Array) -> np.ndarray:
+    """``class_of`` every token of a column."""
+    raw, at = column_bytes(names)
+    sizes = np.diff(at)
+    ending = np.full(len(names), (1 << 16) + 256)
+    some, more = np.flatnonzero(sizes > 0), np.flatnonzero(sizes > 1)
+    ending[some] = (1 << 16) + raw[at[some + 1] - 1].astype(np.int64)
+    ending[more] = raw[at[more + 1] - 2].astype(np.int64) << 8 | raw[at[more + 1] - 1]
+    return _class_of_ending()[ending]
+
+
+def places(names: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of every token among the known ones, -1 for others."""
+    return pc.index_in(names, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def summed(tables: list[pa.Table]) -> pa.Table:
+    """token, c: the counts of several tables added up."""
+    out = pa.concat_tables(tables).group_by("token", use_threads=False).aggregate([("c", "sum")])
+    return pa.table({"token": out["token"], "c": out["c_sum"]}).combine_chunks()
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """token (binary), c: occurrences in all of ``docs``."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        cut = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
-        for batch in batches:
-            for text in batch.column("text"):
-                held.update(tokens(text.as_py()))
-                if len(held) > HELD_TOKENS:
-                    yield cut()
-                    held.clear()
-        yield cut()
+        held: list[pa.Table] = []
+        n = seen = 0
+        for batch in chunks(batches, "text", TEXT_BYTES):
+            names, code, _ = numbered(batch.column("text"))
+            held.append(pa.table({"token": names, "c": np.bincount(code, minlength=len(names))}))
+            n += len(names)
+            if n > max(HELD_TOKENS, 2 * seen):
+                held = [summed(held)]
+                n = seen = len(held[0])
+                if n > HELD_TOKENS:
+                    yield from held[0].to_batches()
+                    held, n, seen = [], 0, 0
+        if held:
+            yield from summed(held).to_batches()
 
     part = docs.select("text").mapInArrow(run, "token binary, c long")
     return part.groupBy("token").agg(F.sum("c").alias("c"))
@@ -101,41 +157,74 @@ class Model:
     bias: np.ndarray
 
     def log_probs(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probabilities, in batches of matrix products.
-
-        The bias is one more dimension, so that a batch is one product, one exponential and
-        one row sum; rows are shifted by their largest score only where it could overflow.
-        """
-        n = self.context.shape[1]
-        one = np.zeros((ORDER, n, 1), np.float32)
-        one[0] = 1
-        context = np.concatenate([self.context.astype(np.float32), one], axis=2)
-        output = np.concatenate([self.output, self.bias[None, :]]).astype(np.float32)
-        longest = float(np.sqrt((output * output).sum(axis=0).max()))
-        ones = np.ones(output.shape[1], np.float32)
+        """Normalised natural log-probabilities."""
+        return Scores(self)(before, symbol)
+
+
+class Scores:
+    """Normalised natural log-probabilities of symbols after their histories.
+
+    A score is a sum over positions, so its exponential is a product of rows that are made once
+    for each symbol at each position. The sums over all symbols of ``SLOTS`` histories are kept, each in
+    the slot of its hash. Rows are shifted by their largest score; where a product still
+    vanishes, the sum is made of the scores themselves.
+    """
+
+    def __init__(self, model: Model):
+        self.parts = [np.matmul(c, model.output, dtype=np.float32) for c in model.context]
+        self.parts[0] = self.parts[0] + model.bias.astype(np.float32)
+        self.tops = [p.max(axis=1) for p in self.parts]
+        self.rows = [np.exp(p - t[:, None]) for p, t in zip(self.parts, self.tops)]
+        self.code = np.full(SLOTS, -1)
+        self.sums = np.zeros(SLOTS)
+
+    def log_sums(self, before: np.ndarray) -> np.ndarray:
+        ones = np.ones(self.rows[0].shape[1], np.float32)
+        out = np.empty(len(before))
+        for a in range(0, len(before), BATCH_TOKENS):
+            h = before[a : a + BATCH_TOKENS]
+            e = self.rows[0].take(h[:, 0], axis=0)
+            for j in range(1, ORDER):
+                e *= self.rows[j].take(h[:, j], axis=0)
+            s = (e @ ones).astype(np.float64)
+            small = np.flatnonzero(s < 1e-20)
+            s[small] = 1
+            own = np.log(s) + sum(t[h[:, j]].astype(np.float64) for j, t in enumerate(self.tops))
+            if len(small):
+                x = sum(p[h[small, j]].astype(np.float64) for j, p in enumerate(self.parts))
+                top = x.max(axis=1)
+                own[small] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+            out[a : a + BATCH_TOKENS] = own
+        return out
+
+    def __call__(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         out = np.empty(len(symbol))
-        for a in range(0, len(symbol), BATCH_TOKENS):
-            h, y = before[a : a + BATCH_TOKENS], symbol[a : a + BATCH_TOKENS]
-            q = context[0][h[:, 0]]
+        for a in range(0, len(symbol), LOOKED_UP):
+            h, y = before[a : a + LOOKED_UP], symbol[a : a + LOOKED_UP]
+            code = h[:, 0].astype(np.int64)
             for j in range(1, ORDER):
-                q += context[j][h[:, j]]
-            s = q @ output
-            if float(np.sqrt((q * q).sum(axis=1).max())) * longest > 80:
-                s -= s.max(axis=1, keepdims=True)
-            own = s[np.arange(len(s)), y].astype(np.float64)
-            np.exp(s, out=s)
-            out[a : a + BATCH_TOKENS] = own - np.log((s @ ones).astype(np.float64))
+                code = code * len(self.tops[0]) + h[:, j]
+            slot = (code * 0x9E3779B1 >> 16) & (SLOTS - 1)
+            sums = self.sums[slot]
+            new = np.flatnonzero(self.code[slot] != code)
+            sums[new] = self.log_sums(h[new])
+            # a slot's code and sum are of the same history: where several share it, the last one stays in both
+            self.code[slot[new]] = code[new]
+            self.sums[slot[new]] = sums[new]
+            out[a : a + LOOKED_UP] = sum(p[h[:, j], y].astype(np.float64) for j, p in enumerate(self.parts)) - sums
         return out
 
 
 def histories(symbol: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
     """For each position the ORDER symbols before it in its text, nearest first."""
     n = len(symbol)
-    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
     out = np.full((n, ORDER), begin, np.int32)
+    last = np.append(first[1:], n)
     for j in range(ORDER):
-        at = np.flatnonzero(place > j)
-        out[at, j] = symbol[at - j - 1]
+        out[j + 1 :, j] = symbol[: max(n - j - 1, 0)]
+        for d in range(j + 1):
+            at = first + d
+            out[at[at < last], j] = begin
     return out
 
 
@@ -186,26 +275,33 @@ class Descent:
         log_noise = np.log(noise * self.unigram).astype(np.float32)
         order = rng.permutation(len(symbol))
         chance = np.cumsum(self.unigram)
+        shift = np.arange(ORDER) * (n_symbols + 1)
         for a in range(0, len(order), batch):
             at = order[a : a + batch]
             y, h = symbol[at], before[at]
             z = np.minimum(np.searchsorted(chance, rng.random(noise) * chance[-1], side="right"), n_symbols - 1)
-            r = [words[h[:, j]] for j in range(ORDER)]
-            q = sum(x * c for x, c in zip(r, scale))
-            out_y, out_z = output[y], output[z]
-            data = (q * out_y).sum(axis=1) + bias[y] - log_noise[y]
-            false = q @ out_z.T + (bias[z] - log_noise[z])
+            # rows of all positions in one table: a position's part starts at a multiple of the words
+            key = (h + shift).T.ravel()
+            q = (words * scale[:, None]).reshape(-1, WIDTH).take(key, axis=0).reshape(ORDER, -1, WIDTH).sum(axis=0)
+            out_y, out_z = output.take(y, axis=0), output.take(z, axis=0)
+            data = np.einsum("ij,ij->i", q, out_y) + (bias - log_noise)[y]
+            false = q @ out_z.T
+            false += (bias - log_noise)[z]
             g_data = -1 / (1 + np.exp(np.clip(data, -30, 30)))
-            g_false = np.negative(np.clip(false, -30, 30, out=false), out=false)
-            np.exp(g_false, out=g_false)
-            g_false += 1
-            np.reciprocal(g_false, out=g_false)
-            g_q = g_data[:, None] * out_y + g_false @ out_z
+            np.negative(false, out=false)
+            with np.errstate(over="ignore"):  # an infinite one counts as such
+                np.exp(false, out=false)
+            false += 1
+            g_false = np.reciprocal(false, out=false)
+            g_q = g_false @ out_z
+            g_q += g_data[:, None] * out_y
             to = np.concatenate([y, z])
             g_out = sums_by(to, np.concatenate([g_data[:, None] * q, g_false.T @ q]), n_symbols)
             g_bias = np.bincount(to, np.concatenate([g_data, g_false.sum(axis=0)]), n_symbols).astype(np.float32)
-            g_scale = np.stack([(g_q * x).sum(axis=0) for x in r])
-            g_words = sums_by(h.T.ravel(), np.concatenate([g_q * c for c in scale]), n_symbols + 1)
+            # the gradients of words and of scales are made of the same sums by position and word
+            by_word = sums_by(key, g_q, ORDER * (n_symbols + 1)).reshape(ORDER, -1, WIDTH)
+            g_scale = np.einsum("jvw,vw->jw", by_word, words)
+            g_words = np.einsum("jvw,jw->vw", by_word, scale)
             for param, total, grad in zip(self.params, self.sums, (g_words, g_scale, g_out, g_bias)):
                 grad /= len(at)
                 total += grad * grad
@@ -219,12 +315,14 @@ class Descent:
 
 
 def sums_by(key: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of each key below n."""
+    """Sums of the rows of each key below n; several keys' worth of the same rows may follow one
+    another. Two numbers are added at a time, as one complex one."""
     order = np.argsort(key.astype(np.uint16), kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     out = np.zeros((n, rows.shape[1]), np.float32)
-    out[key[first]] = np.add.reduceat(rows[order], first, axis=0)
+    pairs = rows.take(order % len(rows), axis=0).view(np.complex64)
+    out[key[first]] = np.add.reduceat(pairs, first, axis=0).view(np.float32)
     return out
 
 
@@ -257,14 +355,18 @@ def shards(docs: DataFrame, model: Model) -> DataFrame:
     Rows without an id are dealt by their place, as many may share one text."""
     small_batches(docs.sparkSession)
     symbols = model.symbols
-    if len(model.bias) >= 1 << 16:
+    known = pa.array(list(symbols), pa.binary())
+    if ORDER * (len(model.bias) + 1) >= 1 << 16:
         raise ValueError("symbols are numbered in two bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(symbols)
-        for batch in batches:
-            out = [np.array([numbers[x] for x in tokens(t.as_py())], np.uint16).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "symbols"])
+        for batch in chunks(batches, "text", TEXT_BYTES):
+            names, code, offsets = numbered(batch.column("text"))
+            place = places(names, known)
+            each = np.where(place < 0, len(symbols) + classes_of(names), place).astype(np.uint16)
+            ends = (2 * offsets).astype(np.int32)
+            out = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(each[code])])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), out], names=["key", "symbols"])
 
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), "text").alias("key")
     n = max(1, -(-model.total // SHARD_TOKENS))
@@ -358,60 +460,44 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     small_batches(docs.sparkSession)
     floor = log10(model.total + 0.5 * (model.distinct + 1))
     class_log = np.log10(model.class_sums + 0.5)
-    head_log = {t: log10(c + 0.5) for t, c in model.head.items()}
     n_words, begin = len(model.symbols), len(model.bias)
-    number = {t: i for i, t in enumerate(model.head)}  # the frequent ones come first
-    logs = np.array(list(head_log.values()))
+    head = pa.array(list(model.head), pa.binary())  # the frequent ones come first
+    logs = np.array([log10(c + 0.5) for c in model.head.values()] + [0.0])  # the last for what is not in the head
     schema = "doc_id long, text_hash long, token binary, n long, rows long, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 2 << 20):
-            ids = batch.column("doc_id").to_pylist()
-            firsts, symbol, base, known, own_sum = [], [], [], [], []
-            names, held = [], [[] for _ in range(3)]
-            at = 0
-            for doc, text in zip(ids, batch.column("text")):
-                text = text.as_py()
-                toks = tokens(text)
-                place = np.fromiter((number.get(t, -1) for t in toks), np.int64, len(toks))
-                tail = np.flatnonzero(place < 0)
-                rare = [toks[i] for i in tail]
-                s = place.copy()
-                grouped = np.flatnonzero(place >= n_words)  # in the head, yet not a symbol of its own
-                s[grouped] = n_words + np.array([class_of(toks[i]) for i in grouped], np.int64)
-                s[tail] = n_words + np.array([class_of(t) for t in rare], np.int64)
-                h = np.int64(np.uint64(xxhash.xxh64_intdigest((text or "").encode())).astype(np.int64))
-                names.append((doc, h, len(toks)))
-                for t, n in Counter(rare).items():
-                    held[0].append(len(names) - 1)
-                    held[1].append(t)
-                    held[2].append(n)
-                inside = place[place >= 0]
-                base.append(float(logs[inside].sum()) - len(toks) * floor)
-                known.append(len(inside))
-                own_sum.append(float(logs[place[grouped]].sum()) - float(class_log[s[s >= n_words] - n_words].sum()))
-                firsts.append(at)
-                symbol.append(s)
-                at += len(toks)
-            if not names:
-                continue
-            symbol_all = np.concatenate(symbol).astype(np.int32)
-            first = np.array(firsts)
-            lp = model.log_probs(histories(symbol_all, first, begin), symbol_all)
-            neural = np.add.reduceat(lp, first) / np.log(10)
-            k = len(names)
-            rare_at = np.array(held[0], np.int64)
-            doc_ids = [x[0] for x in names]
-            hashes = np.array([x[1] for x in names], np.int64)
+        scores = Scores(model)
+        for batch in chunks(batches, "text", TEXT_BYTES):
+            k = batch.num_rows
+            names, code, offsets = numbered(batch.column("text"))
+            # what a token decides, for every distinct one
+            place = places(names, head)
+            own = np.flatnonzero((place >= 0) & (place < n_words))
+            symbol_of = n_words + classes_of(names)
+            share = logs[place] - class_log[symbol_of - n_words]
+            symbol_of[own], share[own] = place[own], 0
+            first = offsets[:-1]
+            sizes = np.diff(offsets)
+            known = np.add.reduceat((place >= 0).astype(np.int64)[code], first)
+            base = np.add.reduceat(logs[place][code], first) - sizes * floor
+            symbol = symbol_of[code]
+            lp = scores(histories(symbol, first, begin), symbol)
+            total = np.add.reduceat(share[code], first) + np.add.reduceat(lp, first) / np.log(10)
+            hashes = np.array([xxhash.xxh64_intdigest(v.as_buffer() or b"") for v in batch.column("text")], np.uint64).view(np.int64)
+            # the rare tokens of each text
+            tail = np.flatnonzero((place < 0)[code])
+            pair, n = np.unique(np.repeat(np.arange(k), sizes)[tail] * len(names) + code[tail], return_counts=True)
+            at, rare = np.divmod(pair, len(names))
             # a text's own row carries a key with a space, which no token has
-            keys = [b" %d" % h for h in hashes] + held[1]
-            zeros = np.zeros(len(rare_at))
+            keys = pa.concat_arrays([pa.array([b" %d" % h for h in hashes], pa.binary()), names.take(pa.array(rare))])
+            both = np.concatenate([np.arange(k), at])
+            zeros = np.zeros(len(at), np.int64)
             long = lambda a, b: pa.array(np.concatenate([a, b]).astype(np.int64))
+            real = lambda a: pa.array(np.concatenate([a, zeros.astype(np.float64)]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(doc_ids + [doc_ids[i] for i in rare_at], pa.int64()), pa.array(np.concatenate([hashes, hashes[rare_at]])), pa.array(keys, pa.binary()),
-                    long(np.zeros(k), np.array(held[2])), long(np.ones(k), zeros), long([x[2] for x in names], zeros), long(known, zeros),
-                    pa.array(np.concatenate([base, zeros])), pa.array(np.concatenate([np.array(own_sum) + neural, zeros])),
+                    batch.column("doc_id").take(pa.array(both)), pa.array(hashes[both]), keys, long(np.zeros(k), n), long(np.ones(k), zeros),
+                    long(sizes, zeros), long(known, zeros), real(base), real(total),
                 ],
                 names=["doc_id", "text_hash", "token", "n", "rows", "n_tokens", "n_known", "base_score", "score"],
             )

@@ -125,6 +125,32 @@ def test_counts_and_base_scores_match_brute_force(spark):
     assert lm.fit_and_score(all_docs.limit(0), train).count() == 0
 
 
+def test_tokens_are_looked_up_once_for_a_batch():
+    import pyarrow as pa
+
+    texts = ["  The the\x0bTHE \x1cx\u00a0 \u00c9\n", None, "", "a the\tend\r", " ", "b" * 300 + " a"]
+    names, code, offsets = lm.numbered(pa.array(["skipped", *texts]).slice(1))
+    flat = [t.as_py() for t in names]
+    assert [[flat[i] for i in code[a:b]] for a, b in zip(offsets, offsets[1:])] == [lm.tokens(t) for t in texts]
+    assert len(set(flat)) == len(flat) < len(code)
+    assert lm.classes_of(names).tolist() == [lm.class_of(t) for t in flat]
+    assert lm.places(names, pa.array([b"the", b""], pa.binary())).tolist() == [[b"the", b""].index(t) if t in (b"the", b"") else -1 for t in flat]
+    assert lm.histories(np.array([5, 6, 7, 8, 9]), np.array([0, 1]), 99).tolist() == [[99] * 3, [99] * 3, [6, 99, 99], [7, 6, 99], [8, 7, 6]]
+
+
+@pytest.mark.parametrize("size", [0.1, 5, 60])
+def test_sums_over_all_symbols(size):
+    rng = np.random.default_rng(4)
+    n = 6
+    model = lm.Model({}, {}, np.zeros(1), 0, 0, size * rng.normal(size=(lm.ORDER, n + 1, lm.WIDTH)).astype(np.float32), rng.normal(size=(lm.WIDTH, n)).astype(np.float32), rng.normal(size=n).astype(np.float32))
+    before, symbol = rng.integers(0, n + 1, (3000, lm.ORDER)), rng.integers(0, n, 3000)
+    x = sum(model.context[j][before[:, j]].astype(float) for j in range(lm.ORDER)) @ model.output + model.bias
+    want = x[np.arange(3000), symbol] - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)) - x.max(axis=1)
+    scores = lm.Scores(model)
+    for _ in range(2):  # the second time from the sums kept
+        assert np.allclose(scores(before, symbol), want, rtol=1e-4, atol=1e-4 * max(1, size))
+
+
 def test_model_is_normalised_and_learns_order():
     rng = random.Random(1)
     texts = [" ".join(("a b c d " if rng.random() < 0.5 else "d c b a ") * 5 for _ in range(5)) for _ in range(40)]
