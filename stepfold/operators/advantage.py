@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.plans.skew import discounted, drop_keys, group_values, match, rank, rename_keys, running
+from stepfold.plans.skew import discounted, drop_keys, group_values, has_hot, match, rank, rename_keys, running
 
 
 def _once(score: str, once: str | None) -> Column:
@@ -26,12 +26,12 @@ def discounted_returns(df, gamma, *, traj="traj_uid", step="step", reward="rewar
 
 
 def normalized_advantage(
-    df, *, group=("uid",), score="score", std=True, eps=1e-6, own_mean=False, once=None, out="adv"
+    df, *, group=("uid",), score="score", std=True, eps=1e-6, own_mean=False, once=None, out="adv", hot=None
 ):
     """(s - mean) / (sample std + eps). A group of one has std 1 and mean 0, or its own
-    score as the mean when ``own_mean``."""
+    score as the mean when ``own_mean``. ``hot``: as in ``group_values``."""
     s = _once(score, once)
-    d = group_values(df, list(group), __mean=F.avg(s), __sd=F.stddev_samp(s), __cnt=F.count(s))
+    d = group_values(df, list(group), hot=hot, __mean=F.avg(s), __sd=F.stddev_samp(s), __cnt=F.count(s))
     alone = F.col("__cnt") <= 1
     mean = F.when(alone, F.col(score) if own_mean else F.lit(0.0)).otherwise(F.col("__mean"))
     adv = F.col(score) - mean
@@ -165,9 +165,11 @@ def gigpo_advantage(
 ):
     """Episode advantage inside the prompt group plus weight * step advantage inside the
     group of equal observations."""
-    d = normalized_advantage(df, group=[group], score=score, std=std, out="episode_adv")
+    hot = has_hot(df, [group])
+    d = normalized_advantage(df, group=[group], score=score, std=std, out="episode_adv", hot=hot)
+    # the parts of groups that are not hot are not hot either
     d = normalized_advantage(
-        d, group=[group, obs], score=step_score, std=std, own_mean=True, out="step_adv"
+        d, group=[group, obs], score=step_score, std=std, own_mean=True, out="step_adv", hot=None if hot else False
     )
     return d.withColumn("adv", F.col("episode_adv") + weight * F.col("step_adv"))
 

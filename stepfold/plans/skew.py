@@ -68,11 +68,11 @@ def settle(df: DataFrame) -> DataFrame:
     return checkpoint(df) if re.search(r"Join|Aggregate|Window|Sort|Generate", plan) else df
 
 
-def group_values(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
+def group_values(df: DataFrame, keys: Sequence[str], *, hot: bool | None = None, **aggs: Column) -> DataFrame:
     """Add group aggregates to every row: one shuffle on ``keys``, or with hot groups an
-    aggregation joined back."""
+    aggregation joined back. ``hot`` tells whether there are any where the caller knows it."""
     keys = list(keys)
-    if not has_hot(df, keys):
+    if not (has_hot(df, keys) if hot is None else hot):
         w = Window.partitionBy(*keys)
         return df.withColumns({n: a.over(w) for n, a in aggs.items()})
     df = settle(df)
@@ -179,7 +179,8 @@ def discounted(
 
     Positions fall into blocks short enough that gamma^block stays above 1e-150; a block
     is one window group, and only the value at the head of the next block is carried in, so
-    no count is needed and groups may be of any length.
+    groups may be of any length. Without hot groups the next block is looked up in the same
+    partition; with them (or where heads need a scan) heads are aggregated and joined.
     What lies further ahead weighs below 1e-100 of it, less than double rounding, unless
     the block length was bounded by RANGE_ROWS: then the heads get a scan of their own.
     """
@@ -200,6 +201,12 @@ def discounted(
     local = {f"__r_{n}": F.sum(weigh(v, F.col("__o"))).over(w) for n, v in values.items()}
     down = (lambda c: c) if gamma == 1 else (lambda c: c / F.pow(g, F.col("__o")))
     scratch = ["__b", "__o", *[f"__{q}_{n}" for q in "tr" for n in values]]
+    up = (lambda c: c) if gamma == 1 else (lambda c: c * F.pow(g, F.lit(m) - F.col("__o")))
+    total = {n: down(F.col(f"__r_{n}")) + F.coalesce(up(F.col(f"__t_{n}")), F.lit(0.0)) for n in values}
+    if digits * m >= 100 and not has_hot(df, keys):
+        ahead = Window.partitionBy(*keys).orderBy("__b").rangeBetween(1, 1)
+        carry = {f"__t_{n}": F.sum(weigh(v, F.col("__o"))).over(ahead) for n, v in values.items()}
+        return d.withColumns(local).withColumns(carry).withColumns(total).drop(*scratch)
     heads = d.where(F.col("__b") >= 1).groupBy(*keys, "__b")
     heads = heads.agg(*[F.sum(weigh(v, F.col("__o"))).alias(f"__t_{n}") for n, v in values.items()])
     if digits * m < 100:
@@ -207,14 +214,7 @@ def discounted(
     heads = heads.withColumn("__b", F.col("__b") - 1)
     both = [*keys, "__b"]
     d = d.withColumns(local).join(rename_keys(heads, both), match(both), "left")
-    up = (lambda c: c) if gamma == 1 else (lambda c: c * F.pow(g, F.lit(m) - F.col("__o")))
-    d = d.withColumns(
-        {
-            n: down(F.col(f"__r_{n}")) + F.coalesce(up(F.col(f"__t_{n}")), F.lit(0.0))
-            for n in values
-        }
-    )
-    return drop_keys(d, both, *scratch)
+    return drop_keys(d.withColumns(total), both, *scratch)
 
 
 def _scan_heads(heads: DataFrame, keys: list[str], gamma: float, m: int, names: list[str]):

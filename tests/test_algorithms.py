@@ -364,3 +364,23 @@ def test_first_pages_need_no_directory(spark):
     page = S.paginate(df, 3, 25, order=["a"], rows=1000, cuts=8, report=report)
     assert [r.a for r in page.collect()] == list(range(50, 75)) and report == [75]
     assert "TakeOrderedAndProject" in page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gigpo_reads_its_steps_once(spark, monkeypatch):
+    from stepfold.operators import advantage
+    from stepfold.plans import skew
+
+    asked = []
+    count = skew.exceeds
+    monkeypatch.setattr(skew, "exceeds", lambda df, keys, rows: asked.append(list(keys)) or count(df, keys, rows))
+    rows = [(1, t, s, float(s % 3), "ab"[s % 2]) for t, n in ((1, 7000), (2, 3)) for s in range(1, n + 1)]
+    steps = spark.createDataFrame(rows, "uid long, traj_uid long, step long, reward double, anchor_obs string")
+    returns = advantage.discounted_returns(steps, 0.9)
+    got = {(r["traj_uid"], r["step"]): r["returns"] for r in returns.collect()}
+    ahead = 0.0
+    for s in range(7000, 0, -1):  # more than two blocks
+        ahead = s % 3 + 0.9 * ahead
+        assert abs(got[1, s] - ahead) < 1e-9
+    out = advantage.gigpo_advantage(returns, score="reward")
+    assert asked == [["traj_uid"], ["uid"]]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
