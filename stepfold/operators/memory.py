@@ -346,7 +346,7 @@ def renumber(library: DataFrame, *, order: str = "numeric", number="exp_no") ->
 def used_experiences(retrieved: DataFrame, rewritten: DataFrame, *, sample="sample_id", exp="exp_id") -> DataFrame:
     """Originals whose id survives the sample's rewrite; without a rewrite all of them."""
     has = rewritten.select(sample).distinct()
-    kept = retrieved.join(rewritten.select(sample, exp).distinct(), [sample, exp], "left_semi")
+    kept = retrieved.join(rewritten.select(sample, exp), [sample, exp], "left_semi")  # repeats on this side do not count
     return kept.unionByName(retrieved.join(has, sample, "left_anti"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stepfold.operators import joins as J
@@ -356,7 +357,10 @@ def _(spark, sf):
 SELECT o AS sample_id, p AS exp_id FROM a WHERE (o, p) IN (SELECT o, p FROM w) OR o NOT IN (SELECT o FROM w)""")
 def _(spark, sf):
     li = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("exp_id"), "l_returnflag")
-    return M.used_experiences(li.select("sample_id", "exp_id").distinct(), li.where("l_returnflag = 'R'"))
+    # hardly a pair repeats: repeats are told by the order the join needs anyway, not by a table of a task's pairs
+    same = Window.partitionBy("sample_id", "exp_id").orderBy("exp_id")
+    pairs = li.select("sample_id", "exp_id", F.lag(F.lit(1)).over(same).alias("before")).where("before IS NULL").drop("before")
+    return M.used_experiences(pairs, li.where("l_returnflag = 'R'"))
 
 
 _HOUSE = """CASE WHEN contains(g, 'look at') AND contains(g, 'under') THEN 'look_at_obj_in_light' WHEN contains(g, 'clean') THEN 'clean' WHEN contains(g, 'heat') THEN 'heat'

@@ -384,3 +384,11 @@ def test_gigpo_reads_its_steps_once(spark, monkeypatch):
     out = advantage.gigpo_advantage(returns, score="reward")
     assert asked == [["traj_uid"], ["uid"]]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_used_pairs_are_not_held_in_a_table(spark):
+    from stepfold.suite import QUERIES
+    from tests.oracle import DATA
+
+    plan = QUERIES["used_experiences"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # the samples that have a rewrite
