@@ -251,17 +251,18 @@ def merge_candidates(existing: DataFrame, ops: DataFrame, threshold: float = 0.7
 
     ``ops`` has op_id, option, modified_from, embedding; a modify of an unknown id adds.
     """
-    known = existing.select(F.col("id").alias("modified_from"), F.lit(True).alias("__known"))
-    d = ops.join(known, "modified_from", "left")
-    replace = (F.col("option") == "modify") & F.col("__known").isNotNull()
-    swaps = d.where(replace).select("op_id", F.lit("replace").alias("action"), F.col("modified_from").alias("item_id"), F.lit(None).cast("double").alias("sim"))
-    adds = d.where(~replace)
+    known = existing.select(F.col("id").alias("modified_from"))
+    asks = F.coalesce((F.col("option") == "modify") & F.col("modified_from").isNotNull(), F.lit(False))
+    # only those that name an item are looked up: the others would meet in the task of the null key
+    named = ops.where(asks)
+    swaps = named.join(known, "modified_from", "left_semi")
+    swaps = swaps.select("op_id", F.lit("replace").alias("action"), F.col("modified_from").alias("item_id"), F.lit(None).cast("double").alias("sim"))
+    unknown = named.join(known, "modified_from", "left_anti")
+    adds = ops.where(~asks).select("op_id", "embedding").unionByName(unknown.select("op_id", "embedding"))
     hits = similarity_topk(adds.select(F.col("op_id").alias("id"), "embedding"), existing, k, min_sim=threshold)
-    merges = hits.select(F.col("query_id").alias("op_id"), F.lit("merge").alias("action"), "item_id", "sim")
-    plain = adds.join(merges.select("op_id"), "op_id", "left_anti")
-    none = F.lit(None).cast(existing.schema["id"].dataType)
-    plain = plain.select("op_id", F.lit("add").alias("action"), none.alias("item_id"), F.lit(None).cast("double").alias("sim"))
-    return swaps.unionByName(merges).unionByName(plain)
+    # read once: another use of the hits would search again
+    told = adds.select("op_id").join(hits.select(F.col("query_id").alias("op_id"), "item_id", "sim"), "op_id", "left")
+    return swaps.unionByName(told.withColumn("action", F.when(F.col("sim").isNotNull(), "merge").otherwise("add")))
 
 
 def plan_merges(existing: DataFrame, ops: DataFrame, threshold: float = 0.70, k: int = 10) -> DataFrame:

@@ -3,7 +3,7 @@
 Few queries (``QUERY_BYTES``, measured) go to the items: every task holds their k best so far.
 Otherwise both sides are packed into blocks, and each block of queries meets each block of items
 in a cartesian product, whose tasks read two packed parts where they lie: no vector is shuffled
-again, and a task gives only its k best per query. Pairs over a threshold are found in the same
+again, and a task, which may go through several parts of the items, gives only its k best per query. Pairs over a threshold are found in the same
 way. ``index_topk`` finds the same over an index
 (``stepfold.operators.balls``) with fewer products, where vectors cluster well; each visit
 of a block is a copy of the query, so where they don't it shuffles the square of the table. Links
@@ -29,7 +29,7 @@ from stepfold.plans.skew import lookup, top_k
 
 #: Items in a block of the index; queries multiplied at a time.
 I_BLOCK, Q_BLOCK = 4096, 1024
-#: Bytes of items that a task of the cartesian product reads; parts that its queries are cut into.
+#: Bytes of items that a task of the cartesian product holds at a time; parts that its queries are cut into, and its tasks.
 PART_BYTES, Q_PARTS = 64 << 20, 96
 #: Parts that each side of a join of pairs is cut into, as long as they stay within PART_BYTES.
 PAIR_PARTS = 24
@@ -262,19 +262,34 @@ class _Best:
 
 
 def tile_topk(queries: DataFrame, items: DataFrame, k: int, *, floor: float | None, cosine: bool, exclude_self: bool, block: int | None = None, parts: tuple[int, int] | None = None) -> DataFrame:
-    """The k best (at least) per query and kind of each part of the items."""
+    """The k best (at least) per query and kind of each task. A task goes through several parts of the
+    items for its queries, so that what is shuffled does not grow with the number of parts."""
     keep, least = k + exclude_self, -np.inf if floor is None else floor
     # of equal vectors only the smallest ids can be among the k best
     few = checkpoint(top_k(items, ["embedding", "kind"], [F.col("id")], keep).drop("rn"))
     q_parts, i_parts = parts or (min(Q_PARTS, -(-queries.count() // Q_BLOCK) or 1), -(-_bytes(few) // PART_BYTES) or 1)
-    q = _tiles(queries.withColumn("kind", F.lit(None).cast("int")), q_parts, min(block or Q_BLOCK, Q_BLOCK), cosine).select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
+    q = _tiles(queries.withColumn("kind", F.lit(None).cast("int")), q_parts, min(block or Q_BLOCK, Q_BLOCK), cosine).select(F.col("no").alias("q_no"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
     tiles = _tiles(few, i_parts, block or I_BLOCK, cosine).select("ids", "flat", "kind")
     schema = _found_schema(queries, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vectors, best, types = None, None, {}, None
-
-        def found() -> Iterator[pa.RecordBatch]:
+        held: dict = {}  # ids and the best so far; a block of queries comes with all items of a part, then with those of the next part
+        for batch in batches:
+            types = batch.column("ids").type.value_type, batch.column("kind").type
+            for i in range(len(batch)):
+                no = batch.column("q_no")[i].as_py()
+                if no not in held:
+                    ids = batch.column("q_ids")[i].values
+                    held[no] = ids.take(pa.array(np.arange(len(ids)))), {}  # a copy, so that the batch is let go
+                own, best = held[no]
+                vectors = np.frombuffer(batch.column("q_flat")[i].as_buffer(), np.float64).reshape(len(own), -1)
+                names = batch.column("ids")[i].values
+                v = np.frombuffer(batch.column("flat")[i].as_buffer(), np.float64).reshape(len(names), -1)
+                kind = batch.column("kind")[i].as_py()
+                if kind not in best:
+                    best[kind] = _Best(len(own), keep, least)
+                best[kind].meet(vectors, v, names.to_numpy(zero_copy_only=False))
+        for own, best in held.values():
             for kind, b in best.items():
                 r, c = np.nonzero(b.sims > -np.inf)
                 q_ids, i_ids = own.take(pa.array(r)), pa.array(b.ids[r, c], types[0])
@@ -285,24 +300,9 @@ def tile_topk(queries: DataFrame, items: DataFrame, k: int, *, floor: float | No
                 if len(out):
                     yield out
 
-        for batch in batches:
-            types = batch.column("ids").type.value_type, batch.column("kind").type
-            for i in range(len(batch)):
-                ids = batch.column("q_ids")[i].values
-                if own is None or not ids.equals(own):  # all items of the part come for one block of queries, then for the next
-                    yield from found()
-                    own, best = ids, {}
-                    vectors = np.frombuffer(batch.column("q_flat")[i].as_buffer(), np.float64).reshape(len(ids), -1)
-                names = batch.column("ids")[i].values
-                v = np.frombuffer(batch.column("flat")[i].as_buffer(), np.float64).reshape(len(names), -1)
-                kind = batch.column("kind")[i].as_py()
-                if kind not in best:
-                    best[kind] = _Best(len(ids), keep, least)
-                best[kind].meet(vectors, v, names.to_numpy(zero_copy_only=False))
-        if own is not None:
-            yield from found()
-
-    return q.hint("shuffle_replicate_nl").crossJoin(tiles).mapInArrow(run, schema)
+    met = q.hint("shuffle_replicate_nl").crossJoin(tiles)
+    # the product's parts lie by part of the queries: neighbours in one task share it
+    return (met.coalesce(max(q_parts, Q_PARTS)) if q_parts * i_parts > max(q_parts, Q_PARTS) else met).mapInArrow(run, schema)
 
 
 def similarity_topk(

@@ -150,7 +150,8 @@ def _(spark, sf):
     e = V.items(spark, sf)
     lib = e.where("kind < 5").select(F.col("id").alias("exp_no"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), "embedding")
     lib.write.parquet(f"{path}/version=0")
-    ops = S.read_table_stream(spark, sf, "embeddings").where("label >= 5").select(
+    # one batch, however many files: each batch writes the whole library, and later ones would find what earlier ones added
+    ops = S.read_table_stream(spark, sf, "embeddings", None).where("label >= 5").select(
         F.col("vec_id").alias("op_id"), F.lit("add").alias("option"), F.lit(None).cast("long").alias("modified_from"),
         F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("text"), "embedding")
     q = ops.writeStream.foreachBatch(S.experience_upserter(path, 0.35)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()

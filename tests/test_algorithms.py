@@ -392,3 +392,52 @@ def test_used_pairs_are_not_held_in_a_table(spark):
 
     plan = QUERIES["used_experiences"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1  # the samples that have a rewrite
+
+
+def test_candidates_are_searched_once_and_unnamed_items_are_not_looked_up(spark, monkeypatch):
+    from stepfold.operators import similarity as X
+
+    e = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "id long, embedding array<float>")
+    rows = [(i, "add" if i % 3 else None, None if i % 2 else i, [float(i % 5), -1.0 if i % 4 == 0 else 1.0]) for i in range(30)]
+    ops = spark.createDataFrame(rows, "op_id long, option string, modified_from long, embedding array<float>")
+    monkeypatch.setattr(X, "QUERY_BYTES", -1)
+    plan = M.merge_candidates(e, ops, 0.9)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.op_id for r in plan.collect()} == set(range(30))  # also those without an option
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_library_upsert(spark, tmp_path, broadcast):
+    from stepfold.streaming import streams as ST
+
+    path = str(tmp_path / "library")
+    lib = [(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0]), (5, "c", [-1.0, 0.0])]
+    spark.createDataFrame(lib, "exp_no long, text string, embedding array<float>").write.parquet(f"{path}/version=0")
+    ops = [(10, "add", None, "p", [1.0, 0.1]), (11, "modify", 2, "q", [0.0, 2.0]), (12, None, 5, "r", [0.0, -1.0]), (12, "add", None, "s", [0.0, -2.0]),
+           (13, "modify", 99, "t", [1.0, -0.1]), (None, "add", None, "u", [1.0, 1.0])]
+    ops = spark.createDataFrame(ops, "op_id long, option string, modified_from long, text string, embedding array<float>")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        for _ in range(2):  # a replay writes the same version
+            ST.experience_upserter(path, 0.9)(ops, 0)
+            got = [(r.exp_no, r.text) for r in spark.read.parquet(f"{path}/version=1").orderBy("exp_no").collect()]
+            assert got == [(2, "q"), (5, "c"), (6, "a\n\np"), (7, "r"), (8, "s"), (9, "t")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_library_upsert_takes_all_files_as_one_batch(spark, con, tmp_path):
+    """A batch per 64 files would find what an earlier one added, and write the library each time."""
+    import duckdb
+
+    from stepfold.suite import ORACLES, QUERIES
+    from tests.oracle import DATA
+
+    d = spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").where("vec_id % 5 = 0")
+    d.repartition(70).write.parquet(str(tmp_path / "embeddings.parquet"))
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = set(own.execute(ORACLES["stream_experience_upsert"]).fetchall())
+    got = {(r.exp_no, r.text) for r in QUERIES["stream_experience_upsert"](spark, str(tmp_path)).collect()}
+    assert got == want

@@ -284,3 +284,14 @@ def test_tfidf_of_products_with_several_texts(spark):
     got = {(r.asin, r.category): {x.term: x.tf for x in r.l or []} for r in catalog._counted(df, 1, [], "category", "text").collect()}
     assert got == {k: dict(c) for k, c in want.items()}
     assert catalog.tfidf_attributes(df, 1, stop_words=[], k=2, max_features=3).count() > 0
+
+
+def test_a_task_of_tiles_gives_one_best_list_for_all_parts_of_the_items(spark, monkeypatch):
+    v = np.random.default_rng(5).normal(size=(120, 6)).astype("float32")
+    d = table(spark, v, [i % 2 for i in range(120)])
+    monkeypatch.setattr(S, "Q_PARTS", 3)
+    found = S.tile_topk(d, d, 4, floor=None, cosine=True, exclude_self=False, block=8, parts=(3, 7))
+    # in each of three tasks: four for every query and kind, and no query in two tasks
+    assert found.rdd.getNumPartitions() == 3 and found.count() == 120 * 2 * 4
+    got = {(r.query_id, r.kind, r.rn, r.item_id) for r in S.top_k(found, ["query_id", "kind"], [F.desc("sim"), F.col("item_id")], 4).collect()}
+    assert got == best(scores(v, v), 4, range(120), [i % 2 for i in range(120)], q_ids=range(120))
