@@ -93,18 +93,20 @@ def running(
     keys: Sequence[str],
     order: Sequence[Column | str],
     at: Column | str | None = None,
+    hot: bool | None = None,
     **values: Column,
 ) -> DataFrame:
     """Inclusive running sums of ``values`` inside each group (no keys: over the table).
 
     ``at`` is not needed: hot groups are cut along ``order`` itself. Rows that tie in
-    ``order`` stay in one range, so give it a tie-breaker.
+    ``order`` stay in one range, so give it a tie-breaker. ``hot`` tells whether there are
+    hot groups where the caller knows it.
     """
     keys = list(keys)
     plain = not keys
     if plain:
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
-    if not has_hot(df, keys):
+    if not (has_hot(df, keys) if hot is None else hot):
         w = Window.partitionBy(*keys).orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({n: F.sum(v).over(w) for n, v in values.items()}).drop("__all")

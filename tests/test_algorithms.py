@@ -406,10 +406,11 @@ def test_candidates_are_searched_once_and_unnamed_items_are_not_looked_up(spark,
     assert {r.op_id for r in plan.collect()} == set(range(30))  # also those without an option
 
 
-@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
-def test_library_upsert(spark, tmp_path, broadcast):
+@pytest.mark.parametrize("broadcast, range_rows", [("-1", 65_536), ("10485760", 65_536), ("10485760", 1)])
+def test_library_upsert(spark, tmp_path, monkeypatch, broadcast, range_rows):
     from stepfold.streaming import streams as ST
 
+    monkeypatch.setattr(ST, "RANGE_ROWS", range_rows)
     path = str(tmp_path / "library")
     lib = [(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0]), (5, "c", [-1.0, 0.0])]
     spark.createDataFrame(lib, "exp_no long, text string, embedding array<float>").write.parquet(f"{path}/version=0")
