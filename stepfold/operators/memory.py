@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from stepfold.functions import classify as C
 from stepfold.functions.normalize import slug
 from stepfold.operators.records import NO_SKILLS
-from stepfold.operators.similarity import similar_links, similar_pairs, similarity_topk
+from stepfold.operators.similarity import closest_pairs, similar_links, similarity_topk
 from stepfold.plans.iterate import components, greedy_matching
 from stepfold.plans.session import checkpoint
-from stepfold.plans.skew import first_per_group, lookup, rank, running, top_k
+from stepfold.plans.skew import RANGE_ROWS, first_per_group, group_values, has_hot, lookup, rank, running, top_k
 
 
 # Headings and line forms of the prompt texts made here.
@@ -286,30 +286,46 @@ def reduce_to_limit(library: DataFrame, limit: int, threshold: float = 0.60, rou
     """Merges disjoint most similar pairs until the library fits: per round a greedy pass
     over the best (size - limit) pairs. A merged item joins both texts, and its vector is
     their mean until the caller re-embeds it. ``library`` has exp_no, text, embedding."""
-    lib = checkpoint(library.select("exp_no", "text", "embedding"))
+    keep = ["exp_no", "text", "embedding"]
+    lib = checkpoint(library.select(*keep, F.lit(True).alias("fresh")))
+    known = None
     for _ in range(rounds):
         over = lib.count() - limit
         if over <= 0:
             break
-        # equal vectors pair up two by two; similar_pairs would link them all to the first one
-        place = rank(lib, ["embedding"], ["exp_no"], name="rn").withColumn("two", F.floor((F.col("rn") - 1) / 2))
-        copies = place.groupBy("embedding", "two").agg(F.min("exp_no").alias("a"), F.max("exp_no").alias("b")).where("a < b")
-        nonzero = F.exists("embedding", lambda x: x != 0)
-        # the first two of a pile are linked by similar_pairs already
-        copies = copies.where(nonzero & (F.col("two") > 0)).select("a", "b", F.lit(1.0).alias("sim"))
-        pairs = similar_pairs(lib.select(F.col("exp_no").alias("id"), "embedding"), threshold)
-        best = pairs.unionByName(copies).orderBy(F.desc("sim"), "a", "b").limit(over)
+        # equal vectors: the first one stands for all in pairs with others
+        hot = has_hot(lib, ["embedding"])
+        lib = group_values(lib, ["embedding"], hot=hot, first=F.min("exp_no"))
+        lib = checkpoint(running(lib, ["embedding"], ["exp_no"], hot=hot, place=F.lit(1).cast("long")))
+        link = lambda a, b: (F.col(a).alias("a"), F.col(b).alias("b"), F.lit(1.0).alias("sim"))
+        same = lib.where(F.exists("embedding", lambda x: x != 0))
+        links = same.where("place > 1").select(*link("first", "exp_no"))
+        # they pair up two by two besides; the first two of a pile are linked already
+        two = same.where("place > 2").groupBy("first", F.floor((F.col("place") - 1) / 2)).agg(F.min("exp_no").alias("a"), F.max("exp_no").alias("b"))
+        links = links.unionByName(two.where("a < b").select(*link("a", "b")))
+        vectors = lib.where("place = 1").select(F.col("exp_no").alias("id"), "embedding", "fresh")
+        known = closest_pairs(vectors, threshold, over - links.count(), known)
+        best, order = known.pairs.unionByName(links), [F.desc("sim"), F.col("a"), F.col("b")]
+        # a limit would bring all of them to one task
+        best = best.orderBy(*order).limit(over) if over <= RANGE_ROWS else rank(best, [], order).where(F.col("rn") <= over).drop("rn")
         taken = checkpoint(greedy_matching(best))
         if taken.isEmpty():
             break
-        side = lambda p: lib.select(F.col("exp_no").alias(p), F.col("text").alias(f"t{p}"), F.col("embedding").alias(f"e{p}"))
-        m = rank(taken, [], [F.desc("sim"), "a", "b"], -F.col("sim"), "rn").join(side("a"), "a").join(side("b"), "b")
+        end = lambda c, n: F.struct(F.col(c).alias("exp_no"), F.lit(n).alias("end"))
+        ends = rank(taken, [], order).select("rn", F.explode(F.array(end("a", 0), end("b", 1))).alias("e")).select("rn", "e.*")
+        ends = checkpoint(ends)
+        d = checkpoint(lookup(lib, ends, ["exp_no"]))
+        side = lambda f: f(F.struct("text", "embedding"), F.col("end"))
+        m = d.where("rn IS NOT NULL").groupBy("rn").agg(side(F.min_by).alias("a"), side(F.max_by).alias("b"))
         m = m.withColumn("top", lib.agg(F.max("exp_no")).scalar())
-        merged = m.select((F.col("top") + F.col("rn")).alias("exp_no"), F.concat_ws("\n\n", "ta", "tb").alias("text"),
-                          _mean_vector(F.col("ea"), F.col("eb")).alias("embedding"))
-        gone = taken.select(F.explode(F.array("a", "b")).alias("exp_no"))
-        lib = checkpoint(lib.join(gone, "exp_no", "left_anti").unionByName(merged))
-    return lib
+        merged = m.select((F.col("top") + F.col("rn")).alias("exp_no"), F.concat_ws("\n\n", "a.text", "b.text").alias("text"),
+                          _mean_vector(F.col("a.embedding"), F.col("b.embedding")).alias("embedding"), F.lit(True).alias("fresh"))
+        # what was first of its copies still is, for new numbers are larger
+        lib = checkpoint(d.where("rn IS NULL").select(*keep, (F.col("place") > 1).alias("fresh")).unionByName(merged))
+        for c in ("a", "b"):
+            known.pairs = known.pairs.join(ends.select(F.col("exp_no").alias(c)), c, "left_anti")
+        known.pairs = known.pairs.select("a", "b", "sim")
+    return lib.select(*keep)
 
 
 def apply_refine_ops(library: DataFrame, ops: DataFrame) -> DataFrame:

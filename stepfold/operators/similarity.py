@@ -13,8 +13,9 @@ threshold's angle. A task returns only the k best of its block per query (or the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import count, product
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,12 @@ I_BLOCK, Q_BLOCK = 4096, 1024
 PART_BYTES, Q_PARTS = 64 << 20, 96
 #: Parts that each side of a join of pairs is cut into, as long as they stay within PART_BYTES.
 PAIR_PARTS = 24
+#: Rows of a block in a join of pairs: each comes with every block of the other side.
+PAIR_BLOCK = 16_384
 #: Queries of up to so many bytes are sent to all tasks.
 QUERY_BYTES = 4 << 20
+#: Sampled vectors that tell how many pairs a similarity has, and pairs looked for, times those asked for.
+PROBES, SPARE = 2048, 16
 # Scores are rounded before ranking: copies of a document must tie however products are summed.
 DIGITS = 12
 
@@ -396,34 +401,111 @@ def _range_join(index: B.Balls, threshold: float, piles: tuple[np.ndarray, np.nd
     return index.packed.select("block", "ids", "flat").mapInArrow(run, schema)
 
 
-def similar_pairs(items: DataFrame, threshold: float, *, block: int | None = None) -> DataFrame:
-    """All pairs a < b of distinct vectors with cosine >= threshold (a, b, sim), and a link
-    from the smallest id of equal vectors to each of its copies (sim 1). A group of n copies
-    gives n - 1 links, not n^2 pairs, and its first id stands for it in the other pairs. Blocks
-    meet in a cartesian product of the packed table with itself, each two once."""
-    vectors, links = _representatives(items)
-    vectors, size = checkpoint(vectors), block or I_BLOCK
-    parts = max(min(PAIR_PARTS, -(-vectors.count() // size)), -(-_bytes(vectors) // PART_BYTES), 1)
-    tiles = _tiles(vectors, parts, size, True).drop("kind")
+def _pairs(vectors: DataFrame, threshold: float, others: DataFrame | None = None, *, block: int | None = None) -> DataFrame:
+    """All pairs a < b at or over the threshold: of two of the vectors, or of one of them and one of ``others``."""
+    alone = others is None
+
+    def cut(rows: DataFrame) -> DataFrame:
+        parts = max(min(PAIR_PARTS, -(-rows.count() // (block or I_BLOCK))), -(-_bytes(rows) // PART_BYTES), 1)
+        return _tiles(rows, parts, block or PAIR_BLOCK, True).drop("kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 q_ids, i_ids = batch.column("q_ids")[i].values, batch.column("ids")[i].values
                 q, v = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(len(n), -1) for c, n in (("q_flat", q_ids), ("flat", i_ids)))
-                own = batch.column("q_no")[i].as_py() == batch.column("no")[i].as_py()
-                for a in range(0, len(q), Q_BLOCK):
+                own = alone and batch.column("q_no")[i].as_py() == batch.column("no")[i].as_py()
+                for a, c in product(range(0, len(q), Q_BLOCK), range(0, len(v), I_BLOCK)):
                     some = q[a : a + Q_BLOCK]
-                    r, j, sims = _reaching(some, v, np.full(len(some), float(threshold)))
-                    keep = (sims >= threshold) & ((r + a < j) if own else True)  # a block with itself is the same rows
+                    if own and a >= c + I_BLOCK:  # a block with itself is the same rows
+                        continue
+                    r, j, sims = _reaching(some, v[c : c + I_BLOCK], np.full(len(some), float(threshold)))
+                    keep = (sims >= threshold) & ((r + a < j + c) if own else True)
                     if keep.any():
-                        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(r[keep] + a)), i_ids.take(pa.array(j[keep])), pa.array(sims[keep])], names=["a", "b", "sim"])
+                        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(r[keep] + a)), i_ids.take(pa.array(j[keep] + c)), pa.array(sims[keep])], names=["a", "b", "sim"])
 
-    ident = items.schema["id"].dataType
+    ident = vectors.schema["id"].dataType
     schema = T.StructType([T.StructField("a", ident), T.StructField("b", ident), T.StructField("sim", T.DoubleType())])
-    left = tiles.select(*[F.col(c).alias(f"q_{c}") for c in tiles.columns])
-    found = left.hint("shuffle_replicate_nl").join(tiles, F.col("q_no") <= F.col("no")).mapInArrow(run, schema)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").unionByName(links)
+    tiles = cut(vectors)
+    left = tiles.select(*[F.col(c).alias(f"q_{c}") for c in tiles.columns]).hint("shuffle_replicate_nl")
+    met = left.join(tiles, F.col("q_no") <= F.col("no")) if alone else left.crossJoin(cut(others))
+    return met.mapInArrow(run, schema).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+
+
+def similar_pairs(items: DataFrame, threshold: float, *, block: int | None = None) -> DataFrame:
+    """All pairs a < b of distinct vectors with cosine >= threshold (a, b, sim), and a link
+    from the smallest id of equal vectors to each of its copies (sim 1). A group of n copies
+    gives n - 1 links, not n^2 pairs, and its first id stands for it in the other pairs. Blocks
+    meet in a cartesian product of the packed table with itself, each two once."""
+    vectors, links = _representatives(items)
+    return _pairs(checkpoint(vectors), threshold, block=block).unionByName(links)
+
+
+@dataclass
+class Closest:
+    """All ``pairs`` (a, b, sim) at or over ``cut``."""
+
+    pairs: DataFrame
+    cut: float
+
+
+def _reach(vectors: DataFrame, threshold: float) -> Callable[[int], float]:
+    """Gives for a number of pairs a similarity that about so many reach, at least the threshold:
+    an estimate by the pairs that sampled vectors make with all vectors."""
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(PROBES).select("id", "embedding").toArrow()
+    shared = vectors.sparkSession.sparkContext.broadcast(rows)
+    steps = np.concatenate([np.linspace(threshold, 1, 1000, endpoint=False), 1 - np.geomspace(1e-6, 1e-1, 500)])
+    steps = np.unique(np.maximum(steps, threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = shared.value, np.zeros(len(steps), np.int64)
+        names = held.column("id").to_pylist()
+        q = B.unit(B.matrix(held.column("embedding").combine_chunks())).astype(np.float32)
+        for batch in batches:
+            v, ids = B.unit(B.matrix(batch.column("embedding"))).astype(np.float32), batch.column("id").to_pylist()
+            for a in range(0, len(v), I_BLOCK):
+                sims = q @ v[a : a + I_BLOCK].T
+                _without_self(sims, names, ids[a : a + I_BLOCK])
+                n += np.bincount(np.searchsorted(steps, sims[sims >= threshold], "right") - 1, minlength=len(steps))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(steps))), pa.array(n)], names=["step", "n"])
+
+    found = vectors.select("id", "embedding").mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step")
+    counts = found.toArrow().column("n").to_numpy()
+    # a pair is met from either side
+    over = np.cumsum(counts[::-1])[::-1] * (vectors.count() / max(1, len(rows)) / 2)
+
+    def cut(most: int) -> float:
+        enough = np.flatnonzero(over >= most)
+        return float(steps[enough[-1]]) if len(enough) else float(threshold)
+
+    return cut
+
+
+def closest_pairs(vectors: DataFrame, threshold: float, most: int, known: Closest | None = None, *, few: int = I_BLOCK) -> Closest:
+    """All pairs of ``vectors`` (id, embedding, fresh; no two equal) down to a similarity that at least ``most``
+    of them reach, so that it holds the ``most`` best (all over the threshold, if there are fewer). The
+    similarity is estimated for ``SPARE`` times as many; if the pairs found are too few, they are searched
+    again with a lower one. ``known`` holds the pairs of those that are not ``fresh``: if they reach far
+    enough, only the fresh ones meet all others. Up to ``few`` vectors are not worth an estimate."""
+    vectors = vectors.where("embedding IS NOT NULL").withColumn("kind", F.lit(None).cast("int"))
+    if threshold >= 1 or vectors.count() <= few:
+        return Closest(_pairs(vectors, threshold), threshold)
+    if most <= 0:  # all are copies, and only what is as similar may come before some of them
+        return Closest(checkpoint(_pairs(vectors, 1.0)), 1.0)
+    reach = _reach(vectors, threshold)
+    if known is not None and (known.cut <= threshold or known.cut <= reach(2 * most)):
+        fresh, rest = vectors.where("fresh"), vectors.where("NOT fresh")
+        pairs = checkpoint(known.pairs.unionByName(_pairs(fresh, known.cut)).unionByName(_pairs(fresh, known.cut, rest)))
+        if known.cut <= threshold or pairs.count() >= most:
+            return Closest(pairs, known.cut)
+    want = SPARE * most
+    cut = reach(want)
+    while True:
+        pairs = checkpoint(_pairs(vectors, cut))
+        if cut <= threshold or pairs.count() >= most:
+            return Closest(pairs, cut)
+        want *= SPARE
+        cut = reach(want) if reach(want) < cut else float(threshold)
 
 
 def _labels(near: np.ndarray) -> np.ndarray:

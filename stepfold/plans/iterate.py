@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.plans.session import checkpoint
 from stepfold.plans.skew import lookup
 
+#: Pairs that one task may go through in order.
+FEW_PAIRS = 65_536
+
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components of (a, b): node, component = smallest node of the component.
@@ -33,16 +39,17 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def greedy_matching(pairs: DataFrame) -> DataFrame:
+def greedy_matching(pairs: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
     """Disjoint pairs a greedy pass over (sim desc, a, b) would take.
 
     A pair that is the best one left at both ends is certain to be taken, so every round
     takes all of those and drops their neighbours; the best pair left always qualifies.
+    The last ``few`` pairs are gone through in order by one task.
     """
     left = checkpoint(pairs.select("a", "b", "sim"))
     taken = None
     best = F.struct((-F.col("sim")).alias("s"), F.col("a").alias("x"), F.col("b").alias("y"))
-    while not left.isEmpty():
+    while left.count() > few:
         ends = left.select(F.explode(F.array("a", "b")).alias("node"), best.alias("r"))
         top = ends.groupBy("node").agg(F.min("r").alias("r"))
         sure = top.groupBy("r").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
@@ -51,4 +58,16 @@ def greedy_matching(pairs: DataFrame) -> DataFrame:
         gone = sure.select(F.explode(F.array("a", "b")).alias("node"))
         rest = left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti")
         left = checkpoint(rest.join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b", "sim"))
-    return pairs.select("a", "b", "sim").limit(0) if taken is None else taken
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set = set()
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                keep.append(a not in met and b not in met)
+                if keep[-1]:
+                    met |= {a, b}
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    last = left.repartition(1).sortWithinPartitions(F.desc("sim"), "a", "b").mapInArrow(walk, left.schema)
+    return last if taken is None else taken.unionByName(last)

@@ -442,3 +442,65 @@ def test_library_upsert_takes_all_files_as_one_batch(spark, con, tmp_path):
     want = set(own.execute(ORACLES["stream_experience_upsert"]).fetchall())
     got = {(r.exp_no, r.text) for r in QUERIES["stream_experience_upsert"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def reduced_by_hand(items, limit, threshold, rounds):
+    for _ in range(rounds):
+        over = len(items) - limit
+        if over <= 0:
+            break
+        piles = {}
+        for no, _, e in sorted(items, key=lambda x: x[0]):
+            piles.setdefault(e.tobytes(), []).append((no, e.astype("float64")))
+        pairs = {(p[0][0], no, 1.0) for p in piles.values() if p[0][1].any() for no, _ in p[1:]}
+        pairs |= {(p[i][0], p[i + 1][0], 1.0) for p in piles.values() if p[0][1].any() for i in range(0, len(p) - 1, 2)}
+        heads = [p[0] for p in piles.values()]
+        with np.errstate(invalid="ignore"):
+            sims = np.nan_to_num(cosines(np.array([e for _, e in heads])))
+        for i in range(len(heads)):
+            for j in range(i):
+                if sims[i, j] >= threshold:
+                    pairs.add((*sorted((heads[i][0], heads[j][0])), float(sims[i, j])))
+        taken, by = greedy(sorted(pairs, key=lambda p: (-p[2], p[0], p[1]))[:over]), {no: (t, e) for no, t, e in items}
+        top, gone = max(by), {x for p in taken for x in p}
+        items = [x for x in items if x[0] not in gone]
+        for n, (a, b) in enumerate(taken):
+            items.append((top + n + 1, by[a][0] + "\n\n" + by[b][0], ((by[a][1] + by[b][1]) / np.float32(2)).astype("float32")))
+    return sorted((no, t) for no, t, _ in items)
+
+
+@pytest.mark.parametrize("spare", [1, 16])
+def test_reduce_to_limit_searches_down_to_a_cut(spark, monkeypatch, spare):
+    """In rounds over part of the pairs, and by ranges of them: as by hand, and far from all pairs are given."""
+    from stepfold.operators import similarity as S
+
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.normal(size=(150, 6)), rng.normal(size=(1, 6)) + 0.05 * rng.normal(size=(30, 6)), np.zeros((3, 6))]).astype("float32")
+    v = np.concatenate([v, v[:20], v[:6], v[:6], v[:1]])
+    lib = spark.createDataFrame([(i, f"t{i}", x.tolist()) for i, x in enumerate(v)], "exp_no long, text string, embedding array<float>")
+    seen, cuts, real, pairs = [], [], M.closest_pairs, S._pairs
+    monkeypatch.setattr(M, "closest_pairs", lambda *a: seen.append(real(*a, few=0)) or seen[-1])
+    monkeypatch.setattr(S, "_pairs", lambda d, t, *a, **kw: cuts.append((t, len(a))) or pairs(d, t, *a, block=32, **kw))
+    for name in ("SPARE", "PROBES"):
+        monkeypatch.setattr(S, name, {"SPARE": spare, "PROBES": 400}[name])
+    monkeypatch.setattr(M, "RANGE_ROWS", 40)
+    spark.conf.set("stepfold.hotRows", "100")
+    monkeypatch.setattr(M, "greedy_matching", lambda d: greedy_matching(d, 20))
+    try:
+        got = M.reduce_to_limit(lib, 60, -0.5, rounds=4).collect()
+    finally:
+        spark.conf.unset("stepfold.hotRows")
+    assert sorted((r.exp_no, r.text) for r in got) == reduced_by_hand([(i, f"t{i}", x) for i, x in enumerate(v)], 60, -0.5, 4)
+    assert seen[0].cut > -0.5
+    if spare == 16:
+        assert (seen[0].cut, 1) in cuts  # the second round met the new items only
+    else:
+        assert seen[0].pairs.count() < 1000  # of 15,000 over the threshold
+
+
+def test_greedy_matching_ends_in_one_task(spark):
+    rng = np.random.default_rng(5)
+    pairs = list({(int(a), int(b)): (int(a), int(b), round(float(s), 1)) for a, b, s in zip(rng.integers(0, 20, 90), rng.integers(20, 40, 90), rng.random(90))}.values())
+    d = spark.createDataFrame(pairs, "a long, b long, sim double").repartition(4)
+    for few in (0, 7, 1000):
+        assert {(r.a, r.b) for r in greedy_matching(d, few).collect()} == set(greedy(pairs))
