@@ -321,8 +321,7 @@ def best_worst_at_n(df: DataFrame, keys: Sequence[str], value: str, ns: Sequence
 
 def validation_report(df: DataFrame, *, source="data_source", prompt="prompt", value="score", vote: str | None = None) -> DataFrame:
     """mean@N, std@N, best and worst@{2,4,..,N} per prompt, then means over the prompts. With
-    ``vote`` also the mean and std of the majority vote's value, maj@{2,4,..,N}/mean and /std;
-    for more draws than ``votes.EXACT`` use ``majority_at_n``."""
+    ``vote`` also the mean and std of the majority vote's value, maj@{2,4,..,N}/mean and /std."""
     keys = [source, prompt]
     base = df.groupBy(*keys).agg(one("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     tag = lambda p, n: F.concat(F.lit(p), F.col(n).cast("string"))
@@ -334,7 +333,7 @@ def validation_report(df: DataFrame, *, source="data_source", prompt="prompt", v
     bw = bw.select(source, F.explode(F.array(*[pair(tag(p, "n"), F.col(c)) for p, c in cols.items()])).alias("m"))
     flat = flat.unionByName(bw)
     if vote is not None:
-        won = majority_exact(df, keys, vote=vote, value=value)
+        won = majority_exact(df, keys, vote=vote, value=value, most=None)
         both = [pair(F.concat(tag("maj@", "n"), F.lit(f"/{c}")), F.col(f"maj_{c}")) for c in ("mean", "std")]
         flat = flat.unionByName(won.select(source, F.explode(F.array(*both)).alias("m")))
     d = flat.select(source, "m.metric", "m.value").where("value IS NOT NULL")

@@ -7,8 +7,11 @@ wins with m draws while t - 1 others tie is a coefficient of a product of polyno
 for each class, in the number of draws and the number of ties. Counts are written as Poisson
 weights, whose product only has to be divided by the weight of n, so nothing overflows. Rows
 are first aggregated to classes and classes to sizes; what a task folds is one array of
-(size, number of classes of it), at most about sqrt(2 N) entries for a group of N rows. The work grows with
-(classes x n^3), so ``majority_exact`` is for up to ``EXACT`` draws; more are bootstrapped.
+(size, number of classes of it), at most about sqrt(2 N) entries for a group of N rows. The work of
+multiplying grows with (classes x n^3), so it is for up to ``EXACT`` draws and classes. Beyond, the product is
+taken at roots of unity, where classes of a size are a power, and ties are an integral: the share 1 / t of t
+that tie is the integral of y^(t - 1). Only counts with a chance over e^-60 of the likeliest one are gone
+through, less than what doubles round away, so the work grows with (sizes x n), about.
 
 Bootstrap. A draw is the md5 of (seed, group, iteration, draw), so any task can repeat it and
 the number of partitions does not matter. A group of up to ``PACKED`` rows is one array, and its
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 
 from stepfold.plans.skew import exceeds, group_values, match, rank, rename_keys
 
-#: Draws up to which the majority is computed, not bootstrapped.
+#: Draws and classes up to which the product of polynomials is multiplied out.
 EXACT = 64
 #: Rows of a group that may lie in one array.
 PACKED = 4096
@@ -47,8 +50,10 @@ def powers_of_two(size: Column) -> Column:
 def winning(sizes: tuple, classes: tuple, n: int) -> np.ndarray:
     """For each size, the chance that one of its classes wins n draws. It depends on the pattern
     of sizes alone, which few of many groups have to themselves, so a task's worker keeps it."""
-    held = np.array(classes, np.float64)
-    return majority_moments(np.array(sizes, np.float64), held, np.diag(held), n) / held
+    held, rows = np.array(classes, np.float64), np.array(sizes, np.float64)
+    if n > EXACT or held.sum() > EXACT:
+        return majority_chances(rows, held, n)
+    return majority_moments(rows, held, np.diag(held), n) / held
 
 
 def majority_moments(sizes: np.ndarray, classes: np.ndarray, sums: np.ndarray, n: int) -> np.ndarray:
@@ -83,18 +88,77 @@ def majority_moments(sizes: np.ndarray, classes: np.ndarray, sums: np.ndarray, n
     return out / np.exp(n * np.log(n) - n - logs[n])
 
 
-def majority_exact(df: DataFrame, keys: Sequence[str], ns: Sequence[int] | None = None, *, vote="pred", value="val", most: int = EXACT) -> DataFrame:
+def poisson(rate: float) -> tuple[int, np.ndarray]:
+    """The first count, and the chances from it on, of the counts that are over e^-60 of the likeliest."""
+    mode, reach = int(rate), int(11 * np.sqrt(rate)) + 45
+    up = np.cumsum(np.log(rate / np.arange(mode + 1, mode + reach + 1)))
+    down = np.cumsum(np.log(np.arange(mode, max(mode - reach, 0), -1) / rate))
+    logs = np.concatenate([down[::-1], [0.0], up])
+    keep = np.flatnonzero(logs > -60)
+    chance = np.exp(logs[keep])
+    return mode - len(down) + int(keep[0]), chance / chance.sum()
+
+
+@lru_cache(maxsize=1 << 10)
+def tie_nodes(degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in 0 to 1 and their weights, that integrate polynomials of the degree. For many
+    they lie in panels that halve towards 1, as high powers do."""
+    if degree < 64:
+        at, weight = np.polynomial.legendre.leggauss(degree // 2 + 1)
+        return (at + 1) / 2, weight / 2
+    at, weight = np.polynomial.legendre.leggauss(24)
+    ends = np.append(1 - 0.5 ** np.arange(degree.bit_length() + 1), 1.0)
+    width = np.diff(ends)[:, None]
+    return (ends[:-1, None] + width * (at + 1) / 2).ravel(), (width * weight / 2).ravel()
+
+
+def majority_chances(sizes: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:
+    """For each size, the chance that one of its classes wins n draws, for many draws or classes."""
+    whole, every = (sizes * classes).sum(), int(classes.sum())
+    if len(sizes) == 1:
+        return 1 / classes
+    first, total = poisson(n)
+    # so many turns that no other likely number of draws comes to the same place
+    turns = max(n - first, first + len(total) - 1 - n) + 1
+    place = np.arange(turns // 2 + 1)
+    fold = np.where((place == 0) | (2 * place == turns), 1.0, 2.0)
+    root = np.exp(2j * np.pi * np.arange(turns) / turns)
+    drawn = [poisson(n * s / whole) for s in sizes]
+    least, most = max(1, -(-n // every), *(a for a, _ in drawn)), min(n, max(a + len(w) - 1 for a, w in drawn))
+    below = np.zeros((len(sizes), len(place)), complex)  # of each size, the counts under m
+    for i, (a, w) in enumerate(drawn):
+        w = w[: max(least - a, 0)]
+        below[i] = np.conj(np.fft.rfft(np.bincount(np.arange(a, a + len(w)) % turns, w, turns)))
+    out, back = np.zeros(len(sizes)), np.conj(root[place * n % turns]) * fold / turns
+    more = (classes - 1)[:, None]
+    for m in range(least, most + 1):
+        here = np.array([w[m - a] if 0 <= m - a < len(w) else 0.0 for a, w in drawn])
+        turn = root[place * m % turns]
+        tie, (at, weight) = here[:, None] * turn, tie_nodes(min(n // m, every) - 1)
+        for y, share in zip(at, weight):
+            f = below + y * tie
+            ahead, behind = np.ones_like(f), np.ones_like(f)
+            np.cumprod(f[:-1], axis=0, out=ahead[1:])
+            behind[:-1] = np.cumprod(f[:0:-1], axis=0)[::-1]
+            rest = np.where(more > 0, f ** more, 1).prod(axis=0)
+            out += share * here * ((ahead * behind) @ (rest * turn * back)).real
+        below += tie
+    return out / total[n - first]
+
+
+def majority_exact(df: DataFrame, keys: Sequence[str], ns: Sequence[int] | None = None, *, vote="pred", value="val", most: int | None = EXACT) -> DataFrame:
     """Exact mean and std of the majority value of n draws with replacement (maj_mean, maj_std).
-    Without ``ns``: 2, 4, ... and the group size, as far as ``most``. A null vote is a vote;
-    rows without a value are not drawn."""
+    Without ``ns``: 2, 4, ... and the group size, as far as ``most`` (None: all). A null vote is a
+    vote; rows without a value are not drawn."""
     keys = list(keys)
-    if ns is not None and max(ns) > most:
+    if ns is not None and most is not None and max(ns) > most:
         raise ValueError(f"exact for up to {most} draws")
     v = F.col(value).cast("double")
     per = df.where(v.isNotNull()).groupBy(*keys, vote).agg(F.count(F.lit(1)).alias("__c"), F.avg(v).alias("__m"), F.avg(v * v).alias("__s"))
     of = per.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__k"), F.sum("__m").alias("__m"), F.sum("__s").alias("__s"))
     packed = of.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__c", "__k", "__m", "__s"))).alias("__r"), F.sum(F.col("__c") * F.col("__k")).alias("__n"))
-    wanted = F.array(*[F.lit(int(n)).cast("long") for n in ns]) if ns is not None else F.filter(powers_of_two(F.col("__n")), lambda n: n <= most)
+    wanted = F.array(*[F.lit(int(n)).cast("long") for n in ns]) if ns is not None else powers_of_two(F.col("__n"))
+    wanted = wanted if ns is not None or most is None else F.filter(wanted, lambda n: n <= most)
     column = lambda c: F.transform("__r", lambda x: x[c].cast("double")).alias(c)
     each = packed.select(*keys, F.explode(wanted).alias("n"), *map(column, ("__c", "__k", "__m", "__s")))
 

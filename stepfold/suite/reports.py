@@ -322,14 +322,15 @@ def _(spark, sf):
 
 
 @query("validation_report_votes", f"""WITH {RESPONSES_SQL}, {_BW_SQL}, p AS (SELECT uid, count(*) AS n, avg(score) AS m, stddev_pop(score) AS s FROM responses GROUP BY uid),
-nn AS (SELECT uid, n AS size, unnest(list_distinct(list_append(list_filter([2, 4, 8, 16, 32, 64], lambda x: x < n), n))) AS n FROM p WHERE n > 1),
+nn AS (SELECT uid, n AS size, unnest(list_distinct(list_append(list_filter(list_transform(range(1, 62), lambda i: CAST(1 AS BIGINT) << i), lambda x: x < n), n))) AS n FROM p WHERE n > 1),
 b AS (SELECT nn.uid, nn.n, sum(score * (pow(le, nn.n) - pow(lt, nn.n))) AS bm, sum(score * (pow(1 - lt, nn.n) - pow(1 - le, nn.n))) AS wm
   FROM nn JOIN d ON nn.uid = d.uid GROUP BY nn.uid, nn.n),
 c AS (SELECT uid, label, count(*) AS c, avg(score) AS m, avg(score * score) AS s FROM responses GROUP BY uid, label),
 two AS (SELECT uid, coalesce(max(c) FILTER (label = 1), 0) AS cx, coalesce(max(m) FILTER (label = 1), 0) AS mx, coalesce(max(s) FILTER (label = 1), 0) AS sx,
   coalesce(max(c) FILTER (label = 0), 0) AS cy, coalesce(max(m) FILTER (label = 0), 0) AS my, coalesce(max(s) FILTER (label = 0), 0) AS sy FROM c GROUP BY uid),
 t AS (SELECT uid, n, size, unnest(range(0, n + 1)) AS i FROM nn),
-q AS (SELECT *, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)) * pow(cx / size, i) * pow(cy / size, n - i) AS chance,
+q AS (SELECT *, CASE WHEN (cx = 0 AND i > 0) OR (cy = 0 AND i < n) THEN 0.0
+    ELSE exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(greatest(cx, 1) / size) + (n - i) * ln(greatest(cy, 1) / size)) END AS chance,
   CASE WHEN 2 * i > n THEN 1.0 WHEN 2 * i = n THEN 0.5 ELSE 0.0 END AS x FROM t JOIN two USING (uid)),
 g AS (SELECT uid, n, sum(chance * (x * mx + (1 - x) * my)) AS m, sum(chance * (x * sx + (1 - x) * sy)) AS s FROM q GROUP BY uid, n),
 u AS (SELECT 'mean@' || n AS metric, m AS v FROM p UNION ALL SELECT 'std@' || n, s FROM p WHERE n > 1

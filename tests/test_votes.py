@@ -1,7 +1,9 @@
 """Exact majorities against enumeration, the bootstrap against the exact values."""
 
 from collections import Counter
+from fractions import Fraction
 from itertools import product
+from math import comb
 
 import numpy as np
 import pytest
@@ -102,3 +104,41 @@ def test_chances_are_kept_by_pattern(monkeypatch):
         got = sums @ V.winning(sizes, classes, 8)
     assert len(calls) == 1
     assert got == pytest.approx(real(np.array(sizes), np.array(classes), sums, 8), abs=1e-12)
+
+
+def test_chances_of_many_draws():
+    """As multiplied out, as the binomial of two classes, and of many classes of a size."""
+    for sizes, classes in (([1.0, 2.0, 5.0, 30.0], [6.0, 3.0, 2.0, 1.0]), ([3.0, 4.0], [1.0, 1.0]), ([1.0, 7.0], [50.0, 2.0])):
+        s, c = np.array(sizes), np.array(classes)
+        for n in (1, 2, 7, 64, 90):
+            assert V.majority_chances(s, c, n) == pytest.approx(V.majority_moments(s, c, np.diag(c), n) / c, abs=1e-12)
+    for a, b, n in ((70, 80, 128), (900, 1100, 2000)):
+        want = sum(comb(n, i) * a**i * b ** (n - i) * (2 if 2 * i > n else 2 * i == n) for i in range(n + 1))
+        assert V.majority_chances(np.array([a, b]), np.ones(2), n)[0] == pytest.approx(float(Fraction(want, 2 * (a + b) ** n)), abs=1e-12)
+    many = V.winning((1.0, 2.0), (1e5, 1e5), 2)
+    assert many == pytest.approx((1 / 3e5, 2 / 3e5), abs=1e-12) and V.winning((3.0,), (400.0,), 1200) == pytest.approx(1 / 400)
+
+
+@pytest.mark.parametrize("degree", [0, 5, 63, 64, 1000, 10**6])
+def test_shares_of_ties(degree):
+    at, weight = V.tie_nodes(degree)
+    for t in {0, degree // 3, degree}:
+        assert (weight * at**t).sum() * (t + 1) == pytest.approx(1, abs=1e-9)
+
+
+def test_report_votes_in_groups_of_any_size(spark, tmp_path):
+    """Groups of more rows than are multiplied out report all their draws, as the SQL does."""
+    import duckdb
+
+    from stepfold.suite import ORACLES, QUERIES
+
+    rng, rows = np.random.default_rng(3), []
+    for uid, size, share in ((1, 1500, 0.5), (2, 130, 0.52), (3, 65, 1.0), (4, 9, 0.4), (5, 1, 0.0)):
+        rows += [(uid, len(rows) + i, float(rng.integers(100, 50_000_000)) / 100, "F" if rng.random() < share else "O", "1") for i in range(size)]
+    d = spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double, o_orderstatus string, o_orderpriority string")
+    d.write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.metric: r.value for r in QUERIES["validation_report_votes"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = {m: v for _, m, v in con.execute(ORACLES["validation_report_votes"]).fetchall()}
+    assert got == pytest.approx(want, abs=1e-9) and {"maj@1024/mean", "maj@1500/std", "maj@130/mean", "maj@65/mean", "best@1024"} <= set(got)
